@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.operators import detectors as D
-from driftspark.operators import sampling, windows
-from driftspark.plans import monitor
+from driftspark.operators import compare, sampling, windows
+from driftspark.plans import monitor, report
 from driftspark.session import prepare
 
 # Query parameters shared with the oracle SQL.
@@ -152,6 +152,64 @@ def q_drift_verdict(spark, sf):
                     "should_trigger")
 
 
+# --- K6-K12 scenario comparison on orders ----------------------------------------
+
+SCENARIO_COL, METRIC_COLS, ORDINAL_COL = "o_orderpriority", ("o_totalprice",), "o_orderkey"
+
+
+def _orders_runs(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").select(ORDINAL_COL, SCENARIO_COL, *METRIC_COLS)
+    return compare.normalise_scenario(o, SCENARIO_COL)
+
+
+def _mw(spark, sf):
+    runs = _orders_runs(spark, sf)
+    order = compare.scenario_order(runs, SCENARIO_COL, ORDINAL_COL)
+    pairs = compare.scenario_pairs(order, SCENARIO_COL)
+    long = compare.to_long_metrics(runs, SCENARIO_COL, METRIC_COLS)
+    return compare.mann_whitney(long, pairs, SCENARIO_COL, METRIC_COLS), long, order
+
+
+def q_scenario_pairs(spark, sf):
+    order = compare.scenario_order(_orders_runs(spark, sf), SCENARIO_COL, ORDINAL_COL)
+    return compare.scenario_pairs(order, SCENARIO_COL).select(
+        "A", "B", F.col("a_rank").cast("long").alias("a_rank"), F.col("b_rank").cast("long").alias("b_rank"))
+
+
+def q_mannwhitney(spark, sf):
+    mw, _, _ = _mw(spark, sf)
+    return mw.select("metric", "A", "B", "nA", "nB", r6("u_stat").alias("u_stat"), r6("pvalue").alias("pvalue"))
+
+
+def q_cliffs_delta(spark, sf):
+    mw, _, _ = _mw(spark, sf)
+    return mw.select("metric", "A", "B", r6("cliffs_delta").alias("cliffs_delta"),
+                     compare.cliff_magnitude(F.col("cliffs_delta")).alias("magnitude"))
+
+
+def q_bh_adjust(spark, sf):
+    mw, _, _ = _mw(spark, sf)
+    mw = mw.withColumn("metric_ord", F.lit(0))
+    out = compare.bh_adjust(mw)
+    return out.select("metric", "A", "B", r6("pvalue").alias("pvalue"), r6("pvalue_fdr").alias("pvalue_fdr"))
+
+
+def q_summary_scopes(spark, sf):
+    runs = _orders_runs(spark, sf)
+    long = compare.to_long_metrics(runs, SCENARIO_COL, METRIC_COLS)
+    s = compare.summaries(long, SCENARIO_COL)
+    return s.select("metric", "summary_scope", F.col("summary_n").cast("long").alias("summary_n"),
+                    *[r6(c).alias(c) for c in ("summary_mean", "summary_std", "summary_min", "summary_p25",
+                                               "summary_median", "summary_p75", "summary_max")])
+
+
+def q_scenario_report(spark, sf):
+    rep = report.scenario_report(_orders_runs(spark, sf), SCENARIO_COL, METRIC_COLS, ORDINAL_COL)
+    dbl = {"pvalue", "cliffs_delta", "pvalue_fdr", "summary_mean", "summary_std", "summary_min",
+           "summary_p25", "summary_median", "summary_p75", "summary_max"}
+    return rep.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in rep.columns])
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -166,4 +224,10 @@ QUERIES = {
     "positive_ratio": q_positive_ratio,
     "binary_domain": q_binary_domain,
     "drift_verdict": q_drift_verdict,
+    "scenario_pairs": q_scenario_pairs,
+    "mannwhitney": q_mannwhitney,
+    "cliffs_delta": q_cliffs_delta,
+    "bh_adjust": q_bh_adjust,
+    "summary_scopes": q_summary_scopes,
+    "scenario_report": q_scenario_report,
 }

@@ -118,6 +118,67 @@ SELECT bool_or(p < 0.01) AS drift_any, round(min(p), 6) AS p_min,
 FROM p"""
 
 
+SCEN = """
+rk AS (SELECT s, row_number() OVER (ORDER BY f, s) AS r
+       FROM (SELECT o_orderpriority AS s, min(o_orderkey) AS f FROM orders GROUP BY 1) t),
+pairs AS (SELECT a.s AS A, b.s AS B, a.r AS a_rank, b.r AS b_rank FROM rk a JOIN rk b ON a.r < b.r)"""
+
+
+def _mw_sql() -> str:
+    z = "z"
+    return f"""
+WITH {SCEN},
+u AS (SELECT p.A, p.B, p.a_rank, p.b_rank, o.o_orderpriority = p.A AS is_a, o.o_totalprice AS v
+      FROM pairs p JOIN orders o ON o.o_orderpriority IN (p.A, p.B) WHERE o.o_totalprice IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY A, B ORDER BY v)
+                + (count(*) OVER (PARTITION BY A, B, v) - 1) / 2.0e0 AS mr FROM u),
+g AS (SELECT A, B, a_rank, b_rank, CAST(count(*) FILTER (WHERE is_a) AS DOUBLE) AS nA,
+             CAST(count(*) FILTER (WHERE NOT is_a) AS DOUBLE) AS nB, sum(mr) FILTER (WHERE is_a) AS ra
+      FROM r GROUP BY 1, 2, 3, 4),
+t AS (SELECT A, B, sum(CAST(c AS DOUBLE) * c * c - c) AS ties
+      FROM (SELECT A, B, v, count(*) AS c FROM u GROUP BY 1, 2, 3) x GROUP BY 1, 2),
+s AS (SELECT g.*, t.ties, ra - nA * (nA + 1) / 2.0e0 AS u1 FROM g JOIN t USING (A, B)),
+zz AS (SELECT *, (greatest(u1, nA * nB - u1) - nA * nB / 2.0e0 - 0.5e0)
+                 / sqrt(nA * nB / 12.0e0 * ((nA + nB + 1) - ties / ((nA + nB) * (nA + nB - 1)))) AS z FROM s)
+SELECT 'o_totalprice' AS metric, A, B, a_rank, b_rank, CAST(nA AS BIGINT) AS nA, CAST(nB AS BIGINT) AS nB,
+       u1 AS u_stat,
+       CASE WHEN z IS NULL OR z <= 0 THEN 1.0e0 ELSE {pv.normal_two_sided_sql(z, D)} END AS pvalue,
+       (2.0e0 * u1 - nA * nB) / (nA * nB) AS cliffs_delta
+FROM zz"""
+
+
+def _summary_sql() -> str:
+    return """
+SELECT 'o_totalprice' AS metric, scope AS summary_scope, count(*) AS summary_n,
+       round(avg(v), 6) AS summary_mean, round(stddev_pop(v), 6) AS summary_std, round(min(v), 6) AS summary_min,
+       round(quantile_cont(v, 0.25), 6) AS summary_p25, round(quantile_cont(v, 0.5), 6) AS summary_median,
+       round(quantile_cont(v, 0.75), 6) AS summary_p75, round(max(v), 6) AS summary_max
+FROM (SELECT 'global' AS scope, o_totalprice AS v FROM orders WHERE o_totalprice IS NOT NULL
+      UNION ALL SELECT 'scenario:' || o_orderpriority, o_totalprice FROM orders WHERE o_totalprice IS NOT NULL) x
+GROUP BY 1, 2"""
+
+
+def _report_sql() -> str:
+    return f"""
+WITH mw AS ({_mw_sql()}),
+bh AS (SELECT *, row_number() OVER (ORDER BY coalesce(pvalue, 1.0e0), a_rank, b_rank) AS k,
+              count(*) OVER () AS m FROM mw),
+adj AS (SELECT *, least(min(coalesce(pvalue, 1.0e0) * m / k) OVER (ORDER BY k
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0e0) AS pvalue_fdr FROM bh),
+summ AS ({_summary_sql()})
+SELECT metric, A, B, nA, nB, round(pvalue, 6) AS pvalue, round(cliffs_delta, 6) AS cliffs_delta,
+       'mannwhitney' AS row_type, round(pvalue_fdr, 6) AS pvalue_fdr, CAST(NULL AS VARCHAR) AS summary_scope,
+       CAST(NULL AS BIGINT) AS summary_n, CAST(NULL AS DOUBLE) AS summary_mean, CAST(NULL AS DOUBLE) AS summary_std,
+       CAST(NULL AS DOUBLE) AS summary_min, CAST(NULL AS DOUBLE) AS summary_p25,
+       CAST(NULL AS DOUBLE) AS summary_median, CAST(NULL AS DOUBLE) AS summary_p75,
+       CAST(NULL AS DOUBLE) AS summary_max
+FROM adj
+UNION ALL
+SELECT metric, summary_scope, '', summary_n, CAST(0 AS BIGINT), NULL, NULL, 'summary', NULL, summary_scope,
+       summary_n, summary_mean, summary_std, summary_min, summary_p25, summary_median, summary_p75, summary_max
+FROM summ"""
+
+
 ORACLES = {
     "window_role_counts": f"""SELECT role, count(*) AS n_rows, round(sum(value), 6) AS sum_value,
         count(DISTINCT user_id) AS n_users FROM ({EVENTS_PAIR}) p GROUP BY role""",
@@ -138,4 +199,19 @@ ORACLES = {
         THEN avg(CASE WHEN quality = 1 THEN 1.0e0 ELSE 0.0e0 END) END, 6) AS pos_ratio
         FROM ({LABELS_HALF}) p WHERE role = 'rec' AND quality IS NOT NULL""",
     "drift_verdict": _verdict_sql(),
+    "scenario_pairs": f"WITH {SCEN} SELECT A, B, a_rank, b_rank FROM pairs",
+    "mannwhitney": f"""SELECT metric, A, B, nA, nB, round(u_stat, 6) AS u_stat, round(pvalue, 6) AS pvalue
+        FROM ({_mw_sql()}) m""",
+    "cliffs_delta": f"""SELECT metric, A, B, round(cliffs_delta, 6) AS cliffs_delta,
+        CASE WHEN abs(cliffs_delta) < 0.147 THEN 'negligible' WHEN abs(cliffs_delta) < 0.33 THEN 'small'
+             WHEN abs(cliffs_delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude
+        FROM ({_mw_sql()}) m""",
+    "bh_adjust": f"""WITH mw AS ({_mw_sql()}),
+        bh AS (SELECT *, row_number() OVER (ORDER BY coalesce(pvalue, 1.0e0), a_rank, b_rank) AS k,
+                      count(*) OVER () AS m FROM mw)
+        SELECT metric, A, B, round(pvalue, 6) AS pvalue,
+               round(least(min(coalesce(pvalue, 1.0e0) * m / k) OVER (ORDER BY k
+                     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0e0), 6) AS pvalue_fdr FROM bh""",
+    "summary_scopes": _summary_sql(),
+    "scenario_report": _report_sql(),
 }
