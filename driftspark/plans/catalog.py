@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.operators import detectors as D
-from driftspark.operators import compare, sampling, windows
+from driftspark.operators import compare, policy, sampling, windows
 from driftspark.plans import monitor, report
 from driftspark.session import prepare
 
@@ -210,6 +210,42 @@ def q_scenario_report(spark, sf):
     return rep.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in rep.columns])
 
 
+# --- T4 policy over hourly cycles of events ----------------------------------------
+
+POLICY_STEP = dt.timedelta(hours=1)
+POLICY_COOLDOWN = dt.timedelta(hours=3)
+POLICY_CLEAR = 3
+POLICY_LEVEL = 55.0
+
+
+def _hourly_verdicts(spark, sf) -> DataFrame:
+    ev = table(spark, sf, "events").select("ts", "value")
+    idx = windows.pane_index(F.col("ts"), POLICY_STEP) + 1
+    return (ev.groupBy(idx.alias("_e")).agg((F.avg("value") > POLICY_LEVEL).alias("should_trigger"))
+              .select(F.lit("fraud").alias("model"),
+                      F.timestamp_seconds(F.col("_e") * int(POLICY_STEP.total_seconds())).alias("cycle_end"),
+                      "should_trigger"))
+
+
+def _policy(spark, sf, **kw):
+    out = policy.apply_policy(_hourly_verdicts(spark, sf), ["model"], "cycle_end", "should_trigger",
+                              POLICY_STEP, cooldown=POLICY_COOLDOWN, clear_streak=POLICY_CLEAR, **kw)
+    return out.select("model", F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "should_trigger",
+                      "attempted", "suppressed", "alert", "clear_streak", "trigger_count")
+
+
+def q_policy_edge(spark, sf):
+    return _policy(spark, sf, mode="edge")
+
+
+def q_policy_level(spark, sf):
+    return _policy(spark, sf, mode="level")
+
+
+def q_policy_streak_consecutive(spark, sf):
+    return _policy(spark, sf, mode="edge", streak="consecutive")
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -230,4 +266,7 @@ QUERIES = {
     "bh_adjust": q_bh_adjust,
     "summary_scopes": q_summary_scopes,
     "scenario_report": q_scenario_report,
+    "policy_edge": q_policy_edge,
+    "policy_level": q_policy_level,
+    "policy_streak_consecutive": q_policy_streak_consecutive,
 }

@@ -179,6 +179,36 @@ SELECT metric, summary_scope, '', summary_n, CAST(0 AS BIGINT), NULL, NULL, 'sum
 FROM summ"""
 
 
+def _policy_sql(mode: str = "edge", streak: str = "cumulative", k: int = 3, n: int = 3) -> str:
+    can = f"(least(r.c + 1, {k}) >= {k})"
+    c1 = f"least(r.c + 1, {k})"
+    if mode == "level":
+        att, sup = f"(g.x AND {can})", f"(g.x AND NOT {can})"
+        alert, clr = "false", "0"
+    else:
+        rising = "(g.x AND NOT r.alert)"
+        att, sup = f"({rising} AND {can})", f"({rising} AND NOT {can})"
+        keep = "0" if streak == "consecutive" else "r.clr"
+        alert = (f"CASE WHEN {rising} THEN true WHEN g.x THEN r.alert "
+                 f"WHEN r.alert AND r.clr + 1 >= {n} THEN false ELSE r.alert END")
+        clr = (f"CASE WHEN {rising} THEN 0 WHEN g.x THEN {keep} WHEN r.alert AND r.clr + 1 >= {n} THEN 0 "
+               f"WHEN r.alert THEN r.clr + 1 ELSE 0 END")
+    return f"""
+WITH RECURSIVE v AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) + 1 AS i, avg(value) > 55.0e0 AS x
+                     FROM events GROUP BY 1),
+grid AS (SELECT g.i, coalesce(v.x, false) AS x
+         FROM (SELECT unnest(range(min(i), max(i) + 1)) AS i FROM v) g LEFT JOIN v USING (i)),
+r AS (SELECT min(i) - 1 AS i, false AS x, false AS att, false AS sup, false AS alert, 0 AS clr, {k} AS c,
+             CAST(0 AS BIGINT) AS total FROM grid
+      UNION ALL
+      SELECT g.i, g.x, {att}, {sup}, {alert}, {clr},
+             CASE WHEN {att} THEN 0 ELSE {c1} END, r.total + CAST({att} AS BIGINT)
+      FROM r JOIN grid g ON g.i = r.i + 1)
+SELECT 'fraud' AS model, make_timestamp(i * 3600 * 1000000) AS cycle_end, x AS should_trigger,
+       att AS attempted, sup AS suppressed, alert, CAST(clr AS INTEGER) AS clear_streak, total AS trigger_count
+FROM r WHERE i >= (SELECT min(i) FROM grid)"""
+
+
 ORACLES = {
     "window_role_counts": f"""SELECT role, count(*) AS n_rows, round(sum(value), 6) AS sum_value,
         count(DISTINCT user_id) AS n_users FROM ({EVENTS_PAIR}) p GROUP BY role""",
@@ -214,4 +244,7 @@ ORACLES = {
                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0e0), 6) AS pvalue_fdr FROM bh""",
     "summary_scopes": _summary_sql(),
     "scenario_report": _report_sql(),
+    "policy_edge": _policy_sql("edge"),
+    "policy_level": _policy_sql("level"),
+    "policy_streak_consecutive": _policy_sql("edge", "consecutive"),
 }
