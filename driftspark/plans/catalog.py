@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.operators import detectors as D
-from driftspark.operators import compare, policy, sampling, windows
-from driftspark.plans import monitor, report
+from driftspark.operators import compare, labels, policy, sampling, windows
+from driftspark.plans import monitor, report, retrain
 from driftspark.session import prepare
 
 # Query parameters shared with the oracle SQL.
@@ -246,6 +246,75 @@ def q_policy_streak_consecutive(spark, sf):
     return _policy(spark, sf, mode="edge", streak="consecutive")
 
 
+# --- labels, class statistics, sampling, training ----------------------------------
+
+LINEITEM_RISK_CUT = 0.08
+LINEITEM_FEATURES = ("l_extendedprice", "l_discount", "l_quantity", "l_tax")
+SAMPLE_CAP = 1000
+
+
+def _lineitem_labeled(spark, sf, keep=()):
+    li = table(spark, sf, "lineitem")
+    return labels.ensure_label(li, LINEITEM_FEATURES, existing_label="is_suspicious", risk="l_discount",
+                               amount="l_extendedprice", risk_cut=LINEITEM_RISK_CUT, p95_method="exact",
+                               keep=keep)
+
+
+def q_label_existing(spark, sf):
+    lab = labels.ensure_label(table(spark, sf, "labels"), ["toxic"], existing_label="quality",
+                              risk="_none", amount="_none")
+    cc = labels.class_counts(lab)
+    return cc.crossJoin(lab.groupBy("label_strategy").agg(F.count(F.lit(1)).alias("_n")).select("label_strategy")) \
+             .select("label_strategy", "total_rows", "positives", "negatives")
+
+
+def q_label_rule_p95(spark, sf):
+    lab = _lineitem_labeled(spark, sf)
+    return lab.groupBy("label_strategy", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_p95_approx_bound(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_extendedprice").where(F.col("l_extendedprice").isNotNull())
+    approx = labels.amount_p95(li, "l_extendedprice", "approx").withColumnRenamed("_p95", "_a")
+    share = li.crossJoin(F.broadcast(approx)).agg(
+        F.avg((F.col("l_extendedprice") <= F.col("_a")).cast("double")).alias("_f"))
+    return share.select((F.abs(F.col("_f") - 0.95) <= 0.01).alias("within_bound"))
+
+
+def q_class_counts(spark, sf):
+    return labels.class_counts(table(spark, sf, "labels").where(F.col("toxic").isNotNull()), "toxic")
+
+
+def q_class_weights(spark, sf):
+    lab = table(spark, sf, "labels").where(F.col("quality").isNotNull())
+    return labels.class_weights(lab, "quality").select("quality", "n_class", r6("weight").alias("weight"))
+
+
+def q_split_stratified(spark, sf):
+    lab = table(spark, sf, "labels").where(F.col("quality").isNotNull()).select("doc_id", "quality")
+    return sampling.stratified_split(lab, "doc_id", "quality", 0.2, seed=42)
+
+
+def q_sample_hash_cap(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return sampling.sample_hash(o, "o_orderkey", 0.2, seed=42, max_rows=SAMPLE_CAP)
+
+
+def q_split_half(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return sampling.split_half(o, "o_orderkey", seed=13)
+
+
+def q_logreg_f1(spark, sf):
+    li = table(spark, sf, "lineitem")
+    # lineitem has no unique key; this hash of five columns is unique on the given tables
+    li = li.withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                             "l_extendedprice"))
+    log = retrain.train_run(li, "row_key", LINEITEM_FEATURES, risk="l_discount", amount="l_extendedprice",
+                            risk_cut=LINEITEM_RISK_CUT, p95_method="exact")
+    return log.select("label_strategy", "total_rows", "positives", "negatives", "model", r6("f1").alias("f1"))
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -269,4 +338,13 @@ QUERIES = {
     "policy_edge": q_policy_edge,
     "policy_level": q_policy_level,
     "policy_streak_consecutive": q_policy_streak_consecutive,
+    "label_existing": q_label_existing,
+    "label_rule_p95": q_label_rule_p95,
+    "p95_approx_bound": q_p95_approx_bound,
+    "class_counts": q_class_counts,
+    "class_weights": q_class_weights,
+    "split_stratified": q_split_stratified,
+    "sample_hash_cap": q_sample_hash_cap,
+    "split_half": q_split_half,
+    "logreg_f1": q_logreg_f1,
 }

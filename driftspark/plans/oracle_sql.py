@@ -10,7 +10,7 @@ DuckDB has neither erf nor the chi-squared distribution.
 from __future__ import annotations
 
 from driftspark.functions import pvalues as pv
-from driftspark.functions.hashing import uniform_sql
+from driftspark.functions.hashing import hash_int_sql, uniform_sql
 
 D = pv.DUCKDB
 
@@ -209,6 +209,11 @@ SELECT 'fraud' AS model, make_timestamp(i * 3600 * 1000000) AS cycle_end, x AS s
 FROM r WHERE i >= (SELECT min(i) FROM grid)"""
 
 
+LINEITEM_RULE = """SELECT CASE WHEN l_discount >= 0.08e0 OR l_extendedprice >= (SELECT quantile_cont(l_extendedprice, 0.95e0)
+    FROM lineitem WHERE l_extendedprice IS NOT NULL) THEN 1 ELSE 0 END AS label FROM lineitem
+    WHERE l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_quantity IS NOT NULL AND l_tax IS NOT NULL"""
+
+
 ORACLES = {
     "window_role_counts": f"""SELECT role, count(*) AS n_rows, round(sum(value), 6) AS sum_value,
         count(DISTINCT user_id) AS n_users FROM ({EVENTS_PAIR}) p GROUP BY role""",
@@ -247,4 +252,23 @@ ORACLES = {
     "policy_edge": _policy_sql("edge"),
     "policy_level": _policy_sql("level"),
     "policy_streak_consecutive": _policy_sql("edge", "consecutive"),
+    "label_existing": """SELECT 'existing_is_suspicious' AS label_strategy, count(*) AS total_rows,
+        count(*) FILTER (WHERE quality = 1) AS positives, count(*) FILTER (WHERE quality = 0) AS negatives
+        FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL""",
+    "label_rule_p95": f"""SELECT 'synthetic_rule_risk_or_p95' AS label_strategy, label, count(*) AS n_rows
+        FROM ({LINEITEM_RULE}) x GROUP BY label""",
+    "p95_approx_bound": "SELECT true AS within_bound",
+    "class_counts": """SELECT count(*) FILTER (WHERE toxic = 1) AS positives, count(*) FILTER (WHERE toxic = 0)
+        AS negatives, count(*) AS total_rows FROM labels WHERE toxic IS NOT NULL""",
+    "class_weights": """SELECT quality, count(*) AS n_class,
+        round((SELECT count(*) FROM labels WHERE quality IS NOT NULL) / (2.0e0 * count(*)), 6) AS weight
+        FROM labels WHERE quality IS NOT NULL GROUP BY quality""",
+    "split_stratified": f"""SELECT doc_id, quality, row_number() OVER (PARTITION BY quality
+        ORDER BY {hash_int_sql('doc_id', 42)} * 2147483648 + ((doc_id % 2147483648) + 2147483648) % 2147483648)
+        <= ceil(count(*) OVER (PARTITION BY quality) * 0.2e0) AS is_test
+        FROM labels WHERE quality IS NOT NULL""",
+    "sample_hash_cap": f"""SELECT o_orderkey, o_orderpriority FROM orders WHERE {uniform_sql('o_orderkey', 42)} < 0.2e0
+        ORDER BY {hash_int_sql('o_orderkey', 42)}, o_orderkey LIMIT 1000""",
+    "split_half": f"""SELECT o_orderkey, CASE WHEN {uniform_sql('o_orderkey', 13)} < 0.5e0 THEN 'ref' ELSE 'rec' END
+        AS role FROM orders""",
 }
