@@ -1,0 +1,53 @@
+"""Drift injection on an existing table.
+
+Re-aimed from the row simulator: instead of generating rows in Python, a seeded share
+of the rows of any table is modified by column expressions. Every draw is a per-row
+uniform from the row key, so the result does not depend on partitioning and the
+oracle can recompute it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from driftspark.functions import expressions as X
+from driftspark.functions.hashing import uniform
+
+# Amount factor ranges of the two injection profiles, and the flag rule.
+PROFILE_SESSION = (1.5, 4.0)
+PROFILE_BATCH = (1.5, 5.0)
+FLAG_BASE, FLAG_SLOPE, FLAG_AMOUNT = 0.01, 0.1, 1000.0
+RISK_BASE = 0.3
+
+
+def clamp01(d: float | Column) -> Column:
+    d = d if isinstance(d, Column) else F.lit(float(d))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), d))
+
+
+def inject_drift(df: DataFrame, key: str, amount: str, factor: float | Column, seed: int = 42,
+                 risk: str | None = None, profile: tuple[float, float] = PROFILE_SESSION) -> DataFrame:
+    """Share d of rows gets ``amount * U(lo, hi)``; with ``risk`` a new risk score
+    ``min(1, U * (0.3 + d))`` rounded to 3 (the cap rises with d). d is clamped to [0, 1].
+    Adds ``drifted`` (bool) for the rows that were scaled."""
+    d = clamp01(factor)
+    k = F.col(key)
+    pick, size = uniform(k, seed), uniform(k, seed + 1)
+    out = (df.withColumn("drifted", pick < d)
+             .withColumn(amount, X.scale_share(F.col(amount), pick, size, d, *profile)))
+    if risk is not None:
+        out = out.withColumn(risk, X.capped_score(uniform(k, seed + 2) * (F.lit(RISK_BASE) + d)))
+    return out
+
+
+def inject_batch_profile(df: DataFrame, key: str, amount: str, factor: float | Column, seed: int = 42,
+                         flag: str = "is_suspicious") -> DataFrame:
+    """Amount x U(1.5, 5.0) for share d; ``flag`` set when amount > 1000 with
+    probability 0.01 + 0.1 d (existing flag kept otherwise)."""
+    d = clamp01(factor)
+    out = inject_drift(df, key, amount, d, seed, None, PROFILE_BATCH)
+    p = F.lit(FLAG_BASE) + F.lit(FLAG_SLOPE) * d
+    hit = (F.col(amount) > F.lit(FLAG_AMOUNT)) & (uniform(F.col(key), seed + 3) < p)
+    prev = F.col(flag).cast("boolean") if flag in df.columns else F.lit(False)
+    return out.withColumn(flag, F.coalesce(prev, F.lit(False)) | hit)

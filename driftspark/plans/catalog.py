@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.operators import detectors as D
-from driftspark.operators import compare, labels, policy, sampling, windows
+from driftspark.functions import expressions as X
+from driftspark.functions import hashing
+from driftspark.operators import compare, inject, labels, observe, policy, ranks, sampling, windows
 from driftspark.plans import monitor, report, retrain
-from driftspark.session import prepare
+from driftspark.session import prepare, scratch_path
+from driftspark.sources import io
 
 # Query parameters shared with the oracle SQL.
 EVENTS_NOW = "2024-01-31 00:00:00"
@@ -315,6 +318,215 @@ def q_logreg_f1(spark, sf):
     return log.select("label_strategy", "total_rows", "positives", "negatives", "model", r6("f1").alias("f1"))
 
 
+# --- S10/S11 injection and X1-X9 expressions ---------------------------------------
+
+INJECT_FACTOR = 0.5
+INJECT_SUBTLE = 0.05
+BATCH_FACTOR = 0.3
+
+
+def q_inject_drift(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    x = inject.inject_drift(o, "o_orderkey", "o_totalprice", INJECT_FACTOR, seed=42)
+    return x.select("o_orderkey", r6("o_totalprice").alias("amount"), "drifted")
+
+
+def q_inject_then_detect(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    ref = o.select(F.lit("ref").alias("role"), "o_totalprice")
+    rec = inject.inject_drift(o, "o_orderkey", "o_totalprice", INJECT_SUBTLE, seed=42) \
+        .select(F.lit("rec").alias("role"), "o_totalprice")
+    return _ks_out(D.ks_test(_long(ref.unionByName(rec), ["o_totalprice"], "double"), ["column_name"]))
+
+
+def q_inject_batch_profile(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    x = inject.inject_batch_profile(o, "o_orderkey", "o_totalprice", BATCH_FACTOR, seed=7)
+    return x.agg(F.count_if("drifted").alias("n_drifted"), F.count_if("is_suspicious").alias("n_flagged"),
+                 r6(F.sum("o_totalprice")).alias("sum_amount"))
+
+
+def q_enrich_fx(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    cur = X.currency_of(F.col("o_custkey"))
+    fee = F.round(F.col("o_totalprice") * hashing.uniform(F.col("o_orderkey"), 5) * F.lit(0.015), 2)
+    x = o.select("o_orderkey", cur.alias("currency"), fee.alias("fee"), "o_totalprice")
+    rate = X.fx_rate(F.col("currency"))
+    return x.select("o_orderkey", "currency", r6(rate).alias("fx"), r6("fee").alias("fee"),
+                    r6(X.converted_amount(F.col("o_totalprice"), F.col("fee"), rate)).alias("amount_usd"),
+                    X.flag01(F.col("o_totalprice") > 100000).alias("large"))
+
+
+def q_season_class(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy(X.season_class(F.col("o_orderdate")).alias("season")).agg(
+        F.count(F.lit(1)).alias("n_orders"), r6(F.sum("o_totalprice")).alias("sum_price"))
+
+
+def q_partition_values(spark, sf):
+    li = table(spark, sf, "lineitem")
+    d, h = X.partition_values(F.col("l_shipdate"))
+    return li.groupBy(d.alias("dt"), h.alias("hour")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_resource_parse(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value", "user_id")
+    sample = F.format_string("%.2f%%,%.2fMiB / %.3fGiB,%.2f%%", F.pmod("value", F.lit(100.0)), F.col("value"),
+                             (F.pmod("user_id", F.lit(4)) + 1).cast("double"),
+                             F.pmod("user_id", F.lit(100)).cast("double"))
+    p = ev.select("event_id", observe.parse_resource(sample).alias("r"))
+    return p.select("event_id", *[r6(f"r.{c}").alias(c) for c in
+                                  ("cpu_perc", "mem_used_mb", "mem_limit_mb", "mem_perc")])
+
+
+# --- S2/S3/S6-S9 sinks ----------------------------------------------------------------
+
+def q_sink_partitioned_roundtrip(spark, sf):
+    o = table(spark, sf, "orders").withColumn("year", F.date_format("o_orderdate", "yyyy"))
+    path = scratch_path(spark, "orders_by_year")
+    io.write_partitioned(o.select("o_orderkey", "o_totalprice", "year", "o_orderpriority"), path,
+                         ["year", "o_orderpriority"], mode="overwrite")
+    back = io.read_table(spark, path)
+    return back.groupBy(F.col("year").cast("long").alias("year"), "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n_orders"), r6(F.sum("o_totalprice")).alias("sum_price"))
+
+
+CSV_SCHEMA = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
+
+def q_csv_roundtrip(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    path = scratch_path(spark, "orders_csv")
+    io.write_csv(o, path)
+    return io.read_csv(spark, path, CSV_SCHEMA)
+
+
+def q_log_append_long(spark, sf):
+    o = table(spark, sf, "orders")
+    path = scratch_path(spark, "metrics_log")
+    first = o.groupBy(F.col("o_orderpriority").alias("scenario")).agg(
+        F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("n_orders"))
+    second = o.groupBy(F.col("o_orderpriority").alias("scenario")).agg(
+        F.avg("o_totalprice").alias("value")).withColumn("metric", F.lit("avg_price"))
+    io.append_log(first.select("scenario", "metric", "value"), path)
+    io.append_log(second.select("scenario", "metric", "value"), path)
+    back = io.read_table(spark, path, "scenario string, metric string, value double")
+    return back.select("scenario", "metric", r6("value").alias("value"))
+
+
+# --- P14-P16 text normalisation, U1/U2 set operations -----------------------------------
+
+def q_scenario_normalise(spark, sf):
+    d = compare.normalise_scenario(table(spark, sf, "documents").select("source"), "source")
+    return d.groupBy(F.col("source").alias("scenario")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def q_scenario_tag(spark, sf):
+    d = table(spark, sf, "documents").select("source")
+    return d.groupBy(observe.scenario_tag(F.col("source")).alias("tag")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def q_coerce_numeric(spark, sf):
+    ev = table(spark, sf, "events").select("props")
+    raw = observe.coerce_numeric(F.col("props"))
+    k = observe.coerce_numeric(F.get_json_object("props", "$.k"))
+    return ev.agg(F.count(raw).alias("n_raw_numeric"), F.count(k).alias("n_k_numeric"),
+                  r6(F.sum(k)).alias("sum_k"))
+
+
+def q_except_distinct(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"))
+    c = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING") \
+        .select(F.col("c_custkey").alias("custkey"))
+    return sampling.except_distinct(o, c)
+
+
+def q_union_widen(spark, sf):
+    a = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("scenario"), F.col("o_totalprice").alias("f1"))
+    b = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("scenario"), F.col("c_acctbal").alias("psi"))
+    return io.stack_by_name(a, b)
+
+
+# --- J5, O1-O7 observability -------------------------------------------------------------
+
+OBS_STEP = dt.timedelta(minutes=10)
+OBS_LEVEL = 60.0
+OBS_COOLDOWN = dt.timedelta(minutes=30)
+HOUR = dt.timedelta(hours=1)
+
+
+def _stage(c):
+    return (F.when(F.col(c).isin("view", "click"), F.lit("pre"))
+            .when(F.col(c).isin("purchase", "signup"), F.lit("post")))
+
+
+def _obs_cycles(spark, sf) -> DataFrame:
+    ev = table(spark, sf, "events").select("ts", "value")
+    idx = windows.pane_index(F.col("ts"), OBS_STEP) + 1
+    return (ev.groupBy(idx.alias("_e")).agg(F.avg("value").alias("avg_value"))
+              .select(F.lit("fraud").alias("model"),
+                      F.timestamp_seconds(F.col("_e") * int(OBS_STEP.total_seconds())).alias("cycle_end"),
+                      "avg_value", (F.col("avg_value") > OBS_LEVEL).alias("should_trigger")))
+
+
+def _obs_trailing(spark, sf) -> DataFrame:
+    cyc = _obs_cycles(spark, sf)
+    pol = policy.apply_policy(cyc, ["model"], "cycle_end", "should_trigger", OBS_STEP,
+                              cooldown=OBS_COOLDOWN, clear_streak=POLICY_CLEAR)
+    trig = observe.trailing(pol.withColumn("_a", F.col("attempted").cast("long")), ["model"], "cycle_end",
+                            OBS_STEP, HOUR, "_a", "sum", out="triggers_1h")
+    p95 = observe.trailing(cyc, ["model"], "cycle_end", OBS_STEP, HOUR, "avg_value", "percentile", 0.95,
+                           out="p95_value_1h")
+    return trig.join(p95, on=["model", "cycle_end"], how="left")
+
+
+def q_trailing_hour(spark, sf):
+    t = _obs_trailing(spark, sf)
+    return t.select("model", F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"),
+                    F.col("triggers_1h").cast("long").alias("triggers_1h"), r6("p95_value_1h").alias("p95_value_1h"))
+
+
+def q_max_triggers_hour(spark, sf):
+    t = _obs_trailing(spark, sf)
+    return t.groupBy("model").agg(F.max("triggers_1h").cast("long").alias("max_triggers_1h"))
+
+
+def q_first_detection(spark, sf):
+    cyc = _obs_cycles(spark, sf)
+    f = observe.first_detection(cyc, ["model"], "cycle_end", "should_trigger", OBS_STEP, OBS_STEP)
+    return f.select("model", F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"),
+                    F.col("first_detection").cast("timestamp_ntz").alias("first_detection"))
+
+
+def q_pivot_pre_post(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_type")
+    ev = ev.withColumn("day", F.to_date("ts")).withColumn("stage", _stage("event_type"))
+    p = observe.pre_post(ev, ["user_id", "day"], "stage", "ts")
+    return p.select("user_id", "day", "pre", "post", r6("duration_s").alias("duration_s"), "failed")
+
+
+def q_ttfd_ttr(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    gaps = observe.transitions(ev, ["user_id"], ["ts", "event_id"], "ts", "event_type", "view", "purchase")
+    gaps = gaps.select((F.col("gap_us") / 1e6).alias("gap_s"), F.lit(1).alias("_k"))
+    ttfd = ranks.exact_quantiles(gaps, ["_k"], "gap_s", [0.5], ["ttfd_median_s"])
+    pp = observe.pre_post(ev.withColumn("day", F.to_date("ts")).withColumn("stage", _stage("event_type")),
+                          ["user_id", "day"], "stage", "ts").where(F.col("duration_s").isNotNull())
+    pp = pp.select("duration_s", F.lit(1).alias("_k"))
+    ttr = ranks.exact_quantiles(pp, ["_k"], "duration_s", [0.5], ["ttr_median_s"])
+    rng = pp.groupBy("_k").agg(F.min("duration_s").alias("ttr_min_s"), F.max("duration_s").alias("ttr_max_s"))
+    out = ttfd.join(ttr.drop("n").withColumnRenamed("_k", "_k"), "_k").join(rng, "_k")
+    return out.select(F.col("n").alias("n_transitions"), r6("ttfd_median_s").alias("ttfd_median_s"),
+                      r6("ttr_median_s").alias("ttr_median_s"), r6("ttr_min_s").alias("ttr_min_s"),
+                      r6("ttr_max_s").alias("ttr_max_s"))
+
+
+def q_stage_stats(spark, sf):
+    ev = table(spark, sf, "events").select("event_type", "value")
+    s = observe.stage_stats(ev, ["event_type"], "value")
+    return s.select("event_type", "n", r6("mean").alias("mean"), r6("p95").alias("p95"), r6("max").alias("max"))
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -347,4 +559,25 @@ QUERIES = {
     "sample_hash_cap": q_sample_hash_cap,
     "split_half": q_split_half,
     "logreg_f1": q_logreg_f1,
+    "inject_drift": q_inject_drift,
+    "inject_then_detect": q_inject_then_detect,
+    "inject_batch_profile": q_inject_batch_profile,
+    "enrich_fx": q_enrich_fx,
+    "season_class": q_season_class,
+    "partition_values": q_partition_values,
+    "resource_parse": q_resource_parse,
+    "sink_partitioned_roundtrip": q_sink_partitioned_roundtrip,
+    "csv_roundtrip": q_csv_roundtrip,
+    "log_append_long": q_log_append_long,
+    "scenario_normalise": q_scenario_normalise,
+    "scenario_tag": q_scenario_tag,
+    "coerce_numeric": q_coerce_numeric,
+    "except_distinct": q_except_distinct,
+    "union_widen": q_union_widen,
+    "trailing_hour": q_trailing_hour,
+    "max_triggers_hour": q_max_triggers_hour,
+    "first_detection": q_first_detection,
+    "pivot_pre_post": q_pivot_pre_post,
+    "ttfd_ttr": q_ttfd_ttr,
+    "stage_stats": q_stage_stats,
 }

@@ -214,6 +214,74 @@ LINEITEM_RULE = """SELECT CASE WHEN l_discount >= 0.08e0 OR l_extendedprice >= (
     WHERE l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_quantity IS NOT NULL AND l_tax IS NOT NULL"""
 
 
+def _injected(factor: float, seed: int, lo: float = 1.5, hi: float = 4.0) -> str:
+    pick, size = uniform_sql("o_orderkey", seed), uniform_sql("o_orderkey", seed + 1)
+    return (f"CASE WHEN {pick} < {factor!r}e0 THEN o_totalprice * ({lo!r}e0 + {size} * {hi - lo!r}e0) "
+            f"ELSE o_totalprice END")
+
+
+def _obs_cycles_sql() -> str:
+    return """SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) + 1 AS i, avg(value) AS avg_value,
+                     avg(value) > 60.0e0 AS x FROM events GROUP BY 1"""
+
+
+def _policy_grid_sql(k: int = 3, n: int = 3, step: int = 600) -> str:
+    """Edge policy on the 10-minute cycles (recursive), returning i, att."""
+    can = f"(least(r.c + 1, {k}) >= {k})"
+    rising = "(g.x AND NOT r.alert)"
+    return f"""
+v AS ({_obs_cycles_sql()}),
+grid AS (SELECT g.i, coalesce(v.x, false) AS x
+         FROM (SELECT unnest(range(min(i), max(i) + 1)) AS i FROM v) g LEFT JOIN v USING (i)),
+r AS (SELECT min(i) - 1 AS i, false AS x, false AS att, false AS alert, 0 AS clr, {k} AS c FROM grid
+      UNION ALL
+      SELECT g.i, g.x, {rising} AND {can},
+             CASE WHEN {rising} THEN true WHEN g.x THEN r.alert WHEN r.alert AND r.clr + 1 >= {n} THEN false
+                  ELSE r.alert END,
+             CASE WHEN {rising} THEN 0 WHEN g.x THEN r.clr WHEN r.alert AND r.clr + 1 >= {n} THEN 0
+                  WHEN r.alert THEN r.clr + 1 ELSE 0 END,
+             CASE WHEN {rising} AND {can} THEN 0 ELSE least(r.c + 1, {k}) END
+      FROM r JOIN grid g ON g.i = r.i + 1),
+pol AS (SELECT i, att FROM r WHERE i >= (SELECT min(i) FROM grid))"""
+
+
+def _trailing_sql() -> str:
+    return f"""
+WITH RECURSIVE {_policy_grid_sql()},
+t AS (SELECT i, sum(CAST(att AS BIGINT)) OVER (ORDER BY i RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS triggers_1h
+      FROM pol),
+q AS (SELECT i, quantile_cont(avg_value, 0.95e0) OVER (ORDER BY i RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)
+             AS p95 FROM v)
+SELECT 'fraud' AS model, make_timestamp(t.i * 600 * 1000000) AS cycle_end, triggers_1h,
+       round(q.p95, 6) AS p95_value_1h
+FROM t LEFT JOIN q USING (i)"""
+
+
+STAGE = ("CASE WHEN event_type IN ('view', 'click') THEN 'pre' "
+         "WHEN event_type IN ('purchase', 'signup') THEN 'post' END")
+PRE_POST = f"""SELECT user_id, CAST(ts AS DATE) AS day, min(ts) FILTER (WHERE {STAGE} = 'pre') AS pre,
+    max(ts) FILTER (WHERE {STAGE} = 'post') AS post FROM events WHERE {STAGE} IS NOT NULL GROUP BY 1, 2"""
+
+
+def _resource_sql() -> str:
+    sample = ("printf('%.2f%%,%.2fMiB / %.3fGiB,%.2f%%', value % 100.0e0, value, "
+              "CAST(((user_id % 4) + 4) % 4 + 1 AS DOUBLE), CAST(((user_id % 100) + 100) % 100 AS DOUBLE))")
+    num = "CAST(regexp_extract({x}, '([0-9.]+)', 1) AS DOUBLE)"
+    return f"""
+WITH s AS (SELECT event_id, {sample} AS s FROM events)
+SELECT event_id,
+       round({num.format(x="split_part(s, ',', 1)")}, 6) AS cpu_perc,
+       round({num.format(x="split_part(split_part(s, ',', 2), '/', 1)")}, 6) AS mem_used_mb,
+       round({num.format(x="split_part(split_part(s, ',', 2), '/', 2)")} * 1024.0e0, 6) AS mem_limit_mb,
+       round({num.format(x="split_part(s, ',', 3)")}, 6) AS mem_perc
+FROM s"""
+
+
+def _long_pair(a: str, b: str, col: str) -> str:
+    return (f"SELECT 'ref' AS role, '{col}' AS column_name, CAST({a} AS DOUBLE) AS value FROM orders "
+            f"UNION ALL SELECT 'rec', '{col}', CAST({b} AS DOUBLE) FROM orders")
+
+
 ORACLES = {
     "window_role_counts": f"""SELECT role, count(*) AS n_rows, round(sum(value), 6) AS sum_value,
         count(DISTINCT user_id) AS n_users FROM ({EVENTS_PAIR}) p GROUP BY role""",
@@ -271,4 +339,63 @@ ORACLES = {
         ORDER BY {hash_int_sql('o_orderkey', 42)}, o_orderkey LIMIT 1000""",
     "split_half": f"""SELECT o_orderkey, CASE WHEN {uniform_sql('o_orderkey', 13)} < 0.5e0 THEN 'ref' ELSE 'rec' END
         AS role FROM orders""",
+    "inject_drift": f"""SELECT o_orderkey, round({_injected(0.5, 42)}, 6) AS amount,
+        {uniform_sql('o_orderkey', 42)} < 0.5e0 AS drifted FROM orders""",
+    "inject_then_detect": ks_sql(_long_pair("o_totalprice", _injected(0.05, 42), "o_totalprice")),
+    "inject_batch_profile": f"""WITH x AS (SELECT {uniform_sql('o_orderkey', 7)} < 0.3e0 AS drifted,
+        {_injected(0.3, 7, 1.5, 5.0)} AS amount, o_orderkey FROM orders)
+        SELECT count(*) FILTER (WHERE drifted) AS n_drifted,
+               count(*) FILTER (WHERE amount > 1000.0e0 AND {uniform_sql('o_orderkey', 10)} < 0.04e0) AS n_flagged,
+               round(sum(amount), 6) AS sum_amount FROM x""",
+    "enrich_fx": f"""WITH x AS (SELECT o_orderkey, o_totalprice,
+        ['USD', 'EUR', 'GBP', 'COP'][CAST(((o_custkey % 4) + 4) % 4 + 1 AS INTEGER)] AS currency,
+        round(o_totalprice * {uniform_sql('o_orderkey', 5)} * 0.015e0, 2) AS fee FROM orders),
+        y AS (SELECT *, CASE currency WHEN 'USD' THEN 1.0e0 WHEN 'EUR' THEN 1.08e0 WHEN 'GBP' THEN 1.27e0
+                                      WHEN 'COP' THEN 0.00026e0 ELSE 1.0e0 END AS fx FROM x)
+        SELECT o_orderkey, currency, round(fx, 6) AS fx, round(fee, 6) AS fee,
+               round(round((o_totalprice - fee) * fx, 2), 6) AS amount_usd,
+               CAST(o_totalprice > 100000 AS INTEGER) AS large FROM y""",
+    "season_class": """SELECT CASE WHEN day(o_orderdate) BETWEEN 5 AND 10 THEN 'days_5_10'
+        WHEN day(o_orderdate) BETWEEN 20 AND 25 THEN 'days_20_25' ELSE 'other' END AS season,
+        count(*) AS n_orders, round(sum(o_totalprice), 6) AS sum_price FROM orders GROUP BY 1""",
+    "partition_values": """SELECT strftime(l_shipdate, '%Y-%m-%d') AS dt, strftime(l_shipdate, '%H') AS hour,
+        count(*) AS n_rows FROM lineitem GROUP BY 1, 2""",
+    "resource_parse": _resource_sql(),
+    "sink_partitioned_roundtrip": """SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority,
+        count(*) AS n_orders, round(sum(o_totalprice), 6) AS sum_price FROM orders GROUP BY 1, 2""",
+    "csv_roundtrip": "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "log_append_long": """SELECT o_orderpriority AS scenario, 'n_orders' AS metric, round(CAST(count(*) AS DOUBLE), 6)
+        AS value FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, 'avg_price', round(avg(o_totalprice), 6)
+        FROM orders GROUP BY 1""",
+    "scenario_normalise": """SELECT CASE WHEN trim(coalesce(source, '')) = '' THEN 'default' ELSE coalesce(source, '')
+        END AS scenario, count(*) AS n_docs FROM documents GROUP BY 1""",
+    "scenario_tag": """SELECT CASE WHEN coalesce(regexp_replace(replace(lower(source), ' ', '_'), '[^a-z0-9._-]', '',
+        'g'), '') = '' THEN 'manual' ELSE regexp_replace(replace(lower(source), ' ', '_'), '[^a-z0-9._-]', '', 'g')
+        END AS tag, count(*) AS n_docs FROM documents GROUP BY 1""",
+    "coerce_numeric": """SELECT count(TRY_CAST(props AS DOUBLE)) AS n_raw_numeric,
+        count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS n_k_numeric,
+        round(sum(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS sum_k FROM events""",
+    "except_distinct": """SELECT o_custkey AS custkey FROM orders EXCEPT
+        SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'""",
+    "union_widen": """SELECT o_orderpriority AS scenario, o_totalprice AS f1 FROM orders
+        UNION ALL BY NAME SELECT c_mktsegment AS scenario, c_acctbal AS psi FROM customer""",
+    "trailing_hour": _trailing_sql(),
+    "max_triggers_hour": f"SELECT 'fraud' AS model, max(triggers_1h) AS max_triggers_1h FROM ({_trailing_sql()}) t",
+    "first_detection": f"""WITH v AS ({_obs_cycles_sql()})
+        SELECT 'fraud' AS model, make_timestamp(i * 600 * 1000000) AS cycle_end,
+               make_timestamp(min(CASE WHEN x THEN i END) OVER (ORDER BY i RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING)
+                              * 600 * 1000000) AS first_detection FROM v""",
+    "pivot_pre_post": f"""SELECT user_id, day, pre, post,
+        round((epoch_us(post) - epoch_us(pre)) / 1e6, 6) AS duration_s, pre IS NOT NULL AND post IS NULL AS failed
+        FROM ({PRE_POST}) p""",
+    "ttfd_ttr": f"""WITH l AS (SELECT ts, event_type, lag(event_type) OVER w AS pe, lag(ts) OVER w AS pt FROM events
+                WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        g AS (SELECT (epoch_us(ts) - epoch_us(pt)) / 1e6 AS gap FROM l WHERE pe = 'view' AND event_type = 'purchase'),
+        d AS (SELECT (epoch_us(post) - epoch_us(pre)) / 1e6 AS dur FROM ({PRE_POST}) p WHERE post IS NOT NULL
+              AND pre IS NOT NULL)
+        SELECT (SELECT count(*) FROM g) AS n_transitions, (SELECT round(quantile_cont(gap, 0.5), 6) FROM g)
+               AS ttfd_median_s, round(quantile_cont(dur, 0.5), 6) AS ttr_median_s, round(min(dur), 6) AS ttr_min_s,
+               round(max(dur), 6) AS ttr_max_s FROM d""",
+    "stage_stats": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
+        round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY 1""",
 }
