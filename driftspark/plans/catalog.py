@@ -23,6 +23,7 @@ from driftspark.operators import compare, inject, labels, observe, policy, ranks
 from driftspark.plans import monitor, report, retrain
 from driftspark.session import prepare, scratch_path
 from driftspark.sources import io
+from driftspark.streaming import watch as stream
 
 # Query parameters shared with the oracle SQL.
 EVENTS_NOW = "2024-01-31 00:00:00"
@@ -527,6 +528,45 @@ def q_stage_stats(spark, sf):
     return s.select("event_type", "n", r6("mean").alias("mean"), r6("p95").alias("p95"), r6("max").alias("max"))
 
 
+# --- T1-T7 streaming -------------------------------------------------------------------
+
+EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+STREAM_STEP = dt.timedelta(days=1)
+NO_DELAY = dt.timedelta(0)
+
+
+def q_stream_windows(spark, sf):
+    prepare(spark)
+    events = stream.file_stream(spark, sf, EVENTS_SCHEMA, glob="events.parquet", max_files=1)
+    panes = stream.pane_stream(events, "ts", STREAM_STEP, NO_DELAY, value="value")
+    out, ck = stream.new_paths(spark, "cycles")
+    wm = stream.run_cycle_sink(panes, out, STREAM_STEP, STREAM_STEP, ck)
+    # cycles are final once the watermark has passed their end
+    cyc = stream.read_cycles(spark, out)
+    if wm is not None:
+        cyc = cyc.where(F.col("cycle_end") <= F.lit(wm).cast("timestamp"))
+    return cyc.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "role",
+                      F.col("n_rows").cast("long").alias("n_rows"), r6("sum_value").alias("sum_value"))
+
+
+def q_stream_policy(spark, sf):
+    prepare(spark)
+    events = stream.file_stream(spark, sf, EVENTS_SCHEMA, glob="events.parquet", max_files=1)
+    panes = stream.pane_stream(events, "ts", POLICY_STEP, NO_DELAY, value="value")
+    verdicts = panes.select(F.lit("fraud").alias("model"),
+                            (F.col("pane_start") + F.expr("INTERVAL 1 HOUR")).alias("cycle_end"),
+                            (F.col("sum_value") / F.col("n") > POLICY_LEVEL).alias("should_trigger"))
+    vt, vck = stream.new_paths(spark, "verdicts")
+    stream.run_to_table(verdicts, vt, vck)
+    vstream = spark.readStream.schema("model string, cycle_end timestamp, should_trigger boolean").parquet(vt)
+    pol = stream.policy_stream(vstream, POLICY_STEP, POLICY_COOLDOWN, POLICY_CLEAR)
+    pt, pck = stream.new_paths(spark, "policy")
+    stream.run_to_table(pol, pt, pck)
+    out = spark.read.schema(stream.POLICY_OUT).parquet(pt)
+    return out.select("model", F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "should_trigger",
+                      "attempted", "suppressed", "alert", "clear_streak", "trigger_count")
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -580,4 +620,6 @@ QUERIES = {
     "pivot_pre_post": q_pivot_pre_post,
     "ttfd_ttr": q_ttfd_ttr,
     "stage_stats": q_stage_stats,
+    "stream_windows": q_stream_windows,
+    "stream_policy": q_stream_policy,
 }

@@ -396,6 +396,13 @@ ORACLES = {
         SELECT (SELECT count(*) FROM g) AS n_transitions, (SELECT round(quantile_cont(gap, 0.5), 6) FROM g)
                AS ttfd_median_s, round(quantile_cont(dur, 0.5), 6) AS ttr_median_s, round(min(dur), 6) AS ttr_min_s,
                round(max(dur), 6) AS ttr_max_s FROM d""",
+    "stream_windows": """WITH p AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS pane, count(*) AS n,
+        sum(value) AS v FROM events GROUP BY 1),
+        c AS (SELECT pane + 1 AS e, 'rec' AS role, n, v FROM p UNION ALL SELECT pane + 2, 'ref', n, v FROM p)
+        SELECT make_timestamp(e * 86400 * 1000000) AS cycle_end, role, CAST(sum(n) AS BIGINT) AS n_rows,
+               round(sum(v), 6) AS sum_value FROM c
+        WHERE make_timestamp(e * 86400 * 1000000) <= (SELECT max(ts) FROM events) GROUP BY 1, 2""",
+    "stream_policy": f"""SELECT * FROM ({_policy_sql('edge')}) x WHERE cycle_end <= (SELECT max(ts) FROM events)""",
     "stage_stats": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
         round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY 1""",
 }
