@@ -75,7 +75,8 @@ def mann_whitney(long: DataFrame, pairs: DataFrame, scenario: str, metrics: Sequ
         F.sum(F.col("n_a") * (F.col("cum_n_b") - F.lit(0.5) * F.col("n_b"))).alias("u_stat"),
         F.sum(t * t * t - t).alias("_ties"),
     )
-    grid = pairs.crossJoin(F.broadcast(_metric_table(long.sparkSession, metrics)))
+    # every (pair, metric) keeps a row even without values (J4): the metric list is fixed at plan time
+    grid = pairs.select("*", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
     g = grid.join(g, on=["metric", "A", "B"], how="left")
     nA, nB = F.col("nA").cast("double"), F.col("nB").cast("double")
     n = nA + nB
@@ -94,9 +95,10 @@ def mann_whitney(long: DataFrame, pairs: DataFrame, scenario: str, metrics: Sequ
                     "u_stat", p.alias("pvalue"), delta.alias("cliffs_delta"))
 
 
-def _metric_table(spark, metrics: Sequence[str]) -> DataFrame:
-    # a handful of metric names chosen at plan time
-    return spark.createDataFrame([(m, i) for i, m in enumerate(metrics)], "metric string, metric_ord int")
+def metric_ord(metrics: Sequence[str], col: str = "metric") -> F.Column:
+    """Position of the metric in the plan-time metric list."""
+    m = F.create_map(*[x for i, name in enumerate(metrics) for x in (F.lit(name), F.lit(i))])
+    return m[F.col(col)]
 
 
 def cliff_magnitude(delta: F.Column) -> F.Column:

@@ -1,8 +1,8 @@
 """Label derivation and class statistics.
 
-The label strategy is decided inside the plan: one single-row aggregate (both class
-counts of the existing label, the 95th percentile of the amount) is broadcast to every
-row, so there is no driver round trip and the choice is exact for the whole table.
+The label strategy is decided inside the plan: the class counts of the existing label
+and the 95th percentile of the amount are scalar subqueries (``DataFrame.scalar``),
+so there is no driver round trip and the choice is exact for the whole table.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ def amount_p95(df: DataFrame, amount: str, method: str = "approx",
     if method == "approx":
         one = df.agg(F.percentile_approx(amount, q).cast("double").alias("_p95"))
     elif method == "exact":
-        one = ranks.exact_quantiles(df.withColumn("_k", F.lit(1)), ["_k"], amount, [q], ["_p95"]).select("_p95")
-        one = df.sparkSession.range(1).join(one, how="left").select("_p95")  # keep one row when empty
+        q1 = ranks.exact_quantiles(df.withColumn("_k", F.lit(1)), ["_k"], amount, [q], ["_p95"])
+        one = df.sparkSession.range(1).select(q1.select("_p95").scalar().alias("_p95"))
     else:
         raise ValueError(method)
     return one.select(F.coalesce(F.col("_p95"), F.lit(P95_MISSING)).alias("_p95"))
@@ -58,8 +58,7 @@ def ensure_label(df: DataFrame, features: Sequence[str] = FEATURE_CANDIDATES,
     if risk in cols:
         rule = rule | (F.col(risk) >= F.lit(risk_cut))
     if amount in cols:
-        base = base.crossJoin(F.broadcast(amount_p95(df, amount, p95_method)))  # one row
-        rule = rule | (F.col(amount) >= F.col("_p95"))
+        rule = rule | (F.col(amount) >= amount_p95(df, amount, p95_method).scalar())
     rule_label = F.when(rule, F.lit(1)).otherwise(F.lit(0))
     if existing_label not in cols:
         out = base.select(*keep, *feats, rule_label.alias("label")).dropna(subset=[*feats, "label"])
@@ -68,8 +67,8 @@ def ensure_label(df: DataFrame, features: Sequence[str] = FEATURE_CANDIDATES,
     complete = df.select(*feats, ex.alias("_y")).dropna()
     classes = complete.agg(F.count_if(F.col("_y") == 1).alias("_pos"),
                            F.count_if(F.col("_y") == 0).alias("_neg"))
-    use_existing = (F.col("_pos") > 0) & (F.col("_neg") > 0)
-    both = base.select(*keep, *feats, ex.alias("_y"), rule_label.alias("_rule")).crossJoin(F.broadcast(classes))
+    use_existing = classes.select(((F.col("_pos") > 0) & (F.col("_neg") > 0)).alias("_use")).scalar()
+    both = base.select(*keep, *feats, ex.alias("_y"), rule_label.alias("_rule"))
     both = both.where(~use_existing | F.col("_y").isNotNull())
     return both.select(
         *keep, *feats,
@@ -88,9 +87,8 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """L2: balanced weight n / (2 n_c) per class (as the 'balanced' class weight)."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    tot = df.agg(F.count(F.lit(1)).alias("n_total"))
-    return per.crossJoin(F.broadcast(tot)).select(
-        label, "n_class", (F.col("n_total") / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
+    tot = df.agg(F.count(F.lit(1)).alias("n_total")).scalar()
+    return per.select(label, "n_class", (tot / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
 
 
 def with_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from driftspark.operators import detectors as D
 from driftspark.functions import expressions as X
 from driftspark.functions import hashing
-from driftspark.operators import compare, inject, labels, observe, policy, ranks, sampling, windows
+from driftspark.operators import compare, extras, inject, labels, observe, policy, ranks, sampling, windows
 from driftspark.plans import monitor, report, retrain
 from driftspark.session import prepare, scratch_path
 from driftspark.sources import io
@@ -267,9 +267,9 @@ def _lineitem_labeled(spark, sf, keep=()):
 def q_label_existing(spark, sf):
     lab = labels.ensure_label(table(spark, sf, "labels"), ["toxic"], existing_label="quality",
                               risk="_none", amount="_none")
-    cc = labels.class_counts(lab)
-    return cc.crossJoin(lab.groupBy("label_strategy").agg(F.count(F.lit(1)).alias("_n")).select("label_strategy")) \
-             .select("label_strategy", "total_rows", "positives", "negatives")
+    return lab.groupBy("label_strategy").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("label") == 1).alias("positives"),
+        F.count_if(F.col("label") == 0).alias("negatives"))
 
 
 def q_label_rule_p95(spark, sf):
@@ -279,9 +279,8 @@ def q_label_rule_p95(spark, sf):
 
 def q_p95_approx_bound(spark, sf):
     li = table(spark, sf, "lineitem").select("l_extendedprice").where(F.col("l_extendedprice").isNotNull())
-    approx = labels.amount_p95(li, "l_extendedprice", "approx").withColumnRenamed("_p95", "_a")
-    share = li.crossJoin(F.broadcast(approx)).agg(
-        F.avg((F.col("l_extendedprice") <= F.col("_a")).cast("double")).alias("_f"))
+    approx = labels.amount_p95(li, "l_extendedprice", "approx").scalar()
+    share = li.agg(F.avg((F.col("l_extendedprice") <= approx).cast("double")).alias("_f"))
     return share.select((F.abs(F.col("_f") - 0.95) <= 0.01).alias("within_bound"))
 
 
@@ -567,6 +566,164 @@ def q_stream_policy(spark, sf):
                       "attempted", "suppressed", "alert", "clear_streak", "trigger_count")
 
 
+# --- T2 replay of the loop over daily cycles; Y1-Y16 second tier ----------------------
+
+DAY = dt.timedelta(days=1)
+SWEEP_ALPHAS = (0.05, 0.01, 0.001)
+SWEEP_TAUS = (0.1, 0.2, 0.3)
+
+
+def _daily(spark, sf):
+    ev = table(spark, sf, "events").select("ts", "value", "event_type")
+    return monitor.cycle_tests(ev, "ts", DAY, DAY, monitor.MonitorConfig(score_col="value"))
+
+
+def q_cycle_tests_daily(spark, sf):
+    t = _daily(spark, sf)["tests"]
+    return t.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "column_name", "test",
+                    "n_ref", "n_rec", r6("stat").alias("stat"), r6("p_value").alias("p_value"))
+
+
+def q_cycle_verdict_daily(spark, sf):
+    v = _daily(spark, sf)["verdict"]
+    return v.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "drift_any",
+                    r6("p_min").alias("p_min"), r6("reject_share").alias("reject_share"),
+                    F.col("n_tests").cast("long").alias("n_tests"), r6("psi").alias("psi"), "should_trigger")
+
+
+def _cycle_summary(spark, sf):
+    fr = _daily(spark, sf)
+    per = fr["tests"].groupBy("cycle_end").agg(
+        F.min("p_value").alias("p_min"), F.min(F.when(F.col("test") == "ks", F.col("p_value"))).alias("p_ks"))
+    return per.join(fr["psi"].select("cycle_end", "psi"), "cycle_end", "left")
+
+
+def q_threshold_sweep(spark, sf):
+    c = _cycle_summary(spark, sf)
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(t).alias("tau"))
+                               for a in SWEEP_ALPHAS for t in SWEEP_TAUS])).alias("g")
+    x = c.select("*", grid).select("p_min", "psi", "g.alpha", "g.tau")
+    alert = (F.col("p_min") < F.col("alpha")) | (F.coalesce(F.col("psi"), F.lit(0.0)) > F.col("tau"))
+    return x.groupBy("alpha", "tau").agg(F.count(F.lit(1)).alias("n_cycles"),
+                                         r6(F.avg(alert.cast("double"))).alias("alert_rate"))
+
+
+def q_ablation(spark, sf):
+    c = _cycle_summary(spark, sf)
+    psi_hit = F.coalesce(F.col("psi"), F.lit(0.0)) > D.PSI_ALERT
+    variants = F.explode(F.array(
+        F.struct(F.lit("full").alias("variant"), ((F.col("p_min") < D.ALPHA) | psi_hit).alias("alert")),
+        F.struct(F.lit("no_psi").alias("variant"), (F.col("p_min") < D.ALPHA).alias("alert")),
+        F.struct(F.lit("no_chi2").alias("variant"), ((F.col("p_ks") < D.ALPHA) | psi_hit).alias("alert")),
+    )).alias("v")
+    x = c.select(variants).select("v.variant", "v.alert")
+    return x.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cycles"),
+                                    r6(F.avg(F.col("alert").cast("double"))).alias("alert_rate"))
+
+
+def q_holm(spark, sf):
+    mw, _, _ = _mw(spark, sf)
+    out = compare.holm_adjust(mw.withColumn("metric_ord", F.lit(0)))
+    return out.select("metric", "A", "B", r6("pvalue").alias("pvalue"), r6("pvalue_holm").alias("pvalue_holm"))
+
+
+def q_cramers_v(spark, sf):
+    ch = D.chi2_test(_long(_events_pair(spark, sf), ["event_type"], "string"), ["column_name"])
+    ch2 = D.chi2_test(_long(_lineitem_pair(spark, sf), list(LINEITEM_FLAGS), "string"), ["column_name"])
+    both = ch.unionByName(ch2)
+    n = F.col("n_ref") + F.col("n_rec")
+    return both.select("column_name", r6("cramers_v").alias("cramers_v"),
+                       r6(F.sqrt(F.col("cramers_v") * F.col("cramers_v") * n / (n * (F.col("n_categories") - 1))))
+                       .alias("cramers_v_text"))
+
+
+def q_dkw(spark, sf):
+    ks = D.ks_test(_long(_lineitem_pair(spark, sf), list(LINEITEM_MEASURES), "double"), ["column_name"])
+    d = D.dkw_band(ks, 0.05)
+    return d.select("column_name", r6("ks_d").alias("ks_d"), r6("dkw_eps").alias("dkw_eps"), "dkw_exceeds")
+
+
+def q_wilson(spark, sf):
+    pol = _policy(spark, sf, mode="edge")
+    g = pol.agg(F.count(F.lit(1)).alias("n_cycles"), F.count_if("attempted").alias("n_triggers"),
+                F.count_if("should_trigger").alias("n_drift"))
+    lo, hi = extras.wilson(F.col("n_drift"), F.col("n_cycles"))
+    return g.select("n_cycles", "n_triggers", "n_drift", r6(F.col("n_drift") / F.col("n_cycles")).alias("rate"),
+                    r6(lo).alias("rate_lo"), r6(hi).alias("rate_hi"))
+
+
+def q_cohens_d(spark, sf):
+    runs = _orders_runs(spark, sf)
+    order = compare.scenario_order(runs, SCENARIO_COL, ORDINAL_COL)
+    pairs = compare.scenario_pairs(order, SCENARIO_COL)
+    long = compare.to_long_metrics(runs, SCENARIO_COL, METRIC_COLS)
+    return extras.cohens_d(long, pairs, SCENARIO_COL).select("metric", "A", "B", r6("cohens_d").alias("cohens_d"))
+
+
+def q_auc(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_discount", (F.col("l_returnflag") == "R").alias("y"))
+    a = extras.auc_delong(li.withColumn("_k", F.lit(1)), ["_k"], "l_discount", "y")
+    return a.select("n_pos", "n_neg", r6("auc").alias("auc"), r6("auc_se").alias("auc_se"),
+                    r6("auc_lo").alias("auc_lo"), r6("auc_hi").alias("auc_hi"))
+
+
+def q_kl(spark, sf):
+    p = D.psi(_long(_events_pair(spark, sf), ["value"], "double"), ["column_name"])
+    return p.select("column_name", r6("psi").alias("psi"), r6("kl_ref_rec").alias("kl_ref_rec"),
+                    r6("kl_rec_ref").alias("kl_rec_ref"))
+
+
+def q_psi_band(spark, sf):
+    p = D.psi(_long(_lineitem_pair(spark, sf), list(LINEITEM_MEASURES), "double"), ["column_name"])
+    return p.select("column_name", r6("psi").alias("psi"), extras.psi_band(F.col("psi")).alias("band"),
+                    extras.psi_band(F.col("psi"), extras.PSI_BANDS_B).alias("alert_band"))
+
+
+def q_precision_recall(spark, sf):
+    li = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"),
+                                             (F.col("l_discount") >= 0.05).cast("int").alias("p"))
+    return extras.per_class_scores(li, "y", "p").select(
+        "class", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"), "support")
+
+
+BOOT_B = 1000
+
+
+def _boot(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", SCENARIO_COL, "o_totalprice")
+    return extras.bootstrap_means(o, [SCENARIO_COL], "o_orderkey", "o_totalprice", BOOT_B)
+
+
+def q_bootstrap_ci(spark, sf):
+    ci = extras.percentile_ci(_boot(spark, sf), [SCENARIO_COL], "mean")
+    return ci.select(SCENARIO_COL, "n_reps", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+NONINF_MARGIN = 0.02
+
+
+def q_noninferiority(spark, sf):
+    reps = _boot(spark, sf)
+    order = compare.scenario_order(_orders_runs(spark, sf), SCENARIO_COL, ORDINAL_COL)
+    pairs = compare.scenario_pairs(order, SCENARIO_COL)
+    a = reps.select(F.col(SCENARIO_COL).alias("A"), "rep", F.col("mean").alias("ma"))
+    b = reps.select(F.col(SCENARIO_COL).alias("B"), "rep", F.col("mean").alias("mb"))
+    d = (pairs.join(a, "A").join(b, ["B", "rep"])
+         .select("A", "B", "rep", ((F.col("ma") - F.col("mb")) / F.col("mb")).alias("rel_diff")))
+    ci = extras.percentile_ci(d, ["A", "B"], "rel_diff")
+    return ci.select("A", "B", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"),
+                     (F.col("ci_lo") > -NONINF_MARGIN).alias("noninferior"))
+
+
+def q_wilcoxon(spark, sf):
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("items"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    d = o.join(li, o.o_orderkey == li.l_orderkey).select((F.col("o_totalprice") - F.col("items")).alias("d"),
+                                                          F.lit(1).alias("_k"))
+    w = extras.signed_rank(d, ["_k"], "d")
+    return w.select("n", r6("w_plus").alias("w_plus"), r6("pvalue").alias("pvalue"))
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -622,4 +779,20 @@ QUERIES = {
     "stage_stats": q_stage_stats,
     "stream_windows": q_stream_windows,
     "stream_policy": q_stream_policy,
+    "cycle_tests_daily": q_cycle_tests_daily,
+    "cycle_verdict_daily": q_cycle_verdict_daily,
+    "threshold_sweep": q_threshold_sweep,
+    "ablation": q_ablation,
+    "holm": q_holm,
+    "cramers_v": q_cramers_v,
+    "dkw": q_dkw,
+    "wilson": q_wilson,
+    "cohens_d": q_cohens_d,
+    "auc": q_auc,
+    "kl": q_kl,
+    "psi_band": q_psi_band,
+    "precision_recall": q_precision_recall,
+    "bootstrap_ci": q_bootstrap_ci,
+    "noninferiority": q_noninferiority,
+    "wilcoxon": q_wilcoxon,
 }

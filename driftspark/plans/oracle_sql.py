@@ -16,6 +16,7 @@ D = pv.DUCKDB
 
 EVENTS_PAIR = ("SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-24 00:00:00' THEN 'rec' ELSE 'ref' END AS role "
                "FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'")
+LI_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_PAIR = ("SELECT *, CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' THEN 'rec' ELSE 'ref' END "
                  "AS role FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00'")
 LABELS_HALF = (f"SELECT *, CASE WHEN {uniform_sql('doc_id', 13)} < 0.5e0 THEN 'ref' ELSE 'rec' END AS role "
@@ -28,49 +29,61 @@ def long_sql(src: str, cols, vtype: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def ks_sql(long: str) -> str:
+def _k(keys, prefix=""):
+    return ", ".join(f"{prefix}{k}" for k in keys)
+
+
+def ks_sql(long: str, keys=("column_name",)) -> str:
+    kk = _k(keys)
     lam = "((sqrt(n_ref * n_rec / (n_ref + n_rec)) + 0.12e0 + 0.11e0 / sqrt(n_ref * n_rec / (n_ref + n_rec))) * ks_d)"
     return f"""
 WITH long AS ({long}),
-c AS (SELECT column_name, value, count(*) FILTER (WHERE role = 'ref') AS a,
-             count(*) FILTER (WHERE role = 'rec') AS b FROM long GROUP BY 1, 2),
-cum AS (SELECT column_name, value,
-               sum(a) OVER (PARTITION BY column_name ORDER BY value ROWS UNBOUNDED PRECEDING) AS ca,
-               sum(b) OVER (PARTITION BY column_name ORDER BY value ROWS UNBOUNDED PRECEDING) AS cb,
-               sum(a) OVER (PARTITION BY column_name) AS na, sum(b) OVER (PARTITION BY column_name) AS nb
+c AS (SELECT {kk}, value, count(*) FILTER (WHERE role = 'ref') AS a,
+             count(*) FILTER (WHERE role = 'rec') AS b FROM long GROUP BY ALL),
+cum AS (SELECT {kk}, value,
+               sum(a) OVER (PARTITION BY {kk} ORDER BY value ROWS UNBOUNDED PRECEDING) AS ca,
+               sum(b) OVER (PARTITION BY {kk} ORDER BY value ROWS UNBOUNDED PRECEDING) AS cb,
+               sum(a) OVER (PARTITION BY {kk}) AS na, sum(b) OVER (PARTITION BY {kk}) AS nb
         FROM c),
-g AS (SELECT column_name, CAST(max(na) AS DOUBLE) AS n_ref, CAST(max(nb) AS DOUBLE) AS n_rec,
-             max(abs(ca / na - cb / nb)) AS ks_d FROM cum GROUP BY 1)
-SELECT column_name, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_rec AS BIGINT) AS n_rec,
+g AS (SELECT {kk}, CAST(max(na) AS DOUBLE) AS n_ref, CAST(max(nb) AS DOUBLE) AS n_rec,
+             max(abs(ca / nullif(na, 0) - cb / nullif(nb, 0))) AS ks_d FROM cum GROUP BY ALL)
+SELECT {kk}, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_rec AS BIGINT) AS n_rec,
        round(ks_d, 6) AS ks_d,
-       round(CASE WHEN n_ref < 20 OR n_rec < 20 THEN 1.0e0 ELSE {pv.kolmogorov_sf_sql(lam, D)} END, 6) AS ks_p
+       round(CASE WHEN n_ref < 20 OR n_rec < 20 THEN 1.0e0 ELSE {pv.kolmogorov_sf_sql(lam, D)} END, 6) AS ks_p,
+       ks_d AS ks_d_raw,
+       CASE WHEN n_ref < 20 OR n_rec < 20 THEN 1.0e0 ELSE {pv.kolmogorov_sf_sql(lam, D)} END AS ks_p_raw
 FROM g"""
 
 
-def chi2_sql(long: str, min_n: int = 20) -> str:
+def chi2_sql(long: str, min_n: int = 20, keys=("column_name",)) -> str:
+    kk = _k(keys)
     def cell(o, e):
         return (f"CASE WHEN k = 2 THEN power(abs({o} - {e}) - least(0.5e0, abs({o} - {e})), 2) / {e} "
                 f"ELSE power({o} - {e}, 2) / {e} END")
     return f"""
 WITH long AS ({long}),
-cc AS (SELECT column_name, value, count(*) FILTER (WHERE role = 'ref') AS a,
-              count(*) FILTER (WHERE role = 'rec') AS b FROM long GROUP BY 1, 2),
-t AS (SELECT column_name, count(*) AS k, CAST(sum(a) AS DOUBLE) AS na, CAST(sum(b) AS DOUBLE) AS nb
-      FROM cc GROUP BY 1),
-e AS (SELECT cc.column_name, t.k, t.na, t.nb, CAST(cc.a AS DOUBLE) AS a, CAST(cc.b AS DOUBLE) AS b,
+cc AS (SELECT {kk}, value, count(*) FILTER (WHERE role = 'ref') AS a,
+              count(*) FILTER (WHERE role = 'rec') AS b FROM long GROUP BY ALL),
+t AS (SELECT {kk}, count(*) AS k, CAST(sum(a) AS DOUBLE) AS na, CAST(sum(b) AS DOUBLE) AS nb
+      FROM cc GROUP BY ALL),
+e AS (SELECT {_k(keys, 'cc.')}, t.k, t.na, t.nb, CAST(cc.a AS DOUBLE) AS a, CAST(cc.b AS DOUBLE) AS b,
              (cc.a + cc.b) * t.na / (t.na + t.nb) AS ea, (cc.a + cc.b) * t.nb / (t.na + t.nb) AS eb
-      FROM cc JOIN t USING (column_name)),
-s AS (SELECT column_name, max(k) AS k, max(na) AS na, max(nb) AS nb,
-             sum({cell('a', 'ea')} + {cell('b', 'eb')}) AS stat FROM e GROUP BY 1),
+      FROM cc JOIN t USING ({kk})),
+s AS (SELECT {kk}, max(k) AS k, max(na) AS na, max(nb) AS nb,
+             sum({cell('a', 'ea')} + {cell('b', 'eb')}) AS stat FROM e GROUP BY ALL),
 g AS (SELECT *, (na < {min_n} OR nb < {min_n} OR k < 2) AS small, CAST(k - 1 AS BIGINT) AS dof FROM s)
-SELECT column_name, CAST(k AS BIGINT) AS n_categories, CAST(na AS BIGINT) AS n_ref, CAST(nb AS BIGINT) AS n_rec,
+SELECT {kk}, CAST(k AS BIGINT) AS n_categories, CAST(na AS BIGINT) AS n_ref, CAST(nb AS BIGINT) AS n_rec,
        round(CASE WHEN small THEN NULL ELSE stat END, 6) AS chi2, dof,
        round(CASE WHEN small THEN 1.0e0 ELSE {pv.chi2_sf_sql('stat', 'dof', D)} END, 6) AS chi2_p,
-       round(sqrt(stat / (na + nb)), 6) AS cramers_v
+       round(sqrt(stat / (na + nb)), 6) AS cramers_v,
+       round(sqrt(stat / ((na + nb) * (k - 1))), 6) AS cramers_v_text,
+       CASE WHEN small THEN 1.0e0 ELSE {pv.chi2_sf_sql('stat', 'dof', D)} END AS chi2_p_raw
 FROM g"""
 
 
-def psi_sql(long: str, extend: bool = False, bins: int = 10, eps: float = 1e-6, min_n: int = 50) -> str:
+def psi_sql(long: str, extend: bool = False, bins: int = 10, eps: float = 1e-6, min_n: int = 50,
+            keys=("column_name",)) -> str:
+    kk = _k(keys)
     probs = ", ".join(f"{i / bins!r}e0" for i in range(bins + 1))
     edges = (f"CASE WHEN len(u) < 3 THEN list_concat(list_transform(range(0, {bins}), "
              f"lambda i: lo + (hi - lo) / {float(bins)!r}e0 * i), [hi]) ELSE u END")
@@ -79,28 +92,44 @@ def psi_sql(long: str, extend: bool = False, bins: int = 10, eps: float = 1e-6,
                  f"[CAST('inf' AS DOUBLE)])")
     return f"""
 WITH long AS ({long}),
-q AS (SELECT column_name, quantile_cont(value, [{probs}]) AS qs FROM long WHERE role = 'ref' GROUP BY 1),
-u AS (SELECT column_name, list_sort(list_distinct(qs)) AS u, qs[1] AS lo, qs[{bins + 1}] AS hi FROM q),
-e AS (SELECT column_name, {edges} AS edges FROM u),
-b AS (SELECT l.column_name, l.role,
+q AS (SELECT {kk}, quantile_cont(value, [{probs}]) AS qs FROM long WHERE role = 'ref' GROUP BY ALL),
+u AS (SELECT {kk}, list_sort(list_distinct(qs)) AS u, qs[1] AS lo, qs[{bins + 1}] AS hi FROM q),
+e AS (SELECT {kk}, {edges} AS edges FROM u),
+b AS (SELECT {_k(keys, 'l.')}, l.role,
              CASE WHEN l.value = e.edges[len(e.edges)] THEN len(e.edges) - 2
                   ELSE len(list_filter(e.edges, lambda x: x <= l.value)) - 1 END AS bin
-      FROM long l JOIN e USING (column_name)
+      FROM long l JOIN e USING ({kk})
       WHERE l.value >= e.edges[1] AND l.value <= e.edges[len(e.edges)]),
-h AS (SELECT column_name, bin, count(*) FILTER (WHERE role = 'ref') AS hr,
-             count(*) FILTER (WHERE role = 'rec') AS hc FROM b GROUP BY 1, 2),
-grid AS (SELECT column_name, unnest(range(0, len(edges) - 1)) AS bin FROM e),
-f AS (SELECT g.column_name, g.bin, coalesce(h.hr, 0) AS hr, coalesce(h.hc, 0) AS hc
-      FROM grid g LEFT JOIN h USING (column_name, bin)),
-p AS (SELECT column_name,
-             greatest(hr / greatest(sum(hr) OVER (PARTITION BY column_name), 1), {eps!r}) AS r,
-             greatest(hc / greatest(sum(hc) OVER (PARTITION BY column_name), 1), {eps!r}) AS c FROM f),
-s AS (SELECT column_name, sum((r - c) * ln(r / c)) AS psi FROM p GROUP BY 1),
-n AS (SELECT column_name, count(*) FILTER (WHERE role = 'ref') AS n_ref,
-             count(*) FILTER (WHERE role = 'rec') AS n_rec FROM long GROUP BY 1)
-SELECT n.column_name, n_ref, n_rec,
-       round(CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN 0.0e0 ELSE psi END, 6) AS psi
-FROM n LEFT JOIN s USING (column_name)"""
+h AS (SELECT {kk}, bin, count(*) FILTER (WHERE role = 'ref') AS hr,
+             count(*) FILTER (WHERE role = 'rec') AS hc FROM b GROUP BY ALL),
+grid AS (SELECT {kk}, unnest(range(0, len(edges) - 1)) AS bin FROM e),
+f AS (SELECT {_k(keys, 'g.')}, g.bin, coalesce(h.hr, 0) AS hr, coalesce(h.hc, 0) AS hc
+      FROM grid g LEFT JOIN h USING ({kk}, bin)),
+p AS (SELECT {kk},
+             greatest(hr / greatest(sum(hr) OVER (PARTITION BY {kk}), 1), {eps!r}) AS r,
+             greatest(hc / greatest(sum(hc) OVER (PARTITION BY {kk}), 1), {eps!r}) AS c FROM f),
+s AS (SELECT {kk}, sum((r - c) * ln(r / c)) AS psi, sum(r * ln(r / c)) AS kl_rc, sum(c * ln(c / r)) AS kl_cr
+      FROM p GROUP BY ALL),
+n AS (SELECT {kk}, count(*) FILTER (WHERE role = 'ref') AS n_ref,
+             count(*) FILTER (WHERE role = 'rec') AS n_rec FROM long GROUP BY ALL)
+SELECT {_k(keys, 'n.')}, n_ref, n_rec,
+       round(CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN 0.0e0 ELSE psi END, 6) AS psi,
+       round(CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN NULL ELSE kl_rc END, 6) AS kl_ref_rec,
+       round(CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN NULL ELSE kl_cr END, 6) AS kl_rec_ref,
+       CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN 0.0e0 ELSE psi END AS psi_raw
+FROM n LEFT JOIN s USING ({kk})"""
+
+
+def ks_cols(sql: str, cols: str = "column_name, n_ref, n_rec, ks_d, ks_p") -> str:
+    return f"SELECT {cols} FROM ({sql}) z"
+
+
+def chi_cols(sql: str) -> str:
+    return ks_cols(sql, "column_name, n_categories, n_ref, n_rec, chi2, dof, chi2_p, cramers_v")
+
+
+def psi_cols(sql: str) -> str:
+    return ks_cols(sql, "column_name, n_ref, n_rec, psi")
 
 
 def _verdict_sql() -> str:
@@ -113,8 +142,8 @@ WITH ks AS ({ks}), ch AS ({ch}), ps AS ({ps}),
 p AS (SELECT ks_p AS p FROM ks UNION ALL SELECT chi2_p AS p FROM ch)
 SELECT bool_or(p < 0.01) AS drift_any, round(min(p), 6) AS p_min,
        round(avg(CASE WHEN p < 0.01 THEN 1.0e0 ELSE 0.0e0 END), 6) AS reject_share,
-       CAST(count(*) AS BIGINT) AS n_tests, (SELECT round(psi, 6) FROM ps) AS psi,
-       bool_or(p < 0.01) OR (SELECT psi FROM ps) > 0.2 AS should_trigger
+       CAST(count(*) AS BIGINT) AS n_tests, (SELECT round(psi_raw, 6) FROM ps) AS psi,
+       bool_or(p < 0.01) OR (SELECT psi_raw FROM ps) > 0.2 AS should_trigger
 FROM p"""
 
 
@@ -282,20 +311,54 @@ def _long_pair(a: str, b: str, col: str) -> str:
             f"UNION ALL SELECT 'rec', '{col}', CAST({b} AS DOUBLE) FROM orders")
 
 
+CYCLE_FAN = ("SELECT make_timestamp((CAST(floor(epoch(ts) / 86400) AS BIGINT) + o) * 86400 * 1000000) AS cycle_end, "
+             "CASE WHEN o = 1 THEN 'rec' ELSE 'ref' END AS role, value, event_type "
+             "FROM events, (VALUES (1), (2)) t(o)")
+CK = ("cycle_end", "column_name")
+
+
+def _cycle_parts():
+    num = (f"SELECT cycle_end, role, 'value' AS column_name, CAST(value AS DOUBLE) AS value FROM ({CYCLE_FAN}) f "
+           "WHERE value IS NOT NULL")
+    cat = (f"SELECT cycle_end, role, 'event_type' AS column_name, CAST(event_type AS VARCHAR) AS value "
+           f"FROM ({CYCLE_FAN}) f WHERE event_type IS NOT NULL")
+    return ks_sql(num, CK), chi2_sql(cat, keys=CK), psi_sql(num, keys=CK)
+
+
+def _cycle_with() -> str:
+    ks, ch, ps = _cycle_parts()
+    return f"ks AS ({ks}), ch AS ({ch}), ps AS ({ps})"
+
+
+CYCLE_SUMMARY = f"""WITH {_cycle_with()},
+    p AS (SELECT cycle_end, ks_p_raw AS p, 'ks' AS test FROM ks UNION ALL SELECT cycle_end, chi2_p_raw, 'chi2' FROM ch),
+    c AS (SELECT cycle_end, min(p) AS p_min, min(CASE WHEN test = 'ks' THEN p END) AS p_ks FROM p GROUP BY 1)
+    SELECT c.*, ps.psi_raw AS psi FROM c LEFT JOIN ps USING (cycle_end)"""
+
+POISSON = "CASE WHEN u < 0.36787944117144233e0 THEN 0 WHEN u < 0.7357588823428847e0 THEN 1 WHEN u < 0.9196986029286058e0 THEN 2 WHEN u < 0.9810118431238463e0 THEN 3 WHEN u < 0.9963401531726563e0 THEN 4 WHEN u < 0.9994058151824183e0 THEN 5 WHEN u < 0.999916758850712e0 THEN 6 WHEN u < 0.9999897508033253e0 THEN 7 WHEN u < 0.999998874797402e0 THEN 8 WHEN u < 0.9999998885745216e0 THEN 9 WHEN u < 0.9999999899522336e0 THEN 10 WHEN u < 0.9999999991683892e0 THEN 11 ELSE 12 END"
+
+
+def _boot_sql() -> str:
+    u = uniform_sql("(o_orderkey * 1000 + rep)", 11)
+    return f"""SELECT o_orderpriority, rep, sum(w * o_totalprice) / sum(w) AS mean FROM (
+        SELECT o_orderpriority, o_totalprice, rep, (CASE {POISSON[5:-4]} END) AS w
+        FROM (SELECT o_orderpriority, o_totalprice, rep, {u} AS u
+              FROM orders, generate_series(1, 1000) g(rep)) a) b GROUP BY 1, 2"""
+
+
 ORACLES = {
     "window_role_counts": f"""SELECT role, count(*) AS n_rows, round(sum(value), 6) AS sum_value,
         count(DISTINCT user_id) AS n_users FROM ({EVENTS_PAIR}) p GROUP BY role""",
     "window_pair_filter": f"SELECT event_id, role FROM ({EVENTS_PAIR}) p",
-    "ks_value": ks_sql(long_sql(EVENTS_PAIR, ["value"], "DOUBLE")),
-    "ks_all_numeric": ks_sql(long_sql(LINEITEM_PAIR, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-                                      "DOUBLE")),
-    "chi2_event_type": chi2_sql(long_sql(EVENTS_PAIR, ["event_type"], "VARCHAR")),
-    "chi2_all_strings": chi2_sql(long_sql(LINEITEM_PAIR, ["l_returnflag", "l_linestatus"], "VARCHAR")),
-    "chi2_yates_2x2": chi2_sql(long_sql(
-        "SELECT *, CASE WHEN quality = 1 THEN 'rec' ELSE 'ref' END AS role FROM labels", ["toxic"], "VARCHAR")),
-    "psi_value": psi_sql(long_sql(EVENTS_PAIR, ["value"], "DOUBLE")),
-    "psi_extend": psi_sql(long_sql(LINEITEM_PAIR, ["l_extendedprice", "l_quantity"], "DOUBLE"), extend=True),
-    "psi_degenerate_edges": psi_sql(long_sql(LABELS_HALF, ["toxic", "quality"], "DOUBLE")),
+    "ks_value": ks_cols(ks_sql(long_sql(EVENTS_PAIR, ["value"], "DOUBLE"))),
+    "ks_all_numeric": ks_cols(ks_sql(long_sql(LINEITEM_PAIR, LI_MEASURES, "DOUBLE"))),
+    "chi2_event_type": chi_cols(chi2_sql(long_sql(EVENTS_PAIR, ["event_type"], "VARCHAR"))),
+    "chi2_all_strings": chi_cols(chi2_sql(long_sql(LINEITEM_PAIR, ["l_returnflag", "l_linestatus"], "VARCHAR"))),
+    "chi2_yates_2x2": chi_cols(chi2_sql(long_sql(
+        "SELECT *, CASE WHEN quality = 1 THEN 'rec' ELSE 'ref' END AS role FROM labels", ["toxic"], "VARCHAR"))),
+    "psi_value": psi_cols(psi_sql(long_sql(EVENTS_PAIR, ["value"], "DOUBLE"))),
+    "psi_extend": psi_cols(psi_sql(long_sql(LINEITEM_PAIR, ["l_extendedprice", "l_quantity"], "DOUBLE"), extend=True)),
+    "psi_degenerate_edges": psi_cols(psi_sql(long_sql(LABELS_HALF, ["toxic", "quality"], "DOUBLE"))),
     "positive_ratio": f"""SELECT round(avg(CASE WHEN value >= 50.0e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pos_ratio
         FROM ({EVENTS_PAIR}) p WHERE role = 'rec' AND value IS NOT NULL""",
     "binary_domain": f"""SELECT round(CASE WHEN bool_and(quality IN (0, 1))
@@ -341,7 +404,7 @@ ORACLES = {
         AS role FROM orders""",
     "inject_drift": f"""SELECT o_orderkey, round({_injected(0.5, 42)}, 6) AS amount,
         {uniform_sql('o_orderkey', 42)} < 0.5e0 AS drifted FROM orders""",
-    "inject_then_detect": ks_sql(_long_pair("o_totalprice", _injected(0.05, 42), "o_totalprice")),
+    "inject_then_detect": ks_cols(ks_sql(_long_pair("o_totalprice", _injected(0.05, 42), "o_totalprice"))),
     "inject_batch_profile": f"""WITH x AS (SELECT {uniform_sql('o_orderkey', 7)} < 0.3e0 AS drifted,
         {_injected(0.3, 7, 1.5, 5.0)} AS amount, o_orderkey FROM orders)
         SELECT count(*) FILTER (WHERE drifted) AS n_drifted,
@@ -403,6 +466,100 @@ ORACLES = {
                round(sum(v), 6) AS sum_value FROM c
         WHERE make_timestamp(e * 86400 * 1000000) <= (SELECT max(ts) FROM events) GROUP BY 1, 2""",
     "stream_policy": f"""SELECT * FROM ({_policy_sql('edge')}) x WHERE cycle_end <= (SELECT max(ts) FROM events)""",
+    "cycle_tests_daily": f"""WITH {_cycle_with()}
+        SELECT cycle_end, column_name, 'ks' AS test, n_ref, n_rec, round(ks_d_raw, 6) AS stat, ks_p AS p_value FROM ks
+        UNION ALL SELECT cycle_end, column_name, 'chi2', n_ref, n_rec, chi2, chi2_p FROM ch""",
+    "cycle_verdict_daily": f"""WITH {_cycle_with()},
+        p AS (SELECT cycle_end, ks_p_raw AS p FROM ks UNION ALL SELECT cycle_end, chi2_p_raw FROM ch)
+        SELECT p.cycle_end, bool_or(p < 0.01) AS drift_any, round(min(p), 6) AS p_min,
+               round(avg(CASE WHEN p < 0.01 THEN 1.0e0 ELSE 0.0e0 END), 6) AS reject_share, count(*) AS n_tests,
+               round(max(ps.psi_raw), 6) AS psi, bool_or(p < 0.01) OR max(ps.psi_raw) > 0.2 AS should_trigger
+        FROM p LEFT JOIN ps USING (cycle_end) GROUP BY p.cycle_end""",
+    "threshold_sweep": f"""WITH c AS ({CYCLE_SUMMARY}),
+        g AS (SELECT a.alpha, t.tau FROM (VALUES (0.05e0), (0.01e0), (0.001e0)) a(alpha),
+              (VALUES (0.1e0), (0.2e0), (0.3e0)) t(tau))
+        SELECT alpha, tau, count(*) AS n_cycles, round(avg(CASE WHEN p_min < alpha OR coalesce(psi, 0.0e0) > tau
+               THEN 1.0e0 ELSE 0.0e0 END), 6) AS alert_rate FROM c, g GROUP BY 1, 2""",
+    "ablation": f"""WITH c AS ({CYCLE_SUMMARY})
+        SELECT 'full' AS variant, count(*) AS n_cycles, round(avg(CASE WHEN p_min < 0.01 OR coalesce(psi, 0.0e0) > 0.2
+               THEN 1.0e0 ELSE 0.0e0 END), 6) AS alert_rate FROM c
+        UNION ALL SELECT 'no_psi', count(*), round(avg(CASE WHEN p_min < 0.01 THEN 1.0e0 ELSE 0.0e0 END), 6) FROM c
+        UNION ALL SELECT 'no_chi2', count(*), round(avg(CASE WHEN p_ks < 0.01 OR coalesce(psi, 0.0e0) > 0.2
+               THEN 1.0e0 ELSE 0.0e0 END), 6) FROM c""",
+    "holm": f"""WITH mw AS ({_mw_sql()}),
+        h AS (SELECT *, row_number() OVER (ORDER BY coalesce(pvalue, 1.0e0), a_rank, b_rank) AS k,
+                     count(*) OVER () AS m FROM mw)
+        SELECT metric, A, B, round(pvalue, 6) AS pvalue,
+               round(least(max((m - k + 1) * coalesce(pvalue, 1.0e0)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING),
+                     1.0e0), 6) AS pvalue_holm FROM h""",
+    "cramers_v": f"""SELECT column_name, cramers_v, cramers_v_text FROM ({chi2_sql(long_sql(EVENTS_PAIR, ["event_type"],
+        "VARCHAR"))}) a UNION ALL SELECT column_name, cramers_v, cramers_v_text FROM ({chi2_sql(long_sql(LINEITEM_PAIR,
+        ["l_returnflag", "l_linestatus"], "VARCHAR"))}) b""",
+    "dkw": f"""SELECT column_name, round(ks_d_raw, 6) AS ks_d, round(e, 6) AS dkw_eps, ks_d_raw > e AS dkw_exceeds
+        FROM (SELECT *, sqrt(ln(2.0e0 / 0.05e0) / (2.0e0 * (n_ref * n_rec / (n_ref + n_rec)))) AS e
+              FROM ({ks_sql(long_sql(LINEITEM_PAIR, LI_MEASURES, "DOUBLE"))}) k) z""",
+    "wilson": f"""WITH pol AS ({_policy_sql('edge')}),
+        g AS (SELECT count(*) AS n_cycles, count(*) FILTER (WHERE attempted) AS n_triggers,
+                     count(*) FILTER (WHERE should_trigger) AS n_drift FROM pol),
+        r AS (SELECT *, CAST(n_drift AS DOUBLE) / n_cycles AS p, 1.959963984540054e0 AS z, CAST(n_cycles AS DOUBLE) AS n
+              FROM g)
+        SELECT n_cycles, n_triggers, n_drift, round(p, 6) AS rate,
+               round((p + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n)
+                     * sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 6) AS rate_lo,
+               round((p + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n)
+                     * sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 6) AS rate_hi FROM r""",
+    "cohens_d": f"""WITH {SCEN},
+        s AS (SELECT o_orderpriority AS sc, count(o_totalprice) AS n, avg(o_totalprice) AS m,
+                     var_samp(o_totalprice) AS v FROM orders GROUP BY 1)
+        SELECT 'o_totalprice' AS metric, p.A, p.B,
+               round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 6) AS cohens_d
+        FROM pairs p JOIN s a ON a.sc = p.A JOIN s b ON b.sc = p.B""",
+    "auc": """WITH c AS (SELECT l_discount AS v, count(*) FILTER (WHERE l_returnflag = 'R') AS np,
+                     count(*) FILTER (WHERE l_returnflag <> 'R') AS nn FROM lineitem
+                     WHERE l_discount IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1),
+        w AS (SELECT *, sum(nn) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) - nn AS nn_below,
+                     sum(np) OVER (ORDER BY v ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS np_above,
+                     sum(np) OVER () AS tp, sum(nn) OVER () AS tn FROM c),
+        pl AS (SELECT *, (nn_below + 0.5e0 * nn) / tn AS v10, (coalesce(np_above, 0) + 0.5e0 * np) / tp AS v01 FROM w),
+        g AS (SELECT max(tp) AS m, max(tn) AS n, sum(np * v10) / max(tp) AS auc,
+                     (sum(np * v10 * v10) - max(tp) * power(sum(np * v10) / max(tp), 2)) / (max(tp) - 1) AS var10,
+                     (sum(nn * v01 * v01) - max(tn) * power(sum(nn * v01) / max(tn), 2)) / (max(tn) - 1) AS var01
+              FROM pl)
+        SELECT CAST(m AS BIGINT) AS n_pos, CAST(n AS BIGINT) AS n_neg, round(auc, 6) AS auc,
+               round(sqrt(var10 / m + var01 / n), 6) AS auc_se,
+               round(greatest(auc - 1.959963984540054e0 * sqrt(var10 / m + var01 / n), 0.0e0), 6) AS auc_lo,
+               round(least(auc + 1.959963984540054e0 * sqrt(var10 / m + var01 / n), 1.0e0), 6) AS auc_hi FROM g""",
+    "kl": f"""SELECT column_name, psi, kl_ref_rec, kl_rec_ref FROM ({psi_sql(long_sql(EVENTS_PAIR, ["value"], "DOUBLE"))}) p""",
+    "psi_band": f"""SELECT column_name, psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate'
+        ELSE 'significant' END AS band, CASE WHEN psi < 0.2 THEN 'ok' WHEN psi < 0.3 THEN 'alert' ELSE 'severe' END
+        AS alert_band FROM (SELECT column_name, psi_raw, round(psi_raw, 6) AS psi
+        FROM ({psi_sql(long_sql(LINEITEM_PAIR, LI_MEASURES, "DOUBLE"))}) q) p""",
+    "precision_recall": """WITH x AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, CAST(l_discount >= 0.05 AS INTEGER) AS p
+            FROM lineitem),
+        cls AS (SELECT y AS c FROM x WHERE y IS NOT NULL UNION SELECT p FROM x WHERE p IS NOT NULL),
+        s AS (SELECT c, count(*) FILTER (WHERE x.y = c AND x.p = c) AS tp, count(*) FILTER (WHERE x.y = c) AS sup,
+                     count(*) FILTER (WHERE x.p = c) AS pred FROM cls, x GROUP BY c)
+        SELECT c AS class, round(CASE WHEN pred > 0 THEN tp / pred ELSE 0 END, 6) AS precision,
+               round(CASE WHEN sup > 0 THEN tp / sup ELSE 0 END, 6) AS recall,
+               round(CASE WHEN tp > 0 THEN 2 * (tp / pred) * (tp / sup) / ((tp / pred) + (tp / sup)) ELSE 0 END, 6)
+               AS f1, sup AS support FROM s""",
+    "bootstrap_ci": f"""SELECT o_orderpriority, count(*) AS n_reps, round(quantile_cont(mean, 0.025e0), 6) AS ci_lo,
+        round(quantile_cont(mean, 0.975e0), 6) AS ci_hi FROM ({_boot_sql()}) r GROUP BY 1""",
+    "noninferiority": f"""WITH {SCEN}, r AS ({_boot_sql()}),
+        d AS (SELECT p.A, p.B, (a.mean - b.mean) / b.mean AS rd FROM pairs p
+              JOIN r a ON a.o_orderpriority = p.A JOIN r b ON b.o_orderpriority = p.B AND b.rep = a.rep)
+        SELECT A, B, round(quantile_cont(rd, 0.025e0), 6) AS ci_lo, round(quantile_cont(rd, 0.975e0), 6) AS ci_hi,
+               quantile_cont(rd, 0.025e0) > -0.02e0 AS noninferior FROM d GROUP BY 1, 2""",
+    "wilcoxon": f"""WITH d AS (SELECT o.o_totalprice - l.items AS d FROM orders o JOIN
+            (SELECT l_orderkey, sum(l_extendedprice) AS items FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey),
+        x AS (SELECT abs(d) AS a, d > 0 AS pos FROM d WHERE d IS NOT NULL AND d <> 0),
+        r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0e0 AS mr FROM x),
+        t AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT a, count(*) AS c FROM x GROUP BY 1) q),
+        g AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(mr) FILTER (WHERE pos) AS wp FROM r),
+        z AS (SELECT g.*, (wp - n * (n + 1) / 4.0e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0e0 - t.ties / 48.0e0) AS z
+              FROM g, t)
+        SELECT CAST(n AS BIGINT) AS n, round(wp, 6) AS w_plus, round({pv.normal_two_sided_sql('z', D)}, 6) AS pvalue
+        FROM z""",
     "stage_stats": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
         round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY 1""",
 }

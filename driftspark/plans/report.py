@@ -23,7 +23,7 @@ def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordi
     pairs = K.scenario_pairs(order, scenario)
     long = K.to_long_metrics(runs, scenario, metrics)
     tests = K.mann_whitney(long, pairs, scenario, metrics, rows_per_bucket)
-    tests = tests.join(F.broadcast(K._metric_table(runs.sparkSession, metrics)), "metric")
+    tests = tests.withColumn("metric_ord", K.metric_ord(metrics))
     if fdr:
         tests = K.bh_adjust(tests)
         # BH applies only when some p-value exists
@@ -36,7 +36,7 @@ def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordi
         F.lit("mannwhitney").alias("row_type"), "pvalue_fdr",
         F.col("metric_ord").alias("_m"), F.lit(0).alias("_kind"), "a_rank", "b_rank")
     summ = K.summaries(long, scenario, order, rows_per_bucket)
-    summ = summ.join(F.broadcast(K._metric_table(runs.sparkSession, metrics)), "metric")
+    summ = summ.withColumn("metric_ord", K.metric_ord(metrics))
     summary_rows = summ.select(
         "metric", F.col("summary_scope").alias("A"), F.lit("").alias("B"),
         F.col("summary_n").cast("long").alias("nA"), F.lit(0).cast("long").alias("nB"),

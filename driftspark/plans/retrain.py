@@ -43,7 +43,9 @@ def train_run(df: DataFrame, key: str, features=L.FEATURE_CANDIDATES, existing_l
     lab = L.ensure_label(base, features, existing_label, risk, amount, risk_cut=risk_cut,
                          p95_method=p95_method, keep=[key])
     feats = [c for c in lab.columns if c in features]
-    counts = L.class_counts(lab).crossJoin(lab.select("label_strategy").limit(1)).first()
+    counts = lab.groupBy("label_strategy").agg(
+        F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"),
+        F.count(F.lit(1)).alias("total_rows")).first()
     run_id = uuid.uuid4().hex
     stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
     if counts is None:
