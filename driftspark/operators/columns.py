@@ -80,5 +80,11 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], value_type:
     base = df.select(*ids, *[F.col(c).cast(value_type).alias(c) for c in cols])
     if null_policy == "listwise":
         base = base.dropna(subset=list(cols))
-    long = base.unpivot(list(ids), list(cols), column_name, value_name)
+    # explode(array(struct)) rather than unpivot: the Expand node that unpivot plans
+    # renames its pass-through columns when the frame meets itself in a self-join,
+    # which defeats exchange reuse in the two-phase running counts.
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias(column_name), F.col(c).alias(value_name))
+                             for c in cols])).alias("_kv")
+    long = base.select(*ids, kv).select(*ids, F.col(f"_kv.{column_name}").alias(column_name),
+                                        F.col(f"_kv.{value_name}").alias(value_name))
     return long.where(F.col(value_name).isNotNull())

@@ -56,7 +56,7 @@ def to_long_metrics(runs: DataFrame, scenario: str, metrics: Sequence[str]) -> D
 
 
 def mann_whitney(long: DataFrame, pairs: DataFrame, scenario: str, metrics: Sequence[str],
-                 rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """Metric, A, B, nA, nB, u_stat, pvalue, cliffs_delta per pair.
 
     Pairs without values on one side keep their row with null p and delta.
@@ -68,7 +68,7 @@ def mann_whitney(long: DataFrame, pairs: DataFrame, scenario: str, metrics: Sequ
           .groupBy("metric", "A", "B", "value")
           .agg(F.sum(F.when(F.col("_is_a") == 1, F.col("n")).otherwise(0)).alias("n_a"),
                F.sum(F.when(F.col("_is_a") == 0, F.col("n")).otherwise(0)).alias("n_b")))
-    cum = ranks.cumulative(pc, ["metric", "A", "B"], "value", ["n_a", "n_b"], rows_per_bucket)
+    cum = ranks.cumulative(pc, ["metric", "A", "B"], "value", ["n_a", "n_b"], partitions)
     t = F.col("n_a") + F.col("n_b")
     g = cum.groupBy("metric", "A", "B").agg(
         F.sum("n_a").alias("nA"), F.sum("n_b").alias("nB"),
@@ -142,7 +142,7 @@ def holm_adjust(tests: DataFrame, p: str = "pvalue", out: str = "pvalue_holm",
 
 
 def summaries(long: DataFrame, scenario: str, order: DataFrame | None = None,
-              rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+              partitions: int | None = None) -> DataFrame:
     """One row per (metric, scope) for the global and each scenario scope.
 
     Each value is counted in two scopes (what GROUPING SETS would expand to); the
@@ -156,7 +156,7 @@ def summaries(long: DataFrame, scenario: str, order: DataFrame | None = None,
         F.stddev_pop("value").alias("summary_std"), F.min("value").alias("summary_min"),
         F.max("value").alias("summary_max"))
     q = ranks.exact_quantiles(scoped, keys, "value", SUMMARY_PROBS,
-                              ["summary_p25", "summary_median", "summary_p75"], rows_per_bucket).drop("n")
+                              ["summary_p25", "summary_median", "summary_p75"], partitions).drop("n")
     out = simple.join(q, on=keys, how="inner")
     if order is not None:
         o = order.select(F.concat(F.lit("scenario:"), F.col(scenario)).alias("summary_scope"),

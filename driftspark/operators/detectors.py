@@ -30,7 +30,7 @@ POSITIVE_THRESHOLD = 0.5
 
 
 def ks_test(long: DataFrame, keys: Sequence[str], role: str = "role", value: str = "value",
-            min_n: int = MIN_N_TEST, rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+            min_n: int = MIN_N_TEST, partitions: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov (K1): n_ref, n_rec, ks_d, ks_p per group.
 
     D = max over distinct values of |F_ref - F_rec|; p from the Kolmogorov tail at
@@ -38,15 +38,15 @@ def ks_test(long: DataFrame, keys: Sequence[str], role: str = "role", value: str
     ``min_n`` gives p = 1.
     """
     counts = ranks.value_counts(long, keys, value, role, [REF, REC], ["n_ref", "n_rec"])
-    return ks_from_counts(counts, keys, value, min_n, rows_per_bucket)
+    return ks_from_counts(counts, keys, value, min_n, partitions)
 
 
 def ks_from_counts(counts: DataFrame, keys: Sequence[str], value: str = "value",
                    min_n: int = MIN_N_TEST,
-                   rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                   partitions: int | None = None) -> DataFrame:
     """KS from (keys..., value, n_ref, n_rec) rows, one per distinct value."""
     keys = list(keys)
-    cum = ranks.cumulative(counts, keys, value, ["n_ref", "n_rec"], rows_per_bucket)
+    cum = ranks.cumulative(counts, keys, value, ["n_ref", "n_rec"], partitions)
     gap = F.abs(F.col("cum_n_ref") / F.col("tot_n_ref") - F.col("cum_n_rec") / F.col("tot_n_rec"))
     g = cum.groupBy(*keys).agg(
         F.max("tot_n_ref").alias("n_ref"),
@@ -171,8 +171,10 @@ def psi_from_counts(counts: DataFrame, keys: Sequence[str], value: str = "value"
     keys = list(keys)
     edges = psi_edges_from_counts(counts, keys, value, bins, out_of_range)
     sizes = counts.groupBy(*keys).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_rec").alias("n_rec"))
-    b = (counts.join(edges, on=keys, how="inner")
-         .withColumn("_bucket", ranks.upper_bound("edges", value)))
+    # at most bins+1 edges: count the edges at or below the value with static probes
+    le = sum(F.coalesce(F.try_element_at(F.col("edges"), F.lit(i)) <= F.col(value), F.lit(False)).cast("int")
+             for i in range(1, bins + 2))
+    b = counts.join(edges, on=keys, how="inner").withColumn("_bucket", le)
     k = F.size("edges") - 1
     b = (b.withColumn("_bin", F.when(F.col(value) == F.element_at("edges", -1), k - 1)
                       .otherwise(F.col("_bucket") - 1))

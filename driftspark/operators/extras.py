@@ -59,7 +59,7 @@ def cohens_d(long: DataFrame, pairs: DataFrame, scenario: str) -> DataFrame:
 
 
 def auc_delong(df: DataFrame, keys: Sequence[str], score: str, label: str, z: float = Z95,
-               rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """AUC = U/(n_pos n_neg) with the DeLong standard error.
 
     Placement of a positive x: (#neg < x + half #neg = x) / n_neg; of a negative y:
@@ -70,7 +70,7 @@ def auc_delong(df: DataFrame, keys: Sequence[str], score: str, label: str, z: fl
     y = F.col(label).cast("int")
     counts = (df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(*keys, score)
               .agg(F.count_if(y == 1).alias("n_pos"), F.count_if(y == 0).alias("n_neg")))
-    cum = ranks.cumulative(counts, keys, score, ["n_pos", "n_neg"], rows_per_bucket)
+    cum = ranks.cumulative(counts, keys, score, ["n_pos", "n_neg"], partitions)
     npos, nneg = F.col("tot_n_pos"), F.col("tot_n_neg")
     v10 = (F.col("cum_n_neg") - F.col("n_neg") + 0.5 * F.col("n_neg")) / nneg       # positives' placement
     v01 = (npos - F.col("cum_n_pos") + 0.5 * F.col("n_pos")) / npos                 # negatives' placement
@@ -142,14 +142,14 @@ def percentile_ci(reps: DataFrame, keys: Sequence[str], stat: str, level: float
 
 
 def signed_rank(d: DataFrame, keys: Sequence[str], diff: str,
-                rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """Wilcoxon signed-rank on paired differences (zeros dropped, mid-ranks of
     |d|, tie-corrected normal approximation without continuity correction)."""
     keys = list(keys)
     x = d.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).select(
         *keys, F.abs(diff).alias("_a"), (F.col(diff) > 0).alias("_pos"))
     counts = x.groupBy(*keys, "_a").agg(F.count_if("_pos").alias("n_pos"), F.count_if(~F.col("_pos")).alias("n_neg"))
-    cum = ranks.cumulative(counts, keys, "_a", ["n_pos", "n_neg"], rows_per_bucket)
+    cum = ranks.cumulative(counts, keys, "_a", ["n_pos", "n_neg"], partitions)
     t = F.col("n_pos") + F.col("n_neg")
     before = F.col("cum_n_pos") + F.col("cum_n_neg") - t
     midrank = before + (t + 1) / 2.0

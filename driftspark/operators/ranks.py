@@ -8,16 +8,17 @@ plan here is two-phase:
 
 1. ``value_counts``: one row per (group, value) with a count per role; partial
    aggregation folds ties and hot values before the shuffle.
-2. Cut points: a hash-chosen 1/T of the distinct values per group, sorted into an
-   array. Its length grows with the group (about n/T), so a large group gets many
-   buckets and a small one a single bucket.
-3. Each row finds its bucket by binary search on that array (log2 of its length
-   ``element_at`` probes inside one ``aggregate``).
-4. Bucket totals (about n/T rows per group) get running offsets by a window over
-   the small totals table; they are joined back on (group, bucket).
-5. A window ``partitionBy(group, bucket).orderBy(value)`` adds the offset.
-
-The result is exact; the cut points only decide balance. Tasks see about T rows.
+2. A range shuffle on (group, value): Spark samples the bounds and places every
+   row with its own binary search, so a dominant group spans many partitions and
+   equal values stay together. The range partition id is a bucket that is monotone
+   in (group, value).
+3. Inside a bucket, a window ``partitionBy(bucket, group).orderBy(value)`` gives the
+   local running sums and the bucket totals.
+4. Bucket totals (one row per group and bucket) get running offsets by a window over
+   that small table and are joined back on (group, bucket).
+
+The result is exact; the bounds only decide balance. A task holds one range
+partition, i.e. about (distinct values) / (shuffle partitions) rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 200_000
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, role: str,
@@ -39,47 +39,29 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, role: str,
             .groupBy(*keys, value).agg(*aggs))
 
 
-def upper_bound(cuts: str, value: str) -> Column:
-    """#(elements <= value) of the sorted array ``cuts`` by binary search.
-
-    One ``aggregate`` over the bit positions of size(cuts), highest first, so a row
-    costs log2(size) probes; a null or empty array gives 0. (Chained projections per
-    level would be inlined by the optimizer and grow exponentially.)
-    """
-    arr = F.col(cuts)
-    size = F.when(arr.isNull(), F.lit(0)).otherwise(F.size(arr))
-    bits = F.when(size > 0, (F.floor(F.log2(size)) + 1).cast("int")).otherwise(F.lit(0))
-    exps = F.when(bits > 0, F.sequence(bits - 1, F.lit(0), F.lit(-1))).otherwise(
-        F.array().cast("array<int>"))
-    v = F.col(value)
-
-    def probe(pos, e):
-        nxt = pos + F.pow(F.lit(2), e).cast("int")
-        ok = (nxt <= size) & (F.element_at(arr, nxt) <= v)
-        return F.when(ok, nxt).otherwise(pos)
-
-    return F.aggregate(exps, F.lit(0), probe)
-
-
 def cumulative(counts: DataFrame, keys: Sequence[str], value: str, count_cols: Sequence[str],
-               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running count) and ``tot_<c>`` (group total).
 
     ``counts`` must hold one row per (keys, value), as produced by ``value_counts``.
+    A range shuffle on (keys, value) gives every row a monotone bucket (its range
+    partition): Spark samples the bounds and assigns rows with its own binary search,
+    so a dominant group spans many partitions. Bucket totals (one row per group and
+    partition) get running offsets; rows add their offset to the running sum inside
+    the bucket. ``partitions`` fixes the number of range partitions; by default the
+    session's shuffle partition count applies (and AQE may coalesce adjacent ones,
+    which keeps the order).
     """
     keys = list(keys)
-    t = max(int(rows_per_bucket), 1)
-    salt = F.xxhash64(F.col(value), *[F.col(k) for k in keys])
-    cuts = (counts.where(F.pmod(salt, F.lit(t)) == 0)
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(value)).alias("_cuts")))
-    # cuts has about (distinct values)/T rows in total; AQE broadcasts it when its
-    # measured size is below the broadcast threshold and uses a skew-split shuffle
-    # join otherwise.
-    b = (counts.join(cuts, on=keys, how="left")
-         .withColumn("_bucket", upper_bound("_cuts", value)).drop("_cuts"))
-
-    totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
+    n = partitions
+    r = counts.repartitionByRange(n, *keys, value) if n else counts.repartitionByRange(*keys, value)
+    b = r.withColumn("_bucket", F.spark_partition_id())
+    w_local = (Window.partitionBy("_bucket", *keys).orderBy(value)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    w_part = Window.partitionBy("_bucket", *keys)
+    local = b.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in count_cols],
+                     *[F.sum(c).over(w_part).alias(f"_t_{c}") for c in count_cols])
+    totals = local.groupBy(*keys, "_bucket").agg(*[F.max(f"_t_{c}").alias(f"_t_{c}") for c in count_cols])
     w_run = Window.partitionBy(*keys).orderBy("_bucket")
     w_all = Window.partitionBy(*keys)
     offsets = totals.select(
@@ -87,14 +69,10 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, count_cols: S
         *[(F.sum(f"_t_{c}").over(w_run) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in count_cols],
         *[F.sum(f"_t_{c}").over(w_all).alias(f"tot_{c}") for c in count_cols],
     )
-    j = b.join(offsets, on=[*keys, "_bucket"], how="inner")
-    w = (Window.partitionBy(*keys, "_bucket").orderBy(value)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = j.select(
-        *[c for c in j.columns if not c.startswith("_o_")],
-        *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"cum_{c}") for c in count_cols],
-    )
-    return out.drop("_bucket")
+    j = local.join(offsets, on=[*keys, "_bucket"], how="inner")
+    keep = [c for c in counts.columns]
+    return j.select(*keep, *[F.col(f"tot_{c}") for c in count_cols],
+                    *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"cum_{c}") for c in count_cols])
 
 
 def cumulative_one_phase(counts: DataFrame, keys: Sequence[str], value: str,
@@ -112,7 +90,7 @@ def cumulative_one_phase(counts: DataFrame, keys: Sequence[str], value: str,
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str] | None = None,
-                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                    partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas 'linear', DuckDB quantile_cont).
 
     Built on the running counts, so no group is gathered into one task (Spark's
@@ -120,17 +98,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
               .agg(F.count(F.lit(1)).alias("_n")))
-    return quantiles_from_counts(counts, keys, value, "_n", probs, names, rows_per_bucket)
+    return quantiles_from_counts(counts, keys, value, "_n", probs, names, partitions)
 
 
 def quantiles_from_counts(counts: DataFrame, keys: Sequence[str], value: str, count_col: str,
                           probs: Sequence[float], names: Sequence[str] | None = None,
-                          rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                          partitions: int | None = None) -> DataFrame:
     """Quantiles from (keys..., value, count) rows; rows with count 0 are ignored."""
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     keys = list(keys)
     counts = counts.where(F.col(count_col) > 0).select(*keys, value, F.col(count_col).alias("_n"))
-    cum = cumulative(counts, keys, value, ["_n"], rows_per_bucket)
+    cum = cumulative(counts, keys, value, ["_n"], partitions)
     cum = cum.withColumn("_before", F.col("cum__n") - F.col("_n"))
     aggs = []
     for p, name in zip(probs, names):

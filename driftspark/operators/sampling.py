@@ -47,7 +47,7 @@ def split_half(df: DataFrame, key: str | None, seed: int = HALF_SPLIT_SEED,
 
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = 0.2,
                      seed: int = 42, out: str = "is_test",
-                     rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """Exact-quota stratified split (M4).
 
     In each class c, the ceil(f * n_c) rows with the smallest key hash (ties by key)
@@ -59,7 +59,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
              + F.pmod(F.col(key).cast("long"), F.lit(2147483648)))
     keyed = df.withColumn("_ord", order)
     counts = keyed.groupBy(label, "_ord").agg(F.count(F.lit(1)).alias("_n"))
-    cum = ranks.cumulative(counts, [label], "_ord", ["_n"], rows_per_bucket)
+    cum = ranks.cumulative(counts, [label], "_ord", ["_n"], partitions)
     quota = F.ceil(F.col("tot__n") * F.lit(float(test_fraction)))
     flags = cum.select(label, "_ord", (F.col("cum__n") <= quota).alias(out))
     return keyed.join(flags, on=[label, "_ord"], how="inner").drop("_ord")

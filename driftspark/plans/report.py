@@ -12,7 +12,7 @@ from driftspark.operators import ranks
 
 
 def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordinal: str,
-                    fdr: bool = True, rows_per_bucket: int = ranks.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                    fdr: bool = True, partitions: int | None = None) -> DataFrame:
     """Rows of the published report layout: Mann-Whitney rows, then summary rows.
 
     ``pvalue_fdr`` is filled on test rows when ``fdr`` and some p-value exists. The
@@ -22,7 +22,7 @@ def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordi
     order = K.scenario_order(runs, scenario, ordinal)
     pairs = K.scenario_pairs(order, scenario)
     long = K.to_long_metrics(runs, scenario, metrics)
-    tests = K.mann_whitney(long, pairs, scenario, metrics, rows_per_bucket)
+    tests = K.mann_whitney(long, pairs, scenario, metrics, partitions)
     tests = tests.withColumn("metric_ord", K.metric_ord(metrics))
     if fdr:
         tests = K.bh_adjust(tests)
@@ -35,7 +35,7 @@ def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordi
         "metric", "A", "B", "nA", "nB", "pvalue", "cliffs_delta",
         F.lit("mannwhitney").alias("row_type"), "pvalue_fdr",
         F.col("metric_ord").alias("_m"), F.lit(0).alias("_kind"), "a_rank", "b_rank")
-    summ = K.summaries(long, scenario, order, rows_per_bucket)
+    summ = K.summaries(long, scenario, order, partitions)
     summ = summ.withColumn("metric_ord", K.metric_ord(metrics))
     summary_rows = summ.select(
         "metric", F.col("summary_scope").alias("A"), F.lit("").alias("B"),

@@ -30,10 +30,10 @@ def _runs(spark, a, b, names=("default", "manual")):
     return spark.createDataFrame(rows, "run long, scenario string, f1 double")
 
 
-@pytest.mark.parametrize("rows_per_bucket", [200_000, 3])
-def test_golden_report(spark, rows_per_bucket):
+@pytest.mark.parametrize("partitions", [None, 13])
+def test_golden_report(spark, partitions):
     rep = scenario_report(_runs(spark, DEFAULT_F1, MANUAL_F1), "scenario", ["f1"], "run",
-                          rows_per_bucket=rows_per_bucket).collect()
+                          partitions=partitions).collect()
     t = [r for r in rep if r.row_type == "mannwhitney"]
     assert len(t) == 1
     assert (t[0].A, t[0].B, t[0].nA, t[0].nB) == ("default", "manual", 16, 24)
