@@ -26,9 +26,15 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], partitions: int | None = None,
                       mode: str = "append") -> None:
-    """Hash-shuffle on the partition keys first, so each output directory gets
-    few files, then a partitioned append. ``partitions`` None leaves the count to AQE."""
-    x = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    """Shuffle on the partition keys first, so each output directory gets few
+    files, then a partitioned append.
+
+    The shuffle is a ``rebalance`` on the keys: AQE splits a partition value that holds
+    a large share of the rows over several tasks (and files) and merges small ones, so
+    one hot ``dt``/``account_type`` does not end up in a single writer task. With
+    ``partitions`` a plain hash repartition to that count is used instead.
+    """
+    x = df.repartition(partitions, *keys) if partitions else df.hint("rebalance", *keys)
     x.write.mode(mode).partitionBy(*keys).parquet(path)
 
 
