@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftspark.session import work_dir
+
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, role: str,
@@ -61,6 +63,12 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, count_cols: S
     w_part = Window.partitionBy("_bucket", *keys)
     local = b.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in count_cols],
                      *[F.sum(c).over(w_part).alias(f"_t_{c}") for c in count_cols])
+    # The range bounds are sampled from shuffle output whose read order is not fixed, so
+    # two evaluations of ``local`` may bucket rows differently. It is used twice (rows and
+    # bucket totals), hence written once to the shared checkpoint folder; a lost executor
+    # then re-reads that copy.
+    work_dir(counts.sparkSession)
+    local = local.checkpoint(eager=True)
     totals = local.groupBy(*keys, "_bucket").agg(*[F.max(f"_t_{c}").alias(f"_t_{c}") for c in count_cols])
     w_run = Window.partitionBy(*keys).orderBy("_bucket")
     w_all = Window.partitionBy(*keys)

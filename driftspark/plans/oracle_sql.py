@@ -550,7 +550,7 @@ ORACLES = {
               JOIN r a ON a.o_orderpriority = p.A JOIN r b ON b.o_orderpriority = p.B AND b.rep = a.rep)
         SELECT A, B, round(quantile_cont(rd, 0.025e0), 6) AS ci_lo, round(quantile_cont(rd, 0.975e0), 6) AS ci_hi,
                quantile_cont(rd, 0.025e0) > -0.02e0 AS noninferior FROM d GROUP BY 1, 2""",
-    "wilcoxon": f"""WITH d AS (SELECT o.o_totalprice - l.items AS d FROM orders o JOIN
+    "wilcoxon": f"""WITH d AS (SELECT round(o.o_totalprice - l.items, 2) AS d FROM orders o JOIN
             (SELECT l_orderkey, sum(l_extendedprice) AS items FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey),
         x AS (SELECT abs(d) AS a, d > 0 AS pos FROM d WHERE d IS NOT NULL AND d <> 0),
         r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0e0 AS mr FROM x),
@@ -563,3 +563,4 @@ ORACLES = {
     "stage_stats": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
         round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY 1""",
 }
+

@@ -30,6 +30,18 @@ def test_two_phase_equals_one_phase(spark):
     assert sorted(map(tuple, two.select(cols).collect())) == sorted(map(tuple, one.select(cols).collect()))
 
 
+def test_many_range_partitions_keep_every_row(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"g{i % 3}", float(v), 1, 1) for i, v in enumerate(np.round(rng.normal(0, 10, 20000), 2))]
+    df = spark.createDataFrame(rows, "k string, value double, a long, b long").repartition(16)
+    counts = df.groupBy("k", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    two = ranks.cumulative(counts, ["k"], "value", ["a", "b"], partitions=37)
+    one = ranks.cumulative_one_phase(counts, ["k"], "value", ["a", "b"])
+    cols = ["k", "value", "cum_a", "cum_b", "tot_a"]
+    assert two.count() == counts.count()
+    assert sorted(map(tuple, two.select(cols).collect())) == sorted(map(tuple, one.select(cols).collect()))
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     xs = np.round(rng.lognormal(3, 1, 2000), 2)
