@@ -314,7 +314,7 @@ def q_logreg_f1(spark, sf):
     li = li.withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                              "l_extendedprice"))
     log = retrain.train_run(li, "row_key", LINEITEM_FEATURES, risk="l_discount", amount="l_extendedprice",
-                            risk_cut=LINEITEM_RISK_CUT, p95_method="exact")
+                            risk_cut=LINEITEM_RISK_CUT, p95_method="approx")
     return log.select("label_strategy", "total_rows", "positives", "negatives", "model", r6("f1").alias("f1"))
 
 
@@ -346,6 +346,22 @@ def q_inject_batch_profile(spark, sf):
                  r6(F.sum("o_totalprice")).alias("sum_amount"))
 
 
+SCHEDULE_START = dt.datetime(1995, 1, 1)
+SCHEDULE_AFTER = dt.timedelta(days=730)
+SCHEDULE_RAMP = dt.timedelta(days=365)
+
+
+def q_inject_scheduled(spark, sf):
+    """X8 + S10: the drift factor follows the order date (0 for two years, then a
+    one-year ramp to 1); the share of scaled orders follows it."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    factor = X.drift_schedule(F.col("o_orderdate"), SCHEDULE_START, SCHEDULE_AFTER, SCHEDULE_RAMP)
+    x = inject.inject_drift(o.withColumn("factor", factor), "o_orderkey", "o_totalprice", F.col("factor"), seed=3)
+    return x.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.count_if("drifted").alias("n_drifted"),
+        r6(F.avg("factor")).alias("avg_factor"), r6(F.sum("o_totalprice")).alias("sum_amount"))
+
+
 def q_enrich_fx(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     cur = X.currency_of(F.col("o_custkey"))
@@ -598,6 +614,18 @@ def _cycle_summary(spark, sf):
     return per.join(fr["psi"].select("cycle_end", "psi"), "cycle_end", "left")
 
 
+def q_metrics_wide_daily(spark, sf):
+    """T6 + S7: the per-cycle metric rows in long form, shown one row per cycle with
+    ``p_<column>`` columns (sorted) and the PSI of the score column."""
+    fr = _daily(spark, sf)
+    long = monitor.metrics_long(fr["tests"], fr["psi"], ["cycle_end"])
+    wide = io.wide_view(long, ["cycle_end"])
+    psi = long.where(F.col("metric") == "psi").select("cycle_end", F.col("value").alias("psi"))
+    out = wide.join(psi, "cycle_end", "left")
+    return out.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"),
+                      r6("p_event_type").alias("p_event_type"), r6("p_value").alias("p_value"), r6("psi").alias("psi"))
+
+
 def q_threshold_sweep(spark, sf):
     c = _cycle_summary(spark, sf)
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(t).alias("tau"))
@@ -782,6 +810,8 @@ QUERIES = {
     "stream_policy": q_stream_policy,
     "cycle_tests_daily": q_cycle_tests_daily,
     "cycle_verdict_daily": q_cycle_verdict_daily,
+    "metrics_wide_daily": q_metrics_wide_daily,
+    "inject_scheduled": q_inject_scheduled,
     "threshold_sweep": q_threshold_sweep,
     "ablation": q_ablation,
     "holm": q_holm,

@@ -475,6 +475,21 @@ ORACLES = {
                round(avg(CASE WHEN p < 0.01 THEN 1.0e0 ELSE 0.0e0 END), 6) AS reject_share, count(*) AS n_tests,
                round(max(ps.psi_raw), 6) AS psi, bool_or(p < 0.01) OR max(ps.psi_raw) > 0.2 AS should_trigger
         FROM p LEFT JOIN ps USING (cycle_end) GROUP BY p.cycle_end""",
+    "metrics_wide_daily": f"""WITH {_cycle_with()}
+        SELECT ks.cycle_end, round(max(ch.chi2_p_raw), 6) AS p_event_type, round(max(ks.ks_p_raw), 6) AS p_value,
+               round(max(ps.psi_raw), 6) AS psi
+        FROM ks JOIN ch USING (cycle_end) LEFT JOIN ps USING (cycle_end) GROUP BY ks.cycle_end""",
+    "inject_scheduled": f"""WITH x AS (SELECT o_orderdate, o_orderkey, o_totalprice,
+            greatest(0.0e0, least(1.0e0, greatest(0.0e0, least(1.0e0,
+              (epoch(o_orderdate) - epoch(TIMESTAMP '1995-01-01 00:00:00') - 63072000) / 31536000.0e0)) * 1.0e0))
+            AS factor FROM orders),
+        y AS (SELECT *, {uniform_sql('o_orderkey', 3)} < factor AS drifted,
+              CASE WHEN {uniform_sql('o_orderkey', 3)} < factor
+                   THEN o_totalprice * (1.5e0 + {uniform_sql('o_orderkey', 4)} * 2.5e0) ELSE o_totalprice END AS amount
+              FROM x)
+        SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n_orders, count(*) FILTER (WHERE drifted)
+               AS n_drifted, round(avg(factor), 6) AS avg_factor, round(sum(amount), 6) AS sum_amount
+        FROM y GROUP BY 1""",
     "threshold_sweep": f"""WITH c AS ({CYCLE_SUMMARY}),
         g AS (SELECT a.alpha, t.tau FROM (VALUES (0.05e0), (0.01e0), (0.001e0)) a(alpha),
               (VALUES (0.1e0), (0.2e0), (0.3e0)) t(tau))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftspark.operators import compare as K
 from driftspark.operators import ranks
+from driftspark.operators.columns import find_column
 
 
 def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordinal: str,
@@ -18,6 +19,11 @@ def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordi
     ``pvalue_fdr`` is filled on test rows when ``fdr`` and some p-value exists. The
     two row kinds are stacked by name with missing columns as null (U1, S9).
     """
+    found = find_column(runs, scenario)  # P18: an upper-case header is accepted too
+    if found is None:
+        raise ValueError(f"no scenario column {scenario!r}")
+    if found != scenario:
+        runs = runs.withColumnRenamed(found, scenario)
     runs = K.normalise_scenario(runs, scenario)
     order = K.scenario_order(runs, scenario, ordinal)
     pairs = K.scenario_pairs(order, scenario)

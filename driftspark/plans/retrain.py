@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from driftspark.operators import labels as L
 from driftspark.operators import sampling
 from driftspark.session import work_dir
+from driftspark.sources import io
 
 MAX_ITER = 300
 TEST_FRACTION = 0.2
@@ -40,6 +41,10 @@ def train_run(df: DataFrame, key: str, features=L.FEATURE_CANDIDATES, existing_l
     base = df
     if key not in df.columns:
         raise ValueError(f"key column {key!r} missing")
+    stamp0 = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+    if io.is_empty(df):  # S12: nothing to train on, record the run
+        return spark.createDataFrame([(stamp0, scenario, uuid.uuid4().hex, None, 0, 0, 0, "logreg", None)],
+                                     LOG_SCHEMA)
     lab = L.ensure_label(base, features, existing_label, risk, amount, risk_cut=risk_cut,
                          p95_method=p95_method, keep=[key])
     feats = [c for c in lab.columns if c in features]
