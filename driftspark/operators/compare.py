@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from driftspark.functions import pvalues as pv
 from driftspark.operators import ranks
+from driftspark.session import work_dir
 
 # Cliff's delta magnitude bounds (negligible / small / medium / large).
 CLIFF_BOUNDS = (0.147, 0.33, 0.474)
@@ -35,10 +36,15 @@ def normalise_scenario(df: DataFrame, col: str = "scenario") -> DataFrame:
 
 
 def scenario_order(runs: DataFrame, scenario: str, ordinal: str) -> DataFrame:
-    """(scenario, first_ord, scenario_rank) by first appearance."""
+    """(scenario, first_ord, scenario_rank) by first appearance.
+
+    One row per scenario. It is used several times (both sides of the pair join, the
+    summary order), so it is checkpointed once instead of re-scanning the runs.
+    """
     first = runs.groupBy(scenario).agg(F.min(ordinal).alias("first_ord"))
     w = Window.orderBy("first_ord", scenario)  # one row per scenario: a tiny table
-    return first.withColumn("scenario_rank", F.row_number().over(w))
+    work_dir(runs.sparkSession)
+    return first.withColumn("scenario_rank", F.row_number().over(w)).checkpoint(eager=True)
 
 
 def scenario_pairs(order: DataFrame, scenario: str) -> DataFrame:
@@ -61,7 +67,13 @@ def mann_whitney(long: DataFrame, pairs: DataFrame, scenario: str, metrics: Sequ
 
     Pairs without values on one side keep their row with null p and delta.
     """
-    counts = long.groupBy("metric", scenario, "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = value_counts_by_scenario(long, scenario)
+    return mann_whitney_from_counts(counts, pairs, scenario, metrics, partitions)
+
+
+def mann_whitney_from_counts(counts: DataFrame, pairs: DataFrame, scenario: str, metrics: Sequence[str],
+                             partitions: int | None = None) -> DataFrame:
+    """Mann-Whitney, delta and sizes from (metric, scenario, value, n) rows."""
     side = pairs.select("A", "B", F.col("A").alias("_s"), F.lit(1).alias("_is_a")).unionByName(
         pairs.select("A", "B", F.col("B").alias("_s"), F.lit(0).alias("_is_a")))
     pc = (counts.join(side, counts[scenario] == side["_s"])
@@ -141,6 +153,35 @@ def holm_adjust(tests: DataFrame, p: str = "pvalue", out: str = "pvalue_holm",
              .drop("_pf", "_rank", "_m", "_v"))
 
 
+def value_counts_by_scenario(long: DataFrame, scenario: str) -> DataFrame:
+    """(metric, scenario, value, n): the reduced form shared by tests and summaries."""
+    return long.groupBy("metric", scenario, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summaries_from_counts(counts: DataFrame, scenario: str, order: DataFrame | None = None,
+                          partitions: int | None = None) -> DataFrame:
+    """A6/A7/K10 from per-value counts: n, mean, population std (two passes), min,
+    quartiles, max for the global scope and each scenario scope."""
+    scoped = counts.select("metric", "value", "n", F.explode(F.array(
+        F.lit("global"), F.concat(F.lit("scenario:"), F.col(scenario)))).alias("summary_scope"))
+    keys = ["metric", "summary_scope"]
+    scoped = scoped.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    first = scoped.groupBy(*keys).agg(
+        F.sum("n").alias("summary_n"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("summary_mean"),
+        F.min("value").alias("summary_min"), F.max("value").alias("summary_max"))
+    # second pass for the spread: one row per scope joined back (small side)
+    dev = scoped.join(first.select(*keys, "summary_mean"), keys).groupBy(*keys).agg(
+        F.sum(F.col("n") * (F.col("value") - F.col("summary_mean")) ** 2).alias("_ss"))
+    q = ranks.quantiles_from_counts(scoped, keys, "value", "n", SUMMARY_PROBS,
+                                    ["summary_p25", "summary_median", "summary_p75"], partitions).drop("n")
+    out = (first.join(dev, keys).withColumn("summary_std", F.sqrt(F.col("_ss") / F.col("summary_n"))).drop("_ss")
+           .join(q, keys))
+    if order is not None:
+        o = order.select(F.concat(F.lit("scenario:"), F.col(scenario)).alias("summary_scope"), "scenario_rank")
+        out = out.join(o, on="summary_scope", how="left")
+    return out
+
+
 def summaries(long: DataFrame, scenario: str, order: DataFrame | None = None,
               partitions: int | None = None) -> DataFrame:
     """One row per (metric, scope) for the global and each scenario scope.

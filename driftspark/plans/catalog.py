@@ -201,7 +201,7 @@ def q_bh_adjust(spark, sf):
 def q_summary_scopes(spark, sf):
     runs = _orders_runs(spark, sf)
     long = compare.to_long_metrics(runs, SCENARIO_COL, METRIC_COLS)
-    s = compare.summaries(long, SCENARIO_COL)
+    s = compare.summaries_from_counts(compare.value_counts_by_scenario(long, SCENARIO_COL), SCENARIO_COL)
     return s.select("metric", "summary_scope", F.col("summary_n").cast("long").alias("summary_n"),
                     *[r6(c).alias(c) for c in ("summary_mean", "summary_std", "summary_min", "summary_p25",
                                                "summary_median", "summary_p75", "summary_max")])

@@ -28,7 +28,8 @@ def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordi
     order = K.scenario_order(runs, scenario, ordinal)
     pairs = K.scenario_pairs(order, scenario)
     long = K.to_long_metrics(runs, scenario, metrics)
-    tests = K.mann_whitney(long, pairs, scenario, metrics, partitions)
+    counts = K.value_counts_by_scenario(long, scenario)
+    tests = K.mann_whitney_from_counts(counts, pairs, scenario, metrics, partitions)
     tests = tests.withColumn("metric_ord", K.metric_ord(metrics))
     if fdr:
         tests = K.bh_adjust(tests)
@@ -41,7 +42,7 @@ def scenario_report(runs: DataFrame, scenario: str, metrics: Sequence[str], ordi
         "metric", "A", "B", "nA", "nB", "pvalue", "cliffs_delta",
         F.lit("mannwhitney").alias("row_type"), "pvalue_fdr",
         F.col("metric_ord").alias("_m"), F.lit(0).alias("_kind"), "a_rank", "b_rank")
-    summ = K.summaries(long, scenario, order, partitions)
+    summ = K.summaries_from_counts(counts, scenario, order, partitions)
     summ = summ.withColumn("metric_ord", K.metric_ord(metrics))
     summary_rows = summ.select(
         "metric", F.col("summary_scope").alias("A"), F.lit("").alias("B"),
