@@ -122,18 +122,20 @@ def cliff_magnitude(delta: F.Column) -> F.Column:
 
 
 def bh_adjust(tests: DataFrame, p: str = "pvalue", out: str = "pvalue_fdr",
-              order: Sequence[str] = ("metric_ord", "a_rank", "b_rank")) -> DataFrame:
-    """Benjamini-Hochberg over all rows; null p counts as 1.0.
+              order: Sequence[str] = ("metric_ord", "a_rank", "b_rank"),
+              keys: Sequence[str] = ()) -> DataFrame:
+    """Benjamini-Hochberg over all rows (or per ``keys``); null p counts as 1.0.
 
-    The test table has one row per (metric, pair), so the global window is small.
+    The test table has one row per (metric, pair) — or per column of a cycle — so each
+    window is small. Rows keep their identity, so no reordering back is needed (W8).
     """
     pf = F.coalesce(F.col(p), F.lit(1.0))
-    w = Window.orderBy(pf, *order)
+    w = Window.partitionBy(*keys).orderBy(pf, *order)
     x = (tests.withColumn("_pf", pf)
          .withColumn("_rank", F.row_number().over(w))
-         .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
+         .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
          .withColumn("_v", F.col("_pf") * F.col("_m") / F.col("_rank")))
-    tail = Window.orderBy(pf, *order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    tail = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return (x.withColumn(out, F.least(F.min("_v").over(tail), F.lit(1.0)))
              .drop("_pf", "_rank", "_m", "_v"))
 

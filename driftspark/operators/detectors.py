@@ -158,7 +158,8 @@ def psi(long: DataFrame, keys: Sequence[str], role: str = "role", value: str = "
     Reference-quantile bins; bin i holds e_i <= v < e_(i+1), the last bin is closed,
     values outside [e_0, e_k] are dropped (G5 parity) unless ``out_of_range="extend"``.
     Proportions divide by the in-range count and are floored at ``eps`` without
-    renormalising; PSI = sum (r - c) ln(r / c). Either side below ``min_n`` → 0.
+    renormalising (X10); PSI = sum (r - c) ln(r / c). Either side below ``min_n`` → 0.
+    The edge array of a group reaches its rows by a join on the group keys (J6).
     """
     counts = ranks.value_counts(long, keys, value, role, [REF, REC], ["n_ref", "n_rec"])
     return psi_from_counts(counts, keys, value, bins, eps, min_n, out_of_range)

@@ -14,7 +14,7 @@ from driftspark.functions.hashing import hash_int, uniform
 from driftspark.operators import ranks
 from driftspark.operators.windows import REC, REF
 
-# Seeds of the reference (ref) and recent (rec) samples, and their share.
+# Seeds of the reference (ref) and recent (rec) samples (M5), and their share.
 REF_SEED = 42
 REC_SEED = 7
 SAMPLE_FRACTION = 0.2

@@ -13,8 +13,9 @@ statistic is a grouped aggregate keyed by (cycle, column).
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,30 @@ class MonitorConfig:
     exclude: Sequence[str] = field(default_factory=tuple)
     max_categories: int | None = None
     yates: bool = True
+    adjust: str | None = None  # G15: None (raw p, as the loop does), "holm" or "bh" per cycle
+
+
+def _adjusted(tests: DataFrame, keys: Sequence[str], cfg: "MonitorConfig") -> DataFrame:
+    """Optionally replace p by its Holm or BH adjustment over the columns of a cycle."""
+    from driftspark.operators import compare as K
+    if cfg.adjust is None:
+        return tests
+    if cfg.adjust == "holm":
+        x = K.holm_adjust(tests, "p_value", "_adj", order=["column_name"], keys=list(keys))
+    elif cfg.adjust == "bh":
+        x = K.bh_adjust(tests, "p_value", "_adj", order=["column_name"], keys=list(keys))
+    else:
+        raise ValueError(cfg.adjust)
+    return x.withColumn("p_raw", F.col("p_value")).withColumn("p_value", F.col("_adj")).drop("_adj")
+
+
+def _resolve_score(num: Sequence[str], cfg: MonitorConfig) -> str | None:
+    """P7 with the G2 warning: falling back to the first numeric column is reported."""
+    score = C.find_score_column(num, cfg.score_col)
+    if score is not None and score != cfg.score_col and score not in C.SCORE_ALIASES:
+        warnings.warn(f"score column {cfg.score_col!r} not found; PSI and positive ratio use {score!r}",
+                      stacklevel=3)
+    return score
 
 
 def _numeric_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], policy: str) -> DataFrame:
@@ -77,10 +102,10 @@ def snapshot_frames(roled: DataFrame, cfg: MonitorConfig, keys: Sequence[str] =
     tests = parts[0]
     for p in parts[1:]:
         tests = tests.unionByName(p)
-    tests = tests.withColumn("drift", F.col("p_value") < cfg.alpha)
+    tests = _adjusted(tests, keys, cfg).withColumn("drift", F.col("p_value") < cfg.alpha)
 
     if score == "auto":
-        score = C.find_score_column(num, cfg.score_col)
+        score = _resolve_score(num, cfg)
     psi_df = None
     if score is not None:
         long = _numeric_long(roled, ids, [score], cfg.null_policy)
@@ -107,7 +132,7 @@ def snapshot(df: DataFrame, ts: str, now: dt.datetime | str, width: dt.timedelta
     """One poll at ``now`` over ref = [now-2W, now-W) and rec = [now-W, inf)."""
     cfg = cfg or MonitorConfig()
     roled = windows.window_pair(df, ts, now, width)
-    cfg.exclude = tuple(cfg.exclude) + (ts,)
+    cfg = replace(cfg, exclude=tuple(cfg.exclude) + (ts,))
     return snapshot_frames(roled, cfg, **kw)
 
 
@@ -152,9 +177,9 @@ def cycle_tests(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
     tests = parts[0]
     for p in parts[1:]:
         tests = tests.unionByName(p)
-    tests = tests.withColumn("drift", F.col("p_value") < cfg.alpha)
+    tests = _adjusted(tests, ["cycle_end"], cfg).withColumn("drift", F.col("p_value") < cfg.alpha)
     if score == "auto":
-        score = C.find_score_column(num, cfg.score_col)
+        score = _resolve_score(num, cfg)
     psi_df = None
     if score is not None:
         sc = cycle_counts(df, ts, [score], "double", width, step, origin, cfg.null_policy)

@@ -32,7 +32,8 @@ LOG_SCHEMA = ("timestamp string, scenario string, run_id string, label_strategy
 def train_run(df: DataFrame, key: str, features=L.FEATURE_CANDIDATES, existing_label: str = "is_suspicious",
               risk: str = "risk_score", amount: str = "amount_usd", scenario: str = "",
               p95_method: str = "approx", risk_cut: float = L.RISK_CUT) -> DataFrame:
-    """One ``training_log`` row (S8/L6). ``key`` is a unique row id used for the split.
+    """One ``training_log`` row (S8/L6), built from a Python row under a fixed schema.
+    ``key`` is a unique row id used for the split.
 
     Reads a few scalars (class counts, training size) to parameterise the model; no
     row data goes to the driver.

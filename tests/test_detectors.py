@@ -144,3 +144,18 @@ def test_scenario_tag(spark):
     df = spark.createDataFrame([("Drift Run #2",), ("",), (None,)], "s string")
     got = [r.t for r in df.select(observe.scenario_tag(F.col("s")).alias("t")).collect()]
     assert got == ["drift_run_2", "manual", "manual"]
+
+
+def test_verdict_with_holm_adjustment(spark):
+    import datetime as dt
+    from driftspark.plans import monitor
+    ev = spark.read.parquet(f"{SF}/events.parquet").select("ts", "value", "event_type")
+    raw = monitor.cycle_tests(ev, "ts", dt.timedelta(days=1), dt.timedelta(days=1),
+                              monitor.MonitorConfig(score_col="value"))["tests"]
+    adj = monitor.cycle_tests(ev, "ts", dt.timedelta(days=1), dt.timedelta(days=1),
+                              monitor.MonitorConfig(score_col="value", adjust="holm"))["tests"]
+    r = {(x.cycle_end, x.column_name): x.p_value for x in raw.collect()}
+    a = {(x.cycle_end, x.column_name): (x.p_value, x.p_raw) for x in adj.collect()}
+    assert set(r) == set(a)
+    for k, (p_adj, p_raw) in a.items():
+        assert p_raw == pytest.approx(r[k]) and p_adj >= p_raw - 1e-15 and p_adj <= 1.0
