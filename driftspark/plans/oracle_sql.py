@@ -277,8 +277,8 @@ pol AS (SELECT i, att FROM r WHERE i >= (SELECT min(i) FROM grid))"""
 def _trailing_sql() -> str:
     return f"""
 WITH RECURSIVE {_policy_grid_sql()},
-t AS (SELECT i, sum(CAST(att AS BIGINT)) OVER (ORDER BY i RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS triggers_1h
-      FROM pol),
+t AS (SELECT i, CAST(sum(CAST(att AS BIGINT)) OVER (ORDER BY i RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT)
+             AS triggers_1h FROM pol),
 q AS (SELECT i, quantile_cont(avg_value, 0.95e0) OVER (ORDER BY i RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)
              AS p95 FROM v)
 SELECT 'fraud' AS model, make_timestamp(t.i * 600 * 1000000) AS cycle_end, triggers_1h,
