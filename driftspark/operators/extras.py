@@ -127,7 +127,11 @@ def bootstrap_means(long: DataFrame, keys: Sequence[str], key: str, value: str,
     the same draw for a row in every group (paired replicates across scenarios). Work
     is rows x B; the replicate tables are small (groups x B).
     """
-    reps = long.select(*keys, key, value, F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
+    # spread the input over all shuffle partitions before the B-fold expansion: moving N
+    # rows is cheap next to creating N x B, and a small run table may arrive in one split
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = long.select(*keys, key, value).repartition(parts)
+    reps = spread.select(*keys, key, value, F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
     w = poisson1(uniform(F.col(key) * F.lit(b) + F.col("rep"), seed))
     g = reps.withColumn("_w", w).groupBy(*keys, "rep").agg(
         F.sum(F.col("_w") * F.col(value)).alias("_sx"), F.sum("_w").alias("_sw"))

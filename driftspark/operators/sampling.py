@@ -50,19 +50,16 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
                      partitions: int | None = None) -> DataFrame:
     """Exact-quota stratified split (M4).
 
-    In each class c, the ceil(f * n_c) rows with the smallest key hash (ties by key)
-    form the test set. The order key ``hash * 2^31 + pmod(key, 2^31)`` is unique for
-    keys below 2^31; ranks come from the two-phase running counts, so a dominant class
-    is spread over many tasks.
+    In each class c, the ceil(f * n_c) rows with the smallest (key hash, key) form the
+    test set. ``key`` must be unique, so the order is total and the rows themselves are
+    the input of the two-phase running counts: a dominant class is spread over many
+    range partitions and no join back to the input is needed.
     """
-    order = (hash_int(F.col(key), seed) * F.lit(2147483648)
-             + F.pmod(F.col(key).cast("long"), F.lit(2147483648)))
-    keyed = df.withColumn("_ord", order)
-    counts = keyed.groupBy(label, "_ord").agg(F.count(F.lit(1)).alias("_n"))
-    cum = ranks.cumulative(counts, [label], "_ord", ["_n"], partitions)
+    order = F.struct(hash_int(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    keyed = df.withColumn("_ord", order).withColumn("_n", F.lit(1).cast("long"))
+    cum = ranks.cumulative(keyed, [label], "_ord", ["_n"], partitions)
     quota = F.ceil(F.col("tot__n") * F.lit(float(test_fraction)))
-    flags = cum.select(label, "_ord", (F.col("cum__n") <= quota).alias(out))
-    return keyed.join(flags, on=[label, "_ord"], how="inner").drop("_ord")
+    return cum.withColumn(out, F.col("cum__n") <= quota).drop("_ord", "_n", "tot__n", "cum__n")
 
 
 def except_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

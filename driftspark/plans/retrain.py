@@ -78,7 +78,7 @@ def fit_and_score(lab: DataFrame, key: str, feats, test_fraction: float = TEST_F
     split = sampling.stratified_split(lab, key, "label", test_fraction, seed)
     split = vec.transform(split.withColumn("label", F.col("label").cast("double"))) \
         .select("features", "label", "is_test").checkpoint(eager=True)
-    train = L.with_weights(split.where(~F.col("is_test"))).checkpoint(eager=True)
+    train = L.with_weights(split.where(~F.col("is_test")))  # the optimiser persists its own input
     n_train = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=MAX_ITER,
                             regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
