@@ -753,6 +753,21 @@ def q_wilcoxon(spark, sf):
     return w.select("n", r6("w_plus").alias("w_plus"), r6("pvalue").alias("pvalue"))
 
 
+def q_stream_drift(spark, sf):
+    """The daily-cycle detector as a stream; verdicts of complete cycles."""
+    prepare(spark)
+    events = stream.file_stream(spark, sf, EVENTS_SCHEMA, glob="events.parquet", max_files=1)
+    panes = stream.pane_value_stream(events, "ts", DAY, NO_DELAY, ["value"], ["event_type"])
+    pane_path, ck = stream.new_paths(spark, "panes")
+    verdict_path, _ = stream.new_paths(spark, "verdicts")
+    stream.run_detector(panes, pane_path, verdict_path, DAY, DAY, ["value"], ["event_type"], "value", ck,
+                        monitor.MonitorConfig(score_col="value"))
+    v = spark.read.parquet(verdict_path).drop("epoch")
+    return v.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "drift_any",
+                    r6("p_min").alias("p_min"), r6("reject_share").alias("reject_share"),
+                    F.col("n_tests").cast("long").alias("n_tests"), r6("psi").alias("psi"), "should_trigger")
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -808,6 +823,7 @@ QUERIES = {
     "stage_stats": q_stage_stats,
     "stream_windows": q_stream_windows,
     "stream_policy": q_stream_policy,
+    "stream_drift": q_stream_drift,
     "cycle_tests_daily": q_cycle_tests_daily,
     "cycle_verdict_daily": q_cycle_verdict_daily,
     "metrics_wide_daily": q_metrics_wide_daily,

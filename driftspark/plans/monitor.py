@@ -136,6 +136,22 @@ def snapshot(df: DataFrame, ts: str, now: dt.datetime | str, width: dt.timedelta
     return snapshot_frames(roled, cfg, **kw)
 
 
+def pane_counts(df: DataFrame, ts: str, cols: Sequence[str], value_type: str, step: dt.timedelta,
+                origin=None, null_policy: str = "per_column") -> DataFrame:
+    """(_pane, column_name, value, _n): counts per step-wide pane, column and value."""
+    panes = df.select(windows.pane_index(F.col(ts), step, origin).alias("_pane"), *cols)
+    long = C.to_long(panes, ["_pane"], cols, value_type, "column_name", "value", null_policy)
+    return long.groupBy("_pane", "column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def counts_from_panes(pc: DataFrame, width: dt.timedelta, step: dt.timedelta, origin=None) -> DataFrame:
+    """Pane counts → (cycle_end, column_name, value, n_ref, n_rec) for every cycle."""
+    fan = windows.fan_out_cycles(pc, "_pane", width, step, origin)
+    return (fan.groupBy("cycle_end", "column_name", "value")
+               .agg(F.sum(F.when(F.col("role") == windows.REF, F.col("_n")).otherwise(0)).alias("n_ref"),
+                    F.sum(F.when(F.col("role") == windows.REC, F.col("_n")).otherwise(0)).alias("n_rec")))
+
+
 def cycle_counts(df: DataFrame, ts: str, cols: Sequence[str], value_type: str,
                  width: dt.timedelta, step: dt.timedelta, origin=None,
                  null_policy: str = "per_column") -> DataFrame:
@@ -144,46 +160,30 @@ def cycle_counts(df: DataFrame, ts: str, cols: Sequence[str], value_type: str,
     Counts are taken per (pane, column, value) first; each pane row then fans out to
     its 2W/step cycles and is summed again, so the fan-out multiplies aggregated rows.
     """
-    panes = df.select(windows.pane_index(F.col(ts), step, origin).alias("_pane"), *cols)
-    long = C.to_long(panes, ["_pane"], cols, value_type, "column_name", "value", null_policy)
-    pc = long.groupBy("_pane", "column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    fan = windows.fan_out_cycles(pc, "_pane", width, step, origin)
-    return (fan.groupBy("cycle_end", "column_name", "value")
-               .agg(F.sum(F.when(F.col("role") == windows.REF, F.col("_n")).otherwise(0)).alias("n_ref"),
-                    F.sum(F.when(F.col("role") == windows.REC, F.col("_n")).otherwise(0)).alias("n_rec")))
+    return counts_from_panes(pane_counts(df, ts, cols, value_type, step, origin, null_policy),
+                             width, step, origin)
 
 
-def cycle_tests(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
-                cfg: MonitorConfig | None = None, numeric: Sequence[str] | None = None,
-                categorical: Sequence[str] | None = None, score: str | None = "auto",
-                origin=None) -> dict[str, DataFrame]:
-    """Replay of the loop over all cycles; keyed by ``cycle_end``."""
-    cfg = cfg or MonitorConfig()
-    skip = set(cfg.exclude) | {ts}
-    num = list(numeric) if numeric is not None else C.numeric_columns(df, skip)
-    cat = list(categorical) if categorical is not None else C.string_columns(df, skip)
+def tests_from_cycle_counts(num_counts: DataFrame | None, cat_counts: DataFrame | None,
+                            score_counts: DataFrame | None, cfg: MonitorConfig) -> dict[str, DataFrame]:
+    """KS / chi-squared / PSI and the verdict from per-cycle counts (batch or streaming)."""
     gk = ["cycle_end", "column_name"]
     parts = []
-    if num:
-        nc = cycle_counts(df, ts, num, "double", width, step, origin, cfg.null_policy)
-        ks = D.ks_from_counts(nc, gk, "value", cfg.min_n_test)
+    if num_counts is not None:
+        ks = D.ks_from_counts(num_counts, gk, "value", cfg.min_n_test)
         parts.append(ks.select(*gk, F.lit("ks").alias("test"), "n_ref", "n_rec",
                                F.col("ks_d").alias("stat"), F.col("ks_p").alias("p_value")))
-    if cat:
-        cc = cycle_counts(df, ts, cat, "string", width, step, origin, cfg.null_policy)
-        ch = D.chi2_from_counts(cc, gk, "value", cfg.min_n_test, cfg.yates, cfg.max_categories)
+    if cat_counts is not None:
+        ch = D.chi2_from_counts(cat_counts, gk, "value", cfg.min_n_test, cfg.yates, cfg.max_categories)
         parts.append(ch.select(*gk, F.lit("chi2").alias("test"), "n_ref", "n_rec",
                                F.col("chi2").alias("stat"), F.col("chi2_p").alias("p_value")))
     tests = parts[0]
     for p in parts[1:]:
         tests = tests.unionByName(p)
     tests = _adjusted(tests, ["cycle_end"], cfg).withColumn("drift", F.col("p_value") < cfg.alpha)
-    if score == "auto":
-        score = _resolve_score(num, cfg)
     psi_df = None
-    if score is not None:
-        sc = cycle_counts(df, ts, [score], "double", width, step, origin, cfg.null_policy)
-        psi_df = (D.psi_from_counts(sc, gk, "value", cfg.psi_bins, cfg.psi_eps, cfg.min_n_psi,
+    if score_counts is not None:
+        psi_df = (D.psi_from_counts(score_counts, gk, "value", cfg.psi_bins, cfg.psi_eps, cfg.min_n_psi,
                                     cfg.out_of_range)
                   .withColumnRenamed("column_name", "score_col"))
     pvals = tests.select("cycle_end", "column_name", F.col("p_value").alias("p"))
@@ -192,6 +192,24 @@ def cycle_tests(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
     return {"tests": tests, "psi": psi_df, "verdict": verdict}
 
 
+def cycle_tests(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
+                cfg: MonitorConfig | None = None, numeric: Sequence[str] | None = None,
+                categorical: Sequence[str] | None = None, score: str | None = "auto",
+                origin=None) -> dict[str, DataFrame]:
+    """Replay of the loop over all cycles; keyed by ``cycle_end``."""
+    cfg = cfg or MonitorConfig()
+    skip = set(cfg.exclude) | {ts}
+    num = list(numeric) if numeric is not None else C.numeric_columns(df, skip)
+    cat = list(categorical) if categorical is not None else C.string_columns(df, skip)
+    if score == "auto":
+        score = _resolve_score(num, cfg)
+    nc = cycle_counts(df, ts, num, "double", width, step, origin, cfg.null_policy) if num else None
+    cc = cycle_counts(df, ts, cat, "string", width, step, origin, cfg.null_policy) if cat else None
+    sc = (cycle_counts(df, ts, [score], "double", width, step, origin, cfg.null_policy)
+          if score is not None else None)
+    return tests_from_cycle_counts(nc, cc, sc, cfg)
+
+
 def metrics_long(tests: DataFrame, psi_df: DataFrame | None, keys: Sequence[str],
                  model: str = "fraud", scenario: str = "") -> DataFrame:
     """Long ``metrics(keys..., scenario, model, metric, column, value)`` rows."""

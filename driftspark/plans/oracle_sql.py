@@ -490,6 +490,13 @@ ORACLES = {
         SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n_orders, count(*) FILTER (WHERE drifted)
                AS n_drifted, round(avg(factor), 6) AS avg_factor, round(sum(amount), 6) AS sum_amount
         FROM y GROUP BY 1""",
+    "stream_drift": f"""WITH {_cycle_with()},
+        p AS (SELECT cycle_end, ks_p_raw AS p FROM ks UNION ALL SELECT cycle_end, chi2_p_raw FROM ch)
+        SELECT p.cycle_end, bool_or(p < 0.01) AS drift_any, round(min(p), 6) AS p_min,
+               round(avg(CASE WHEN p < 0.01 THEN 1.0e0 ELSE 0.0e0 END), 6) AS reject_share, count(*) AS n_tests,
+               round(max(ps.psi_raw), 6) AS psi, bool_or(p < 0.01) OR max(ps.psi_raw) > 0.2 AS should_trigger
+        FROM p LEFT JOIN ps USING (cycle_end)
+        WHERE p.cycle_end <= (SELECT max(ts) FROM events) GROUP BY p.cycle_end""",
     "threshold_sweep": f"""WITH c AS ({CYCLE_SUMMARY}),
         g AS (SELECT a.alpha, t.tau FROM (VALUES (0.05e0), (0.01e0), (0.001e0)) a(alpha),
               (VALUES (0.1e0), (0.2e0), (0.3e0)) t(tau))

@@ -157,3 +157,68 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str) -> None:
 
 def new_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return scratch_path(spark, f"{name}-table"), scratch_path(spark, f"{name}-checkpoint")
+
+
+# --- streaming detector (T1-T6 with the full per-cycle tests) -------------------------
+
+def pane_value_stream(stream: DataFrame, ts: str, step: dt.timedelta, delay: dt.timedelta,
+                      numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Closed panes with per-value counts: pane_start, column_name, num, cat, n.
+
+    The state held per open pane is one row per distinct value and column; the
+    watermark bounds the number of open panes.
+    """
+    t = F.col(ts).cast("timestamp")
+    kv = F.explode(F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("num"),
+                   F.lit(None).cast("string").alias("cat")) for c in numeric],
+        *[F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("num"),
+                   F.col(c).cast("string").alias("cat")) for c in categorical])).alias("_kv")
+    x = (stream.withColumn("_t", t).withWatermark("_t", _interval(delay))
+         .select("_t", kv).select("_t", "_kv.*").where(F.col("num").isNotNull() | F.col("cat").isNotNull()))
+    g = x.groupBy(F.window("_t", _interval(step)).alias("_w"), "column_name", "num", "cat").agg(
+        F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("_w.start").alias("pane_start"), "column_name", "num", "cat", "n")
+
+
+def run_detector(panes: DataFrame, pane_path: str, verdict_path: str, width: dt.timedelta,
+                 step: dt.timedelta, numeric: Sequence[str], categorical: Sequence[str],
+                 score: str | None, checkpoint: str, cfg=None) -> None:
+    """foreachBatch: store closed panes, then test the cycles whose last pane just closed.
+
+    Panes are written partitioned by pane index with dynamic overwrite, verdicts one
+    directory per epoch, so a replayed epoch rewrites the same data. Only the panes of
+    the completed cycles are read back (partition pruning on the pane index).
+    """
+    from driftspark.plans import monitor
+    cfg = cfg or monitor.MonitorConfig()
+    step_s = int(step.total_seconds())
+    r = int(width.total_seconds()) // step_s
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        pc = batch.select((F.unix_seconds("pane_start") / step_s).cast("long").alias("_pane"),
+                          "column_name", "num", "cat", F.col("n").alias("_n"))
+        span = pc.agg(F.min("_pane").alias("lo"), F.max("_pane").alias("hi")).first()  # two integers
+        if span is None or span.lo is None:
+            return
+        (pc.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("_pane").parquet(pane_path))
+        spark = batch.sparkSession
+        stored = spark.read.parquet(pane_path).where(F.col("_pane") >= span.lo - 2 * r + 1)
+        done = pc.select((F.col("_pane") + 1).alias("_e")).distinct().select(
+            F.timestamp_seconds(F.col("_e") * step_s).alias("cycle_end"))
+
+        def counts(cols, field):
+            if not cols:
+                return None
+            x = stored.where(F.col("column_name").isin(*cols)).select(
+                "_pane", "column_name", F.col(field).alias("value"), "_n")
+            return monitor.counts_from_panes(x, width, step).join(done, "cycle_end", "left_semi")
+
+        fr = monitor.tests_from_cycle_counts(counts(list(numeric), "num"), counts(list(categorical), "cat"),
+                                             counts([score] if score else [], "num"), cfg)
+        fr["verdict"].write.mode("overwrite").parquet(f"{verdict_path}/epoch={epoch}")
+
+    q = (panes.writeStream.outputMode("append").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
