@@ -233,21 +233,25 @@ def verdict(pvalues: DataFrame, psi_df: DataFrame | None, keys: Sequence[str],
 
     ``pvalues``: (keys..., column, p). drift_any = some p < alpha; should_trigger =
     drift_any OR psi > psi_alert (strict). Also p_min and the share of rejecting columns.
+    The p-value rows and the PSI row of a group are stacked and aggregated once (no
+    join); without keys the result is the single row of one poll.
     """
     keys = list(keys)
-    g = pvalues.groupBy(*keys).agg(
-        F.coalesce(F.bool_or(F.col("p") < alpha), F.lit(False)).alias("drift_any"),
+    rows = pvalues.select(*keys, F.col("p").cast("double").alias("p"), F.lit(None).cast("double").alias("psi"))
+    if psi_df is not None:
+        rows = rows.unionByName(psi_df.select(*keys, F.lit(None).cast("double").alias("p"),
+                                              F.col("psi").cast("double").alias("psi")))
+    drift = F.coalesce(F.bool_or(F.col("p") < alpha), F.lit(False))
+    psi = F.max("psi")
+    g = rows.groupBy(*keys).agg(
+        drift.alias("drift_any"),
         F.min("p").alias("p_min"),
-        F.avg((F.col("p") < alpha).cast("double")).alias("reject_share"),
-        F.count(F.lit(1)).alias("n_tests"),
+        F.avg(F.when(F.col("p").isNotNull(), (F.col("p") < alpha).cast("double"))).alias("reject_share"),
+        F.count("p").alias("n_tests"),
+        psi.alias("psi"),
+        (drift | F.coalesce(psi > psi_alert, F.lit(False))).alias("should_trigger"),
     )
-    if psi_df is not None:
-        g = g.join(psi_df.select(*keys, "psi"), on=keys, how="full_outer")
-        trig = F.coalesce(F.col("drift_any"), F.lit(False)) | F.coalesce(F.col("psi") > psi_alert, F.lit(False))
-    else:
-        g = g.withColumn("psi", F.lit(None).cast("double"))
-        trig = F.coalesce(F.col("drift_any"), F.lit(False))
-    return g.withColumn("should_trigger", trig)
+    return g
 
 
 def dkw_band(ks: DataFrame, gamma: float = 0.05) -> DataFrame:

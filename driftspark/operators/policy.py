@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.operators import ranks
+from driftspark.session import work_dir
 
 # Policy defaults of the monitored loop.
 COOLDOWN = dt.timedelta(seconds=300)
@@ -90,6 +91,9 @@ def apply_policy(verdicts: DataFrame, keys: Sequence[str], cycle: str, trigger:
     v = verdicts.select(*keys, (F.unix_seconds(F.col(cycle).cast("timestamp")) / step_s).cast("long").alias("_i"),
                         F.col(trigger).cast("boolean").alias("_x"))
     v = v.groupBy(*keys, "_i").agg(F.bool_or("_x").alias("_x"))
+    # one row per cycle and model; used for the span and the grid, so written once
+    work_dir(verdicts.sparkSession)
+    v = v.checkpoint(eager=True)
     span = v.groupBy(*keys).agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
     # grid of chunks per model, then cycles per chunk (each chunk at most ``chunk`` rows)
     chunks = span.select(*keys, "_lo", "_hi", F.explode(F.sequence(
