@@ -48,10 +48,17 @@ def scenario_order(runs: DataFrame, scenario: str, ordinal: str) -> DataFrame:
 
 
 def scenario_pairs(order: DataFrame, scenario: str) -> DataFrame:
-    """Every pair (A, B) with A before B, as a theta join of the small scenario table."""
-    a = order.select(F.col(scenario).alias("A"), F.col("scenario_rank").alias("a_rank"))
-    b = order.select(F.col(scenario).alias("B"), F.col("scenario_rank").alias("b_rank"))
-    return a.join(b, F.col("a_rank") < F.col("b_rank"))
+    """Every pair (A, B) with A before B.
+
+    The scenario list (one row per scenario) becomes one sorted array; the pairs are
+    generated from it with array functions and exploded, so no join is planned.
+    """
+    arr = order.agg(F.array_sort(F.collect_list(F.struct(F.col("scenario_rank").alias("r"),
+                                                         F.col(scenario).alias("s")))).alias("_a"))
+    pairs = F.flatten(F.transform("_a", lambda a: F.transform(
+        F.filter("_a", lambda b: b["r"] > a["r"]),
+        lambda b: F.struct(a["s"].alias("A"), b["s"].alias("B"), a["r"].alias("a_rank"), b["r"].alias("b_rank")))))
+    return arr.select(F.explode(pairs).alias("_p")).select("_p.A", "_p.B", "_p.a_rank", "_p.b_rank")
 
 
 def to_long_metrics(runs: DataFrame, scenario: str, metrics: Sequence[str]) -> DataFrame:
