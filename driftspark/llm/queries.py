@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from driftspark.llm.jaccard_join import op6_query
 from driftspark.llm.substring_dedup import op8_query
 
 QUERIES = {
+    "op6_jaccard_join": op6_query,
     "op8_substring_dedup": op8_query,
 }
