@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from driftspark.llm import shared, words
 
 LAST = np.iinfo(np.int64).max
-PIECE_WORDS = 4_000_000
-BLOCK_BYTES = 18_000_000
+PIECE_WORDS = 1_500_000
+BLOCK_BYTES = 12_000_000
 _KEY, _MARKS = "_sd_key", "_sd_marks"
 _SENT = "block int, id long, payload binary"
 _MARKED = f"{_KEY} long, marks binary"
