@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from driftspark.llm.jaccard_join import op6_query
+from driftspark.llm.packing import op1_query
+from driftspark.llm.quality import op10_query
 from driftspark.llm.substring_dedup import op8_query
 
 QUERIES = {
+    "op1_packing": op1_query,
     "op6_jaccard_join": op6_query,
     "op8_substring_dedup": op8_query,
+    "op10_quality_classifier": op10_query,
 }
