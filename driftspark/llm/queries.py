@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from driftspark.llm.jaccard_join import op6_query
+from driftspark.llm.neighbours import op9_query
 from driftspark.llm.packing import op1_query
 from driftspark.llm.quality import op10_query
 from driftspark.llm.substring_dedup import op8_query
@@ -11,5 +12,6 @@ QUERIES = {
     "op1_packing": op1_query,
     "op6_jaccard_join": op6_query,
     "op8_substring_dedup": op8_query,
+    "op9_nearest_neighbours": op9_query,
     "op10_quality_classifier": op10_query,
 }
