@@ -13,13 +13,15 @@ least 0.75, decided by the integers ``100 * intersection >= 75 * union``.
    shingles in that order. These entries meet in blocks of the hash range. A column of
    the block is the list of documents that hold a shingle; it is cut where sizes leave
    the bound ``min size >= 0.75 * max size``, and equal lists are kept once.
-4. Products. Each list is first tested against one hub (its smallest id), then, for lists
-   that this leaves in several components, between components. So a group of copies costs
-   a row per member, and no link between components is missed. Overlaps are counted on
-   the whole sets, which are recomputed from the texts that take part.
+4. Products. Each list is first tested against one hub (its smallest id). Lists that this
+   leaves in several components are multiplied in tiles of TILE by TILE sets: the product
+   of the incidence matrices accumulates all overlaps of a tile, pairs below the bound are
+   dropped there, and a tile gives no more links than connect what it found connected. So
+   a group of copies costs rows by its members, not by its pairs, and no link between
+   components is missed. Sets are recomputed from the texts that take part.
 
-Lists longer than PIECE members are cut into pieces that meet pairwise, and a shingle more
-frequent than SALT_DF is dealt over several groups, so no group is collected into one task.
+Lists are kept in pieces of PIECE members, and a shingle more frequent than SALT_DF is
+dealt over several groups, so no group is collected into one task.
 
 Defined results: null or blank text has an empty set, linked with nothing. A null id counts
 as the largest. Rows that share an id are one node. Hashes have 64 bits for set sizes and
@@ -45,7 +47,8 @@ BLOCK_BYTES = 18_000_000
 PIECE_ENTRIES = 2_000_000
 PIECE = 4096
 SALT_DF = 1 << 18
-GROUP_SHINGLES = 400_000
+GROUP_SHINGLES, GROUP_MEMBERS = 100_000, 128
+TILE, TILE_SHINGLES = 256, 200_000
 _KEY = "_jj_key"
 
 
@@ -272,7 +275,7 @@ def _overlaps(batches):
 def _verified(pairs_of: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b, n) whose whole sets link. ``n`` is the size of b."""
     pairs = shared.staged(pairs_of.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
-    work = pairs.groupBy("a").agg((1 + F.floor(F.sum("n") / GROUP_SHINGLES)).cast("long").alias("groups"))
+    work = pairs.groupBy("a").agg((1 + F.floor(F.greatest(F.sum("n") / GROUP_SHINGLES, F.count(F.lit(1)) / GROUP_MEMBERS))).cast("long").alias("groups"))
     asked = pairs.join(work, "a").select("a", "b", F.expr("pmod(xxhash64(b), groups)").alias("grp"))
     member = asked.select(F.col("b").alias(_KEY), F.struct(F.col("a").alias("hub"), "grp", F.lit(1).alias("role")).alias("want"))
     hub = asked.select("a", "grp").distinct().select(F.col("a").alias(_KEY), F.struct(F.col("a").alias("hub"), "grp", F.lit(0).alias("role")).alias("want"))
@@ -284,18 +287,123 @@ def _verified(pairs_of: DataFrame, docs: DataFrame) -> DataFrame:
     return shared.staged(links.distinct(), "linked")
 
 
-def _across(batches):
-    """Pairs of members of two pieces (or of one) that lie in different components."""
+_PLACED = pa.schema([("tile", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("shingles", pa.binary())])
+
+
+def _placed(batches):
+    """Each text's packed set, once for each tile that it is a row or a column of."""
+    for batch in batches:
+        tiles, sides, component = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        for lo, _, key, g, n in _sets(batch):
+            end = np.cumsum(n)
+            for i in range(len(n)):
+                blob = words.pack(np.unique(g[end[i] - n[i]:end[i]] >> np.uint64(16)))
+                step = max(1, (1 << 24) // len(blob))
+                for at in range(0, len(tiles[lo + i]), step):
+                    some = tiles[lo + i][at:at + step]
+                    k = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sides[lo + i][at:at + step], pa.int32()), pa.array([int(key[i])] * k, pa.int64()),
+                                                      pa.array([int(n[i])] * k, pa.int64()), pa.array([component[lo + i]] * k, pa.int64()), pa.array([blob] * k, pa.binary())], schema=_PLACED)
+
+
+def _incidence(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sets = [words.unpack(x)[0] for x in blobs]
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+
+def overlap_counts(left: list[bytes], right: list[bytes], step: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two blocks of sets: the product of their incidence
+    matrices, accumulated over blocks of the shingles that both sides hold."""
+    (a, row), (b, column) = _incidence(left), _incidence(right)
+    both = np.intersect1d(a, b)
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    at_a, at_b = np.searchsorted(both, a), np.searchsorted(both, b)
+    in_a = both[np.minimum(at_a, len(both) - 1)] == a if len(both) else np.zeros(len(a), bool)
+    in_b = both[np.minimum(at_b, len(both) - 1)] == b if len(both) else np.zeros(len(b), bool)
+    for lo in range(0, len(both), step):
+        x, y = (np.zeros((len(side), step), dtype=np.float32) for side in (left, right))
+        some_a, some_b = in_a & (at_a >= lo) & (at_a < lo + step), in_b & (at_b >= lo) & (at_b < lo + step)
+        x[row[some_a], at_a[some_a] - lo] = 1
+        y[column[some_b], at_b[some_b] - lo] = 1
+        total += x @ y.T
+    return total.astype(np.int64)
+
+
+def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many of the pairs as connect what they connect."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for a, b in pairs:
+        if (x := find(a)) != (y := find(b)):
+            root[y] = x
+            out.append((a, b))
+    return out
+
+
+def _tile_links(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Components that links of one tile join. Rows are (side, n, component, shingles)."""
+    left = [r for r in rows if r[0] == 0]
+    right = [r for r in rows if r[0] == 1] or left
+    if not left or len({r[2] for r in rows}) < 2:
+        return []
+    n, m = (np.array([r[1] for r in side])[:, None] for side in (left, right))
+    c, d = (np.array([r[2] for r in side])[:, None] for side in (left, right))
+    both = overlap_counts([r[3] for r in left], [r[3] for r in right])
+    i, j = np.nonzero((c != d.T) & (100 * both >= 75 * (n + m.T - both)) & (both > 0))
+    return spanning(sorted(set(zip(c[i, 0].tolist(), d[j, 0].tolist()))))
+
+
+def _tiles(batches):
+    """Rows come sorted by tile; each tile's product is taken when it is complete."""
+    now, rows = None, []
     for batch in batches:
-        for same, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = ((np.array([p[f] for p in side], dtype=np.int64) for f in ("id", "n", "component")) for side in (left, right))
-            (xi, xn, xc), (yi, yn, yc) = x, y
-            for i in range(len(xi)):
-                ok = (yc != xc[i]) & (4 * np.minimum(yn, xn[i]) >= 3 * np.maximum(yn, xn[i])) & ((yi > xi[i]) if same else True)
-                if ok.any():
-                    swap = yi[ok] < xi[i]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, yi[ok], xi[i])), pa.array(np.where(swap, xi[i], yi[ok])),
-                                                      pa.array(np.where(swap, xn[i], yn[ok]))], names=["a", "b", "n"])
+        out = []
+        for tile, *rest in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
+            if tile != now:
+                out += _tile_links(rows)
+                now, rows = tile, []
+            rows.append(rest)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    if out := _tile_links(rows):
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that lists leave open. ``members``: (run, id, n, component).
+
+    A document's group is the longest open list that it is in, so that lists with nearly the
+    same members are one group. Groups that meet in a list are multiplied block by block.
+    """
+    members = shared.staged(members.distinct(), "open")
+    sized = members.groupBy("run").agg(F.count(F.lit(1)).alias("size"))
+    grouped = shared.staged(members.join(sized, "run").groupBy("id").agg(F.max(F.struct("size", "run"))["run"].alias("grp"), F.max("n").alias("n"), F.first("component").alias("component")), "groups")
+    blocks = grouped.groupBy("grp").agg((1 + F.floor(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES))).cast("int").alias("blocks"),
+                                        F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = shared.staged(blocks, "blocks")
+    met = members.select("run", "id").join(grouped.select("id", "grp"), "id").select("run", "grp").distinct()
+    pairs = met.join(met.select("run", F.col("grp").alias("grp2")), "run").where("grp <= grp2").select("grp", "grp2").distinct()
+    pairs = (pairs.join(blocks, "grp").join(blocks.select(F.col("grp").alias("grp2"), F.col("blocks").alias("blocks2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "grp2")
+             .where(F.least("lo", "lo2") != F.greatest("hi", "hi2")).select("grp", "grp2", "blocks", "blocks2"))
+    pairs = shared.staged(pairs, "meetings")
+    placed = grouped.join(blocks.select("grp", "blocks"), "grp").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    tile = F.xxhash64("grp", "grp2", "b1", "b2").alias("tile")
+    some = placed.select("id", "component", "grp", "block")
+    rows = some.join(pairs, "grp").select("id", "component", "grp", "grp2", F.col("block").alias("b1"), F.explode(F.expr("sequence(if(grp = grp2, block, 0), blocks2 - 1)")).alias("b2"), F.lit(0).alias("side"))
+    columns = (some.withColumnRenamed("grp", "grp2").join(pairs, "grp2").select("id", "component", "grp", "grp2", F.explode(F.expr("sequence(0, if(grp = grp2, block, blocks - 1))")).alias("b1"), F.col("block").alias("b2"), F.lit(1).alias("side"))
+               .where("grp <> grp2 or b1 <> b2"))
+    wants = rows.unionByName(columns).select("id", "component", F.struct(tile, "side").alias("want"))
+    wants = shared.staged(wants.groupBy(F.col("id").alias(_KEY)).agg(F.first("component").alias("component"), F.collect_list("want").alias("want"))
+                          .select(_KEY, F.col("want.tile").alias("tile"), F.col("want.side").alias("side"), "component"), "wants")
+    texts = shared.on_ids(docs, wants, _KEY, "left_semi").join(wants, _KEY).select(_KEY, "text", "tile", "side", "component")
+    sets = texts.mapInArrow(_placed, "tile long, side int, id long, n long, component long, shingles binary")
+    return shared.staged(sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").distinct(), "across")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,15 +446,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verified(stars, nodes)
     found = shared.staged(components(links), "components")
 
-    rest = (lists.where("many or size(members) > 2").select("run", "many", "piece", member.alias("m"))
+    rest = (lists.where("many or size(members) > 2").select("run", member.alias("m"))
             .join(found.withColumnRenamed("node", "_n"), F.col("m.id") == F.col("_n"), "left")
-            .select("run", "many", "piece", F.struct("m.id", "m.n", F.coalesce("component", "m.id").alias("component")).alias("m")))
+            .select("run", "m.id", "m.n", F.coalesce("component", "m.id").alias("component")))
     rest = shared.staged(rest, "labelled")
-    open_runs = rest.groupBy("run").agg(F.min("m.component").alias("lo"), F.max("m.component").alias("hi")).where("lo < hi").select("run")
-    pieces = shared.staged(rest.join(open_runs, "run", "left_semi").groupBy("run", "piece").agg(F.collect_list("m").alias("ms")), "pieces")
-    other = pieces.select("run", F.col("piece").alias("piece2"), F.col("ms").alias("ms2"))
-    met = pieces.join(other, "run").where("piece <= piece2").select((F.col("piece") == F.col("piece2")).alias("same"), "ms", "ms2")
-    more = _verified(met.mapInArrow(_across, "a long, b long, n long"), nodes)
+    open_runs = rest.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
+    more = _across(rest.join(open_runs, "run", "left_semi"), nodes)
     found = shared.staged(components(links.unionByName(more)), "components")
 
     labels = heads.join(found, heads["head"] == found["node"], "left").select("sig", F.coalesce("component", "head").alias("component"))
