@@ -39,21 +39,47 @@ LAST = np.iinfo(np.int64).max
 PIECE_WORDS = 1_500_000
 BLOCK_BYTES = 12_000_000
 _KEY, _MARKS = "_sd_key", "_sd_marks"
-_SENT = "block int, id long, payload binary"
-_MARKED = f"{_KEY} long, marks binary"
+_SENT = "block int, settled boolean, payload binary"
 
 
-def _rows(block, ids, payload) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(ids, pa.int64()), pa.array(payload, pa.binary())],
-                                      names=["block", "id", "payload"])
+def _rows(block: list[int], settled: bool, payload: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([settled] * len(block), pa.bool_()), pa.array(payload, pa.binary())],
+                                      names=["block", "settled", "payload"])
 
 
-def _marks_by_id(ids: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Values gathered per id, as bytes of 64-bit hashes."""
-    order = np.argsort(ids, kind="stable")
+def _settled(values: np.ndarray, ids: np.ndarray, blocks: int, width: int) -> pa.RecordBatch:
+    """Marks (document, hash) that a piece could settle itself, by the hash's block."""
+    order = np.argsort(values, kind="stable")
+    values, ids = values[order], ids[order]
+    out = [(k, words.pack(values[a:b], ids[a:b])) for k, a, b in words.by_block(values, blocks, width)]
+    return _rows([k for k, _ in out], True, [p for _, p in out])
+
+
+def _spread(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
+    """Marks by bucket of the document id: a row per bucket, not one per document."""
+    bucket = words.mix(ids.view(np.uint64)) % np.uint64(buckets)
+    order = np.lexsort((values, ids.view(np.uint64), bucket))
+    bucket, ids, values = bucket[order], ids[order], values[order]
+    start, _ = _runs(bucket)
+    stop = np.append(start[1:], len(bucket))
+    return pa.table({"bucket": pa.array(bucket[start].astype(np.int32)),
+                     "payload": pa.array([words.pack(ids[a:b].view(np.uint64), values[a:b]) for a, b in zip(start, stop)], pa.binary())})
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row per document of a bucket: its marks as bytes of 64-bit hashes."""
+    parts = [words.unpack(x) for x in table.column("payload").to_pylist()]
+    ids, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.lexsort((values, ids))
     ids, values = ids[order], values[order]
-    at = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
-    return ids[at].tolist(), [x.tobytes() for x in np.split(values, at[1:])] if len(ids) else []
+    start, _ = _runs(ids)
+    stop = np.append(start[1:], len(ids))
+    return pa.table({_KEY: pa.array(ids[start].view(np.int64)), _MARKS: pa.array([values[a:b].tobytes() for a, b in zip(start, stop)], pa.binary())})
+
+
+def _met(table: pa.Table, settled: bool) -> list[bytes]:
+    chosen = table.column("settled").to_numpy(zero_copy_only=False) == settled
+    return table.column("payload").filter(pa.array(chosen)).to_pylist()
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,21 +129,26 @@ def _anchors(b: int, blocks: int):
                 aligned = np.bitwise_or.reduceat(entry & np.uint64(1), start) if len(start) else entry
                 within = np.arange(len(entry)) - start[of]
                 doc = ((entry & np.uint64(0xFFFFFE)) >> np.uint64(1)).astype(np.int64) + at
-                marked, marks = _marks_by_id(docs[doc[shared_here]], entry[shared_here] >> np.uint64(24))
-                yield _rows([x % blocks for x in marked], marked, marks)
+                yield _settled(entry[shared_here] >> np.uint64(24), docs[doc[shared_here]], blocks, 40)
                 sent = np.where(shared_here, entry | aligned[of], entry)[within < 2]
                 out = [(k, words.pack(sent[lo:hi], np.diff(docs[at:at + (1 << 22)], prepend=0).astype(np.int64)))
                        for k, lo, hi in words.by_block(sent, blocks, 64)]
-                yield _rows([k for k, _ in out], [None] * len(out), [p for _, p in out])
+                yield _rows([k for k, _ in out], False, [p for _, p in out])
 
     return run
 
 
-def _meet_anchors(table: pa.Table) -> pa.Table:
+def _done(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Marks that the pieces had settled: hashes and documents."""
+    found = [words.unpack(x) for x in _met(table, True)]
+    return [np.zeros(0, np.uint64), *(x[0] for x in found)], [np.zeros(0, np.int64), *(x[1].view(np.int64) for x in found)]
+
+
+def _meet_anchors(table: pa.Table, buckets: int) -> pa.Table:
     """Reduce side of step 1: hashes in two documents or more, at a block's place in one."""
-    ids, marks = _passed_on(table)
+    marks, ids = _done(table)
     values, docs = [], []
-    for blob in table.column("payload").filter(table.column("id").is_null()).to_pylist():
+    for blob in _met(table, False):
         entry, known = words.unpack(blob)
         known = np.cumsum(known.astype(np.int64))
         values.append((entry >> np.uint64(24)) << np.uint64(1) | (entry & np.uint64(1)))
@@ -128,18 +159,13 @@ def _meet_anchors(table: pa.Table) -> pa.Table:
         value, doc = value[order], doc[order]
         start, of = _runs(value >> np.uint64(1))
         hit = (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)) & np.bitwise_or.reduceat(value & np.uint64(1), start).astype(bool)
-        more, more_marks = _marks_by_id(doc[hit[of]], value[hit[of]] >> np.uint64(1))
-        ids, marks = ids + more, marks + more_marks
-    return pa.table({_KEY: pa.array(ids, pa.int64()), "marks": pa.array(marks, pa.binary())})
-
-
-def _passed_on(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    settled = table.filter(table.column("id").is_valid())
-    return settled.column("id").to_pylist(), settled.column("payload").to_pylist()
+        marks.append(value[hit[of]] >> np.uint64(1))
+        ids.append(doc[hit[of]])
+    return _spread(np.concatenate(ids), np.concatenate(marks), buckets)
 
 
-def _hashes(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in parts or [] if x), dtype=np.uint64)
+def _hashes(marks: bytes | None) -> np.ndarray:
+    return np.frombuffer(marks or b"", dtype=np.uint64)
 
 
 def _windows(b: int, n: int, blocks: int):
@@ -169,11 +195,10 @@ def _windows(b: int, n: int, blocks: int):
             start, of = _runs(value)
             least = doc[start][of]
             later = doc > least
-            marked, marks = _marks_by_id(docs[doc[later]], value[later])
-            yield _rows([x % blocks for x in marked], marked, marks)
+            yield _settled(value[later], docs[doc[later]], blocks, 64)
             sent, first = value[start], docs[doc[start]]
             out = [(k, words.pack(sent[lo:hi], *_coded(first[lo:hi]))) for k, lo, hi in words.by_block(sent, blocks, 64)]
-            yield _rows([k for k, _ in out], [None] * len(out), [p for _, p in out])
+            yield _rows([k for k, _ in out], False, [p for _, p in out])
 
     return run
 
@@ -183,11 +208,11 @@ def _coded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(known, prepend=0), which.astype(np.uint32)
 
 
-def _meet_windows(table: pa.Table) -> pa.Table:
+def _meet_windows(table: pa.Table, buckets: int) -> pa.Table:
     """Reduce side of step 2: windows that start in a document with a smaller id."""
-    ids, marks = _passed_on(table)
+    marks, ids = _done(table)
     values, docs = [], []
-    for blob in table.column("payload").filter(table.column("id").is_null()).to_pylist():
+    for blob in _met(table, False):
         value, known, which = words.unpack(blob)
         values.append(value)
         docs.append(np.cumsum(known.astype(np.int64))[which])
@@ -197,9 +222,9 @@ def _meet_windows(table: pa.Table) -> pa.Table:
         value, doc = value[order], doc[order]
         start, of = _runs(value)
         later = doc > np.minimum.reduceat(doc, start)[of]
-        more, more_marks = _marks_by_id(doc[later], value[later])
-        ids, marks = ids + more, marks + more_marks
-    return pa.table({_KEY: pa.array(ids, pa.int64()), "marks": pa.array(marks, pa.binary())})
+        marks.append(value[later])
+        ids.append(doc[later])
+    return _spread(np.concatenate(ids), np.concatenate(marks), buckets)
 
 
 def _cut(text: str, hashes: np.ndarray, n: int) -> tuple[str, int, int]:
@@ -234,10 +259,10 @@ def _finish(text_at: int, marks_at: int | None, n: int, schema: pa.Schema):
     return run
 
 
-def _exchange(rows: DataFrame, meet, name: str) -> DataFrame:
-    """Hash ranges meet, results are gathered per document id and written once."""
-    met = rows.groupBy("block").applyInArrow(meet, _MARKED)
-    return shared.staged(met.groupBy(_KEY).agg(F.collect_list("marks").alias(_MARKS)), name)
+def _exchange(rows: DataFrame, meet, buckets: int, name: str) -> DataFrame:
+    """Hash ranges meet, marks are gathered per document id and written once."""
+    met = rows.groupBy("block").applyInArrow(lambda table: meet(table, buckets), "bucket int, payload binary")
+    return shared.staged(met.groupBy("bucket").applyInArrow(_gather, f"{_KEY} long, {_MARKS} binary"), name)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13) -> DataFrame:
@@ -252,9 +277,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))
     pairs = docs.select(key.alias(_KEY), F.col(text_col).alias("_sd_text"))
 
-    hits = _exchange(pairs.mapInArrow(_anchors(b, blocks), _SENT), _meet_anchors, "anchors")
+    hits = _exchange(pairs.mapInArrow(_anchors(b, blocks), _SENT), _meet_anchors, blocks, "anchors")
     near = shared.on_ids(pairs, hits, _KEY, "left_semi").join(hits, _KEY)
-    repeats = _exchange(near.mapInArrow(_windows(b, n, blocks), _SENT), _meet_windows, "repeats")
+    repeats = _exchange(near.mapInArrow(_windows(b, n, blocks), _SENT), _meet_windows, blocks, "repeats")
 
     keyed = docs.withColumn(_KEY, key)
     out = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),
