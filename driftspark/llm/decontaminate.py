@@ -1,6 +1,6 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased; shingles are 5 words. A document leaks an
+Words are lower-cased runs between white space (0x20, 0x09-0x0D); shingles are 5 words. A document leaks an
 item if a window of the item's number of words (or the whole document, where it is shorter)
 has a weighted Jaccard similarity of at least 0.75 to it: the sum of the smaller counts of
 each shingle over the sum of the larger.
@@ -40,7 +40,7 @@ BLOCKS, BLOCK_BITS, NEAR = 4, 15, 3
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
 
 
 def shingles(words: str) -> Column:
@@ -49,24 +49,23 @@ def shingles(words: str) -> Column:
     return F.expr(f"transform(sequence(0, size({words}) - {SIZE}), i -> xxhash64({at}))")
 
 
-def fingerprint(words: Column) -> Column:
-    """SimHash of an array of words: bit is set where more than half of the words set it."""
-    ones = sum(1 << (LANE * i) for i in range(LANES))
-    tops = ones << (LANE - 1)
-    zero = F.array(*[F.lit(0).cast("long")] * LONGS)
-
-    def add(total: Column, word: Column) -> Column:
-        return F.array(*[total[k] + F.xxhash64(word, F.lit(k)).bitwiseAND(F.lit(ones)) for k in range(LONGS)])
+def _hashed(words: str) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x)).alias(words)
 
-    def bits(x: Column, half: Column, k: int) -> Column:
-        over = (x[k] + F.lit(ones) * ((1 << (LANE - 1)) - 1 - half)).bitwiseAND(F.lit(tops))
-        parts = [F.shiftright(over, LANE * (i + 1) - 1).bitwiseAND(F.lit(1)) * (1 << (LANES * k + i)) for i in range(LANES)]
-        return sum(parts[1:], parts[0])
 
-    # wrapped in an array so that the counts are computed once, not once for each bit
-    counted = F.array(F.struct(F.aggregate(words, zero, add).alias("x"), F.floor(F.size(words) / 2).cast("long").alias("half")))
-    joined = F.transform(counted, lambda c: sum([bits(c.x, c.half, k) for k in range(1, LONGS)], bits(c.x, c.half, 0)))
-    return joined[0]
+def fingerprints(rows: DataFrame, keys: list[str], words: Column) -> DataFrame:
+    """SimHash of an array of words per row: a bit is set where more than half of the words
+    set it. ``keys`` tell rows apart and are what stays, with ``fp``."""
+    ones = sum(1 << (LANE * i) for i in range(LANES))
+    top = (1 << (LANE - 1)) - 1
+    each = rows.select(*keys, F.explode(words).alias("_w"))
+    sums = [F.sum(F.xxhash64("_w", F.lit(k)).bitwiseAND(F.lit(ones))).alias(f"_x{k}") for k in range(LONGS)]
+    counted = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    bits = []
+    for k in range(LONGS):
+        over = F.col(f"_x{k}") + F.lit(ones) * (top - F.floor(F.col("_n") / 2))
+        bits += [F.shiftright(over, LANE * (i + 1) - 1).bitwiseAND(F.lit(1)) * (1 << (LANES * k + i)) for i in range(LANES)]
+    return counted.select(*keys, sum(bits[1:], bits[0]).alias("fp"))
 
 
 def block_value(fp: str, b: int) -> Column:
@@ -84,36 +83,44 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     parts = items.select(F.col(item_id).alias("item"), word_array(F.col(item_text)).alias("all"))
     cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("all") - 1) / PART).cast("int")))
     parts = parts.select("item", "all", F.explode(cuts).alias("part")).select("item", "part", F.expr(f"slice(all, part * {PART} + 1, {PART})").alias("w"))
-    parts = parts.where(F.size("w") >= SIZE)
-    parts = shared.staged(parts.select("item", "part", F.size("w").alias("size"), shingles("w").alias("shingles"), fingerprint(F.col("w")).alias("fp")), "items")
+    # rows that repeat an item are one; two texts of one id are told apart by their hash
+    parts = parts.where(F.size("w") >= SIZE).withColumn("text", F.xxhash64("w")).dropDuplicates(["item", "part", "text"])
+    parts = shared.staged(parts.select("item", "part", "text", _hashed("w"), F.size("w").alias("size"), shingles("w").alias("shingles")), "items")
     sizes = [r["size"] for r in parts.select("size").distinct().collect()]  # numbers up to PART
+    marked = fingerprints(parts, ["item", "part", "text", "size"], F.col("w"))
 
     known = parts.select(F.explode("shingles").alias("h")).distinct()
     known = F.broadcast(known) if shared.small(known) else known
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), word_array(F.col(text_col)).alias("w")).where(F.size("w") >= SIZE)
+    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
+    rows = docs.select(key, word_array(F.col(text_col)).alias("w")).where(F.size("w") >= SIZE)
     hits = rows.select("key", F.posexplode(shingles("w")).alias("p", "h")).join(known, "h")
     hits = shared.staged(hits.groupBy("key").agg(F.sort_array(F.collect_set("p")).alias("hits")), "hits")
 
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), key, F.col(text_col).alias("text"))
     near = shared.on_ids(source, hits, "key", "left_semi").join(hits, "key").select("id", "key", "hits", word_array(F.col("text")).alias("w")).dropDuplicates(["key"])
-    near = shared.staged(near.select("id", "key", "hits", "w", shingles("w").alias("shingles")), "near")
-
-    spans = near.select("id", "key", "w", "shingles", F.explode(_spans(sizes)).alias("x")).select("id", "key", "w", "shingles", "x.size", "x.words", F.explode("x.starts").alias("start"))
-    window = spans.select("id", "key", "size", "start", "words", F.expr("slice(shingles, start + 1, words - 4)").alias("ws"), fingerprint(F.expr("slice(w, start + 1, words)")).alias("fp"))
-    index = parts.select("item", "part", "size", F.col("fp").alias("item_fp"), F.col("shingles").alias("its"),
-                         F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block_value("fp", b).alias("v")) for b in range(BLOCKS)])).alias("x"))
-    index = index.select("item", "part", "size", "item_fp", "x.b", F.explode(F.transform(F.array(*map(F.lit, near_masks())), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
+    near = near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    near = shared.staged(near.select("id", "key", "hits", _hashed("w"), shingles("w").alias("shingles")), "near")
+
+    spans = near.select("key", "w", F.explode(_spans(sizes)).alias("x")).select("key", "w", "x.size", "x.words", F.explode("x.starts").alias("start"))
+    window = fingerprints(spans, ["key", "size", "words", "start"], F.expr("slice(w, start + 1, words)"))
+    blocks = F.array(*[F.struct(F.lit(b).alias("b"), block_value("fp", b).alias("v")) for b in range(BLOCKS)])
+    index = marked.select("item", "part", "text", "size", F.col("fp").alias("item_fp"), F.explode(blocks).alias("x"))
+    index = index.select("item", "part", "text", "size", "item_fp", "x.b", F.explode(F.transform(F.array(*map(F.lit, near_masks())), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
     index = shared.staged(index, "index")
-    probes = window.withColumn("x", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block_value("fp", b).alias("v")) for b in range(BLOCKS)]))).select("*", "x.b", "x.v").drop("x")
+    probes = window.withColumn("x", F.explode(blocks)).select("key", "size", "words", "start", "fp", "x.b", "x.v")
     met = probes.join(F.broadcast(index) if shared.small(index) else index, ["size", "b", "v"])
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # a pair that meets in several blocks goes on from the first of them
     first = F.coalesce(*[F.when(F.bit_count(block_value("fp", b).bitwiseXOR(block_value("item_fp", b))) <= NEAR, F.lit(b)) for b in range(BLOCKS)])
-    met = met.where(F.col("b") == first)
-    texts = parts.select("item", "part", F.col("shingles").alias("its"))
-    met = met.join(F.broadcast(texts) if shared.small(texts, 20_000) else texts, ["item", "part"])
+    met = shared.staged(met.where(F.col("b") == first).select("key", "start", "words", "item", "part", "text"), "candidates")
+
+    texts = parts.select("item", "part", "text", F.col("shingles").alias("its"))
+    met = met.join(F.broadcast(texts) if shared.small(texts, 20_000) else texts, ["item", "part", "text"])
+    met = met.join(near.select("id", "key", "shingles"), "key").select("id", "item", "start", "words", "its", F.expr("slice(shingles, start + 1, words - 4)").alias("ws"))
+    once = lambda c: F.size(F.array_distinct(c)) == F.size(c)
     count = lambda a, v: F.size(F.filter(a, lambda y: y == v))
-    both = F.aggregate(F.array_distinct("ws"), F.lit(0), lambda a, v: a + F.least(count(F.col("ws"), v), count(F.col("its"), v)))
+    counted = F.aggregate(F.array_distinct("ws"), F.lit(0), lambda a, v: a + F.least(count(F.col("ws"), v), count(F.col("its"), v)))
+    both = F.when(once("ws") | once("its"), F.size(F.array_intersect("ws", "its"))).otherwise(counted)
     met = met.withColumn("both", both).where("4 * both >= 3 * (size(ws) + size(its) - both)")
     found = F.col("both") / (F.size("ws") + F.size("its") - F.col("both"))
     best = met.groupBy("id", "item").agg(F.min(F.struct((-found).alias("s"), "start", "words")).alias("x"))
@@ -121,8 +128,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def _spans(sizes: list[int]) -> Column:
-    """For each item size, the starts of windows dense in hits. Among the first (allowed misses
-    + 1) places of such a window is a hit, and enough further hits follow inside."""
+    """For each item size, the starts of windows dense in hits: at a hit (or as late as the text
+    allows), with enough further hits inside."""
     table = F.array(*[F.struct(F.lit(n).alias("size"), F.lit(n - SIZE + 1).alias("s")) for n in sorted(sizes)]) if sizes else F.array().cast("array<struct<size:int,s:int>>")
     sized = F.transform(table, lambda x: F.struct(x.size.alias("size"), F.least(x.size, F.size("w")).alias("words"),
                                                   F.least(x.s, F.size("w") - (SIZE - 1)).alias("s"),
@@ -131,11 +138,11 @@ def _spans(sizes: list[int]) -> Column:
 
     def starts(x: Column) -> Column:
         def from_hit(k: Column) -> Column:
-            first, last = F.col("hits")[k], F.col("hits")[k + x.need - 1]
-            return F.filter(F.transform(F.sequence(F.lit(0), x.s - x.need), lambda j: first - j),
-                            lambda st: (st >= 0) & (st <= F.size("w") - x.words) & (last < st + x.s))
+            start = F.least(F.col("hits")[k], F.size("w") - x.words)
+            return F.when(F.col("hits")[k + x.need - 1] < start + x.s, start)
 
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("hits") - x.need), from_hit)))
+        found = F.transform(F.sequence(F.lit(0), F.size("hits") - x.need), from_hit)
+        return F.array_distinct(F.filter(found, lambda st: st.isNotNull()))
 
     return F.transform(sized, lambda x: F.struct(x.size.alias("size"), x.words.alias("words"), starts(x).alias("starts")))
 
