@@ -1,10 +1,9 @@
-"""Deterministic per-row uniforms from an integer key.
+"""Deterministic per-row uniforms from a key.
 
 Spark's ``rand(seed)`` depends on partitioning and DuckDB's ``hash`` differs from
-Spark's ``xxhash64``, so sampling decisions use a portable integer recurrence that
-both engines compute identically: two steps of the classic LCG modulo 2^31 applied to
-``pmod(key + seed * 7919, 2^31)``. Each step is a bijection on [0, 2^31), so keys that
-differ modulo 2^31 never collide.
+Spark's ``xxhash64``, so draws use the leading 48 bits of ``md5(key ':' seed)``, which
+both engines compute alike. Draws of different seeds and of neighbouring or strided keys
+are independent, and keys of any size differ.
 """
 
 from __future__ import annotations
@@ -12,34 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# LCG parameters and seed spreading.
-LCG_A = 1103515245
-LCG_C = 12345
-LCG_M = 2147483648
-SEED_SPREAD = 7919
-
-
-def _step(x: Column) -> Column:
-    return F.pmod(x * F.lit(LCG_A) + F.lit(LCG_C), F.lit(LCG_M))
+# Hexadecimal digits taken from the digest, and the range they span.
+DIGITS = 12
+SPAN = 1 << 48
 
 
 def hash_int(key: Column, seed: int = 0) -> Column:
-    """Integer in [0, 2^31) from an integer key."""
-    x = F.pmod(key.cast("long") + F.lit(seed * SEED_SPREAD), F.lit(LCG_M))
-    return _step(_step(x))
+    """Integer in [0, 2^48) from a key."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
 
 
 def uniform(key: Column, seed: int = 0) -> Column:
-    """Double in [0, 1) from an integer key."""
-    return hash_int(key, seed) / F.lit(float(LCG_M))
+    """Double in [0, 1) from a key."""
+    return hash_int(key, seed) / F.lit(float(SPAN))
 
 
 def hash_int_sql(key: str, seed: int = 0) -> str:
-    """The same recurrence as SQL text (DuckDB and Spark agree on it)."""
-    x = f"(((CAST({key} AS BIGINT) + {seed * SEED_SPREAD}) % {LCG_M} + {LCG_M}) % {LCG_M})"
-    s1 = f"(({x} * {LCG_A} + {LCG_C}) % {LCG_M})"
-    return f"(({s1} * {LCG_A} + {LCG_C}) % {LCG_M})"
+    """The same draw as DuckDB SQL text."""
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, {DIGITS}) AS BIGINT)"
 
 
 def uniform_sql(key: str, seed: int = 0) -> str:
-    return f"({hash_int_sql(key, seed)} / {float(LCG_M)!r}e0)"
+    return f"({hash_int_sql(key, seed)} / {float(SPAN)!r}e0)"

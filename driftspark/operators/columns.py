@@ -78,6 +78,8 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], value_type:
     if null_policy not in ("per_column", "listwise"):
         raise ValueError(null_policy)
     base = df.select(*ids, *[F.col(c).cast(value_type).alias(c) for c in cols])
+    if value_type in ("double", "float"):  # NaN is a missing value, as null is
+        base = base.select(*ids, *[F.nanvl(F.col(c), F.lit(None).cast(value_type)).alias(c) for c in cols])
     if null_policy == "listwise":
         base = base.dropna(subset=list(cols))
     # explode(array(struct)) rather than unpivot: the Expand node that unpivot plans

@@ -88,10 +88,12 @@ def mann_whitney_from_counts(counts: DataFrame, pairs: DataFrame, scenario: str,
           .agg(F.sum(F.when(F.col("_is_a") == 1, F.col("n")).otherwise(0)).alias("n_a"),
                F.sum(F.when(F.col("_is_a") == 0, F.col("n")).otherwise(0)).alias("n_b")))
     cum = ranks.cumulative(pc, ["metric", "A", "B"], "value", ["n_a", "n_b"], partitions)
-    t = F.col("n_a") + F.col("n_b")
+    # doubles: products of counts may pass 64 bits
+    a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    t = a + b
     g = cum.groupBy("metric", "A", "B").agg(
         F.sum("n_a").alias("nA"), F.sum("n_b").alias("nB"),
-        F.sum(F.col("n_a") * (F.col("cum_n_b") - F.lit(0.5) * F.col("n_b"))).alias("u_stat"),
+        F.sum(a * (F.col("cum_n_b") - F.lit(0.5) * b)).alias("u_stat"),
         F.sum(t * t * t - t).alias("_ties"),
     )
     # every (pair, metric) keeps a row even without values (J4): the metric list is fixed at plan time

@@ -10,6 +10,7 @@ eps 1e-6, at least 20 rows per side for KS/chi-squared and 50 for PSI.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -31,11 +32,11 @@ POSITIVE_THRESHOLD = 0.5
 
 def ks_test(long: DataFrame, keys: Sequence[str], role: str = "role", value: str = "value",
             min_n: int = MIN_N_TEST, partitions: int | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov (K1): n_ref, n_rec, ks_d, ks_p per group.
+    """Two-sample Kolmogorov-Smirnov (K1): n_ref, n_rec, ks_d, ks_p, enough_rows per group.
 
     D = max over distinct values of |F_ref - F_rec|; p from the Kolmogorov tail at
-    (sqrt(ne) + 0.12 + 0.11/sqrt(ne)) * D, ne = n m / (n + m). Either side below
-    ``min_n`` gives p = 1.
+    (sqrt(ne) + 0.12 + 0.11/sqrt(ne)) * D, ne = n m / (n + m), null where a side is
+    empty. ``enough_rows``: both sides have ``min_n`` rows; decisions heed it (``gated``).
     """
     counts = ranks.value_counts(long, keys, value, role, [REF, REC], ["n_ref", "n_rec"])
     return ks_from_counts(counts, keys, value, min_n, partitions)
@@ -47,21 +48,37 @@ def ks_from_counts(counts: DataFrame, keys: Sequence[str], value: str = "value",
     """KS from (keys..., value, n_ref, n_rec) rows, one per distinct value."""
     keys = list(keys)
     cum = ranks.cumulative(counts, keys, value, ["n_ref", "n_rec"], partitions)
-    gap = F.abs(F.col("cum_n_ref") / F.col("tot_n_ref") - F.col("cum_n_rec") / F.col("tot_n_rec"))
+    share = lambda side: F.try_divide(F.col(f"cum_n_{side}").cast("double"), F.col(f"tot_n_{side}"))
+    gap = F.abs(share("ref") - share("rec"))
     g = cum.groupBy(*keys).agg(
         F.max("tot_n_ref").alias("n_ref"),
         F.max("tot_n_rec").alias("n_rec"),
         F.max(gap).alias("ks_d"),
     )
-    ne = F.col("n_ref") * F.col("n_rec") / (F.col("n_ref") + F.col("n_rec"))
-    g = g.withColumn("_lam", (F.sqrt(ne) + F.lit(0.12) + F.lit(0.11) / F.sqrt(ne)) * F.col("ks_d"))
-    small = (F.col("n_ref") < min_n) | (F.col("n_rec") < min_n)
-    return (g.withColumn("ks_p", F.when(small, F.lit(1.0)).otherwise(pv.kolmogorov_sf("_lam")))
+    ne = _effective()
+    g = g.withColumn("_lam", F.when(ne > 0, (F.sqrt(ne) + F.lit(0.12) + F.try_divide(F.lit(0.11), F.sqrt(ne))) * F.col("ks_d")))
+    return (g.withColumn("ks_p", pv.kolmogorov_sf("_lam"))
+             .withColumn("enough_rows", _enough(min_n))
              .withColumn("n_ref", F.coalesce("n_ref", F.lit(0)).cast("long"))
              .withColumn("n_rec", F.coalesce("n_rec", F.lit(0)).cast("long"))
              .drop("_lam"))
 
 
+def _effective():
+    """n m / (n + m) in doubles: a product of two counts may pass 64 bits."""
+    a, b = F.col("n_ref").cast("double"), F.col("n_rec").cast("double")
+    return F.try_divide(a * b, a + b)
+
+
+def _enough(min_n: int):
+    return (F.coalesce("n_ref", F.lit(0)) >= min_n) & (F.coalesce("n_rec", F.lit(0)) >= min_n)
+
+
+def gated(value: str, otherwise: float):
+    """What a decision uses of a statistic: ``otherwise`` where rows are too few."""
+    return F.when(F.col("enough_rows"), F.coalesce(F.col(value), F.lit(otherwise))).otherwise(F.lit(otherwise))
+
+
 def category_counts(long: DataFrame, keys: Sequence[str], role: str = "role",
                     value: str = "value") -> DataFrame:
     """Contingency rows (keys..., value, n_ref, n_rec): the full-outer alignment of the
@@ -70,52 +87,48 @@ def category_counts(long: DataFrame, keys: Sequence[str], role: str = "role",
 
 
 def chi2_test(long: DataFrame, keys: Sequence[str], role: str = "role", value: str = "value",
-              min_n: int = MIN_N_TEST, yates: bool = True,
-              max_categories: int | None = None) -> DataFrame:
+              min_n: int = MIN_N_TEST, yates: bool = True) -> DataFrame:
     """Chi-squared homogeneity test on category x role (K2).
 
     chi2 = N * (sum_i O_ref,i^2 / (R_i C_ref) + sum_i O_rec,i^2 / (R_i C_rec)) - N,
     which needs only per-group sums (no join of group totals back to categories).
     With one degree of freedom (two categories) the Yates correction of the usual
     contingency routine applies: |ad - bc|/N is reduced by min(0.5, |ad - bc|/N).
-    Fewer than 2 categories or a side below ``min_n`` gives p = 1. Also returns
-    Cramer's V in the standard form sqrt(chi2 / N) for a K x 2 table (Y2).
-    ``max_categories`` (G3) marks id-like columns: p = 1 above that many categories.
+    Fewer than 2 categories or an empty side give null. Also returns Cramer's V in the
+    standard form sqrt(chi2 / N) for a K x 2 table (Y2) and ``enough_rows``. Products
+    of counts are taken in doubles. Name id-like columns (G3) in the caller's ``exclude``.
     """
     cc = category_counts(long, keys, role, value)
-    return chi2_from_counts(cc, keys, value, min_n, yates, max_categories)
+    return chi2_from_counts(cc, keys, value, min_n, yates)
 
 
 def chi2_from_counts(cc: DataFrame, keys: Sequence[str], value: str = "value",
-                     min_n: int = MIN_N_TEST, yates: bool = True,
-                     max_categories: int | None = None) -> DataFrame:
+                     min_n: int = MIN_N_TEST, yates: bool = True) -> DataFrame:
     """Chi-squared from (keys..., value, n_ref, n_rec) contingency rows."""
     keys = list(keys)
     cc = cc.where((F.col("n_ref") + F.col("n_rec")) > 0)
-    r = F.col("n_ref") + F.col("n_rec")
+    a, b = F.col("n_ref").cast("double"), F.col("n_rec").cast("double")
+    r = a + b
     g = cc.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_categories"),
         F.sum("n_ref").alias("n_ref"),
         F.sum("n_rec").alias("n_rec"),
-        F.sum(F.col("n_ref") * F.col("n_ref") / r).alias("_s_ref"),
-        F.sum(F.col("n_rec") * F.col("n_rec") / r).alias("_s_rec"),
-        F.min_by("n_ref", value).alias("_a"), F.min_by("n_rec", value).alias("_b"),
-        F.max_by("n_ref", value).alias("_c"), F.max_by("n_rec", value).alias("_d"),
+        F.sum(a * a / r).alias("_s_ref"),
+        F.sum(b * b / r).alias("_s_rec"),
+        F.min_by(a, value).alias("_a"), F.min_by(b, value).alias("_b"),
+        F.max_by(a, value).alias("_c"), F.max_by(b, value).alias("_d"),
     )
-    n = F.col("n_ref") + F.col("n_rec")
-    plain = n * (F.col("_s_ref") / F.col("n_ref") + F.col("_s_rec") / F.col("n_rec")) - n
+    n = a + b
+    plain = n * (F.try_divide("_s_ref", a) + F.try_divide("_s_rec", b)) - n
     dev = F.greatest(F.abs(F.col("_a") * F.col("_d") - F.col("_b") * F.col("_c")) / n - F.lit(0.5), F.lit(0.0))
-    yt = dev * dev * n * n * n / ((F.col("_a") + F.col("_b")) * (F.col("_c") + F.col("_d"))
-                                  * F.col("n_ref") * F.col("n_rec"))
+    yt = F.try_divide(dev * dev * n, (F.col("_a") + F.col("_b")) / n * ((F.col("_c") + F.col("_d")) / n) * a * b)
     stat = F.when((F.col("n_categories") == 2) & F.lit(bool(yates)), yt).otherwise(F.greatest(plain, F.lit(0.0)))
     g = (g.withColumn("chi2", stat.cast("double"))
           .withColumn("dof", (F.col("n_categories") - 1).cast("long")))
-    small = ((F.col("n_ref") < min_n) | (F.col("n_rec") < min_n) | (F.col("n_categories") < 2))
-    if max_categories is not None:
-        small = small | (F.col("n_categories") > max_categories)
-    return (g.withColumn("chi2_p", F.when(small, F.lit(1.0)).otherwise(pv.chi2_sf("chi2", "dof")))
-             .withColumn("cramers_v", F.when(n > 0, F.sqrt(F.col("chi2") / n)))
-             .withColumn("chi2", F.when(small, F.lit(None).cast("double")).otherwise(F.col("chi2")))
+    g = g.withColumn("chi2", F.when((F.col("n_categories") >= 2) & (a > 0) & (b > 0), F.col("chi2")))
+    return (g.withColumn("chi2_p", pv.chi2_sf("chi2", "dof"))
+             .withColumn("cramers_v", F.sqrt(F.col("chi2") / n))
+             .withColumn("enough_rows", _enough(min_n))
              .drop("_s_ref", "_s_rec", "_a", "_b", "_c", "_d"))
 
 
@@ -158,7 +171,8 @@ def psi(long: DataFrame, keys: Sequence[str], role: str = "role", value: str = "
     Reference-quantile bins; bin i holds e_i <= v < e_(i+1), the last bin is closed,
     values outside [e_0, e_k] are dropped (G5 parity) unless ``out_of_range="extend"``.
     Proportions divide by the in-range count and are floored at ``eps`` without
-    renormalising (X10); PSI = sum (r - c) ln(r / c). Either side below ``min_n`` → 0.
+    renormalising (X10); PSI = sum (r - c) ln(r / c), null where the reference is empty;
+    ``enough_rows`` tells whether both sides have ``min_n`` rows.
     The edge array of a group reaches its rows by a join on the group keys (J6).
     """
     counts = ranks.value_counts(long, keys, value, role, [REF, REC], ["n_ref", "n_rec"])
@@ -194,10 +208,7 @@ def psi_from_counts(counts: DataFrame, keys: Sequence[str], value: str = "value"
         F.sum(F.col("_c") * F.log(F.col("_c") / F.col("_r"))).alias("kl_rec_ref"),
     )
     g = sizes.join(g, on=keys, how="left")
-    small = (F.col("n_ref") < min_n) | (F.col("n_rec") < min_n) | F.col("psi").isNull()
-    return (g.withColumn("psi", F.when(small, F.lit(0.0)).otherwise(F.col("psi")))
-             .withColumn("kl_ref_rec", F.when(small, F.lit(None)).otherwise(F.col("kl_ref_rec")))
-             .withColumn("kl_rec_ref", F.when(small, F.lit(None)).otherwise(F.col("kl_rec_ref"))))
+    return g.withColumn("enough_rows", _enough(min_n))
 
 
 def positive_ratio(df: DataFrame, keys: Sequence[str], score: str | None, role: str = "role",
@@ -211,9 +222,10 @@ def positive_ratio(df: DataFrame, keys: Sequence[str], score: str | None, role:
     """
     rec = df.where(F.col(role) == REC)
     if score is not None:
+        # a NaN is a missing score, not one above every threshold
+        known = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
         return rec.groupBy(*keys).agg(
-            F.avg(F.when(F.col(score).isNotNull(), (F.col(score) >= threshold).cast("double")))
-            .alias("pos_ratio"))
+            F.avg(F.when(known.isNotNull(), (known >= threshold).cast("double"))).alias("pos_ratio"))
     if not binary_cols:
         return rec.groupBy(*keys).agg(F.lit(None).cast("double").alias("pos_ratio"))
     aggs = []
@@ -256,6 +268,5 @@ def verdict(pvalues: DataFrame, psi_df: DataFrame | None, keys: Sequence[str],
 
 def dkw_band(ks: DataFrame, gamma: float = 0.05) -> DataFrame:
     """DKW half-width sqrt(ln(2/gamma) / (2 ne)) for the ECDF gap and D > eps."""
-    ne = F.col("n_ref") * F.col("n_rec") / (F.col("n_ref") + F.col("n_rec"))
-    eps = F.sqrt(F.lit(float(__import__("math").log(2.0 / gamma))) / (F.lit(2.0) * ne))
+    eps = F.sqrt(F.try_divide(F.lit(math.log(2.0 / gamma)), F.lit(2.0) * _effective()))
     return ks.withColumn("dkw_eps", eps).withColumn("dkw_exceeds", F.col("ks_d") > F.col("dkw_eps"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions import pvalues as pv
-from driftspark.functions.hashing import uniform
+from driftspark.functions.hashing import hash_int, uniform
 from driftspark.operators import ranks
 
 # Two-sided 95 % normal quantile; PSI band edges.
@@ -120,22 +120,21 @@ def poisson1(u: Column) -> Column:
 
 
 def bootstrap_means(long: DataFrame, keys: Sequence[str], key: str, value: str, b: int = 1000,
-                    seed: int = 11) -> DataFrame:
+                    seed: int = 11, blocks: int = 256) -> DataFrame:
     """Poisson(1) bootstrap replicates of the mean: keys..., rep, mean.
 
-    Weights come from the row key and the replicate number, so replicate ``rep`` uses
-    the same draw for a row in every group (paired replicates across scenarios). Work
-    is rows x B; the replicate tables are small (groups x B).
+    Rows are dealt into ``blocks`` by a hash of their key, and blocks are resampled: the rows
+    are read and aggregated once, and the replicates cost groups x blocks x B. Weights come
+    from the block and the replicate number, so replicate ``rep`` uses the same draws in every
+    group (paired replicates across scenarios).
     """
-    # spread the input over all shuffle partitions before the B-fold expansion: moving N
-    # rows is cheap next to creating N x B, and a small run table may arrive in one split
-    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = long.select(*keys, key, value).repartition(parts)
-    reps = spread.select(*keys, key, value, F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
-    w = poisson1(uniform(F.col(key) * F.lit(b) + F.col("rep"), seed))
+    block = F.pmod(hash_int(F.col(key), seed + 1), F.lit(blocks))
+    sums = long.groupBy(*keys, block.alias("_block")).agg(F.sum(value).alias("_sx"), F.count(value).cast("double").alias("_n"))
+    reps = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
+    w = poisson1(uniform(F.col("_block") * F.lit(b) + F.col("rep"), seed))
     g = reps.withColumn("_w", w).groupBy(*keys, "rep").agg(
-        F.sum(F.col("_w") * F.col(value)).alias("_sx"), F.sum("_w").alias("_sw"))
-    return g.select(*keys, "rep", (F.col("_sx") / F.col("_sw")).alias("mean"))
+        F.sum(F.col("_w") * F.col("_sx")).alias("_sx"), F.sum(F.col("_w") * F.col("_n")).alias("_sw"))
+    return g.select(*keys, "rep", F.try_divide("_sx", "_sw").alias("mean"))
 
 
 def percentile_ci(reps: DataFrame, keys: Sequence[str], stat: str, level: float = 0.95) -> DataFrame:
@@ -154,7 +153,7 @@ def signed_rank(d: DataFrame, keys: Sequence[str], diff: str,
         *keys, F.abs(diff).alias("_a"), (F.col(diff) > 0).alias("_pos"))
     counts = x.groupBy(*keys, "_a").agg(F.count_if("_pos").alias("n_pos"), F.count_if(~F.col("_pos")).alias("n_neg"))
     cum = ranks.cumulative(counts, keys, "_a", ["n_pos", "n_neg"], partitions)
-    t = F.col("n_pos") + F.col("n_neg")
+    t = (F.col("n_pos") + F.col("n_neg")).cast("double")  # its cube may pass 64 bits
     before = F.col("cum_n_pos") + F.col("cum_n_neg") - t
     midrank = before + (t + 1) / 2.0
     g = cum.groupBy(*keys).agg(F.sum(F.col("n_pos") * midrank).alias("w_plus"), F.sum(t).alias("n"),

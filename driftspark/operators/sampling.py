@@ -21,19 +21,9 @@ SAMPLE_FRACTION = 0.2
 HALF_SPLIT_SEED = 13
 
 
-def sample_hash(df: DataFrame, key: str, fraction: float = SAMPLE_FRACTION, seed: int = REF_SEED,
-                max_rows: int | None = None) -> DataFrame:
-    """Bernoulli sample by key hash (M1); optional cap keeps the smallest hashes.
-
-    The cap is the operator's feature (a bounded monitoring sample); the detector
-    itself runs on all rows and does not use it.
-    """
-    u = uniform(F.col(key), seed)
-    out = df.where(u < F.lit(float(fraction)))
-    if max_rows is not None:
-        out = (out.withColumn("_u", hash_int(F.col(key), seed))
-               .orderBy("_u", key).limit(int(max_rows)).drop("_u"))
-    return out
+def sample_hash(df: DataFrame, key: str, fraction: float = SAMPLE_FRACTION, seed: int = REF_SEED) -> DataFrame:
+    """Bernoulli sample by key hash (M1). The detector itself runs on all rows."""
+    return df.where(uniform(F.col(key), seed) < F.lit(float(fraction)))
 
 
 def split_half(df: DataFrame, key: str | None, seed: int = HALF_SPLIT_SEED,

@@ -54,18 +54,19 @@ def _lineitem_pair(spark, sf) -> DataFrame:
 
 
 def _ks_out(ks: DataFrame) -> DataFrame:
-    return ks.select("column_name", "n_ref", "n_rec", r6("ks_d").alias("ks_d"), r6("ks_p").alias("ks_p"))
+    return ks.select("column_name", "n_ref", "n_rec", r6("ks_d").alias("ks_d"), r6("ks_p").alias("ks_p"),
+                     "enough_rows")
 
 
 def _chi_out(ch: DataFrame) -> DataFrame:
     return ch.select("column_name", F.col("n_categories").cast("long").alias("n_categories"),
                      "n_ref", "n_rec", r6("chi2").alias("chi2"), "dof", r6("chi2_p").alias("chi2_p"),
-                     r6("cramers_v").alias("cramers_v"))
+                     r6("cramers_v").alias("cramers_v"), "enough_rows")
 
 
 def _psi_out(p: DataFrame) -> DataFrame:
     return p.select("column_name", F.col("n_ref").cast("long").alias("n_ref"),
-                    F.col("n_rec").cast("long").alias("n_rec"), r6("psi").alias("psi"))
+                    F.col("n_rec").cast("long").alias("n_rec"), r6("psi").alias("psi"), "enough_rows")
 
 
 def _long(df: DataFrame, cols, vtype: str) -> DataFrame:
@@ -254,7 +255,6 @@ def q_policy_streak_consecutive(spark, sf):
 
 LINEITEM_RISK_CUT = 0.08
 LINEITEM_FEATURES = ("l_extendedprice", "l_discount", "l_quantity", "l_tax")
-SAMPLE_CAP = 1000
 
 
 def _lineitem_labeled(spark, sf, keep=()):
@@ -298,9 +298,9 @@ def q_split_stratified(spark, sf):
     return sampling.stratified_split(lab, "doc_id", "quality", 0.2, seed=42)
 
 
-def q_sample_hash_cap(spark, sf):
+def q_sample_hash(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return sampling.sample_hash(o, "o_orderkey", 0.2, seed=42, max_rows=SAMPLE_CAP)
+    return sampling.sample_hash(o, "o_orderkey", 0.2, seed=42)
 
 
 def q_split_half(spark, sf):
@@ -798,7 +798,7 @@ QUERIES = {
     "class_counts": q_class_counts,
     "class_weights": q_class_weights,
     "split_stratified": q_split_stratified,
-    "sample_hash_cap": q_sample_hash_cap,
+    "sample_hash": q_sample_hash,
     "split_half": q_split_half,
     "logreg_f1": q_logreg_f1,
     "inject_drift": q_inject_drift,

@@ -39,7 +39,6 @@ class MonitorConfig:
     null_policy: str = "per_column"
     out_of_range: str = "drop"
     exclude: Sequence[str] = field(default_factory=tuple)
-    max_categories: int | None = None
     yates: bool = True
     adjust: str | None = None  # G15: None (raw p, as the loop does), "holm" or "bh" per cycle
 
@@ -93,12 +92,12 @@ def snapshot_frames(roled: DataFrame, cfg: MonitorConfig, keys: Sequence[str] =
     if num:
         ks = D.ks_test(_numeric_long(roled, ids, num, cfg.null_policy), gk, min_n=cfg.min_n_test)
         parts.append(ks.select(*gk, F.lit("ks").alias("test"), "n_ref", "n_rec",
-                               F.col("ks_d").alias("stat"), F.col("ks_p").alias("p_value")))
+                               F.col("ks_d").alias("stat"), D.gated("ks_p", 1.0).alias("p_value")))
     if cat:
         ch = D.chi2_test(_string_long(roled, ids, cat, cfg.null_policy), gk, min_n=cfg.min_n_test,
-                         yates=cfg.yates, max_categories=cfg.max_categories)
+                         yates=cfg.yates)
         parts.append(ch.select(*gk, F.lit("chi2").alias("test"), "n_ref", "n_rec",
-                               F.col("chi2").alias("stat"), F.col("chi2_p").alias("p_value")))
+                               F.col("chi2").alias("stat"), D.gated("chi2_p", 1.0).alias("p_value")))
     tests = parts[0]
     for p in parts[1:]:
         tests = tests.unionByName(p)
@@ -110,7 +109,7 @@ def snapshot_frames(roled: DataFrame, cfg: MonitorConfig, keys: Sequence[str] =
     if score is not None:
         long = _numeric_long(roled, ids, [score], cfg.null_policy)
         psi_df = (D.psi(long, gk, bins=cfg.psi_bins, eps=cfg.psi_eps, min_n=cfg.min_n_psi,
-                        out_of_range=cfg.out_of_range)
+                        out_of_range=cfg.out_of_range).withColumn("psi", D.gated("psi", 0.0))
                   .withColumnRenamed("column_name", "score_col"))
         pos = D.positive_ratio(roled, keys, score, threshold=cfg.positive_threshold)
     else:
@@ -167,11 +166,11 @@ def tests_from_cycle_counts(num_counts: DataFrame | None, cat_counts: DataFrame
     if num_counts is not None:
         ks = D.ks_from_counts(num_counts, gk, "value", cfg.min_n_test)
         parts.append(ks.select(*gk, F.lit("ks").alias("test"), "n_ref", "n_rec",
-                               F.col("ks_d").alias("stat"), F.col("ks_p").alias("p_value")))
+                               F.col("ks_d").alias("stat"), D.gated("ks_p", 1.0).alias("p_value")))
     if cat_counts is not None:
-        ch = D.chi2_from_counts(cat_counts, gk, "value", cfg.min_n_test, cfg.yates, cfg.max_categories)
+        ch = D.chi2_from_counts(cat_counts, gk, "value", cfg.min_n_test, cfg.yates)
         parts.append(ch.select(*gk, F.lit("chi2").alias("test"), "n_ref", "n_rec",
-                               F.col("chi2").alias("stat"), F.col("chi2_p").alias("p_value")))
+                               F.col("chi2").alias("stat"), D.gated("chi2_p", 1.0).alias("p_value")))
     tests = parts[0]
     for p in parts[1:]:
         tests = tests.unionByName(p)
@@ -179,7 +178,7 @@ def tests_from_cycle_counts(num_counts: DataFrame | None, cat_counts: DataFrame
     psi_df = None
     if score_counts is not None:
         psi_df = (D.psi_from_counts(score_counts, gk, "value", cfg.psi_bins, cfg.psi_eps, cfg.min_n_psi,
-                                    cfg.out_of_range)
+                                    cfg.out_of_range).withColumn("psi", D.gated("psi", 0.0))
                   .withColumnRenamed("column_name", "score_col"))
     pvals = tests.select("cycle_end", "column_name", F.col("p_value").alias("p"))
     verdict = D.verdict(pvals, psi_df.select("cycle_end", "psi") if psi_df is not None else None,

@@ -49,7 +49,7 @@ g AS (SELECT {kk}, CAST(max(na) AS DOUBLE) AS n_ref, CAST(max(nb) AS DOUBLE) AS
              max(abs(ca / nullif(na, 0) - cb / nullif(nb, 0))) AS ks_d FROM cum GROUP BY ALL)
 SELECT {kk}, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_rec AS BIGINT) AS n_rec,
        round(ks_d, 6) AS ks_d,
-       round(CASE WHEN n_ref < 20 OR n_rec < 20 THEN 1.0e0 ELSE {pv.kolmogorov_sf_sql(lam, D)} END, 6) AS ks_p,
+       round({pv.kolmogorov_sf_sql(lam, D)}, 6) AS ks_p, n_ref >= 20 AND n_rec >= 20 AS enough_rows,
        ks_d AS ks_d_raw,
        CASE WHEN n_ref < 20 OR n_rec < 20 THEN 1.0e0 ELSE {pv.kolmogorov_sf_sql(lam, D)} END AS ks_p_raw
 FROM g"""
@@ -73,8 +73,8 @@ s AS (SELECT {kk}, max(k) AS k, max(na) AS na, max(nb) AS nb,
              sum({cell('a', 'ea')} + {cell('b', 'eb')}) AS stat FROM e GROUP BY ALL),
 g AS (SELECT *, (na < {min_n} OR nb < {min_n} OR k < 2) AS small, CAST(k - 1 AS BIGINT) AS dof FROM s)
 SELECT {kk}, CAST(k AS BIGINT) AS n_categories, CAST(na AS BIGINT) AS n_ref, CAST(nb AS BIGINT) AS n_rec,
-       round(CASE WHEN small THEN NULL ELSE stat END, 6) AS chi2, dof,
-       round(CASE WHEN small THEN 1.0e0 ELSE {pv.chi2_sf_sql('stat', 'dof', D)} END, 6) AS chi2_p,
+       round(CASE WHEN k >= 2 AND na > 0 AND nb > 0 THEN stat END, 6) AS chi2, dof, na >= {min_n} AND nb >= {min_n} AS enough_rows,
+       round(CASE WHEN k >= 2 AND na > 0 AND nb > 0 THEN {pv.chi2_sf_sql('stat', 'dof', D)} END, 6) AS chi2_p,
        round(sqrt(stat / (na + nb)), 6) AS cramers_v,
        round(sqrt(stat / ((na + nb) * (k - 1))), 6) AS cramers_v_text,
        CASE WHEN small THEN 1.0e0 ELSE {pv.chi2_sf_sql('stat', 'dof', D)} END AS chi2_p_raw
@@ -113,23 +113,22 @@ s AS (SELECT {kk}, sum((r - c) * ln(r / c)) AS psi, sum(r * ln(r / c)) AS kl_rc,
 n AS (SELECT {kk}, count(*) FILTER (WHERE role = 'ref') AS n_ref,
              count(*) FILTER (WHERE role = 'rec') AS n_rec FROM long GROUP BY ALL)
 SELECT {_k(keys, 'n.')}, n_ref, n_rec,
-       round(CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN 0.0e0 ELSE psi END, 6) AS psi,
-       round(CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN NULL ELSE kl_rc END, 6) AS kl_ref_rec,
-       round(CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN NULL ELSE kl_cr END, 6) AS kl_rec_ref,
+       round(psi, 6) AS psi, round(kl_rc, 6) AS kl_ref_rec, round(kl_cr, 6) AS kl_rec_ref,
+       n_ref >= {min_n} AND n_rec >= {min_n} AS enough_rows,
        CASE WHEN n_ref < {min_n} OR n_rec < {min_n} OR psi IS NULL THEN 0.0e0 ELSE psi END AS psi_raw
 FROM n LEFT JOIN s USING ({kk})"""
 
 
-def ks_cols(sql: str, cols: str = "column_name, n_ref, n_rec, ks_d, ks_p") -> str:
+def ks_cols(sql: str, cols: str = "column_name, n_ref, n_rec, ks_d, ks_p, enough_rows") -> str:
     return f"SELECT {cols} FROM ({sql}) z"
 
 
 def chi_cols(sql: str) -> str:
-    return ks_cols(sql, "column_name, n_categories, n_ref, n_rec, chi2, dof, chi2_p, cramers_v")
+    return ks_cols(sql, "column_name, n_categories, n_ref, n_rec, chi2, dof, chi2_p, cramers_v, enough_rows")
 
 
 def psi_cols(sql: str) -> str:
-    return ks_cols(sql, "column_name, n_ref, n_rec, psi")
+    return ks_cols(sql, "column_name, n_ref, n_rec, psi, enough_rows")
 
 
 def _verdict_sql() -> str:
@@ -339,11 +338,13 @@ POISSON = "CASE WHEN u < 0.36787944117144233e0 THEN 0 WHEN u < 0.735758882342884
 
 
 def _boot_sql() -> str:
-    u = uniform_sql("(o_orderkey * 1000 + rep)", 11)
-    return f"""SELECT o_orderpriority, rep, sum(w * o_totalprice) / sum(w) AS mean FROM (
-        SELECT o_orderpriority, o_totalprice, rep, (CASE {POISSON[5:-4]} END) AS w
-        FROM (SELECT o_orderpriority, o_totalprice, rep, {u} AS u
-              FROM orders, generate_series(1, 1000) g(rep)) a) b GROUP BY 1, 2"""
+    u = uniform_sql("(block * 1000 + rep)", 11)
+    return f"""SELECT o_orderpriority, rep, sum(w * sx) / sum(w * n) AS mean FROM (
+        SELECT o_orderpriority, sx, n, rep, (CASE {POISSON[5:-4]} END) AS w
+        FROM (SELECT o_orderpriority, sx, n, rep, {u} AS u
+              FROM (SELECT o_orderpriority, {hash_int_sql('o_orderkey', 12)} % 256 AS block, sum(o_totalprice) AS sx,
+                           CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL) k, generate_series(1, 1000) g(rep)) a) b
+        GROUP BY 1, 2"""
 
 
 ORACLES = {
@@ -395,11 +396,10 @@ ORACLES = {
         round((SELECT count(*) FROM labels WHERE quality IS NOT NULL) / (2.0e0 * count(*)), 6) AS weight
         FROM labels WHERE quality IS NOT NULL GROUP BY quality""",
     "split_stratified": f"""SELECT doc_id, quality, row_number() OVER (PARTITION BY quality
-        ORDER BY {hash_int_sql('doc_id', 42)} * 2147483648 + ((doc_id % 2147483648) + 2147483648) % 2147483648)
+        ORDER BY {hash_int_sql('doc_id', 42)}, doc_id)
         <= ceil(count(*) OVER (PARTITION BY quality) * 0.2e0) AS is_test
         FROM labels WHERE quality IS NOT NULL""",
-    "sample_hash_cap": f"""SELECT o_orderkey, o_orderpriority FROM orders WHERE {uniform_sql('o_orderkey', 42)} < 0.2e0
-        ORDER BY {hash_int_sql('o_orderkey', 42)}, o_orderkey LIMIT 1000""",
+    "sample_hash": f"""SELECT o_orderkey, o_orderpriority FROM orders WHERE {uniform_sql('o_orderkey', 42)} < 0.2e0""",
     "split_half": f"""SELECT o_orderkey, CASE WHEN {uniform_sql('o_orderkey', 13)} < 0.5e0 THEN 'ref' ELSE 'rec' END
         AS role FROM orders""",
     "inject_drift": f"""SELECT o_orderkey, round({_injected(0.5, 42)}, 6) AS amount,
@@ -467,8 +467,8 @@ ORACLES = {
         WHERE make_timestamp(e * 86400 * 1000000) <= (SELECT max(ts) FROM events) GROUP BY 1, 2""",
     "stream_policy": f"""SELECT * FROM ({_policy_sql('edge')}) x WHERE cycle_end <= (SELECT max(ts) FROM events)""",
     "cycle_tests_daily": f"""WITH {_cycle_with()}
-        SELECT cycle_end, column_name, 'ks' AS test, n_ref, n_rec, round(ks_d_raw, 6) AS stat, ks_p AS p_value FROM ks
-        UNION ALL SELECT cycle_end, column_name, 'chi2', n_ref, n_rec, chi2, chi2_p FROM ch""",
+        SELECT cycle_end, column_name, 'ks' AS test, n_ref, n_rec, round(ks_d_raw, 6) AS stat, round(ks_p_raw, 6) AS p_value FROM ks
+        UNION ALL SELECT cycle_end, column_name, 'chi2', n_ref, n_rec, chi2, round(chi2_p_raw, 6) FROM ch""",
     "cycle_verdict_daily": f"""WITH {_cycle_with()},
         p AS (SELECT cycle_end, ks_p_raw AS p FROM ks UNION ALL SELECT cycle_end, chi2_p_raw FROM ch)
         SELECT p.cycle_end, bool_or(p < 0.01) AS drift_any, round(min(p), 6) AS p_min,

@@ -35,7 +35,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.ansi.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,13 +42,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every query relies on: UTC session zone, non-ANSI arithmetic.
+    """The setting every query relies on: the session zone.
 
-    The session zone matters because the given tables store ``timestamp_ntz``
-    columns and the window edges are written as UTC literals.
+    The given tables store ``timestamp_ntz`` columns and the window edges are written as
+    UTC literals. ANSI mode stays as the caller has it; where null is wanted, expressions
+    use the ``try_`` functions.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
     return spark
 
 

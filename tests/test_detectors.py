@@ -1,6 +1,8 @@
 """Detector invariants and hand-checked values (blueprint section 5, items c-e)."""
 
+import hashlib
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from driftspark.functions import hashing
 from driftspark.functions import pvalues as pv
 from driftspark.operators import detectors as D
-from driftspark.operators import observe, ranks
+from driftspark.operators import columns, extras, observe, ranks
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,7 +69,7 @@ def test_ks_statistic_matches_numpy(spark):
 
 
 def test_ks_small_sample_gate(spark):
-    r = D.ks_test(_long(spark, range(19), range(100)), ["column_name"]).first()
+    r = D.ks_test(_long(spark, range(19), range(100)), ["column_name"]).withColumn("ks_p", D.gated("ks_p", 1.0)).first()
     assert r.ks_p == 1.0
 
 
@@ -88,7 +90,7 @@ def test_chi2_yates_hand_checked(spark):
 def test_chi2_single_category_gives_one(spark):
     rows = [("c", "ref", "u")] * 30 + [("c", "rec", "u")] * 30
     df = spark.createDataFrame(rows, "column_name string, role string, value string")
-    assert D.chi2_test(df, ["column_name"]).first().chi2_p == 1.0
+    assert D.chi2_test(df, ["column_name"]).withColumn("chi2_p", D.gated("chi2_p", 1.0)).first().chi2_p == 1.0
 
 
 def test_psi_identity_and_out_of_range(spark):
@@ -124,15 +126,60 @@ def test_pvalue_tails(spark):
 
 def test_hash_uniform_matches_python(spark):
     def py(key, seed):
-        x = (key + seed * 7919) % 2 ** 31
-        for _ in range(2):
-            x = (x * 1103515245 + 12345) % 2 ** 31
-        return x / 2 ** 31
+        return int(hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:12], 16) / 2 ** 48
     df = spark.range(0, 50).select(F.col("id"), hashing.uniform(F.col("id"), 42).alias("u"))
     for r in df.collect():
         assert r.u == py(r.id, 42)
 
 
+@pytest.mark.parametrize("stride", [1, 2 ** 31])
+def test_draws_of_two_seeds_are_uncorrelated(spark, stride):
+    k = F.col("id") * stride
+    u = np.array(spark.range(4000).select(hashing.uniform(k, 1), hashing.uniform(k, 2), hashing.uniform(k + stride, 1)).collect())
+    assert abs(u.mean(axis=0) - 0.5).max() < 0.03 and abs(u.var(axis=0) - 1 / 12).max() < 0.01
+    c = np.corrcoef(u.T)
+    assert max(abs(c[0, 1]), abs(c[0, 2]), abs(c[1, 2])) < 0.06
+
+
+@pytest.mark.parametrize("n", [10 ** 3, 10 ** 6, 10 ** 9, 10 ** 12])
+def test_counts_of_any_size(spark, n):
+    """Products of counts pass 64 bits from about 1e9 rows a side on."""
+    cells = {"a": (n, n + n // 50), "b": (n, n - n // 50)}
+    df = spark.createDataFrame([("x", k, r, c) for k, (r, c) in cells.items()], "column_name string, value string, n_ref long, n_rec long")
+    r = D.chi2_from_counts(df, ["column_name"]).first()
+    tot, col = 4 * n, 2 * n
+    want = Fraction((abs(cells["a"][0] * cells["b"][1] - cells["a"][1] * cells["b"][0]) * 2 - tot) ** 2 * tot, 4 * sum(cells["a"]) * sum(cells["b"]) * col * col)
+    assert r.chi2 == pytest.approx(float(want), rel=1e-9) and r.enough_rows
+    num = spark.createDataFrame([("x", 1.0, n, n // 2), ("x", 2.0, n, 3 * n // 2)], "column_name string, value double, n_ref long, n_rec long")
+    k = D.ks_from_counts(num, ["column_name"]).first()
+    assert k.ks_d == pytest.approx(0.25) and k.ks_p < 1e-9
+
+
+def test_few_rows_keep_their_statistics(spark):
+    r = D.ks_test(_long(spark, [1, 2, 3], [10, 11]), ["column_name"]).first()
+    assert r.ks_d == 1.0 and 0 < r.ks_p < 0.3 and not r.enough_rows
+    p = D.psi(_long(spark, range(10), range(5, 15)), ["column_name"]).first()
+    assert p.psi > 0 and not p.enough_rows
+
+
+def test_nan_is_a_missing_value(spark):
+    clean, dirty = _long(spark, range(100), range(50)), _long(spark, range(100), [*range(50), *[float("nan")] * 50])
+    wide = lambda df: columns.to_long(df.select("role", "value"), ["role"], ["value"], "double", "column_name")
+    a, b = (D.ks_test(wide(df), ["column_name"]).first() for df in (clean, dirty))
+    assert a == b
+    pos = D.positive_ratio(dirty, ["column_name"], "value", threshold=1000).first()
+    assert pos.pos_ratio == 0.0
+
+
+def test_bootstrap_width(spark):
+    """The half-width of the mean's interval is near 1.96 standard errors."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(100, 15, 6000)
+    df = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(x)], "g string, k long, v double")
+    ci = extras.percentile_ci(extras.bootstrap_means(df, ["g"], "k", "v"), ["g"], "mean").first()
+    assert (ci.ci_hi - ci.ci_lo) / 2 == pytest.approx(1.96 * x.std() / math.sqrt(len(x)), rel=0.15)
+
+
 def test_resource_parse_units(spark):
     df = spark.createDataFrame([("0.00%,117.2MiB / 3.577GiB,3.20%",)], "s string")
     r = df.select(observe.parse_resource(F.col("s")).alias("r")).first().r
