@@ -1,12 +1,10 @@
-"""Scalar column expressions re-aimed from the transaction simulator.
+"""Scalar column expressions of the transaction table.
 
-All are built-in expressions (JVM side, whole-stage codegen); random draws are
-replaced by seeded per-row uniforms of ``hashing``.
+All are built-in expressions (JVM side, whole-stage codegen).
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from itertools import chain
 
 from pyspark.sql import Column
@@ -16,9 +14,9 @@ from pyspark.sql import functions as F
 FX_TO_USD = {"USD": 1.0, "EUR": 1.08, "GBP": 1.27, "COP": 0.00026}
 # Currency codes of the transaction table, in this order.
 CURRENCIES = ("USD", "EUR", "GBP", "COP")
-# Day-of-month seasons and their base-amount ranges.
-SEASONS = (("days_5_10", 5, 10, 20.0, 500.0), ("days_20_25", 20, 25, 50.0, 2000.0))
-SEASON_OTHER = ("other", 10.0, 1000.0)
+# Day-of-month seasons.
+SEASONS = (("days_5_10", 5, 10), ("days_20_25", 20, 25))
+SEASON_OTHER = "other"
 
 
 def fx_rate(currency: Column) -> Column:
@@ -30,43 +28,20 @@ def fx_rate(currency: Column) -> Column:
 def season_class(ts: Column) -> Column:
     """Season by day of month: 5-10, 20-25, other."""
     d = F.dayofmonth(ts)
-    out = F.lit(SEASON_OTHER[0])
-    for name, lo, hi, _, _ in reversed(SEASONS):
+    out = F.lit(SEASON_OTHER)
+    for name, lo, hi in reversed(SEASONS):
         out = F.when((d >= lo) & (d <= hi), F.lit(name)).otherwise(out)
     return out
 
 
-def season_amount(ts: Column, u: Column) -> Column:
-    """Base amount drawn uniformly in the season's range from uniform ``u``."""
-    d = F.dayofmonth(ts)
-    lo_, hi_ = F.lit(SEASON_OTHER[1]), F.lit(SEASON_OTHER[2])
-    for _, a, b, lo, hi in reversed(SEASONS):
-        cond = (d >= a) & (d <= b)
-        lo_, hi_ = F.when(cond, F.lit(lo)).otherwise(lo_), F.when(cond, F.lit(hi)).otherwise(hi_)
-    return lo_ + u * (hi_ - lo_)
-
-
-def scale_share(x: Column, u_pick: Column, u_size: Column, share: Column | float,
-                lo: float, hi: float) -> Column:
-    """A share of rows (u_pick < share) gets x * U(lo, hi)."""
-    share = share if isinstance(share, Column) else F.lit(float(share))
-    return F.when(u_pick < share, x * (F.lit(lo) + u_size * F.lit(hi - lo))).otherwise(x)
-
-
 def converted_amount(amount: Column, fee: Column, rate: Column) -> Column:
     """round((amount - fee) * rate, 2)."""
-    return F.round((amount - fee) * rate, 2)
-
+    return money((amount - fee) * rate)
 
-def capped_score(x: Column) -> Column:
-    """min(1, x) rounded to 3 decimals."""
-    return F.round(F.least(F.lit(1.0), x), 3)
 
-
-def suspicious(amount: Column, risk: Column, u: Column, drift: Column | float) -> Column:
-    """(amount > 1000 and u < 0.02 + 0.2 d) or risk > 0.8."""
-    d = drift if isinstance(drift, Column) else F.lit(float(drift))
-    return ((amount > 1000) & (u < F.lit(0.02) + F.lit(0.2) * d)) | (risk > 0.8)
+def money(x: Column) -> Column:
+    """Rounded half up to cents as a decimal, so that binary noise does not decide halves."""
+    return F.round(x.cast("decimal(24,6)"), 2).cast("double")
 
 
 def partition_values(ts: Column) -> tuple[Column, Column]:
@@ -74,27 +49,6 @@ def partition_values(ts: Column) -> tuple[Column, Column]:
     return F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "HH")
 
 
-def drift_schedule(ts: Column, start: dt.datetime, change_after: dt.timedelta,
-                   ramp: dt.timedelta | None = None, level: float = 1.0) -> Column:
-    """Drift factor as a function of elapsed time.
-
-    0 before ``start + change_after``; then ``level`` (step), or a linear ramp to
-    ``level`` over ``ramp``. Clamped to [0, 1].
-    """
-    t0 = F.lit(start.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-    el = F.unix_seconds(ts.cast("timestamp")) - F.unix_seconds(t0) - F.lit(int(change_after.total_seconds()))
-    if ramp is None:
-        f = F.when(el >= 0, F.lit(level)).otherwise(F.lit(0.0))
-    else:
-        f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), el / F.lit(ramp.total_seconds()))) * F.lit(level)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), f))
-
-
-def null_safe_ratio(x: Column) -> Column:
-    """NaN becomes null (empty cell)."""
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
-
-
 def flag01(b: Column) -> Column:
     """Boolean as 0/1 integer (null stays null)."""
     return b.cast("int")

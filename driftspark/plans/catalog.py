@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from driftspark.operators import detectors as D
 from driftspark.functions import expressions as X
-from driftspark.functions import hashing
-from driftspark.operators import compare, extras, inject, labels, observe, policy, ranks, sampling, windows
+from driftspark.operators import compare, extras, labels, observe, policy, ranks, sampling, windows
 from driftspark.plans import monitor, report, retrain
 from driftspark.session import prepare, scratch_path
 from driftspark.sources import io
@@ -318,59 +317,20 @@ def q_logreg_f1(spark, sf):
     return log.select("label_strategy", "total_rows", "positives", "negatives", "model", r6("f1").alias("f1"))
 
 
-# --- S10/S11 injection and X1-X9 expressions ---------------------------------------
-
-INJECT_FACTOR = 0.5
-INJECT_SUBTLE = 0.05
-BATCH_FACTOR = 0.3
-
-
-def q_inject_drift(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    x = inject.inject_drift(o, "o_orderkey", "o_totalprice", INJECT_FACTOR, seed=42)
-    return x.select("o_orderkey", r6("o_totalprice").alias("amount"), "drifted")
-
-
-def q_inject_then_detect(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    ref = o.select(F.lit("ref").alias("role"), "o_totalprice")
-    rec = inject.inject_drift(o, "o_orderkey", "o_totalprice", INJECT_SUBTLE, seed=42) \
-        .select(F.lit("rec").alias("role"), "o_totalprice")
-    return _ks_out(D.ks_test(_long(ref.unionByName(rec), ["o_totalprice"], "double"), ["column_name"]))
-
-
-def q_inject_batch_profile(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    x = inject.inject_batch_profile(o, "o_orderkey", "o_totalprice", BATCH_FACTOR, seed=7)
-    return x.agg(F.count_if("drifted").alias("n_drifted"), F.count_if("is_suspicious").alias("n_flagged"),
-                 r6(F.sum("o_totalprice")).alias("sum_amount"))
-
-
-SCHEDULE_START = dt.datetime(1995, 1, 1)
-SCHEDULE_AFTER = dt.timedelta(days=730)
-SCHEDULE_RAMP = dt.timedelta(days=365)
-
-
-def q_inject_scheduled(spark, sf):
-    """X8 + S10: the drift factor follows the order date (0 for two years, then a
-    one-year ramp to 1); the share of scaled orders follows it."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    factor = X.drift_schedule(F.col("o_orderdate"), SCHEDULE_START, SCHEDULE_AFTER, SCHEDULE_RAMP)
-    x = inject.inject_drift(o.withColumn("factor", factor), "o_orderkey", "o_totalprice", F.col("factor"), seed=3)
-    return x.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(
-        F.count(F.lit(1)).alias("n_orders"), F.count_if("drifted").alias("n_drifted"),
-        r6(F.avg("factor")).alias("avg_factor"), r6(F.sum("o_totalprice")).alias("sum_amount"))
-
+# --- X1, X2, X4, X7, X9 expressions ---------------------------------------
 
 def q_enrich_fx(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    cur = X.currency_of(F.col("o_custkey"))
-    fee = F.round(F.col("o_totalprice") * hashing.uniform(F.col("o_orderkey"), 5) * F.lit(0.015), 2)
-    x = o.select("o_orderkey", cur.alias("currency"), fee.alias("fee"), "o_totalprice")
-    rate = X.fx_rate(F.col("currency"))
-    return x.select("o_orderkey", "currency", r6(rate).alias("fx"), r6("fee").alias("fee"),
-                    r6(X.converted_amount(F.col("o_totalprice"), F.col("fee"), rate)).alias("amount_usd"),
-                    X.flag01(F.col("o_totalprice") > 100000).alias("large"))
+    """X1, X4, X9 on line items: currency by the customer's nation, fee from the tax rate."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_tax")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    fee = X.money(F.col("l_extendedprice") * F.col("l_tax"))
+    x = x.select(X.currency_of(F.col("c_nationkey")).alias("currency"), fee.alias("fee"), "l_extendedprice")
+    usd = X.converted_amount(F.col("l_extendedprice"), F.col("fee"), X.fx_rate(F.col("currency")))
+    return x.groupBy("currency").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.sum("fee"), 2).alias("fee"),
+                                     F.round(F.sum(usd), 2).alias("amount_usd"),
+                                     F.sum(X.flag01(F.col("l_extendedprice") > 50000)).alias("n_large"))
 
 
 def q_season_class(spark, sf):
@@ -801,9 +761,6 @@ QUERIES = {
     "sample_hash": q_sample_hash,
     "split_half": q_split_half,
     "logreg_f1": q_logreg_f1,
-    "inject_drift": q_inject_drift,
-    "inject_then_detect": q_inject_then_detect,
-    "inject_batch_profile": q_inject_batch_profile,
     "enrich_fx": q_enrich_fx,
     "season_class": q_season_class,
     "partition_values": q_partition_values,
@@ -828,7 +785,6 @@ QUERIES = {
     "cycle_tests_daily": q_cycle_tests_daily,
     "cycle_verdict_daily": q_cycle_verdict_daily,
     "metrics_wide_daily": q_metrics_wide_daily,
-    "inject_scheduled": q_inject_scheduled,
     "threshold_sweep": q_threshold_sweep,
     "ablation": q_ablation,
     "holm": q_holm,

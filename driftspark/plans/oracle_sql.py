@@ -242,12 +242,6 @@ LINEITEM_RULE = """SELECT CASE WHEN l_discount >= 0.08e0 OR l_extendedprice >= (
     WHERE l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_quantity IS NOT NULL AND l_tax IS NOT NULL"""
 
 
-def _injected(factor: float, seed: int, lo: float = 1.5, hi: float = 4.0) -> str:
-    pick, size = uniform_sql("o_orderkey", seed), uniform_sql("o_orderkey", seed + 1)
-    return (f"CASE WHEN {pick} < {factor!r}e0 THEN o_totalprice * ({lo!r}e0 + {size} * {hi - lo!r}e0) "
-            f"ELSE o_totalprice END")
-
-
 def _obs_cycles_sql() -> str:
     return """SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) + 1 AS i, avg(value) AS avg_value,
                      avg(value) > 60.0e0 AS x FROM events GROUP BY 1"""
@@ -348,6 +342,14 @@ def _boot_sql() -> str:
 
 
 ORACLES = {
+    "enrich_fx": """WITH x AS (SELECT ['USD', 'EUR', 'GBP', 'COP'][CAST(((c_nationkey % 4) + 4) % 4 + 1 AS INTEGER)] AS currency,
+        CAST(round(CAST(l_extendedprice * l_tax AS DECIMAL(24, 6)), 2) AS DOUBLE) AS fee, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey),
+        y AS (SELECT *, CASE currency WHEN 'USD' THEN 1.0e0 WHEN 'EUR' THEN 1.08e0 WHEN 'GBP' THEN 1.27e0
+                                      WHEN 'COP' THEN 0.00026e0 END AS fx FROM x)
+        SELECT currency, count(*) AS n_items, round(sum(fee), 2) AS fee,
+               round(sum(CAST(round(CAST((l_extendedprice - fee) * fx AS DECIMAL(24, 6)), 2) AS DOUBLE)), 2) AS amount_usd,
+               CAST(sum(CAST(l_extendedprice > 50000 AS INTEGER)) AS BIGINT) AS n_large FROM y GROUP BY 1""",
     "window_role_counts": f"""SELECT role, count(*) AS n_rows, round(sum(value), 6) AS sum_value,
         count(DISTINCT user_id) AS n_users FROM ({EVENTS_PAIR}) p GROUP BY role""",
     "window_pair_filter": f"SELECT event_id, role FROM ({EVENTS_PAIR}) p",
@@ -402,22 +404,6 @@ ORACLES = {
     "sample_hash": f"""SELECT o_orderkey, o_orderpriority FROM orders WHERE {uniform_sql('o_orderkey', 42)} < 0.2e0""",
     "split_half": f"""SELECT o_orderkey, CASE WHEN {uniform_sql('o_orderkey', 13)} < 0.5e0 THEN 'ref' ELSE 'rec' END
         AS role FROM orders""",
-    "inject_drift": f"""SELECT o_orderkey, round({_injected(0.5, 42)}, 6) AS amount,
-        {uniform_sql('o_orderkey', 42)} < 0.5e0 AS drifted FROM orders""",
-    "inject_then_detect": ks_cols(ks_sql(_long_pair("o_totalprice", _injected(0.05, 42), "o_totalprice"))),
-    "inject_batch_profile": f"""WITH x AS (SELECT {uniform_sql('o_orderkey', 7)} < 0.3e0 AS drifted,
-        {_injected(0.3, 7, 1.5, 5.0)} AS amount, o_orderkey FROM orders)
-        SELECT count(*) FILTER (WHERE drifted) AS n_drifted,
-               count(*) FILTER (WHERE amount > 1000.0e0 AND {uniform_sql('o_orderkey', 10)} < 0.04e0) AS n_flagged,
-               round(sum(amount), 6) AS sum_amount FROM x""",
-    "enrich_fx": f"""WITH x AS (SELECT o_orderkey, o_totalprice,
-        ['USD', 'EUR', 'GBP', 'COP'][CAST(((o_custkey % 4) + 4) % 4 + 1 AS INTEGER)] AS currency,
-        round(o_totalprice * {uniform_sql('o_orderkey', 5)} * 0.015e0, 2) AS fee FROM orders),
-        y AS (SELECT *, CASE currency WHEN 'USD' THEN 1.0e0 WHEN 'EUR' THEN 1.08e0 WHEN 'GBP' THEN 1.27e0
-                                      WHEN 'COP' THEN 0.00026e0 ELSE 1.0e0 END AS fx FROM x)
-        SELECT o_orderkey, currency, round(fx, 6) AS fx, round(fee, 6) AS fee,
-               round(round((o_totalprice - fee) * fx, 2), 6) AS amount_usd,
-               CAST(o_totalprice > 100000 AS INTEGER) AS large FROM y""",
     "season_class": """SELECT CASE WHEN day(o_orderdate) BETWEEN 5 AND 10 THEN 'days_5_10'
         WHEN day(o_orderdate) BETWEEN 20 AND 25 THEN 'days_20_25' ELSE 'other' END AS season,
         count(*) AS n_orders, round(sum(o_totalprice), 6) AS sum_price FROM orders GROUP BY 1""",
@@ -479,17 +465,6 @@ ORACLES = {
         SELECT ks.cycle_end, round(max(ch.chi2_p_raw), 6) AS p_event_type, round(max(ks.ks_p_raw), 6) AS p_value,
                round(max(ps.psi_raw), 6) AS psi
         FROM ks JOIN ch USING (cycle_end) LEFT JOIN ps USING (cycle_end) GROUP BY ks.cycle_end""",
-    "inject_scheduled": f"""WITH x AS (SELECT o_orderdate, o_orderkey, o_totalprice,
-            greatest(0.0e0, least(1.0e0, greatest(0.0e0, least(1.0e0,
-              (epoch(o_orderdate) - epoch(TIMESTAMP '1995-01-01 00:00:00') - 63072000) / 31536000.0e0)) * 1.0e0))
-            AS factor FROM orders),
-        y AS (SELECT *, {uniform_sql('o_orderkey', 3)} < factor AS drifted,
-              CASE WHEN {uniform_sql('o_orderkey', 3)} < factor
-                   THEN o_totalprice * (1.5e0 + {uniform_sql('o_orderkey', 4)} * 2.5e0) ELSE o_totalprice END AS amount
-              FROM x)
-        SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n_orders, count(*) FILTER (WHERE drifted)
-               AS n_drifted, round(avg(factor), 6) AS avg_factor, round(sum(amount), 6) AS sum_amount
-        FROM y GROUP BY 1""",
     "stream_drift": f"""WITH {_cycle_with()},
         p AS (SELECT cycle_end, ks_p_raw AS p FROM ks UNION ALL SELECT cycle_end, chi2_p_raw FROM ch)
         SELECT p.cycle_end, bool_or(p < 0.01) AS drift_any, round(min(p), 6) AS p_min,
