@@ -93,6 +93,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     point = F.min(F.struct("id", *names, "size")).alias("p")
     groups = rows.groupBy("copy").agg(point).select(
         "copy", hilbert([*[F.col(f"p.{c}") for c in names], magnitude(F.col("p.size"))]).alias("curve"))
+    # written, so that both sides of the join are plain shuffles and a group of copies can be split
+    groups = shared.staged(groups, "groups")
     placed = numbered(rows.join(groups, "copy").select("id", "size", "crc", "copy", "curve"), ["curve", "copy", "id", "size"], "curve")
     total = rows.count()
     q, r = total // shards, total % shards
