@@ -508,32 +508,33 @@ def q_stage_stats(spark, sf):
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 STREAM_STEP = dt.timedelta(days=1)
-NO_DELAY = dt.timedelta(0)
+STREAM_DELAY = dt.timedelta(hours=1)
 
 
-def q_stream_windows(spark, sf):
+def _events_stream(spark, sf):
     prepare(spark)
-    events = stream.file_stream(spark, sf, EVENTS_SCHEMA, glob="events.parquet", max_files=1)
-    panes = stream.pane_stream(events, "ts", STREAM_STEP, NO_DELAY, value="value")
+    return stream.table_stream(spark, f"{sf.rstrip('/')}/events.parquet", EVENTS_SCHEMA, max_files=1)
+
+
+def q_stream_windows(spark, sf):
+    """All daily cycles of the stream; ``closed`` once the watermark passed their end."""
+    panes = stream.pane_stream(_events_stream(spark, sf), "ts", STREAM_STEP, STREAM_DELAY, value="value")
     out, ck = stream.new_paths(spark, "cycles")
-    wm = stream.run_cycle_sink(panes, out, STREAM_STEP, STREAM_STEP, ck)
-    # cycles are final once the watermark has passed their end
-    cyc = stream.read_cycles(spark, out)
-    if wm is not None:
-        cyc = cyc.where(F.col("cycle_end") <= F.lit(wm).cast("timestamp"))
+    mark, _ = stream.run_pane_sink(panes, out, ck)
+    cyc = stream.read_cycles(spark, out, STREAM_STEP, STREAM_STEP, mark)
     return cyc.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "role",
-                      F.col("n_rows").cast("long").alias("n_rows"), r6("sum_value").alias("sum_value"))
+                      F.col("n_rows").cast("long").alias("n_rows"), r6("sum_value").alias("sum_value"), "closed")
 
 
 def q_stream_policy(spark, sf):
-    prepare(spark)
-    events = stream.file_stream(spark, sf, EVENTS_SCHEMA, glob="events.parquet", max_files=1)
-    panes = stream.pane_stream(events, "ts", POLICY_STEP, NO_DELAY, value="value")
-    verdicts = panes.select(F.lit("fraud").alias("model"),
-                            (F.col("pane_start") + F.expr("INTERVAL 1 HOUR")).alias("cycle_end"),
-                            (F.col("sum_value") / F.col("n") > POLICY_LEVEL).alias("should_trigger"))
-    vt, vck = stream.new_paths(spark, "verdicts")
-    stream.run_to_table(verdicts, vt, vck)
+    panes = stream.pane_stream(_events_stream(spark, sf), "ts", POLICY_STEP, STREAM_DELAY, value="value")
+    out, ck = stream.new_paths(spark, "panes")
+    stream.run_pane_sink(panes, out, ck)
+    verdicts = stream.latest(spark.read.parquet(out), ["pane_start"]).select(
+        F.lit("fraud").alias("model"), (F.col("pane_start") + F.expr("INTERVAL 1 HOUR")).alias("cycle_end"),
+        (F.col("sum_value") / F.col("n") > POLICY_LEVEL).alias("should_trigger"))
+    vt, _ = stream.new_paths(spark, "verdicts")
+    verdicts.write.parquet(vt)
     vstream = spark.readStream.schema("model string, cycle_end timestamp, should_trigger boolean").parquet(vt)
     pol = stream.policy_stream(vstream, POLICY_STEP, POLICY_COOLDOWN, POLICY_CLEAR)
     pt, pck = stream.new_paths(spark, "policy")
@@ -715,15 +716,13 @@ def q_wilcoxon(spark, sf):
 
 
 def q_stream_drift(spark, sf):
-    """The daily-cycle detector as a stream; verdicts of complete cycles."""
-    prepare(spark)
-    events = stream.file_stream(spark, sf, EVENTS_SCHEMA, glob="events.parquet", max_files=1)
-    panes = stream.pane_value_stream(events, "ts", DAY, NO_DELAY, ["value"], ["event_type"])
+    """The daily-cycle detector as a stream; verdicts of all cycles."""
+    panes = stream.pane_value_stream(_events_stream(spark, sf), "ts", DAY, STREAM_DELAY, ["value"], ["event_type"])
     pane_path, ck = stream.new_paths(spark, "panes")
     verdict_path, _ = stream.new_paths(spark, "verdicts")
     stream.run_detector(panes, pane_path, verdict_path, DAY, DAY, ["value"], ["event_type"], "value", ck,
                         monitor.MonitorConfig(score_col="value"))
-    v = spark.read.parquet(verdict_path).drop("epoch")
+    v = stream.latest(spark.read.parquet(verdict_path), ["cycle_end"])
     return v.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "drift_any",
                     r6("p_min").alias("p_min"), r6("reject_share").alias("reject_share"),
                     F.col("n_tests").cast("long").alias("n_tests"), r6("psi").alias("psi"), "should_trigger")

@@ -449,9 +449,10 @@ ORACLES = {
         sum(value) AS v FROM events GROUP BY 1),
         c AS (SELECT pane + 1 AS e, 'rec' AS role, n, v FROM p UNION ALL SELECT pane + 2, 'ref', n, v FROM p)
         SELECT make_timestamp(e * 86400 * 1000000) AS cycle_end, role, CAST(sum(n) AS BIGINT) AS n_rows,
-               round(sum(v), 6) AS sum_value FROM c
-        WHERE make_timestamp(e * 86400 * 1000000) <= (SELECT max(ts) FROM events) GROUP BY 1, 2""",
-    "stream_policy": f"""SELECT * FROM ({_policy_sql('edge')}) x WHERE cycle_end <= (SELECT max(ts) FROM events)""",
+               round(sum(v), 6) AS sum_value,
+               make_timestamp(e * 86400 * 1000000) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed
+        FROM c GROUP BY ALL""",
+    "stream_policy": _policy_sql('edge'),
     "cycle_tests_daily": f"""WITH {_cycle_with()}
         SELECT cycle_end, column_name, 'ks' AS test, n_ref, n_rec, round(ks_d_raw, 6) AS stat, round(ks_p_raw, 6) AS p_value FROM ks
         UNION ALL SELECT cycle_end, column_name, 'chi2', n_ref, n_rec, chi2, round(chi2_p_raw, 6) FROM ch""",
@@ -470,8 +471,7 @@ ORACLES = {
         SELECT p.cycle_end, bool_or(p < 0.01) AS drift_any, round(min(p), 6) AS p_min,
                round(avg(CASE WHEN p < 0.01 THEN 1.0e0 ELSE 0.0e0 END), 6) AS reject_share, count(*) AS n_tests,
                round(max(ps.psi_raw), 6) AS psi, bool_or(p < 0.01) OR max(ps.psi_raw) > 0.2 AS should_trigger
-        FROM p LEFT JOIN ps USING (cycle_end)
-        WHERE p.cycle_end <= (SELECT max(ts) FROM events) GROUP BY p.cycle_end""",
+        FROM p LEFT JOIN ps USING (cycle_end) GROUP BY p.cycle_end""",
     "threshold_sweep": f"""WITH c AS ({CYCLE_SUMMARY}),
         g AS (SELECT a.alpha, t.tau FROM (VALUES (0.05e0), (0.01e0), (0.001e0)) a(alpha),
               (VALUES (0.1e0), (0.2e0), (0.3e0)) t(tau))

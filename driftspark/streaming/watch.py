@@ -4,12 +4,12 @@ Instead of re-reading the whole lake every 30 s (T1), the watcher is a streaming
 
 1. ``pane_stream``: file-source stream (new files only, ``maxFilesPerTrigger``) →
    watermark on the ingest time (T3) → tumbling step-wide panes with counts/sums per
-   group. Append mode: a pane is emitted once, when the watermark passes its end.
-2. ``run_cycle_sink``: ``foreachBatch`` fans each closed pane out to the 2W/step cycles
-   that contain it (T2) and appends the pieces to a Parquet table, one directory per
-   epoch written with overwrite, so a replayed epoch is idempotent (T5, T6).
-   ``read_cycles`` sums the pieces per (cycle, role): a cycle is complete once its
-   last pane has closed.
+   group.
+2. ``run_pane_sink``: ``foreachBatch`` writes each epoch's changed panes, open ones too, to
+   a directory of their own with overwrite, so a replayed epoch is idempotent (T5, T6).
+   ``read_cycles`` takes each pane's last state, fans it out to the 2W/step cycles that
+   contain it (T2) and flags the cycles that the watermark has closed. Rows later than
+   the watermark are counted.
 3. ``policy_stream``: a second stream over the verdict table, keyed by model, runs the
    alert policy (T4) with ``applyInPandasWithState``; state = alert flag, clear streak,
    last attempt, last cycle and trigger count. Gaps in the cycle grid count as clear.
@@ -31,15 +31,16 @@ from driftspark.operators import windows
 from driftspark.session import scratch_path
 
 
-def file_stream(spark: SparkSession, directory: str, schema: str, glob: str | None = None,
-                max_files: int | None = None) -> DataFrame:
-    """The lake as a stream of new files."""
+def table_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """A table as a stream of new files. The table is a directory of files or one file."""
     r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(directory)
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return r.parquet(path)
+    return r.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
 
 
 def _interval(td: dt.timedelta) -> str:
@@ -48,7 +49,7 @@ def _interval(td: dt.timedelta) -> str:
 
 def pane_stream(stream: DataFrame, ts: str, step: dt.timedelta, delay: dt.timedelta,
                 groups: Sequence[str] = (), value: str | None = None) -> DataFrame:
-    """Closed step-wide panes: pane_start, groups..., n, sum_value (append mode)."""
+    """Step-wide panes: pane_start, groups..., n, sum_value."""
     t = F.col(ts).cast("timestamp")  # timestamp_ntz cannot carry a watermark
     x = stream.withColumn("_t", t).withWatermark("_t", _interval(delay))
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -59,35 +60,46 @@ def pane_stream(stream: DataFrame, ts: str, step: dt.timedelta, delay: dt.timede
                                                                      [c for c in g.columns]])
 
 
-def run_cycle_sink(panes: DataFrame, out_path: str, width: dt.timedelta, step: dt.timedelta,
-                   checkpoint: str) -> str | None:
-    """foreachBatch: closed panes → cycle pieces, one overwrite directory per epoch.
+def _finished(query) -> tuple[str | None, int]:
+    """Final watermark (UTC, 'yyyy-MM-dd HH:mm:ss.SSS') and rows dropped as too late."""
+    query.awaitTermination()
+    marks = [p.get("eventTime", {}).get("watermark") for p in query.recentProgress]
+    late = sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p.get("stateOperators", []))
+    marks = [m for m in marks if m]
+    return (max(marks).replace("T", " ").rstrip("Z") if marks else None), late
 
-    Returns the final event-time watermark (UTC, 'yyyy-MM-dd HH:mm:ss.SSS'): cycles
-    ending at or before it are complete.
-    """
-    step_s = int(step.total_seconds())
 
+def run_pane_sink(panes: DataFrame, out_path: str, checkpoint: str) -> tuple[str | None, int]:
+    """foreachBatch in update mode: each epoch writes the panes that it changed, whole, to a
+    directory of its own (overwritten if the epoch is replayed). Open panes so are in the
+    table as well as closed ones. Returns the final watermark and the rows dropped as late.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        p = batch.withColumn("_pane", (F.unix_seconds("pane_start") / step_s).cast("long")).drop("pane_start")
-        pieces = windows.fan_out_cycles(p, "_pane", width, step)
-        pieces.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = (panes.writeStream.outputMode("append").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    marks = [p.get("eventTime", {}).get("watermark") for p in q.recentProgress]
-    marks = [m for m in marks if m]
-    return max(marks).replace("T", " ").rstrip("Z") if marks else None
+    return _finished(panes.writeStream.outputMode("update").foreachBatch(write)
+                     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_cycles(spark: SparkSession, path: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Sum the cycle pieces of all epochs per (cycle_end, role, groups)."""
-    pieces = spark.read.parquet(path).drop("epoch")
+def latest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each key's row of the last epoch that wrote it."""
+    rest = [c for c in table.columns if c not in (*keys, "epoch")]
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
+
+
+def read_cycles(spark: SparkSession, path: str, width: dt.timedelta, step: dt.timedelta, watermark: str | None,
+                groups: Sequence[str] = ()) -> DataFrame:
+    """Panes fanned out to their 2W/step cycles and summed per (cycle_end, role, groups);
+    ``closed`` tells whether the watermark has passed the cycle's end."""
+    panes = latest(spark.read.parquet(path), ["pane_start", *groups])
+    step_s = int(step.total_seconds())
+    panes = panes.withColumn("_pane", (F.unix_seconds("pane_start") / step_s).cast("long")).drop("pane_start")
     aggs = [F.sum("n").alias("n_rows")]
-    if "sum_value" in pieces.columns:
+    if "sum_value" in panes.columns:
         aggs.append(F.sum("sum_value").alias("sum_value"))
-    return pieces.groupBy("cycle_end", "role", *groups).agg(*aggs)
+    mark = F.lit(watermark).cast("timestamp")
+    out = windows.fan_out_cycles(panes, "_pane", width, step).groupBy("cycle_end", "role", *groups).agg(*aggs)
+    return out.withColumn("closed", F.coalesce(F.col("cycle_end") <= mark, F.lit(False)))
 
 
 # --- T4 streaming policy -------------------------------------------------------------
@@ -163,7 +175,7 @@ def new_paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 def pane_value_stream(stream: DataFrame, ts: str, step: dt.timedelta, delay: dt.timedelta,
                       numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Closed panes with per-value counts: pane_start, column_name, num, cat, n.
+    """Panes with per-value counts: pane_start, column_name, num, cat, n.
 
     The state held per open pane is one row per distinct value and column; the
     watermark bounds the number of open panes.
@@ -183,12 +195,13 @@ def pane_value_stream(stream: DataFrame, ts: str, step: dt.timedelta, delay: dt.
 
 def run_detector(panes: DataFrame, pane_path: str, verdict_path: str, width: dt.timedelta,
                  step: dt.timedelta, numeric: Sequence[str], categorical: Sequence[str],
-                 score: str | None, checkpoint: str, cfg=None) -> None:
-    """foreachBatch: store closed panes, then test the cycles whose last pane just closed.
+                 score: str | None, checkpoint: str, cfg=None) -> tuple[str | None, int]:
+    """foreachBatch in update mode: store the changed pane counts, then test the cycles that
+    contain a changed pane, open ones and those with a silent side included.
 
-    Panes are written partitioned by pane index with dynamic overwrite, verdicts one
-    directory per epoch, so a replayed epoch rewrites the same data. Only the panes of
-    the completed cycles are read back (partition pruning on the pane index).
+    Panes are written per epoch, partitioned by pane index, and verdicts one directory per
+    epoch, so a replayed epoch rewrites the same data; readers take the last epoch of each
+    key. Only the panes of the tested cycles are read back (pruning on the pane index).
     """
     from driftspark.plans import monitor
     cfg = cfg or monitor.MonitorConfig()
@@ -198,27 +211,30 @@ def run_detector(panes: DataFrame, pane_path: str, verdict_path: str, width: dt.
     def write(batch: DataFrame, epoch: int) -> None:
         pc = batch.select((F.unix_seconds("pane_start") / step_s).cast("long").alias("_pane"),
                           "column_name", "num", "cat", F.col("n").alias("_n"))
-        span = pc.agg(F.min("_pane").alias("lo"), F.max("_pane").alias("hi")).first()  # two integers
-        if span is None or span.lo is None:
-            return
-        (pc.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("_pane").parquet(pane_path))
+        pc.write.mode("overwrite").partitionBy("_pane").parquet(f"{pane_path}/epoch={epoch}")
         spark = batch.sparkSession
-        stored = spark.read.parquet(pane_path).where(F.col("_pane") >= span.lo - 2 * r + 1)
-        done = pc.select((F.col("_pane") + 1).alias("_e")).distinct().select(
-            F.timestamp_seconds(F.col("_e") * step_s).alias("cycle_end"))
+        # the schema is named, as an epoch without rows leaves no pane folder to infer it from
+        kinds = "column_name string, num double, cat string, _n long, epoch long, _pane long"
+        table = spark.read.schema(kinds).option("basePath", pane_path).parquet(pane_path)
+        changed = table.where(F.col("epoch") == epoch)
+        span = changed.agg(F.min("_pane").alias("lo"), F.max("_pane").alias("hi")).first()  # two integers
+        if span.lo is None:
+            return
+        near = table.where(F.col("_pane").between(span.lo - 2 * r + 1, span.hi + 2 * r - 1))
+        stored = latest(near, ["_pane", "column_name", "num", "cat"])
+        ends = changed.select(F.explode(F.sequence(F.col("_pane") + 1, F.col("_pane") + 2 * r)).alias("_e")).distinct()
+        ends = ends.select(F.timestamp_seconds(F.col("_e") * step_s).alias("cycle_end"))
 
         def counts(cols, field):
             if not cols:
                 return None
             x = stored.where(F.col("column_name").isin(*cols)).select(
                 "_pane", "column_name", F.col(field).alias("value"), "_n")
-            return monitor.counts_from_panes(x, width, step).join(done, "cycle_end", "left_semi")
+            return monitor.counts_from_panes(x, width, step).join(ends, "cycle_end", "left_semi")
 
         fr = monitor.tests_from_cycle_counts(counts(list(numeric), "num"), counts(list(categorical), "cat"),
                                              counts([score] if score else [], "num"), cfg)
         fr["verdict"].write.mode("overwrite").parquet(f"{verdict_path}/epoch={epoch}")
 
-    q = (panes.writeStream.outputMode("append").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _finished(panes.writeStream.outputMode("update").foreachBatch(write)
+                     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
