@@ -7,7 +7,7 @@ ORACLES: dict[str, str] = {}
 # Windows of 13 words by hash of their text; the smallest id with each decides.
 ORACLES["op8_substring_dedup"] = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
   SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13),
@@ -20,7 +20,7 @@ gone AS (
 marked AS (
   SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN marked USING (doc_id)
 """
 
@@ -28,7 +28,7 @@ FROM w LEFT JOIN marked USING (doc_id)
 ORACLES["op6_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, md5(CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[p:p + 4], ' ') END) AS h
@@ -36,11 +36,11 @@ s AS (
 n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
   FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
-  WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+  WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
 edges AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, other) AS (
@@ -56,7 +56,7 @@ ORACLES["op9_nearest_neighbours"] = r"""
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, c -> c <> 0)) > 0),
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.x, c.x) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
@@ -64,3 +64,34 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+# Digests from the turns themselves; the formatted length counts each turn as often as the
+# windows of budget 512 and history 96 show it.
+ORACLES["op5_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+c AS (
+  SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS cost FROM t),
+u AS (
+  SELECT *, sum(cost) OVER o AS upto, row_number() OVER o AS place, max(cost) OVER (PARTITION BY conv_id) AS longest,
+    first_value(CASE WHEN role = 'system' THEN cost ELSE 0 END) OVER o AS sys
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+s AS (
+  SELECT *, CAST(floor((upto - cost) / greatest(1, 512 - 96 - sys - longest + 1)) AS BIGINT) AS span FROM u),
+w AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win FROM s),
+x AS (
+  SELECT *, max(upto) OVER (PARTITION BY conv_id, win) AS span_end, max(win) OVER (PARTITION BY conv_id) + 1 AS wins,
+    place = 1 AND role = 'system' AS lead FROM w),
+y AS (
+  SELECT *, 1 + CASE WHEN lead THEN wins - 1 WHEN win + 1 < wins AND span_end - upto + cost <= 96 THEN 1 ELSE 0 END AS shown,
+    24 + length(replace(regexp_replace(role, '<(\|+)', '<|\1', 'g'), chr(10), '<|n|>'))
+       + length(regexp_replace(text, '<(\|+)', '<|\1', 'g')) AS chars FROM x)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(shown * chars) AS BIGINT) AS formatted_chars
+FROM y GROUP BY conv_id
+"""
