@@ -351,7 +351,7 @@ def _tile_links(rows: list[tuple]) -> list[tuple[int, int]]:
     left = [r for r in rows if r[0] == 0]
     right = [r for r in rows if r[0] == 1] or left
     if not left or len({r[2] for r in rows}) < 2:
-        return []
+        return []  # one component, or guests only
     n, m = (np.array([r[1] for r in side])[:, None] for side in (left, right))
     c, d = (np.array([r[2] for r in side])[:, None] for side in (left, right))
     both = overlap_counts([r[3] for r in left], [r[3] for r in right])
@@ -384,20 +384,28 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
     members = shared.staged(members.distinct(), "open")
     sized = members.groupBy("run").agg(F.count(F.lit(1)).alias("size"))
     grouped = shared.staged(members.join(sized, "run").groupBy("id").agg(F.max(F.struct("size", "run"))["run"].alias("grp"), F.max("n").alias("n"), F.first("component").alias("component")), "groups")
-    blocks = grouped.groupBy("grp").agg((1 + F.floor(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES))).cast("int").alias("blocks"),
-                                        F.min("component").alias("lo"), F.max("component").alias("hi"))
-    blocks = shared.staged(blocks, "blocks")
+    parts = lambda n, size: (1 + F.floor(F.greatest(n / TILE, size / TILE_SHINGLES))).cast("int")
+    blocks = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = shared.staged(blocks.withColumn("blocks", parts(F.col("members"), F.col("shingles"))), "blocks")
     met = members.select("run", "id").join(grouped.select("id", "grp"), "id").select("run", "grp").distinct()
-    pairs = met.join(met.select("run", F.col("grp").alias("grp2")), "run").where("grp <= grp2").select("grp", "grp2").distinct()
-    pairs = (pairs.join(blocks, "grp").join(blocks.select(F.col("grp").alias("grp2"), F.col("blocks").alias("blocks2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "grp2")
-             .where(F.least("lo", "lo2") != F.greatest("hi", "hi2")).select("grp", "grp2", "blocks", "blocks2"))
-    pairs = shared.staged(pairs, "meetings")
-    placed = grouped.join(blocks.select("grp", "blocks"), "grp").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    tile = F.xxhash64("grp", "grp2", "b1", "b2").alias("tile")
-    some = placed.select("id", "component", "grp", "block")
-    rows = some.join(pairs, "grp").select("id", "component", "grp", "grp2", F.col("block").alias("b1"), F.explode(F.expr("sequence(if(grp = grp2, block, 0), blocks2 - 1)")).alias("b2"), F.lit(0).alias("side"))
-    columns = (some.withColumnRenamed("grp", "grp2").join(pairs, "grp2").select("id", "component", "grp", "grp2", F.explode(F.expr("sequence(0, if(grp = grp2, block, blocks - 1))")).alias("b1"), F.col("block").alias("b2"), F.lit(1).alias("side"))
-               .where("grp <> grp2 or b1 <> b2"))
+    ranked = blocks.select("grp", F.struct("members", "grp", "shingles", "blocks", "lo", "hi").alias("g"))
+    met = met.join(ranked, "grp").select("run", "g")
+    pairs = met.join(met.select("run", F.col("g").alias("h")), "run").where("g >= h").select("g", "h").distinct()
+    pairs = shared.staged(pairs.where("least(g.lo, h.lo) <> greatest(g.hi, h.hi)"), "meetings")
+    alone = pairs.where("g = h").select(F.col("g.grp").alias("grp"), F.col("g.blocks").alias("blocks"))
+    # a larger group hosts all smaller ones that it meets; their members share its columns
+    hosts = pairs.where("g > h").groupBy(F.col("g.grp").alias("host"), F.col("g.blocks").alias("blocks")).agg(parts(F.sum("h.members"), F.sum("h.shingles")).alias("bundles"))
+    hosts = shared.staged(hosts, "hosts")
+    guests = pairs.where("g > h").select(F.col("h.grp").alias("grp"), F.col("g.grp").alias("host")).join(hosts, "host")
+    place = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
+    some = grouped.select("id", "component", "grp")
+    tile = F.xxhash64("kind", "grp", "b1", "b2").alias("tile")
+    own = some.join(alone, "grp").withColumn("b", place("blocks"))
+    want = [own.select("id", "component", F.lit(0).alias("kind"), "grp", F.col("b").alias("b1"), F.explode(F.expr("sequence(b, blocks - 1)")).alias("b2"), F.lit(0).alias("side")),
+            own.where("b > 0").select("id", "component", F.lit(0).alias("kind"), "grp", F.explode(F.expr("sequence(0, b - 1)")).alias("b1"), F.col("b").alias("b2"), F.lit(1).alias("side")),
+            some.join(hosts.withColumnRenamed("host", "grp"), "grp").select("id", "component", F.lit(1).alias("kind"), "grp", place("blocks").alias("b1"), F.explode(F.expr("sequence(0, bundles - 1)")).alias("b2"), F.lit(0).alias("side")),
+            some.join(guests, "grp").select("id", "component", F.lit(1).alias("kind"), F.col("host").alias("grp"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("b1"), place("bundles").alias("b2"), F.lit(1).alias("side"))]
+    rows, columns = want[0].unionByName(want[1]), want[2].unionByName(want[3])
     wants = rows.unionByName(columns).select("id", "component", F.struct(tile, "side").alias("want"))
     wants = shared.staged(wants.groupBy(F.col("id").alias(_KEY)).agg(F.first("component").alias("component"), F.collect_list("want").alias("want"))
                           .select(_KEY, F.col("want.tile").alias("tile"), F.col("want.side").alias("side"), "component"), "wants")
