@@ -2,8 +2,7 @@
 
 A file's own licence is its line (a header notice) or whole text (a licence file) with the
 largest cosine of TF-IDF vectors to a template, from THRESHOLD on. Inverse document
-frequencies of the templates' terms are counted over all files; a term that no template has
-weighs as the rarest possible, so other words in a line lower its cosine.
+frequencies of all terms, the templates' and others, are counted over all files.
 
 Lines are found without scoring all: for each template, the fewest heavy terms are taken
 whose absence leaves less than THRESHOLD of its length, and a line that has none of any
@@ -29,6 +28,8 @@ from pyspark.sql import functions as F
 from driftspark.llm import shared
 
 THRESHOLD = 0.75
+# Bound of the broadcast table of words and their weights, about 20 MB.
+BROADCAST_WORDS = 200_000
 # Short public licence notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -81,11 +82,10 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = sorted({w for t in templates.values() for w in plain_terms(t)})
-    held = F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, words)))
-    counts = dict(rows.select(F.explode(held).alias("w")).groupBy("w").count().collect())  # one row per template term
+    frequencies = shared.staged(rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("w")).groupBy("w").count(), "frequencies")
+    counts = dict(frequencies.where(F.col("w").isin(words)).collect())  # one row per template term
     total = rows.count()
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in words}
-    rarest = math.log(1 + total) + 1
     vectors = template_vectors(templates, idf)
     needed = F.array(*map(F.lit, needed_terms(vectors, threshold)))
 
@@ -97,12 +97,14 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.xxhash64("id", "path", "text").alias("key")
     parts = found.select("id", "path", key, F.explode(F.concat("lines", F.when(short, F.array(whole)).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>")))).alias("x"))
     parts = shared.staged(parts.select("id", "path", "key", "x.line", "x.words").distinct(), "lines")
-    weights = spark.createDataFrame([(n, w, v, idf[w]) for n, vec in vectors.items() for w, v in vec.items()], "license string, w string, v double, idf double")
-    known = weights.select("w", "idf").distinct()
+    weights = spark.createDataFrame([(n, w, v) for n, vec in vectors.items() for w, v in vec.items()], "license string, w string, v double")
+    known = frequencies.join(parts.select(F.explode("words").alias("w")).distinct(), "w", "left_semi")
+    known = shared.staged(known.select("w", (F.log((1 + F.lit(total)) / (1 + F.col("count"))) + 1).alias("idf")), "idf")
+    known = F.broadcast(known) if shared.small(known, BROADCAST_WORDS) else known
     tf = parts.select("key", "line", F.explode("words").alias("w")).groupBy("key", "line", "w").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(F.broadcast(known), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rarest)))
+    weighed = tf.join(known, "w").withColumn("x", F.col("tf") * F.col("idf"))
     size = weighed.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = weighed.join(F.broadcast(weights.select("license", "w", "v")), "w").groupBy("key", "line", "license").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
+    dots = weighed.join(F.broadcast(weights), "w").groupBy("key", "line", "license").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
     cosine = dots.join(size, ["key", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("cosine") >= threshold)
     order = F.struct((-F.col("cosine")).alias("c"), "license", "line")
     best = cosine.groupBy("key").agg(F.min(order).alias("b"), F.max((F.col("line") == -1)).alias("is_file"))

@@ -44,6 +44,15 @@ def test_headers_files_and_inheritance(table):
     assert L.scan_licenses(table([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_words_outside_the_templates_have_their_own_weight(table):
+    """'zebra' is in every file, so it hardly weighs; 'quux' is in one file and weighs most."""
+    rows = [(i, f"p/{i}", "zebra") for i in range(400)]
+    rows += [(1000, "a/x", "Zebra zebra released under the MIT License\n" + "zebra\n" * 60), (1001, "b/x", "quux quux released under the unclear License\n" + "zebra\n" * 60)]
+    got = {r.doc_id: r for r in L.scan_licenses(table(rows, "doc_id long, path string, text string")).collect()}
+    assert got[1000].license == "MIT" and got[1000].line == 0 and got[1000].cosine > 0.95
+    assert got[1001].license is None and len(got) == 402
+
+
 def test_needed_terms_are_enough():
     """A vector without any needed term stays below the threshold."""
     words = {w for t in L.TEMPLATES.values() for w in L.plain_terms(t)}
