@@ -1,26 +1,35 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-A file's own licence is its line (a header notice) or whole text (a licence file) with the
-largest cosine of TF-IDF vectors to a template, from THRESHOLD on. Inverse document
+Templates are notices (a sentence) and full licence texts. A file whose whole text, of any
+length, has a cosine of TF-IDF vectors of at least THRESHOLD to a template is its directory's
+licence file and has the licence of the largest. Any other file has the licence of its line or
+window with the largest cosine from THRESHOLD on (a header notice); the windows are all runs
+of as many words as a notice has, so that notices may be wrapped over lines. Inverse document
 frequencies of all terms, the templates' and others, are counted over all files.
 
-Lines are found without scoring all: for each template, the fewest heavy terms are taken
-whose absence leaves less than THRESHOLD of its length, and a line that has none of any
-template's cannot reach the bound. Only lines with such a term become sparse vectors.
-
-A file whose whole text reaches the bound is its directory's licence file. A file without
-own licence takes that of the nearest ancestor directory that has one: directories, one row
-each, are joined with their ancestors, and files with their directory.
-
-Templates are a parameter (id to text). Defined results: null and empty texts have no own
-licence; a null path lies in no directory; ties go to the smaller licence id, then the
-earlier line; two licence files in a directory give the smaller id; repeated rows are
-scanned each. Everything is DataFrame functions.
+Lines and windows are found without scoring all: for each notice, the fewest heavy terms are
+taken whose absence leaves less than THRESHOLD of its length, and words that have none of any
+notice's cannot reach the bound; windows are made around such terms and go on if the terms
+of the notice that they hold have that length. A whole text goes on if its dot product over
+the length of its templates' terms alone, which is at least the cosine, reaches the bound.
+
+A file without own licence takes that of the nearest ancestor directory that has one:
+directories, one row each, are joined with their ancestors, and files with their directory.
+
+Notices and texts are parameters (id to text). A text of a licence that has no template can
+come out as a near relative (AGPL as GPL). The full texts of CC BY and CC BY-NC are not at
+hand, and CC BY-SA alone would take their files, so that the three have notices only.
+Defined results: null and empty texts have no own licence; a null path lies in no directory;
+ties go to the smaller licence id, then the earlier line (line is where a line or window
+begins, -1 for whole texts); two licence files in a directory give the smaller id; repeated
+rows are scanned each. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +52,8 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
 }
+# Full texts as published, read with the module by the driver.
+TEXTS = {f.name.removesuffix(".txt"): f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 def terms(text: Column) -> Column:
@@ -57,7 +68,7 @@ def template_vectors(templates: dict[str, str], idf: dict[str, float]) -> dict[s
     """Unit vectors of the templates."""
     out = {}
     for name, text in templates.items():
-        raw = {w: plain_terms(text).count(w) * idf[w] for w in plain_terms(text)}
+        raw = {w: n * idf[w] for w, n in Counter(plain_terms(text)).items()}
         size = math.sqrt(sum(v * v for v in raw.values()))
         out[name] = {w: v / size for w, v in raw.items()}
     return out
@@ -76,37 +87,89 @@ def needed_terms(vectors: dict[str, dict[str, float]], threshold: float) -> list
     return sorted(found)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _bag(words: Column) -> Column:
+    """Distinct words with their counts, by sorting."""
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return _let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).alias("tf"))))
+
+    return _let(F.sort_array(words), runs)
+
+
+def _windows(lines: Column, templates: dict[str, str], vectors: dict[str, dict[str, float]], threshold: float) -> Column:
+    """Runs of words, as many as a notice has, whose terms of the notice have THRESHOLD of its
+    length: (line, words) like the lines. They begin up to a notice's length before a needed term."""
+    notices = F.array(*[F.struct(F.lit(len(plain_terms(templates[n]))).alias("n"), F.array(*map(F.lit, needed_terms({n: vec}, threshold))).alias("needed"),
+                                 F.array(*[F.struct(F.lit(w).alias("w"), F.lit(v * v).alias("vv")) for w, v in vec.items()]).alias("terms"))
+                        for n, vec in vectors.items() if vec]) if any(vectors.values()) else F.array().cast("array<struct<n:int,needed:array<string>,terms:array<struct<w:string,vv:double>>>>")
+    any_needed = F.array(*map(F.lit, needed_terms(vectors, threshold))).cast("array<string>")
+    enough = threshold * threshold * (1 - 1e-9)
+
+    def of_text(words: Column, at: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(any_needed, w), i)), lambda i: i.isNotNull())
+
+        def of_notice(hits: Column, t: Column) -> Column:
+            own = F.filter(hits, lambda i: F.array_contains(t.needed, F.get(words, i)))
+            last = F.greatest(F.lit(0), F.size(words) - t.n)
+            starts = F.array_distinct(F.flatten(F.transform(own, lambda i: F.sequence(F.least(last, F.greatest(F.lit(0), i - t.n + 1)), F.least(last, i)))))
+            made = F.transform(starts, lambda i: F.struct(F.get(at, i).alias("line"), F.slice(words, i + 1, t.n).alias("words")))
+            return F.filter(made, lambda x: F.aggregate(F.filter(t.terms, lambda y: F.array_contains(x.words, y.w)), F.lit(0.0), lambda a, y: a + y.vv) >= enough)
+
+        return _let(hits, lambda h: F.when(F.size(h) > 0, F.flatten(F.transform(notices, lambda t: of_notice(h, t)))).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>")))
+
+    words, at = F.flatten(F.transform(lines, lambda x: x.words)), F.flatten(F.transform(lines, lambda x: F.transform(x.words, lambda _: x.line)))
+    return _let(F.struct(words.alias("w"), at.alias("at")), lambda x: of_text(x.w, x.at))
+
+
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path",
-                  templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+                  templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, texts: dict[str, str] = TEXTS) -> DataFrame:
     """(id, path, license, via, cosine, line) of every row; via is header, file, inherited or null."""
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = sorted({w for t in templates.values() for w in plain_terms(t)})
+    words = sorted({w for t in [*templates.values(), *texts.values()] for w in plain_terms(t)})
     frequencies = shared.staged(rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("w")).groupBy("w").count(), "frequencies")
     counts = dict(frequencies.where(F.col("w").isin(words)).collect())  # one row per template term
     total = rows.count()
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in words}
-    vectors = template_vectors(templates, idf)
-    needed = F.array(*map(F.lit, needed_terms(vectors, threshold)))
-
-    # whole text as line -1, then the lines; a row's key also tells repeated ids apart
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), terms(x).alias("words"))), lambda x: F.arrays_overlap(x.words, needed))
-    found = rows.withColumn("lines", lines).where(F.size("lines") > 0)
-    whole = F.struct(F.lit(-1).alias("line"), terms(F.col("text")).alias("words"))
-    short = F.size(terms(F.col("text"))) <= 4 * max(len(plain_terms(t)) for t in templates.values()) / (threshold * threshold)
+    vectors, full = template_vectors(templates, idf), template_vectors(texts, idf)
     key = F.xxhash64("id", "path", "text").alias("key")
-    parts = found.select("id", "path", key, F.explode(F.concat("lines", F.when(short, F.array(whole)).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>")))).alias("x"))
-    parts = shared.staged(parts.select("id", "path", "key", "x.line", "x.words").distinct(), "lines")
-    weights = spark.createDataFrame([(n, w, v) for n, vec in vectors.items() for w, v in vec.items()], "license string, w string, v double")
+
+    # whole texts: bags of words meet the templates' terms only, one row of sums a text
+    columns = [*vectors.values(), *full.values()]
+    held = spark.createDataFrame([(w, idf[w], [v.get(w, 0.0) for v in columns]) for w in words], "w string, idf double, v array<double>")
+    bags = rows.select(key, F.explode(_bag(terms(F.col("text")))).alias("x")).select("key", "x.w", "x.tf").join(F.broadcast(held), "w")
+    x = F.col("tf") * F.col("idf")
+    sums = bags.groupBy("key").agg(F.sum(x * x).alias("size"), *[F.sum(x * F.col("v")[i]).alias(f"d{i}") for i in range(len(columns))])
+    bound = threshold * (1 - 1e-9)
+    near = sums.where(F.greatest(*[f"d{i}" for i in range(len(columns))], F.lit(0.0)) >= bound * F.sqrt("size"))
+    near = shared.staged(near.select("key"), "near")  # rows that repeat give a multiple of both sides
+
+    needed = F.array(*map(F.lit, needed_terms(vectors, threshold)))
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), terms(x).alias("words"))), lambda x: F.size(x.words) > 0)
+    held_lines = _let(lines, lambda all_lines: F.concat(F.filter(all_lines, lambda x: F.arrays_overlap(x.words, needed)), _windows(all_lines, templates, vectors, threshold)))
+    whole = F.array(F.struct(F.lit(-1).alias("line"), terms(F.col("text")).alias("words")))
+    parts = rows.select(key, F.explode(held_lines).alias("x")).select("key", "x.line", "x.words")
+    whole = shared.on_ids(rows.select(key, "text"), near, "key", "left_semi").select("key", F.explode(whole).alias("x")).select("key", "x.line", "x.words")
+    at = F.xxhash64("line", "words").alias("at")
+    parts = shared.staged(parts.unionByName(whole).select("key", "line", at, "words").dropDuplicates(["key", "line", "at"]), "lines")
+    weights = [(n, w, v) for vecs in (vectors, full) for n, vec in vecs.items() for w, v in vec.items()]
+    kinds = [k for k, vecs in enumerate((vectors, full)) for vec in vecs.values() for _ in vec]
+    weights = spark.createDataFrame([(k, *r) for k, r in zip(kinds, weights)], "kind int, license string, w string, v double")
     known = frequencies.join(parts.select(F.explode("words").alias("w")).distinct(), "w", "left_semi")
     known = shared.staged(known.select("w", (F.log((1 + F.lit(total)) / (1 + F.col("count"))) + 1).alias("idf")), "idf")
     known = F.broadcast(known) if shared.small(known, BROADCAST_WORDS) else known
-    tf = parts.select("key", "line", F.explode("words").alias("w")).groupBy("key", "line", "w").agg(F.count(F.lit(1)).alias("tf"))
+    tf = parts.select("key", "line", "at", F.explode("words").alias("w")).groupBy("key", "line", "at", "w").agg(F.count(F.lit(1)).alias("tf"))
     weighed = tf.join(known, "w").withColumn("x", F.col("tf") * F.col("idf"))
-    size = weighed.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = weighed.join(F.broadcast(weights), "w").groupBy("key", "line", "license").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
-    cosine = dots.join(size, ["key", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("cosine") >= threshold)
-    order = F.struct((-F.col("cosine")).alias("c"), "license", "line")
+    size = weighed.groupBy("key", "line", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    # full texts are for whole texts only
+    dots = weighed.join(F.broadcast(weights), "w").where("kind = 0 or line = -1").groupBy("key", "line", "at", "kind", "license").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
+    cosine = dots.join(size, ["key", "line", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("cosine") >= threshold)
+    order = F.struct((F.col("line") != -1).alias("part"), (-F.col("cosine")).alias("c"), "license", "line")
     best = cosine.groupBy("key").agg(F.min(order).alias("b"), F.max((F.col("line") == -1)).alias("is_file"))
     best = shared.staged(best.select("key", "b.license", (-F.col("b.c")).alias("cosine"), "b.line", "is_file"), "own")
 

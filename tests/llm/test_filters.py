@@ -47,12 +47,25 @@ def test_headers_files_and_inheritance(table):
 def test_words_outside_the_templates_have_their_own_weight(table):
     """'zebra' is in every file, so it hardly weighs; 'quux' is in one file and weighs most."""
     rows = [(i, f"p/{i}", "zebra") for i in range(400)]
-    rows += [(1000, "a/x", "Zebra zebra released under the MIT License\n" + "zebra\n" * 60), (1001, "b/x", "quux quux released under the unclear License\n" + "zebra\n" * 60)]
+    rows += [(1000, "a/x", "Zebra zebra released under the MIT License\n" + "zebra\n" * 60), (1001, "b/x", "quux quux released under quux unclear License\n" + "zebra\n" * 60)]
     got = {r.doc_id: r for r in L.scan_licenses(table(rows, "doc_id long, path string, text string")).collect()}
     assert got[1000].license == "MIT" and got[1000].line == 0 and got[1000].cosine > 0.95
     assert got[1001].license is None and len(got) == 402
 
 
+def test_wrapped_notices_long_files_and_full_texts(table):
+    far = " ".join(f"w{i}" for i in range(300))
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "a/x", far + "\nLicensed under the Apache License,\n  Version 2.0 " + far), (2, "b/LICENSE", "\n".join([notice] * 40)), (3, "b/c/x", "none"),
+            (4, "d/x", far + " and " + notice + " " + far), (20, "e/x", "Version 2.0 of the\nlicence " + far)]
+    rows += [(100 + i, f"t/{n}/LICENSE", "Copyright 2020 A. Person\n\n" + t) for i, (n, t) in enumerate(L.TEXTS.items())]
+    rows += [(200 + i, f"t/{n}/src/x", "some words") for i, n in enumerate(L.TEXTS)]
+    got = {r.doc_id: (r.license, r.via, r.line) for r in L.scan_licenses(table(rows, "doc_id long, path string, text string")).collect()}
+    want = {1: ("Apache-2.0", "header", 1), 2: ("GPL-3.0", "file", -1), 3: ("GPL-3.0", "inherited", None), 4: ("GPL-3.0", "header", 0), 20: (None, None, None)}
+    want |= {100 + i: (n, "file", -1) for i, n in enumerate(L.TEXTS)} | {200 + i: (n, "inherited", None) for i, n in enumerate(L.TEXTS)}
+    assert len(L.TEXTS) == 9 and got == want
+
+
 def test_needed_terms_are_enough():
     """A vector without any needed term stays below the threshold."""
     words = {w for t in L.TEMPLATES.values() for w in L.plain_terms(t)}
