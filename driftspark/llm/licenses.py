@@ -132,17 +132,18 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = sorted({w for t in [*templates.values(), *texts.values()] for w in plain_terms(t)})
-    frequencies = shared.staged(rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("w")).groupBy("w").count(), "frequencies")
+    frequencies = shared.staged(rows.select(F.explode_outer(F.array_distinct(terms(F.col("text")))).alias("w")).where("w is not null").groupBy("w").count(), "frequencies")
     counts = dict(frequencies.where(F.col("w").isin(words)).collect())  # one row per template term
     total = rows.count()
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in words}
     vectors, full = template_vectors(templates, idf), template_vectors(texts, idf)
     key = F.xxhash64("id", "path", "text").alias("key")
 
+    # explode_outer, as Spark adds a filter to explode that works its array out once more
     # whole texts: bags of words meet the templates' terms only, one row of sums a text
     columns = [*vectors.values(), *full.values()]
     held = spark.createDataFrame([(w, idf[w], [v.get(w, 0.0) for v in columns]) for w in words], "w string, idf double, v array<double>")
-    bags = rows.select(key, F.explode(_bag(terms(F.col("text")))).alias("x")).select("key", "x.w", "x.tf").join(F.broadcast(held), "w")
+    bags = rows.select(key, F.explode_outer(_bag(terms(F.col("text")))).alias("x")).select("key", "x.w", "x.tf").join(F.broadcast(held), "w")
     x = F.col("tf") * F.col("idf")
     sums = bags.groupBy("key").agg(F.sum(x * x).alias("size"), *[F.sum(x * F.col("v")[i]).alias(f"d{i}") for i in range(len(columns))])
     bound = threshold * (1 - 1e-9)
@@ -153,7 +154,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), terms(x).alias("words"))), lambda x: F.size(x.words) > 0)
     held_lines = _let(lines, lambda all_lines: F.concat(F.filter(all_lines, lambda x: F.arrays_overlap(x.words, needed)), _windows(all_lines, templates, vectors, threshold)))
     whole = F.array(F.struct(F.lit(-1).alias("line"), terms(F.col("text")).alias("words")))
-    parts = rows.select(key, F.explode(held_lines).alias("x")).select("key", "x.line", "x.words")
+    parts = rows.select(key, F.explode_outer(held_lines).alias("x")).where("x is not null").select("key", "x.line", "x.words")
     whole = shared.on_ids(rows.select(key, "text"), near, "key", "left_semi").select("key", F.explode(whole).alias("x")).select("key", "x.line", "x.words")
     at = F.xxhash64("line", "words").alias("at")
     parts = shared.staged(parts.unionByName(whole).select("key", "line", at, "words").dropDuplicates(["key", "line", "at"]), "lines")
