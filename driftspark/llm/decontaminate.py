@@ -10,7 +10,8 @@ each shingle over the sum of the larger.
    than 6/7 of its shingles among them cannot reach the bound. No window that could is left
    out, and none is made elsewhere.
 2. SimHash. Each window and item gets a 60-bit fingerprint of its words: five 12-bit lanes
-   in each of 12 integers count the words' hash bits, and the majority decides.
+   in each of 12 integers count the words' hash bits, and the majority decides. Items of
+   more than PART words and their windows take two 30-bit lanes in each of 30 integers.
 3. Multi-index search. With four blocks of 15 bits, fingerprints within RADIUS = 15 agree in
    some block up to 3 bits. The index holds all values within 3 bits of each item's blocks
    (2304 rows an item), so an equality join finds every fingerprint within the radius.
@@ -18,7 +19,8 @@ each shingle over the sum of the larger.
    copies with 6 % of words changed and above two at the bound itself.
 
 The item index and the item shingles are broadcast only under a counted bound; beyond it
-the same joins are shuffled. Items of more than PART words are searched in parts.
+the same joins are shuffled. An item of any length is searched and judged as a whole; the
+work on a document that holds it grows with the square of the item's length.
 
 Defined results: null texts and texts or items of fewer than 5 words match nothing; rows
 that repeat an id are searched each, and give one row per id and item; a null id is kept;
@@ -36,6 +38,7 @@ from driftspark.llm import shared
 
 SIZE, PART, RADIUS = 5, 1000, 15
 LANES, LANE, LONGS = 5, 12, 12
+WIDE = 2, 30, 30  # lanes for texts of more than PART words
 BLOCKS, BLOCK_BITS, NEAR = 4, 15, 3
 
 
@@ -53,21 +56,27 @@ def _hashed(words: str) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x)).alias(words)
 
 
-def fingerprints(rows: DataFrame, keys: list[str], words: Column) -> DataFrame:
+def fingerprints(rows: DataFrame, keys: list[str], words: Column, lanes: int = LANES, lane: int = LANE, longs: int = LONGS) -> DataFrame:
     """SimHash of an array of words per row: a bit is set where more than half of the words
     set it. ``keys`` tell rows apart and are what stays, with ``fp``."""
-    ones = sum(1 << (LANE * i) for i in range(LANES))
-    top = (1 << (LANE - 1)) - 1
+    ones = sum(1 << (lane * i) for i in range(lanes))
+    top = (1 << (lane - 1)) - 1
     each = rows.select(*keys, F.explode(words).alias("_w"))
-    sums = [F.sum(F.xxhash64("_w", F.lit(k)).bitwiseAND(F.lit(ones))).alias(f"_x{k}") for k in range(LONGS)]
+    sums = [F.sum(F.xxhash64("_w", F.lit(k)).bitwiseAND(F.lit(ones))).alias(f"_x{k}") for k in range(longs)]
     counted = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
     bits = []
-    for k in range(LONGS):
+    for k in range(longs):
         over = F.col(f"_x{k}") + F.lit(ones) * (top - F.floor(F.col("_n") / 2))
-        bits += [F.shiftright(over, LANE * (i + 1) - 1).bitwiseAND(F.lit(1)) * (1 << (LANES * k + i)) for i in range(LANES)]
+        bits += [F.shiftright(over, lane * (i + 1) - 1).bitwiseAND(F.lit(1)) * (1 << (lanes * k + i)) for i in range(lanes)]
     return counted.select(*keys, sum(bits[1:], bits[0]).alias("fp"))
 
 
+def _by_length(rows: DataFrame, keys: list[str], words: Column, sizes: list[int]) -> DataFrame:
+    """Fingerprints of items or windows in lanes that hold their item's ``size``."""
+    out = fingerprints(rows.where(F.col("size") <= PART), keys, words)
+    return out.unionByName(fingerprints(rows.where(F.col("size") > PART), keys, words, *WIDE)) if max(sizes, default=0) > PART else out
+
+
 def block_value(fp: str, b: int) -> Column:
     return F.shiftright(F.col(fp), b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
@@ -80,14 +89,12 @@ def near_masks() -> list[int]:
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, start, words, similarity): the best window of each document and item."""
-    parts = items.select(F.col(item_id).alias("item"), word_array(F.col(item_text)).alias("all"))
-    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("all") - 1) / PART).cast("int")))
-    parts = parts.select("item", "all", F.explode(cuts).alias("part")).select("item", "part", F.expr(f"slice(all, part * {PART} + 1, {PART})").alias("w"))
+    parts = items.select(F.col(item_id).alias("item"), word_array(F.col(item_text)).alias("w"))
     # rows that repeat an item are one; two texts of one id are told apart by their hash
-    parts = parts.where(F.size("w") >= SIZE).withColumn("text", F.xxhash64("w")).dropDuplicates(["item", "part", "text"])
-    parts = shared.staged(parts.select("item", "part", "text", _hashed("w"), F.size("w").alias("size"), shingles("w").alias("shingles")), "items")
-    sizes = [r["size"] for r in parts.select("size").distinct().collect()]  # numbers up to PART
-    marked = fingerprints(parts, ["item", "part", "text", "size"], F.col("w"))
+    parts = parts.where(F.size("w") >= SIZE).withColumn("text", F.xxhash64("w")).dropDuplicates(["item", "text"])
+    parts = shared.staged(parts.select("item", "text", _hashed("w"), F.size("w").alias("size"), shingles("w").alias("shingles")), "items")
+    sizes = [r["size"] for r in parts.select("size").distinct().collect()]  # one number per length
+    marked = _by_length(parts, ["item", "text", "size"], F.col("w"), sizes)
 
     known = parts.select(F.explode("shingles").alias("h")).distinct()
     known = F.broadcast(known) if shared.small(known) else known
@@ -102,20 +109,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     near = shared.staged(near.select("id", "key", "hits", _hashed("w"), shingles("w").alias("shingles")), "near")
 
     spans = near.select("key", "w", F.explode(_spans(sizes)).alias("x")).select("key", "w", "x.size", "x.words", F.explode("x.starts").alias("start"))
-    window = fingerprints(spans, ["key", "size", "words", "start"], F.expr("slice(w, start + 1, words)"))
+    window = _by_length(spans, ["key", "size", "words", "start"], F.expr("slice(w, start + 1, words)"), sizes)
     blocks = F.array(*[F.struct(F.lit(b).alias("b"), block_value("fp", b).alias("v")) for b in range(BLOCKS)])
-    index = marked.select("item", "part", "text", "size", F.col("fp").alias("item_fp"), F.explode(blocks).alias("x"))
-    index = index.select("item", "part", "text", "size", "item_fp", "x.b", F.explode(F.transform(F.array(*map(F.lit, near_masks())), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
+    index = marked.select("item", "text", "size", F.col("fp").alias("item_fp"), F.explode(blocks).alias("x"))
+    index = index.select("item", "text", "size", "item_fp", "x.b", F.explode(F.transform(F.array(*map(F.lit, near_masks())), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
     index = shared.staged(index, "index")
     probes = window.withColumn("x", F.explode(blocks)).select("key", "size", "words", "start", "fp", "x.b", "x.v")
     met = probes.join(F.broadcast(index) if shared.small(index) else index, ["size", "b", "v"])
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # a pair that meets in several blocks goes on from the first of them
     first = F.coalesce(*[F.when(F.bit_count(block_value("fp", b).bitwiseXOR(block_value("item_fp", b))) <= NEAR, F.lit(b)) for b in range(BLOCKS)])
-    met = shared.staged(met.where(F.col("b") == first).select("key", "start", "words", "item", "part", "text"), "candidates")
+    met = shared.staged(met.where(F.col("b") == first).select("key", "start", "words", "item", "text"), "candidates")
 
-    texts = parts.select("item", "part", "text", F.col("shingles").alias("its"))
-    met = met.join(F.broadcast(texts) if shared.small(texts, 20_000) else texts, ["item", "part", "text"])
+    texts = parts.select("item", "text", F.col("shingles").alias("its"))
+    light = shared.small(texts, 20_000) and (parts.agg(F.sum("size")).first()[0] or 0) <= 20_000 * PART
+    met = met.join(F.broadcast(texts) if light else texts, ["item", "text"])
     met = met.join(near.select("id", "key", "shingles"), "key").select("id", "item", "start", "words", "its", F.expr("slice(shingles, start + 1, words - 4)").alias("ws"))
     once = lambda c: F.size(F.array_distinct(c)) == F.size(c)
     count = lambda a, v: F.size(F.filter(a, lambda y: y == v))

@@ -53,6 +53,18 @@ def test_against_brute_force(table, seed):
     assert set(want) == set(found)
 
 
+def test_long_items_are_judged_as_a_whole(table):
+    rng = random.Random(3)
+    fresh = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    a, b = fresh(1005), fresh(2500)
+    near = [w if rng.random() > 0.01 else "changed" for w in b]
+    docs = [(1, " ".join(fresh(30) + a[-5:] + fresh(30))), (2, " ".join(fresh(30) + b[1000:1500] + fresh(30))), (3, " ".join(fresh(20) + near + fresh(20))),
+            (4, " ".join(fresh(9) + a + fresh(9))), (5, " ".join(b[:2300])), (6, " ".join(b[1000:2000] + fresh(1500)))]
+    items = [(1, " ".join(a)), (2, " ".join(b))]
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.leaks(table(docs, "doc_id long, text string"), table(items, "item_id long, text string", 1)).collect()}
+    assert got == brute(docs, items) and set(got) == {(3, 2), (4, 1), (5, 2)}
+
+
 def test_index_covers_the_radius():
     """Differences of at most 15 of 60 bits leave one of four blocks with at most 3."""
     masks = set(D.near_masks())
