@@ -95,3 +95,55 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(shown * chars) AS BIGINT) AS formatted_chars
 FROM y GROUP BY conv_id
 """
+
+# Nodes level by level, then a walk up from each leaf; a run is a pair or a last single node.
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+      || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS before,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS after,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda crc, b: list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, b)),
+      CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(before || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || after) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(before || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END || after) END AS tampered
+  FROM d),
+langs AS (
+  SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) AS g, count(*) OVER () AS langs
+  FROM (SELECT DISTINCT lang FROM documents)),
+placed AS (
+  SELECT doc_id, leaf, tampered, g, langs,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n
+  FROM leaves l JOIN langs k ON l.lang IS NOT DISTINCT FROM k.lang),
+nodes(lvl, g, p, n, h) AS (
+  SELECT 0, g, p, n, leaf FROM placed
+  UNION ALL
+  SELECT lvl + 1, g, p // 2, (n + 1) // 2, sha256(h || coalesce(beside, ''))
+  FROM (SELECT *, lead(h) OVER (PARTITION BY g ORDER BY p) AS beside FROM nodes WHERE n > 1) WHERE p % 2 = 0),
+subroots AS (
+  SELECT g, h AS subroot FROM nodes WHERE n = 1),
+tops(lvl, p, n, h) AS (
+  SELECT 0, g - 1, (SELECT count(*) FROM langs), subroot FROM subroots
+  UNION ALL
+  SELECT lvl + 1, p // 2, (n + 1) // 2, sha256(h || coalesce(beside, ''))
+  FROM (SELECT *, lead(h) OVER (ORDER BY p) AS beside FROM tops WHERE n > 1) WHERE p % 2 = 0),
+walk(g, p, lvl, n, proof, fold) AS (
+  SELECT g, p, 0, n, '', coalesce(tampered, leaf) FROM placed
+  UNION ALL
+  SELECT w.g, w.p, w.lvl + 1, (w.n + 1) // 2, w.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN (w.p >> w.lvl) % 2 = 1 THEN s.h || w.fold ELSE w.fold || coalesce(s.h, '') END)
+  FROM walk w LEFT JOIN nodes s ON s.g = w.g AND s.lvl = w.lvl AND s.p = xor(w.p >> w.lvl, 1) WHERE w.n > 1),
+climb(g, p, lvl, n, proof, fold) AS (
+  SELECT g, p, 0, (SELECT count(*) FROM langs), proof, fold FROM walk WHERE n = 1
+  UNION ALL
+  SELECT w.g, w.p, w.lvl + 1, (w.n + 1) // 2, w.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN ((w.g - 1) >> w.lvl) % 2 = 1 THEN s.h || w.fold ELSE w.fold || coalesce(s.h, '') END)
+  FROM climb w LEFT JOIN tops s ON s.lvl = w.lvl AND s.p = xor((w.g - 1) >> w.lvl, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.fold AS folded_root, c.fold = r.h AS verified
+FROM placed JOIN subroots USING (g) JOIN climb c USING (g, p) CROSS JOIN (SELECT h FROM tops WHERE n = 1) r
+WHERE c.n = 1
+"""

@@ -6,6 +6,7 @@ from driftspark.llm.chat import op5_query
 from driftspark.llm.decontaminate import op4_query
 from driftspark.llm.jaccard_join import op6_query
 from driftspark.llm.licenses import op2_query
+from driftspark.llm.merkle import op13_query
 from driftspark.llm.neighbours import op9_query
 from driftspark.llm.packing import op1_query
 from driftspark.llm.quality import op10_query
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_substring_dedup": op8_query,
     "op9_nearest_neighbours": op9_query,
     "op10_quality_classifier": op10_query,
+    "op13_merkle_manifest": op13_query,
 }
