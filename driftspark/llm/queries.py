@@ -13,6 +13,7 @@ from driftspark.llm.quality import op10_query
 from driftspark.llm.sharding import op3_query
 from driftspark.llm.substring_dedup import op8_query
 from driftspark.llm.url_filter import op7_query
+from driftspark.llm.whitening import op11_query
 
 QUERIES = {
     "op1_packing": op1_query,
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_substring_dedup": op8_query,
     "op9_nearest_neighbours": op9_query,
     "op10_quality_classifier": op10_query,
+    "op11_embedding_whitening": op11_query,
     "op13_merkle_manifest": op13_query,
 }
