@@ -5,6 +5,7 @@ from __future__ import annotations
 from driftspark.llm.chat import op5_query
 from driftspark.llm.decontaminate import op4_query
 from driftspark.llm.jaccard_join import op6_query
+from driftspark.llm.language_id import op12_query
 from driftspark.llm.licenses import op2_query
 from driftspark.llm.merkle import op13_query
 from driftspark.llm.neighbours import op9_query
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_nearest_neighbours": op9_query,
     "op10_quality_classifier": op10_query,
     "op11_embedding_whitening": op11_query,
+    "op12_language_id": op12_query,
     "op13_merkle_manifest": op13_query,
 }

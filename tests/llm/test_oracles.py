@@ -21,5 +21,5 @@ def test_query_matches_sql(spark, name):
     assert sorted(tuple(map(clean, r)) for r in got) == rows
 
 
-def _test_all_are_registered():
+def test_all_are_registered():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, len(QUERIES) + 1)]
