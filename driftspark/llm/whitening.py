@@ -12,9 +12,9 @@
    identity error is measured by a pass over the fit list, not derived from the model.
 
 Defined results: rows whose vector is null, empty, holds nulls, or holds entries beyond
-LARGEST take no part, nor do vectors of another length than the most common one (of equal
-ones the longer). Rows without id stay, with a null id; rows that repeat an id or a vector
-are projected each. Components whose eigenvalue is rounding error next to the first
+LARGEST take no part, nor do vectors of another length than the one that most distinct
+vectors have (of equal ones the longer). Rows without id stay, with a null id; rows that
+repeat an id or a vector are projected each. Components whose eigenvalue is rounding error next to the first
 (rank deficit, one distinct vector) are not given, so there may be fewer than asked for,
 or none. ``deviation`` is exact, null where it passes 64 bits. Empty tables give empty
 results. Columns that are not named are not read, whatever their names.
@@ -253,7 +253,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def fitted(rows: DataFrame, k: int = COMPONENTS) -> tuple[DataFrame, Model | None]:
     """The staged fit list of ``rows`` (id, x) and its model; no model without vectors."""
     fit = shared.staged(rows.select("x").distinct(), "fit")
-    lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    lengths = fit.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if lengths is None:
         return fit, None
     d = lengths.d
@@ -262,8 +262,10 @@ def fitted(rows: DataFrame, k: int = COMPONENTS) -> tuple[DataFrame, Model | Non
     model = Model(n, sums, np.zeros(0), np.zeros((d, 0)), 0.0)
     _, square = _products(fit, d, model, None)
     covariance = square / n
+    if not np.trace(covariance) > 0:
+        return fit, model
     values, vectors = eigenpairs(covariance, min(k, d))
-    kept = int((values > 64 * d * np.finfo(float).eps * max(values[0], 0.0)).sum()) if values[0] > 0 else 0
+    kept = int((values > 64 * d * np.finfo(float).eps * values[0]).sum())
     return fit, Model(n, sums, values[:kept], vectors[:, :kept], float(np.trace(covariance)))
 
 
