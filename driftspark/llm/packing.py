@@ -11,7 +11,9 @@ Ids are those of the tokenizer file on the whole text. A space that a non-space
 always begins a pre-token of the byte-level pattern, so texts are cut there and the ids of
 each distinct part are computed once per task (a bounded cache) and joined. Where the file
 is a byte-level BPE with ids in the order of its merges, a rank-based encoder computes the
-same ids faster; tests hold them against the tokenizer itself.
+same ids faster; tests hold them against the tokenizer itself. Texts that hold the string
+of an added token (the end-of-text mark, say) go through the tokenizer itself, which gives
+such a string its own id.
 
 Defined results: null and empty texts are the end id alone; rows that repeat an id are
 packed each; an empty table gives an empty one; columns other than the id are not carried.
@@ -63,14 +65,15 @@ class PartEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if ranks := merge_ranks(spec):
+        tokenizer = Tokenizer.from_file(path)
+        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids)
+        ranks = merge_ranks(spec)
+        if ranks:
             coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.ids_of = lambda text: coder.encode_to_numpy(text, disallowed_special=())
-        else:
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids)
         self.ranks = ranks
+        added = sorted({t["content"] for t in spec.get("added_tokens", [])}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.width = width_of(path)
         if ranks:
             self.bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -90,7 +93,13 @@ class PartEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.ranks:
-            return [self.ids_of(x).astype(self.width).tobytes() for x in texts]
+            return [self.whole(x).astype(self.width).tobytes() for x in texts]
+        odd = [bool(self.added and self.added.search(x)) for x in texts]
+        plain = iter(self._encode([x for x, o in zip(texts, odd) if not o]))
+        return [self.whole(x).astype(self.width).tobytes() if o else next(plain) for x, o in zip(texts, odd)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         split = [x.split(" ") for x in texts]
         missing = set().union(*split).difference(self.cache)
         odd = {x for x in missing if not x or x[0].isspace()}

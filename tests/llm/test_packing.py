@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_parts_give_the_ids_of_the_whole_text(tokenizer):
@@ -29,9 +27,20 @@ def test_parts_give_the_ids_of_the_whole_text(tokenizer):
         assert encoder.encode(texts) == [np.array(x.ids, dtype=np.uint16).tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_have_their_own_ids(tokenizer):
+    """10,000 texts that hold the end-of-text mark, whole, cut short, doubled and beside spaces."""
+    rng = random.Random(4)
+    mark = "<|endoftext|>"
+    letters = [*"ab .\n\t", " the", mark, mark + mark, mark[:-1], mark[1:], " " + mark, mark + " ", "\u00e9" + mark, mark.upper(), "<|", "|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) + mark + "".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(10_000)]
+    got = packing.PartEncoder(PATH).encode(texts)
+    assert got == [np.array(x.ids, dtype=np.uint16).tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert all(np.array([50256], np.uint16).tobytes() in g for g in got)
+
+
 @pytest.mark.parametrize("length", [5, 2048])
 def test_every_id_in_one_piece(table, tokenizer, length):
-    texts = {i: t for i, t in enumerate(["a b c", None, "", "x " * 3000, "the same", "the same", " lead and  gaps "])}
+    texts = {i: t for i, t in enumerate(["a b c", None, "", "x " * 3000, "the same", "the same", " lead and  gaps ", "one<|endoftext|> two"])}
     rows = [(i, t, "mine", 7) for i, t in texts.items()] + [(4, "the same", "mine", 7), (None, "no id", "mine", 7)]
     out = packing.pack(table(rows, "doc_id long, text string, ids string, part int"), PATH, length=length)
     pieces = out.withColumn("crc", F.crc32("ids")).collect()
