@@ -12,7 +12,10 @@ least 0.75, decided by the integers ``100 * intersection >= 75 * union``.
 3. Blocks. With the threshold 0.75, two linked sets share one of the first ``n // 4 + 1``
    shingles in that order. These entries meet in blocks of the hash range. A column of
    the block is the list of documents that hold a shingle; it is cut where sizes leave
-   the bound ``min size >= 0.75 * max size``, and equal lists are kept once.
+   the bound ``min size >= 0.75 * max size``, and equal lists are kept once. A shingle more
+   frequent than SALT_DF is dealt over several groups, each with a share of its column:
+   equal shares of a group are stored once, but every shingle names its shares, and only
+   columns whose shares are equal in all groups count as equal.
 4. Products. Each list is first tested against one hub (its smallest id). Lists that this
    leaves in several components are multiplied in tiles of TILE by TILE sets: the product
    of the incidence matrices accumulates all overlaps of a tile, pairs below the bound are
@@ -20,12 +23,15 @@ least 0.75, decided by the integers ``100 * intersection >= 75 * union``.
    a group of copies costs rows by its members, not by its pairs, and no link between
    components is missed. Sets are recomputed from the texts that take part.
 
-Lists are kept in pieces of PIECE members, and a shingle more frequent than SALT_DF is
-dealt over several groups, so no group is collected into one task.
+Lists are kept in pieces of PIECE members, so no group is collected into one task.
 
-Defined results: null or blank text has an empty set, linked with nothing. A null id counts
-as the largest. Rows that share an id are one node. Hashes have 64 bits for set sizes and
-48 bits inside a pair's overlap.
+Defined results: null or blank text has an empty set, linked with nothing, and is its own
+component. Rows that share an id are one node, whatever their texts: what one of them links
+with, all do. Rows without id are no node together: each of their texts is one, larger than
+all ids (ids are taken to be below NO_ID = 2^62), and a component of such rows alone is
+null. Very long texts are read piece by piece; an empty table gives an empty one; columns
+other than id and text are not carried, so their names may be any. Hashes have 64 bits for
+set sizes and for the texts that stand for rows without id, 48 bits inside a pair's overlap.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from driftspark.llm import shared, words
 from driftspark.llm.components import components
 
 SIZE = 5
-LAST = np.iinfo(np.int64).max
+NO_ID = 1 << 62  # keys from here on are texts without id
 # Bounds: entries of the list of frequent shingles (12 bytes each in a broadcast), input
 # bytes a block, entries sent at a time, members of a piece, and postings of a group.
 FREQUENT = 1_000_000
@@ -49,7 +55,17 @@ PIECE = 4096
 SALT_DF = 1 << 18
 GROUP_SHINGLES, GROUP_MEMBERS = 100_000, 128
 TILE, TILE_SHINGLES = 256, 200_000
-_KEY = "_jj_key"
+_KEY, _TAG = "_jj_key", "_jj_tag"
+
+
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """A row's node: its id, or where that is null a number of its text beyond all ids."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
+def row_tag(key: F.Column, text_col: str) -> F.Column:
+    """What tells a node's texts apart."""
+    return F.xxhash64(key, F.col(text_col))
 
 
 def doc_sets(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +88,7 @@ def doc_sets(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _sets(batch, keys: int = 0, texts: int = 1):
     """(keys, shingles, sizes) of each slice of a batch."""
-    key = batch.column(keys).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+    key = batch.column(keys).to_numpy(zero_copy_only=False)
     for lo, hi, data, offsets in words.slices(batch.column(texts)):
         g, n = doc_sets(*words.text_hashes(data, offsets, lower=True))
         yield lo, hi, key[lo:hi], g, n
@@ -84,8 +100,8 @@ def _summaries(batches):
             total = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(g), dtype=np.uint64)])
             end = np.cumsum(n)
             sig = words.mix((total[end] - total[end - n]) ^ n.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig)],
-                                             names=["id", "n", "sig"])
+            rest = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(sig)], names=[_KEY, _TAG, "id", "n", "sig"])
 
 
 def _sent(block, payload) -> pa.RecordBatch:
@@ -213,19 +229,43 @@ def _columns(blocks: int):
         start = np.flatnonzero(cut)
         length = np.diff(np.append(start, len(e)))
         sign = np.add.reduceat(words.mix(k.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
-        _, once = np.unique(sign ^ words.mix(length.astype(np.uint64)), return_index=True)
+        sign = sign ^ words.mix(length.astype(np.uint64))
+        _, once = np.unique(sign, return_index=True)
         out = []
         for i in once[(length[once] > 1) | salted].tolist():
             lo, hi = int(start[i]), int(start[i] + length[i])
-            long = salted or hi - lo > PIECE
-            run_id = int(e[lo].view(np.int64)) if long else int(sign[i].view(np.int64))
-            out += [(run_id, long, k[a:min(a + PIECE, hi)], n[a:min(a + PIECE, hi)]) for a in range(lo, hi, PIECE)]
-        return pa.table({"run": pa.array([x[0] for x in out], pa.int64()), "many": pa.array([x[1] for x in out], pa.bool_()),
-                         "members": pa.array([x[2] for x in out], pa.list_(pa.int64())), "sizes": pa.array([x[3] for x in out], pa.list_(pa.int64()))})
+            long = hi - lo > PIECE
+            share = int(sign[i].view(np.int64)) if salted else None
+            run_id = None if salted else int((e[lo] if long else sign[i]).view(np.int64))
+            out += [(run_id, salted or long, share, k[a:min(a + PIECE, hi)], n[a:min(a + PIECE, hi)]) for a in range(lo, hi, PIECE)]
+        if salted:  # which shares a column has in this group
+            out += [(int(e[start[i]].view(np.int64)), True, int(sign[i].view(np.int64)), None, None) for i in range(len(start))]
+        block = table.column("block")[0].as_py() if len(table) else 0
+        return pa.table({"block": pa.array([block] * len(out), pa.int32()), "run": pa.array([x[0] for x in out], pa.int64()), "many": pa.array([x[1] for x in out], pa.bool_()),
+                         "share": pa.array([x[2] for x in out], pa.int64()), "members": pa.array([x[3] for x in out], pa.list_(pa.int64())), "sizes": pa.array([x[4] for x in out], pa.list_(pa.int64()))})
 
     return run
 
 
+_LISTED = "block int, run long, many boolean, share long, members array<long>, sizes array<long>"
+
+
+def _whole_columns(listed: DataFrame) -> DataFrame:
+    """(run, many, members, sizes) of ``listed``, where salted columns have been put together
+    from their shares and of equal ones the smallest is left."""
+    plain = listed.where("share is null").select("run", "many", "members", "sizes")
+    names = listed.where("share is not null and members is null").select("run", "block", "share").distinct()
+    if names.isEmpty():
+        return plain
+    names = shared.staged(names, "shares")
+    part = F.struct("block", "share")
+    alike = names.groupBy("run").agg(F.bit_xor(F.xxhash64(part)).alias("x"), F.bit_xor(F.xxhash64(part, F.lit(1))).alias("y"), F.count(F.lit(1)).alias("k"))
+    first = alike.groupBy("x", "y", "k").agg(F.min("run").alias("run")).select("run")
+    stored = listed.where("members is not null and share is not null").select("block", "share", "members", "sizes")
+    salted = names.join(first, "run", "left_semi").join(stored, ["block", "share"]).select("run", F.lit(True).alias("many"), "members", "sizes")
+    return shared.staged(plain.unionByName(salted), "lists")
+
+
 def _requested(batches):
     """Each text's packed set, once for each group of pairs that wants it."""
     for batch in batches:
@@ -414,20 +454,26 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
     return shared.staged(sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").distinct(), "across")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes_too: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``; with ``nodes_too`` also the
+    row's node, its tag and its component's smallest node, which may be a text without id."""
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))
-    keyed = docs.select(key.alias(_KEY), F.col(text_col).alias("text"))
+    keyed = docs.select(row_key(id_col, text_col).alias(_KEY), F.col(text_col).alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES + 1)
-
-    sums = shared.staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                         .mapInArrow(_summaries, "id long, n long, sig long"), "sets")
-    key = F.coalesce("id", F.lit(int(LAST)))
-    heads = shared.staged(sums.where("n > 0").groupBy("sig").agg(F.min(key).alias("head")), "heads")
-    copies = sums.where("n > 0").join(heads, "sig").where(key != F.col("head")).select(key.alias(_KEY))
-    nodes = shared.on_ids(keyed, shared.staged(copies, "copies"), _KEY, "left_anti").select(_KEY, "text")
+    tagged = keyed.withColumn(_TAG, row_tag(F.col(_KEY), "text"))
+
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    read = read.select(row_key("id", "text").alias(_KEY), "text", row_tag(row_key("id", "text"), "text").alias(_TAG), "id")
+    sums = shared.staged(read.mapInArrow(_summaries, f"{_KEY} long, {_TAG} long, id long, n long, sig long"), "sets")
+    some = sums.where("n > 0")
+    heads = shared.staged(some.groupBy("sig").agg(F.min(_KEY).alias("head")), "heads")
+    copied = some.join(heads, "sig").where(F.col(_KEY) != F.col("head"))
+    copies = shared.staged(copied.select(_TAG, _KEY, "head").distinct(), "copies")
+    nodes = shared.on_ids(tagged, copies, _TAG, "left_anti").select(_KEY, "text")
+    # a node with several sets is linked with what each of them copies
+    several = some.groupBy(_KEY).agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select(_KEY)
+    kept_by_copy = copies.join(several, _KEY, "left_semi").select(F.col("head").alias("a"), F.col(_KEY).alias("b"))
 
     counts = shared.staged(nodes.mapInArrow(_counted(blocks), "block int, payload binary")
                            .groupBy("block").applyInArrow(_frequent, "bucket long, level int"), "counts")
@@ -439,11 +485,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = counts.where(F.col("level") >= least).orderBy("bucket").toArrow()
     table = spark.sparkContext.broadcast((frequent["bucket"].to_numpy().astype(np.uint64), frequent["level"].to_numpy().astype(np.int32)))
 
-    lists = (nodes.mapInArrow(_prefixes(blocks, table), "block int, payload binary").groupBy("block")
-             .applyInArrow(_columns(blocks), "run long, many boolean, members array<long>, sizes array<long>"))
-    sign = F.when(F.col("many"), F.xxhash64("members")).otherwise(F.lit(0))
-    lists = shared.staged(lists.groupBy("run", "many", sign.alias("piece")).agg(F.first(F.struct("members", "sizes")).alias("x"))
-                          .select("run", "many", "piece", "x.members", "x.sizes"), "lists")
+    listed = (nodes.mapInArrow(_prefixes(blocks, table), "block int, payload binary").groupBy("block")
+              .applyInArrow(_columns(blocks), _LISTED))
+    piece = F.when(F.col("many"), F.xxhash64("members")).otherwise(F.lit(0))
+    place = F.when(F.col("share").isNotNull(), F.col("block"))  # lists of several blocks are one unless salted
+    listed = listed.groupBy("run", "many", "share", place.alias("block"), piece.alias("piece")).agg(F.first(F.struct("members", "sizes")).alias("x"))
+    lists = _whole_columns(shared.staged(listed.select("block", "run", "many", "share", "x.members", "x.sizes"), "lists"))
 
     member = F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n")))
     hubbed = lists.select(F.array_min("members").alias("hub"), member.alias("m"))
@@ -451,7 +498,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = lists.where("many").groupBy("run").agg(F.min(F.array_min("members")).alias("a"))
     stars = stars.unionByName(lists.where("many").select("run", F.array_min("members").alias("b"), F.lit(1).cast("long").alias("n"))
                               .join(hubs, "run").select("a", "b", "n")).where("a <> b")
-    links = _verified(stars, nodes)
+    links = _verified(stars, nodes).unionByName(kept_by_copy)
     found = shared.staged(components(links), "components")
 
     rest = (lists.where("many or size(members) > 2").select("run", member.alias("m"))
@@ -463,9 +510,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = shared.staged(components(links.unionByName(more)), "components")
 
     labels = heads.join(found, heads["head"] == found["node"], "left").select("sig", F.coalesce("component", "head").alias("component"))
-    out = sums.join(labels, "sig", "left")
-    component = F.when(F.col("n") > 0, F.nullif("component", F.lit(int(LAST)))).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    least = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(_KEY)).alias("least")
+    out = sums.join(labels, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least, F.col(_KEY).alias("node"), F.col(_TAG).alias("tag"))
+    out = out.withColumn("component_id", F.when(F.col("least") < NO_ID, F.col("least")))
+    return out if nodes_too else out.select(id_col, "n_shingles", "component_id")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

@@ -63,6 +63,34 @@ def test_edges(table):
     assert J.jaccard_components(table([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_that_share_an_id(table):
+    """A node's texts link for it, also those that are copies; rows without id are nodes each."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, b + " more"), (7, a), (7, b), (None, a), (None, c), (9, c + " more"), (None, "alone here without any id"), (None, "alone here  WITHOUT any id")]
+    got = J.jaccard_components(table(rows, "doc_id long, text string")).collect()
+    want = [(1, 56, 1), (2, 57, 1), (7, 56, 1), (7, 56, 1), (9, 57, 9), (None, 1, None), (None, 1, None), (None, 56, 1), (None, 56, 9)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_salted_columns_are_compared_whole(table, monkeypatch, spark):
+    """Equal shares of a column in one group do not make the columns equal."""
+    def payload(lists):
+        docs = sorted({d for m in lists.values() for d in m})
+        value = np.sort(np.array([e << 16 | docs.index(d) for e, m in lists.items() for d in m], dtype=np.uint64))
+        key = np.array(docs)
+        return words.pack(value, np.diff(key, prepend=0), np.full(len(docs), 10, np.uint32))
+
+    import pyarrow as pa
+    parts = [J._columns(1)(pa.table({"block": pa.array([salt], pa.int32()), "payload": pa.array([payload(x)], pa.binary())}))
+             for salt, x in ((1, {101: [1, 2], 102: [1, 2], 103: [1, 2]}), (2, {101: [4], 102: [4, 6], 103: [4]}))]
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    out = J._whole_columns(spark.createDataFrame(rows, J._LISTED)).collect()
+    runs = {}
+    for r in out:
+        runs.setdefault(r.run, set()).update(r.members)
+    assert runs == {101: {1, 2, 4}, 102: {1, 2, 4, 6}}  # 103 equals 101
+
+
 def test_threshold_is_exact(table):
     """7 of 9 shingles is above the bound, 6 of 8 on it, 5 of 7 below."""
     def pair(shared, extra):
