@@ -22,6 +22,11 @@ def hash_int(key: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
 
 
+def hash_digits(digest: Column, number: int) -> Column:
+    """Integer in [0, 2^48) from the ``number``-th twelve digits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1 + DIGITS * number, DIGITS), 16, 10).cast("long")
+
+
 def uniform(key: Column, seed: int = 0) -> Column:
     """Double in [0, 1) from a key."""
     return hash_int(key, seed) / F.lit(float(SPAN))

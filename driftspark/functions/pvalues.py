@@ -9,8 +9,7 @@ oracle queries). The results are evaluated once per group, never per input row.
 Formulas
 - Kolmogorov tail  Q(l) = 2 * sum_{k=1..100} (-1)^(k-1) exp(-2 k^2 l^2), 1 for l < 0.2.
 - erfc(x), x >= 0: power series for x < 3, continued fraction (100 levels) above.
-- chi-squared upper tail for integer dof: finite sums in log space (even dof), erfc
-  plus a finite sum (odd dof); Wilson-Hilferty to the normal tail above 1000 dof.
+The chi-squared tail is an incomplete gamma function, see ``special``.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SQRT_PI = 1.7724538509055159
-LN_SQRT_PI = 0.5723649429247001
 
 
 class Dialect:
@@ -84,34 +82,6 @@ def normal_two_sided_sql(z: str, d: Dialect) -> str:
     return f"least({erfc_sql(f'abs({z}) / sqrt(2.0e0)', d)}, 1.0e0)"
 
 
-def chi2_sf_sql(x: str, k: str, d: Dialect) -> str:
-    """Upper tail of chi-squared with integer dof ``k`` at statistic ``x``."""
-    half = f"(({x}) / 2.0e0)"
-    m = f"floor(({k}) / 2)"
-    # even dof: exp(-x/2) * sum_{i=0}^{m-1} (x/2)^i / i!  (running log term)
-    even_step = d.struct(lt=f"acc.lt + ln({half}) - ln(greatest(i, 1))",
-                         s=f"acc.s + exp(acc.lt + ln({half}) - ln(greatest(i, 1)))")
-    even = d.fold(d.seq("0", f"{m} - 1"), d.struct(lt=f"-{half} - ln({half})", s="0.0e0"),
-                  "acc", "i", even_step) + ".s"
-    # odd dof: erfc(sqrt(x/2)) + sum_{i=1}^{m} exp(-x/2 + (i-1/2) ln(x/2) - lnGamma(i+1/2))
-    odd_step = d.struct(lt=f"acc.lt + ln({half}) - ln(i - 0.5e0)",
-                        s=f"acc.s + exp(acc.lt + ln({half}) - ln(i - 0.5e0))")
-    odd_sum = d.fold(d.keep(d.seq("0", m), "i", "i >= 1"),
-                     d.struct(lt=f"-{half} - 0.5e0 * ln({half}) - {LN_SQRT_PI!r}e0", s="0.0e0"),
-                     "acc", "i", odd_step) + ".s"
-    odd = f"({erfc_sql(f'sqrt({half})', d)} + {odd_sum})"
-    # Wilson-Hilferty for large dof
-    wh_z = (f"((power(({x}) / ({k}), 1.0e0 / 3.0e0) - (1.0e0 - 2.0e0 / (9.0e0 * ({k})))) "
-            f"/ sqrt(2.0e0 / (9.0e0 * ({k}))))")
-    wh = f"(CASE WHEN {wh_z} >= 0 THEN 0.5e0 * {erfc_sql(f'{wh_z} / sqrt(2.0e0)', d)} " \
-         f"ELSE 1.0e0 - 0.5e0 * {erfc_sql(f'-{wh_z} / sqrt(2.0e0)', d)} END)"
-    return (f"(CASE WHEN ({x}) IS NULL OR ({k}) IS NULL OR ({k}) < 1 THEN NULL "
-            f"WHEN ({x}) <= 0 THEN 1.0e0 "
-            f"WHEN ({k}) > 1000 THEN {wh} "
-            f"WHEN ({k}) % 2 = 0 THEN least(greatest({even}, 0.0e0), 1.0e0) "
-            f"ELSE least(greatest({odd}, 0.0e0), 1.0e0) END)")
-
-
 SPARK = Dialect("spark")
 DUCKDB = Dialect("duckdb")
 
@@ -128,10 +98,6 @@ def erfc(x: Column | str) -> Column:
     return F.expr(erfc_sql(_name(x), SPARK))
 
 
-def chi2_sf(x: Column | str, k: Column | str) -> Column:
-    return F.expr(chi2_sf_sql(_name(x), _name(k), SPARK))
-
-
 def _name(c: Column | str) -> str:
     if isinstance(c, str):
         return f"`{c}`" if c.isidentifier() else c

@@ -130,38 +130,40 @@ def cliff_magnitude(delta: F.Column) -> F.Column:
             .when(a < s, "negligible").when(a < m, "small").when(a < l_, "medium").otherwise("large"))
 
 
+def _ordered(tests: DataFrame, p: str, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Tests with ``_pf`` (null p counts as 1), rank ``_rank`` by it and group size ``_m``."""
+    x = tests.withColumn("_pf", F.coalesce(F.col(p), F.lit(1.0))).withColumn("_one", F.lit(1))
+    x = ranks.scan(x, keys, ["_pf", *order], {"_rank": ("_one", "sum")})
+    if not keys:
+        return x.withColumn("_m", tests.agg(F.count(F.lit(1)).alias("m")).scalar())
+    sizes = tests.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_m"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return x.join(sizes, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def bh_adjust(tests: DataFrame, p: str = "pvalue", out: str = "pvalue_fdr",
               order: Sequence[str] = ("metric_ord", "a_rank", "b_rank"),
               keys: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg over all rows (or per ``keys``); null p counts as 1.0.
 
-    The test table has one row per (metric, pair) — or per column of a cycle — so each
-    window is small. Rows keep their identity, so no reordering back is needed (W8).
+    Ranks and the reversed running minimum of p n / rank are scans over range partitions, so
+    any number of tests spreads over tasks. Rows keep their identity, so no reordering back
+    is needed (W8).
     """
-    pf = F.coalesce(F.col(p), F.lit(1.0))
-    w = Window.partitionBy(*keys).orderBy(pf, *order)
-    x = (tests.withColumn("_pf", pf)
-         .withColumn("_rank", F.row_number().over(w))
-         .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-         .withColumn("_v", F.col("_pf") * F.col("_m") / F.col("_rank")))
-    tail = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (x.withColumn(out, F.least(F.min("_v").over(tail), F.lit(1.0)))
-             .drop("_pf", "_rank", "_m", "_v"))
+    x = _ordered(tests, p, order, keys).withColumn("_v", F.col("_pf") * F.col("_m") / F.col("_rank"))
+    x = ranks.scan(x, keys, ["_rank"], {"_low": ("_v", "min")}, reverse=True)
+    return x.select(*tests.columns, F.least(F.col("_low"), F.lit(1.0)).alias(out))
 
 
 def holm_adjust(tests: DataFrame, p: str = "pvalue", out: str = "pvalue_holm",
                 order: Sequence[str] = ("metric_ord", "a_rank", "b_rank"),
                 keys: Sequence[str] = ()) -> DataFrame:
     """Holm-Bonferroni, running max of (J - k + 1) p_(k), capped at 1, per ``keys``."""
-    pf = F.coalesce(F.col(p), F.lit(1.0))
-    w = Window.partitionBy(*keys).orderBy(pf, *order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = (tests.withColumn("_pf", pf)
-         .withColumn("_rank", F.row_number().over(w))
-         .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-         .withColumn("_v", (F.col("_m") - F.col("_rank") + 1) * F.col("_pf")))
-    return (x.withColumn(out, F.least(F.max("_v").over(run), F.lit(1.0)))
-             .drop("_pf", "_rank", "_m", "_v"))
+    x = _ordered(tests, p, order, keys).withColumn("_v", (F.col("_m") - F.col("_rank") + 1) * F.col("_pf"))
+    x = ranks.scan(x, keys, ["_rank"], {"_high": ("_v", "max")})
+    return x.select(*tests.columns, F.least(F.col("_high"), F.lit(1.0)).alias(out))
 
 
 def value_counts_by_scenario(long: DataFrame, scenario: str) -> DataFrame:
@@ -193,30 +195,6 @@ def summaries_from_counts(counts: DataFrame, scenario: str, order: DataFrame | N
     return out
 
 
-def summaries(long: DataFrame, scenario: str, order: DataFrame | None = None,
-              partitions: int | None = None) -> DataFrame:
-    """One row per (metric, scope) for the global and each scenario scope.
-
-    Each value is counted in two scopes (what GROUPING SETS would expand to); the
-    quartiles come from the running counts, so no scope is buffered in one task.
-    """
-    scoped = long.select("metric", "value", F.explode(F.array(
-        F.lit("global"), F.concat(F.lit("scenario:"), F.col(scenario)))).alias("summary_scope"))
-    keys = ["metric", "summary_scope"]
-    simple = scoped.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("summary_n"), F.avg("value").alias("summary_mean"),
-        F.stddev_pop("value").alias("summary_std"), F.min("value").alias("summary_min"),
-        F.max("value").alias("summary_max"))
-    q = ranks.exact_quantiles(scoped, keys, "value", SUMMARY_PROBS,
-                              ["summary_p25", "summary_median", "summary_p75"], partitions).drop("n")
-    out = simple.join(q, on=keys, how="inner")
-    if order is not None:
-        o = order.select(F.concat(F.lit("scenario:"), F.col(scenario)).alias("summary_scope"),
-                         "scenario_rank")
-        out = out.join(o, on="summary_scope", how="left")
-    return out
-
-
 REPORT_COLUMNS = ("metric", "A", "B", "nA", "nB", "pvalue", "cliffs_delta", "row_type", "pvalue_fdr",
                   "summary_scope", "summary_n", "summary_mean", "summary_std", "summary_min",
                   "summary_p25", "summary_median", "summary_p75", "summary_max")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.functions import pvalues as pv
+from driftspark.functions import special
 from driftspark.operators import ranks
 from driftspark.operators.windows import REC, REF
 
@@ -126,7 +127,7 @@ def chi2_from_counts(cc: DataFrame, keys: Sequence[str], value: str = "value",
     g = (g.withColumn("chi2", stat.cast("double"))
           .withColumn("dof", (F.col("n_categories") - 1).cast("long")))
     g = g.withColumn("chi2", F.when((F.col("n_categories") >= 2) & (a > 0) & (b > 0), F.col("chi2")))
-    return (g.withColumn("chi2_p", pv.chi2_sf("chi2", "dof"))
+    return (g.withColumn("chi2_p", special.chi2_sf("chi2", "dof"))
              .withColumn("cramers_v", F.sqrt(F.col("chi2") / n))
              .withColumn("enough_rows", _enough(min_n))
              .drop("_s_ref", "_s_rec", "_a", "_b", "_c", "_d"))
@@ -239,6 +240,15 @@ def positive_ratio(df: DataFrame, keys: Sequence[str], score: str | None, role:
     return g.select(*keys, pick.alias("pos_ratio"))
 
 
+def positive_from_counts(counts: DataFrame, keys: Sequence[str], value: str = "value",
+                         threshold: float = POSITIVE_THRESHOLD) -> DataFrame:
+    """K4 from (keys..., value, n_ref, n_rec) rows: share of the recent values at or above
+    the threshold; null for a group without recent values."""
+    n = F.when(F.col(value).isNotNull(), F.col("n_rec")).otherwise(0)
+    up = F.when(F.col(value) >= threshold, n).otherwise(0)
+    return counts.groupBy(*keys).agg(F.try_divide(F.sum(up).cast("double"), F.sum(n)).alias("pos_ratio"))
+
+
 def verdict(pvalues: DataFrame, psi_df: DataFrame | None, keys: Sequence[str],
             alpha: float = ALPHA, psi_alert: float = PSI_ALERT) -> DataFrame:
     """Per-group decision.

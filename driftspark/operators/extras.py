@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions import pvalues as pv
-from driftspark.functions.hashing import hash_int, uniform
+from driftspark.functions import special
+from driftspark.functions.hashing import SPAN, hash_digits
 from driftspark.operators import ranks
+from driftspark.session import work_dir
 
 # Two-sided 95 % normal quantile; PSI band edges.
 Z95 = 1.959963984540054
@@ -105,36 +107,45 @@ def per_class_scores(pred: DataFrame, label: str, prediction: str) -> DataFrame:
                     F.col("support").cast("long").alias("support"))
 
 
-def poisson1(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform (exact up to 12)."""
-    out = F.lit(12)
-    cdf, term = 0.0, math.exp(-1.0)
-    cuts = []
-    for k in range(12):
+def poisson_cuts() -> list[tuple[int, float]]:
+    """(k, P(X <= k)) of Poisson(1), up to where it is 1 in double precision."""
+    cuts, cdf, term, k = [], 0.0, math.exp(-1.0), 0
+    while cdf + term > cdf:
         cdf += term
         cuts.append((k, cdf))
-        term /= (k + 1)
+        k += 1
+        term /= k
+    return cuts
+
+
+def poisson1(u: Column) -> Column:
+    """Poisson(1) draw by inverse CDF of a uniform, to the uniform's own resolution."""
+    cuts = poisson_cuts()
+    out = F.lit(cuts[-1][0] + 1)
     for k, c in reversed(cuts):
         out = F.when(u < F.lit(c), F.lit(k)).otherwise(out)
     return out
 
 
 def bootstrap_means(long: DataFrame, keys: Sequence[str], key: str, value: str, b: int = 1000,
-                    seed: int = 11, blocks: int = 256) -> DataFrame:
-    """Poisson(1) bootstrap replicates of the mean: keys..., rep, mean.
+                    seed: int = 11) -> DataFrame:
+    """Poisson bootstrap replicates of the mean over rows: keys..., rep, mean.
 
-    Rows are dealt into ``blocks`` by a hash of their key, and blocks are resampled: the rows
-    are read and aggregated once, and the replicates cost groups x blocks x B. Weights come
-    from the block and the replicate number, so replicate ``rep`` uses the same draws in every
-    group (paired replicates across scenarios).
+    Every row has its own Poisson(1) weight in every replicate, drawn from a hash of its
+    ``key`` (unique per row) and the replicate, so a lost task draws the same again. One
+    pass: rows fan out to the replicates inside the partial aggregation, which holds B
+    sums per group, and only those are shuffled. Null values take no part.
     """
-    block = F.pmod(hash_int(F.col(key), seed + 1), F.lit(blocks))
-    sums = long.groupBy(*keys, block.alias("_block")).agg(F.sum(value).alias("_sx"), F.count(value).cast("double").alias("_n"))
-    reps = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
-    w = poisson1(uniform(F.col("_block") * F.lit(b) + F.col("rep"), seed))
-    g = reps.withColumn("_w", w).groupBy(*keys, "rep").agg(
-        F.sum(F.col("_w") * F.col("_sx")).alias("_sx"), F.sum(F.col("_w") * F.col("_n")).alias("_sw"))
-    return g.select(*keys, "rep", F.try_divide("_sx", "_sw").alias("mean"))
+    rows = long.where(F.col(value).isNotNull()).select(*keys, F.col(key).alias("_k"), F.col(value).cast("double").alias("_x"))
+    # one digest serves two replicates
+    rows = rows.select(*keys, "_k", "_x", F.explode(F.sequence(F.lit(0), F.lit((b + 1) // 2 - 1))).alias("_j"))
+    digest = F.md5(F.concat(F.col("_k").cast("string"), F.lit(":"), F.col("_j").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    rows = rows.select(*keys, "_j", "_x", digest.alias("_h"))
+    weight = [poisson1(hash_digits(F.col("_h"), i) / F.lit(float(SPAN))) for i in (0, 1)]
+    rows = rows.select(*keys, "_j", "_x", *[w.alias(f"_w{i}") for i, w in enumerate(weight)])
+    sums = rows.groupBy(*keys, "_j").agg(*[x for i in (0, 1) for x in (F.sum(F.col(f"_w{i}") * F.col("_x")).alias(f"_s{i}"), F.sum(f"_w{i}").alias(f"_n{i}"))])
+    both = F.explode(F.array(*[F.struct((2 * F.col("_j") + 1 + i).cast("int").alias("rep"), F.try_divide(f"_s{i}", f"_n{i}").alias("mean")) for i in (0, 1)])).alias("_r")
+    return sums.select(*keys, both).select(*keys, "_r.rep", "_r.mean").where(F.col("rep") <= b)
 
 
 def percentile_ci(reps: DataFrame, keys: Sequence[str], stat: str, level: float = 0.95) -> DataFrame:
@@ -144,6 +155,75 @@ def percentile_ci(reps: DataFrame, keys: Sequence[str], stat: str, level: float
                                    F.count(stat).alias("n_reps"))
 
 
+def bca_ci(long: DataFrame, reps: DataFrame, keys: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
+    """Bias-corrected and accelerated interval of the mean: keys..., z0, accel, bca_lo, bca_hi.
+
+    z0 comes from the share of replicates below the sample's mean (half of those equal to
+    it). The acceleration is the jackknife's; for a mean its leave-one-out values are a
+    function of the row, so it is sum (x - m)^3 / (6 (sum (x - m)^2)^1.5) from two grouped
+    passes. The replicates of a group (at most B values) are one sorted array.
+    """
+    keys = list(keys)
+    x = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    mean = x.groupBy(*keys).agg(F.avg("_x").alias("_m"))
+    off = F.col("_x") - F.col("_m")
+    moments = x.join(mean, keys).groupBy(*keys).agg(F.max("_m").alias("_m"), F.sum(off * off).alias("_m2"), F.sum(off * off * off).alias("_m3"))
+    a = F.coalesce(F.try_divide(F.col("_m3"), 6 * F.pow("_m2", F.lit(1.5))), F.lit(0.0))
+    g = reps.join(moments.select(*keys, "_m", a.alias("accel")), keys).groupBy(*keys).agg(
+        F.max("accel").alias("accel"), F.sort_array(F.collect_list("mean")).alias("_all"),
+        ((F.count_if(F.col("mean") < F.col("_m")) + 0.5 * F.count_if(F.col("mean") == F.col("_m"))) / F.count("mean")).alias("_below"))
+    g = g.withColumn("z0", F.expr(special.normal_quantile("_below")))
+    for name, share in (("lo", (1 - level) / 2), ("hi", (1 + level) / 2)):
+        z = F.col("z0") + F.expr(special.normal_quantile(f"{share!r}D"))
+        g = g.withColumn("_z", F.col("z0") + z / (1 - F.col("accel") * z)).withColumn("_p", F.expr(special.normal_cdf("_z")))
+        g = g.withColumn("_at", F.col("_p") * (F.size("_all") - 1))
+        lower = F.element_at("_all", F.floor("_at").cast("int") + 1)
+        upper = F.element_at("_all", F.ceil("_at").cast("int") + 1)
+        g = g.withColumn(f"bca_{name}", lower + (upper - lower) * (F.col("_at") - F.floor("_at")))
+    return g.select(*keys, "z0", "accel", "bca_lo", "bca_hi")
+
+
+def hodges_lehmann(df: DataFrame, keys: Sequence[str], value: str, decimals: int = 2, pivots: int = 32,
+                   partitions: int | None = None) -> DataFrame:
+    """Hodges-Lehmann estimate, the median of all pairwise means (x_i + x_j) / 2, i <= j.
+
+    Selection without pairs. Values are integers in units of 10^-decimals (rounded to them);
+    sums of two are integers too, and the median's place among them is bracketed. A pass
+    counts, for ``pivots`` sums s per bracket, the pairs with a sum of at most s: for each
+    value v the rows up to s - v, all read off one scan of values and probes on range
+    partitions. Each pass cuts the bracket by pivots + 1, so a few passes end in a single
+    integer. An even number of pairs has two middle sums, each with its own bracket.
+    """
+    keys = list(keys)
+    scale = 10 ** decimals
+    v = F.round(F.col(value).cast("double") * scale).cast("long")
+    work_dir(df.sparkSession)
+    x = df.where(F.col(value).isNotNull()).select(*keys, v.alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
+    big = lambda c: c.cast("decimal(38,0)")  # noqa: E731  products of counts may pass 64 bits
+    n = big(F.sum("w"))
+    state = x.groupBy(*keys).agg(F.sum("w").alias("n"), (2 * F.min("v") - 1).alias("lo"), (2 * F.max("v")).alias("hi"),
+                                 big(n * (n + 1) / 2).alias("pairs"))
+    middle = [F.struct(F.lit(t).alias("which"), big(F.floor((F.col("pairs") + t) / 2)).alias("rank")) for t in (1, 2)]
+    state = state.select(*keys, "n", "lo", "hi", F.explode(F.array(*middle)).alias("_t")).select(*keys, "n", "lo", "hi", "_t.which", "_t.rank").checkpoint(eager=True)
+    while (state.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) > 1:
+        cut = lambda i: (F.col("lo") + F.floor((F.col("hi") - F.col("lo")).cast("decimal(20,0)") * i / (pivots + 1))).cast("long")
+        probes = state.where("hi - lo > 1").select(*keys, "which", F.explode(F.array_distinct(F.array(*[cut(i) for i in range(1, pivots + 1)]))).alias("s"), "lo")
+        probes = probes.where("s > lo").drop("lo")
+        asked = probes.select(*keys, "s").distinct()
+        rows = x.select(*keys, "v", "w", F.lit(None).cast("long").alias("s"), F.lit(0).alias("_probe"), F.col("w").alias("_add"))
+        rows = rows.unionByName(x.join(asked, keys).select(*keys, (F.col("s") - F.col("v")).alias("v"), "w", "s", F.lit(1).alias("_probe"), F.lit(0).cast("long").alias("_add"))
+                                if keys else x.select("*", F.explode(asked.agg(F.collect_set("s")).scalar()).alias("s")).select((F.col("s") - F.col("v")).alias("v"), "w", "s", F.lit(1).alias("_probe"), F.lit(0).cast("long").alias("_add")))
+        seen = ranks.scan(rows, keys, ["v", "_probe"], {"_upto": ("_add", "sum")}, partitions=partitions).where("_probe = 1")
+        # ordered pairs, and each row with itself
+        own = F.when(2 * (F.col("s") - F.col("v")) <= F.col("s"), F.col("w")).otherwise(0)
+        counted = seen.groupBy(*keys, "s").agg(big((F.sum(big(F.col("w")) * big(F.col("_upto"))) + F.sum(big(own))) / 2).alias("pairs_upto"))
+        met = probes.join(counted, [*keys, "s"]).join(state.select(*keys, "which", "rank"), [*keys, "which"])
+        moved = met.groupBy(*keys, "which").agg(F.max(F.when(F.col("pairs_upto") < F.col("rank"), F.col("s"))).alias("_lo"),
+                                                F.min(F.when(F.col("pairs_upto") >= F.col("rank"), F.col("s"))).alias("_hi"))
+        state = state.join(moved, [*keys, "which"], "left").select(*keys, "n", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi"), "which", "rank").checkpoint(eager=True)
+    return state.groupBy(*keys).agg(F.max("n").alias("n"), (F.sum("hi") / F.lit(4.0 * scale)).alias("estimate"))
+
+
 def signed_rank(d: DataFrame, keys: Sequence[str], diff: str,
                 partitions: int | None = None) -> DataFrame:
     """Wilcoxon signed-rank on paired differences (zeros dropped, mid-ranks of

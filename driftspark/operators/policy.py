@@ -13,11 +13,11 @@ Per model and cycle the detector says ``should_trigger``. The policy decides:
 Cycles lie on a grid of width ``step``; cycles without a verdict count as clear. The
 state (alert, streak, cycles since the last attempt capped at ceil(cooldown/step)) is
 finite, so each cycle is a map from state to state and maps compose associatively.
-The plan is a parallel prefix: chunks of ``chunk`` cycles compose their maps, the
-chunk maps of a model are folded in order to find each chunk's start state, and every
-chunk then replays its cycles from that state. The running trigger count comes from
-the two-phase running sums. No step holds more than one chunk of cycles, or one
-state map per chunk.
+The plan is a parallel prefix: chunks of ``chunk`` cycles compose their maps, groups of
+``chunk`` chunk maps compose into one map again, and so on until a model has one group;
+start states then go down the same tree, and every chunk replays its cycles from its own.
+The running trigger count comes from the two-phase running sums. No step holds more than
+one chunk of cycles, or ``chunk`` state maps, of a model.
 """
 
 from __future__ import annotations
@@ -71,6 +71,31 @@ def _transition_sql(codec: _Codec, s: str, x: str, mode: str, streak: str) -> tu
     return nxt, f"({rising} AND {can})", f"({rising} AND NOT {can})"
 
 
+def _starts(maps: DataFrame, keys: list[str], size: int, init: str, width: int) -> DataFrame:
+    """(keys..., _ch, _s0): the state before each chunk, from the chunks' state maps.
+
+    A model's chunks are folded in groups of ``width`` neighbours; groups of a model with
+    more of them get their own start states from the tree above."""
+    span = maps.groupBy(*keys).agg((F.floor(F.max("_ch") / width) - F.floor(F.min("_ch") / width)).alias("n"))
+    groups = maps.groupBy(*keys, F.floor(F.col("_ch") / width).alias("_up")).agg(
+        F.array_sort(F.collect_list(F.struct("_ch", "_map"))).alias("_ms"))
+    if (span.agg(F.max("n")).first()[0] or 0) == 0:
+        groups = groups.withColumn("_from", F.expr(f"CAST({init} AS BIGINT)"))
+    else:
+        work_dir(maps.sparkSession)
+        groups = groups.checkpoint(eager=True)
+        compose = (f"aggregate(_ms, transform(sequence(0, {size - 1}), z -> CAST(z AS BIGINT)), "
+                   f"(m, e) -> transform(m, s -> element_at(e._map, CAST(s + 1 AS INT))))")
+        above = _starts(groups.select(*keys, F.col("_up").alias("_ch"), F.expr(compose).alias("_map")), keys, size, init, width)
+        groups = groups.join(above.withColumnRenamed("_ch", "_up").withColumnRenamed("_s0", "_from"), on=[*keys, "_up"])
+    folded = groups.select(*keys, F.expr(
+        "aggregate(_ms, named_struct('st', _from, 'out', array(named_struct('ch', CAST(0 AS BIGINT), 's0', CAST(0 AS BIGINT)))), "
+        "(acc, m) -> named_struct('st', element_at(m._map, CAST(acc.st + 1 AS INT)), "
+        "'out', concat(acc.out, array(named_struct('ch', CAST(m._ch AS BIGINT), 's0', acc.st)))))").alias("_f"))
+    return folded.select(*keys, F.explode(F.slice("_f.out", 2, 1 << 30)).alias("_o")).select(
+        *keys, F.col("_o.ch").alias("_ch"), F.col("_o.s0").alias("_s0"))
+
+
 def apply_policy(verdicts: DataFrame, keys: Sequence[str], cycle: str, trigger: str,
                  step: dt.timedelta, mode: str = "edge", cooldown: dt.timedelta = COOLDOWN,
                  clear_streak: int = CLEAR_STREAK, streak: str = "cumulative",
@@ -109,16 +134,7 @@ def apply_policy(verdicts: DataFrame, keys: Sequence[str], cycle: str, trigger:
     compose = (f"aggregate(_cs, transform(sequence(0, {codec.size - 1}), z -> CAST(z AS BIGINT)), "
                f"(m, e) -> transform(m, s -> CAST({nxt} AS BIGINT)))")
     maps = per_chunk.select(*keys, "_ch", F.expr(compose).alias("_map"))
-    # fold chunk maps in order: start state of every chunk (one small map per chunk)
-    starts = (maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_ch", "_map"))).alias("_ms"))
-              .select(*keys, F.expr(
-                  f"aggregate(_ms, named_struct('st', CAST({init} AS BIGINT), 'out', array(named_struct("
-                  f"'ch', CAST(0 AS BIGINT), 's0', CAST(0 AS BIGINT)))), (acc, m) -> named_struct("
-                  f"'st', element_at(m._map, CAST(acc.st + 1 AS INT)), "
-                  f"'out', concat(acc.out, array(named_struct('ch', CAST(m._ch AS BIGINT), 's0', acc.st)))))"
-              ).alias("_f")))
-    starts = starts.select(*keys, F.explode(F.slice("_f.out", 2, 1 << 30)).alias("_o")).select(
-        *keys, F.col("_o.ch").alias("_ch"), F.col("_o.s0").alias("_s0"))
+    starts = _starts(maps, keys, codec.size, init, chunk)
     # replay each chunk from its start state
     s_next, s_att, s_sup = _transition_sql(codec, "acc.st", "e._x", mode, streak)
     replay = (f"aggregate(_cs, named_struct('st', CAST(_s0 AS BIGINT), 'rows', CAST(array() AS "

@@ -83,6 +83,41 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, count_cols: S
                     *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"cum_{c}") for c in count_cols])
 
 
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], running: dict[str, tuple[str, str]],
+         exclusive: bool = False, reverse: bool = False, partitions: int | None = None) -> DataFrame:
+    """Running ``sum``, ``max`` or ``min`` over all rows of a group in the order of columns.
+
+    ``running``: new column -> (column, operation). The same plan as ``cumulative``, for any
+    associative operation: a range shuffle on (keys, order), running values inside a bucket,
+    bucket totals combined in order (one row per group and bucket), and each row joined with
+    what the buckets before it hold. ``reverse`` runs from the last row to the first,
+    ``exclusive`` leaves the row itself out (null where nothing is before it). Rows equal in
+    all of ``order`` have no defined order among themselves.
+    """
+    keys, order = list(keys), list(order)
+    r = df.repartitionByRange(partitions, *keys, *order) if partitions else df.repartitionByRange(*keys, *order)
+    b = r.withColumn("_bucket", F.spark_partition_id())
+    by = [F.desc(c) if reverse else F.asc(c) for c in order]
+    last = -1 if exclusive else Window.currentRow
+    local = Window.partitionBy("_bucket", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, last)
+    whole = Window.partitionBy("_bucket", *keys)
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}
+    both = {"sum": lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y), "max": lambda x, y: F.greatest(x, y), "min": lambda x, y: F.least(x, y)}
+    b = b.select("*", *[fn[op](c).over(local).alias(f"_l_{n}") for n, (c, op) in running.items()],
+                 *[fn[op](c).over(whole).alias(f"_t_{n}") for n, (c, op) in running.items()])
+    work_dir(df.sparkSession)
+    b = b.checkpoint(eager=True)  # buckets of two evaluations may differ, see ``cumulative``
+    totals = b.groupBy(*keys, "_bucket").agg(*[F.max(f"_t_{n}").alias(f"_t_{n}") for n in running])
+    before = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if reverse else F.asc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"),
+                            *[fn[op](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (c, op) in running.items()])
+    same = F.col("_bucket") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = [both[op](F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n, (c, op) in running.items()]
+    return b.join(offsets, same).select(*df.columns, *out)
+
+
 def cumulative_one_phase(counts: DataFrame, keys: Sequence[str], value: str,
                          count_cols: Sequence[str]) -> DataFrame:
     """Reference formulation (one task per group). Used only to test ``cumulative``."""

@@ -88,14 +88,3 @@ def fan_out_cycles(panes: DataFrame, pane_col: str, width: dt.timedelta, step: d
     return (x.withColumn(role, F.when(F.col("_off") <= r, F.lit(REC)).otherwise(F.lit(REF)))
              .withColumn(cycle, F.timestamp_seconds(origin_s + end_idx * F.lit(s_s)))
              .drop("_off", pane_col))
-
-
-def cycle_rows(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
-               origin=None, role: str = "role", cycle: str = "cycle_end") -> DataFrame:
-    """Every row once per cycle containing it, with its role (plain fan-out).
-
-    Use for row-level consumers; aggregate consumers should reduce on panes first
-    (see ``detectors.cycle_drift``).
-    """
-    panes = df.withColumn("_pane", pane_index(F.col(ts), step, origin))
-    return fan_out_cycles(panes, "_pane", width, step, origin, role, cycle)

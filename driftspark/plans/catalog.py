@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from driftspark.operators import detectors as D
 from driftspark.functions import expressions as X
-from driftspark.operators import compare, extras, labels, observe, policy, ranks, sampling, windows
+from driftspark.functions import special
+from driftspark.operators import adaptive, compare, distances, exact, extras, labels, observe, policy, ranks, sampling, windows
 from driftspark.plans import monitor, report, retrain
 from driftspark.session import prepare, scratch_path
 from driftspark.sources import io
@@ -517,21 +518,21 @@ def _events_stream(spark, sf):
 
 
 def q_stream_windows(spark, sf):
-    """All daily cycles of the stream; ``closed`` once the watermark passed their end."""
-    panes = stream.pane_stream(_events_stream(spark, sf), "ts", STREAM_STEP, STREAM_DELAY, value="value")
+    """All daily cycles of the stream; ``closed`` once the watermark passed their end,
+    ``n_late`` rows that came after it had passed their pane (they are in ``n_rows`` too)."""
     out, ck = stream.new_paths(spark, "cycles")
-    mark, _ = stream.run_pane_sink(panes, out, ck)
-    cyc = stream.read_cycles(spark, out, STREAM_STEP, STREAM_STEP, mark)
+    panes, arrivals = stream.run_pane_sink(_events_stream(spark, sf), out, ck, "ts", STREAM_STEP, STREAM_DELAY, value="value")
+    cyc = stream.read_cycles(panes, arrivals, STREAM_STEP, STREAM_STEP)
     return cyc.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "role",
-                      F.col("n_rows").cast("long").alias("n_rows"), r6("sum_value").alias("sum_value"), "closed")
+                      F.col("n_rows").cast("long").alias("n_rows"), F.col("n_late").cast("long").alias("n_late"),
+                      r6("sum_value").alias("sum_value"), "closed")
 
 
 def q_stream_policy(spark, sf):
-    panes = stream.pane_stream(_events_stream(spark, sf), "ts", POLICY_STEP, STREAM_DELAY, value="value")
     out, ck = stream.new_paths(spark, "panes")
-    stream.run_pane_sink(panes, out, ck)
-    verdicts = stream.latest(spark.read.parquet(out), ["pane_start"]).select(
-        F.lit("fraud").alias("model"), (F.col("pane_start") + F.expr("INTERVAL 1 HOUR")).alias("cycle_end"),
+    panes, _ = stream.run_pane_sink(_events_stream(spark, sf), out, ck, "ts", POLICY_STEP, STREAM_DELAY, value="value")
+    verdicts = panes.read().select(
+        F.lit("fraud").alias("model"), F.timestamp_seconds((F.col("_pane") + 1) * int(POLICY_STEP.total_seconds())).alias("cycle_end"),
         (F.col("sum_value") / F.col("n") > POLICY_LEVEL).alias("should_trigger"))
     vt, _ = stream.new_paths(spark, "verdicts")
     verdicts.write.parquet(vt)
@@ -679,21 +680,28 @@ def q_precision_recall(spark, sf):
 BOOT_B = 1000
 
 
+def _boot_rows(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", SCENARIO_COL, "o_totalprice")
+
+
 def _boot(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", SCENARIO_COL, "o_totalprice")
-    return extras.bootstrap_means(o, [SCENARIO_COL], "o_orderkey", "o_totalprice", BOOT_B)
+    return extras.bootstrap_means(_boot_rows(spark, sf), [SCENARIO_COL], "o_orderkey", "o_totalprice", BOOT_B)
 
 
 def q_bootstrap_ci(spark, sf):
-    ci = extras.percentile_ci(_boot(spark, sf), [SCENARIO_COL], "mean")
-    return ci.select(SCENARIO_COL, "n_reps", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+    """Percentile and BCa intervals of the mean, from one set of replicates."""
+    reps = _boot(spark, sf).checkpoint(eager=True)  # B rows per scenario, used twice
+    ci = extras.percentile_ci(reps, [SCENARIO_COL], "mean")
+    bca = extras.bca_ci(_boot_rows(spark, sf), reps, [SCENARIO_COL], "o_totalprice")
+    return ci.join(bca, SCENARIO_COL).select(
+        SCENARIO_COL, "n_reps", *[r6(c).alias(c) for c in ("ci_lo", "ci_hi", "accel", "z0", "bca_lo", "bca_hi")])
 
 
 NONINF_MARGIN = 0.02
 
 
 def q_noninferiority(spark, sf):
-    reps = _boot(spark, sf)
+    reps = _boot(spark, sf).checkpoint(eager=True)  # B rows per scenario, used twice
     order = compare.scenario_order(_orders_runs(spark, sf), SCENARIO_COL, ORDINAL_COL)
     pairs = compare.scenario_pairs(order, SCENARIO_COL)
     a = reps.select(F.col(SCENARIO_COL).alias("A"), "rep", F.col("mean").alias("ma"))
@@ -705,29 +713,125 @@ def q_noninferiority(spark, sf):
                      (F.col("ci_lo") > -NONINF_MARGIN).alias("noninferior"))
 
 
-def q_wilcoxon(spark, sf):
+def q_clopper_pearson(spark, sf):
+    """Exact interval of the share of events at or above the threshold, per event type."""
+    ev = table(spark, sf, "events").where(F.col("value").isNotNull())
+    g = ev.groupBy("event_type").agg(F.count_if(F.col("value") >= EVENTS_THRESHOLD).alias("k"), F.count(F.lit(1)).alias("n"))
+    lo, hi = special.clopper_pearson("k", "n")
+    return g.select("event_type", "k", "n", F.round(lo, 9).alias("rate_lo"), F.round(hi, 9).alias("rate_hi"))
+
+
+def q_hodges_lehmann(spark, sf):
+    """Median of the pairwise means of order price less the sum of its items, per priority."""
+    d = _price_gaps(spark, sf, SCENARIO_COL)
+    return extras.hodges_lehmann(d, [SCENARIO_COL], "d", decimals=2).select(SCENARIO_COL, "n", r6("estimate").alias("estimate"))
+
+
+def _pair_counts(spark, sf):
+    """(column_name, value, n_ref, n_rec) of events and of three small-domain line item measures."""
+    long = _long(_events_pair(spark, sf), ["value"], "double").unionByName(
+        _long(_lineitem_pair(spark, sf), ["l_quantity", "l_discount", "l_tax"], "double"))
+    return ranks.value_counts(long, ["column_name"], "value", "role", ["ref", "rec"], ["n_ref", "n_rec"])
+
+
+def q_energy_distance(spark, sf):
+    """2.14: energy distance of the two windows, from weighted prefix sums."""
+    return distances.energy_from_counts(_pair_counts(spark, sf), ["column_name"]).select("column_name", "n_ref", "n_rec", r6("energy").alias("energy"))
+
+
+def q_mmd(spark, sf):
+    """2.14: squared MMD of the two windows by random Fourier features, with its standard error."""
+    m = distances.mmd_from_counts(_pair_counts(spark, sf), ["column_name"])
+    return m.select("column_name", "n_ref", "n_rec", r6("sigma").alias("sigma"), F.round("mmd2", 9).alias("mmd2"), F.round("mmd2_se", 9).alias("mmd2_se"))
+
+
+def q_eddm(spark, sf):
+    """2.14: EDDM over the errors of a threshold rule on line items, per line status."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    li = table(spark, sf, "lineitem").select("l_linestatus", *order, ((F.col("l_discount") >= 0.05) != (F.col("l_returnflag") == "R")).alias("error"))
+    e = adaptive.eddm(li, ["l_linestatus"], order, "error")
+    return e.groupBy("l_linestatus").agg(
+        F.max("n_errors").cast("long").alias("n_errors"), F.max("position").cast("long").alias("last_error"), r6(F.max_by("mean_distance", "position")).alias("mean_distance"),
+        r6(F.max_by("ratio", "position")).alias("ratio"), r6(F.min("ratio")).alias("least_ratio"),
+        F.count_if(F.col("zone") == "warning").alias("n_warning"), F.count_if(F.col("zone") == "drift").alias("n_drift"),
+        F.min(F.when(F.col("zone") == "drift", F.col("position"))).cast("long").alias("first_drift"))
+
+
+ADWIN_STEP = dt.timedelta(hours=6)
+ADWIN_DELTA = 0.3
+
+
+def _adwin_panes(spark, sf):
+    ev = table(spark, sf, "events").where(F.col("value").isNotNull())
+    pane = windows.pane_index(F.col("ts"), ADWIN_STEP)
+    return ev.groupBy("event_type", pane.cast("long").alias("pane")).agg((F.round(F.avg("value") / 100.0, 4)).alias("value"))
+
+
+def q_adwin(spark, sf):
+    """2.14: adaptive windows over the six-hourly means of each event type."""
+    a = adaptive.adwin(_adwin_panes(spark, sf), ["event_type"], "pane", "value", ADWIN_DELTA)
+    return a.select("event_type", "pane", r6("value").alias("value"), "width", F.round(F.col("mean") * F.col("width"), 4).alias("total"), "n_cut", "drift")
+
+
+def q_two_sample_exact(spark, sf):
+    """K1, K6 at small sizes: each customer's urgent orders against the others, both forms."""
+    o = table(spark, sf, "orders").where(F.col("o_totalprice").isNotNull())
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    counts = o.groupBy("o_custkey", F.col("o_totalprice").alias("value")).agg(F.count_if(urgent).alias("n_a"), F.count_if(~urgent).alias("n_b"))
+    t = exact.two_sample(counts, ["o_custkey"])
+    return t.where(F.col("u_stat").isNotNull()).select("o_custkey", "n_a", "n_b", *[r6(c).alias(c) for c in ("u_stat", "mw_asymptotic", "mw_exact", "ks_d", "ks_asymptotic", "ks_exact")])
+
+
+def _price_gaps(spark, sf, *keep):
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("items"))
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", *keep)
     # prices carry 2 decimals; rounding the difference removes float noise from the sum order
-    d = o.join(li, o.o_orderkey == li.l_orderkey).select(F.round(F.col("o_totalprice") - F.col("items"), 2).alias("d"),
-                                                          F.lit(1).alias("_k"))
-    w = extras.signed_rank(d, ["_k"], "d")
+    return o.join(li, o.o_orderkey == li.l_orderkey).select(F.round(F.col("o_totalprice") - F.col("items"), 2).alias("d"), *keep)
+
+
+def q_wilcoxon(spark, sf):
+    w = extras.signed_rank(_price_gaps(spark, sf).withColumn("_k", F.lit(1)), ["_k"], "d")
     return w.select("n", r6("w_plus").alias("w_plus"), r6("pvalue").alias("pvalue"))
 
 
-def q_stream_drift(spark, sf):
-    """The daily-cycle detector as a stream; verdicts of all cycles."""
-    panes = stream.pane_value_stream(_events_stream(spark, sf), "ts", DAY, STREAM_DELAY, ["value"], ["event_type"])
-    pane_path, ck = stream.new_paths(spark, "panes")
-    verdict_path, _ = stream.new_paths(spark, "verdicts")
-    stream.run_detector(panes, pane_path, verdict_path, DAY, DAY, ["value"], ["event_type"], "value", ck,
-                        monitor.MonitorConfig(score_col="value"))
-    v = stream.latest(spark.read.parquet(verdict_path), ["cycle_end"])
+def _verdict_columns(v):
     return v.select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "drift_any",
                     r6("p_min").alias("p_min"), r6("reject_share").alias("reject_share"),
                     F.col("n_tests").cast("long").alias("n_tests"), r6("psi").alias("psi"), "should_trigger")
 
 
+# A loop sensitive enough to alert on the given events, and its policy.
+LOOP_ALPHA = 0.2
+LOOP_COOLDOWN = dt.timedelta(days=3)
+LOOP_CLEAR = 2
+LOOP_HORIZON = dt.timedelta(days=90)
+
+
+def _loop(spark, sf, cfg, **kw):
+    path, ck = stream.new_paths(spark, "loop")
+    return stream.run_loop(_events_stream(spark, sf), path, ck, "ts", DAY, DAY, STREAM_DELAY, ["value"], ["event_type"], "value", cfg, **kw)
+
+
+def q_stream_drift(spark, sf):
+    """The daily-cycle detector as a stream; verdicts of all cycles."""
+    return _verdict_columns(_loop(spark, sf, monitor.MonitorConfig(score_col="value")).current("verdicts"))
+
+
+def q_loop_metrics(spark, sf):
+    """What the running loop publishes per cycle, positive ratio included."""
+    loop = _loop(spark, sf, monitor.MonitorConfig(score_col="value", positive_threshold=EVENTS_THRESHOLD))
+    return loop.current("metrics").select(F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "model", "metric", "column", r6("value").alias("value"))
+
+
+def q_loop_alerts(spark, sf):
+    """T3-T6 as one loop: panes, verdicts, then the policy as a stream over the verdict table."""
+    loop = _loop(spark, sf, monitor.MonitorConfig(score_col="value", alpha=LOOP_ALPHA))
+    _, ck = stream.new_paths(spark, "alerts")
+    stream.run_alerts(loop, ck, DAY, LOOP_COOLDOWN, LOOP_HORIZON, clear_streak=LOOP_CLEAR)
+    return loop.current("alerts").select("model", F.col("cycle_end").cast("timestamp_ntz").alias("cycle_end"), "should_trigger",
+                                         "attempted", "suppressed", "alert", "clear_streak", "trigger_count")
+
+
 QUERIES = {
     "window_role_counts": q_window_role_counts,
     "window_pair_filter": q_window_pair_filter,
@@ -798,4 +902,13 @@ QUERIES = {
     "bootstrap_ci": q_bootstrap_ci,
     "noninferiority": q_noninferiority,
     "wilcoxon": q_wilcoxon,
+    "clopper_pearson": q_clopper_pearson,
+    "hodges_lehmann": q_hodges_lehmann,
+    "energy_distance": q_energy_distance,
+    "mmd": q_mmd,
+    "eddm": q_eddm,
+    "adwin": q_adwin,
+    "two_sample_exact": q_two_sample_exact,
+    "loop_metrics": q_loop_metrics,
+    "loop_alerts": q_loop_alerts,
 }

@@ -171,19 +171,22 @@ def tests_from_cycle_counts(num_counts: DataFrame | None, cat_counts: DataFrame
         ch = D.chi2_from_counts(cat_counts, gk, "value", cfg.min_n_test, cfg.yates)
         parts.append(ch.select(*gk, F.lit("chi2").alias("test"), "n_ref", "n_rec",
                                F.col("chi2").alias("stat"), D.gated("chi2_p", 1.0).alias("p_value")))
+    if not parts:
+        raise ValueError("no numeric and no string columns to test")
     tests = parts[0]
     for p in parts[1:]:
         tests = tests.unionByName(p)
     tests = _adjusted(tests, ["cycle_end"], cfg).withColumn("drift", F.col("p_value") < cfg.alpha)
-    psi_df = None
+    psi_df = pos = None
     if score_counts is not None:
+        pos = D.positive_from_counts(score_counts, ["cycle_end", "column_name"], "value", cfg.positive_threshold)
         psi_df = (D.psi_from_counts(score_counts, gk, "value", cfg.psi_bins, cfg.psi_eps, cfg.min_n_psi,
                                     cfg.out_of_range).withColumn("psi", D.gated("psi", 0.0))
                   .withColumnRenamed("column_name", "score_col"))
     pvals = tests.select("cycle_end", "column_name", F.col("p_value").alias("p"))
     verdict = D.verdict(pvals, psi_df.select("cycle_end", "psi") if psi_df is not None else None,
                         ["cycle_end"], cfg.alpha, cfg.psi_alert)
-    return {"tests": tests, "psi": psi_df, "verdict": verdict}
+    return {"tests": tests, "psi": psi_df, "pos_ratio": pos, "verdict": verdict}
 
 
 def cycle_tests(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
@@ -205,7 +208,7 @@ def cycle_tests(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
 
 
 def metrics_long(tests: DataFrame, psi_df: DataFrame | None, keys: Sequence[str],
-                 model: str = "fraud", scenario: str = "") -> DataFrame:
+                 model: str = "fraud", scenario: str = "", pos: DataFrame | None = None) -> DataFrame:
     """Long ``metrics(keys..., scenario, model, metric, column, value)`` rows."""
     keys = list(keys)
     p = tests.select(*keys, F.lit(scenario).alias("scenario"), F.lit(model).alias("model"),
@@ -219,6 +222,10 @@ def metrics_long(tests: DataFrame, psi_df: DataFrame | None, keys: Sequence[str]
         out = out.unionByName(psi_df.select(
             *keys, F.lit(scenario).alias("scenario"), F.lit(model).alias("model"),
             F.lit("psi").alias("metric"), F.col("score_col").alias("column"), F.col("psi").alias("value")))
+    if pos is not None:
+        out = out.unionByName(pos.select(
+            *keys, F.lit(scenario).alias("scenario"), F.lit(model).alias("model"),
+            F.lit("pos_ratio").alias("metric"), F.col("column_name").alias("column"), F.col("pos_ratio").alias("value")))
     return out
 
 

@@ -2,17 +2,37 @@
 
 Each statement is written directly against the given tables, without our Spark
 operators: KS by a window over all values of the group, chi-squared through expected
-counts per cell, PSI through ``quantile_cont`` and list functions. The p-value tails
-come from the same formula templates as the Spark side (``functions.pvalues``), since
-DuckDB has neither erf nor the chi-squared distribution.
+counts per cell, PSI through ``quantile_cont`` and list functions. DuckDB has neither erf
+nor the chi-squared, beta or normal distributions. The chi-squared tail here is the finite
+sum of integer degrees of freedom (the Spark side: continued fractions), Clopper-Pearson
+bounds bisect sums of binomial terms, energy distance takes all pairs, exact p-values come
+from recursions over counts, ADWIN is a recursive fold. Kolmogorov and normal tails come
+from the same templates as the Spark side (``functions.pvalues``), which tests hold against
+``math.erfc``.
 """
 
 from __future__ import annotations
 
+import math
+
 from driftspark.functions import pvalues as pv
 from driftspark.functions.hashing import hash_int_sql, uniform_sql
 
 D = pv.DUCKDB
+LN_SQRT_PI = 0.5723649429247001
+
+
+def chi2_finite_sql(x: str, k: str) -> str:
+    """Upper tail of chi-squared by the finite sums of integer degrees of freedom, in logs:
+    exp(-x/2) sum (x/2)^i / i! for even k, erfc and a sum over half-integers for odd k."""
+    half, m = f"(({x}) / 2.0e0)", f"floor(({k}) / 2)"
+    even = D.fold(D.seq("0", f"{m} - 1"), D.struct(lt=f"-{half} - ln({half})", s="0.0e0"), "acc", "i",
+                  D.struct(lt=f"acc.lt + ln({half}) - ln(greatest(i, 1))", s=f"acc.s + exp(acc.lt + ln({half}) - ln(greatest(i, 1)))")) + ".s"
+    odd = D.fold(D.keep(D.seq("0", m), "i", "i >= 1"), D.struct(lt=f"-{half} - 0.5e0 * ln({half}) - {LN_SQRT_PI!r}e0", s="0.0e0"), "acc", "i",
+                 D.struct(lt=f"acc.lt + ln({half}) - ln(i - 0.5e0)", s=f"acc.s + exp(acc.lt + ln({half}) - ln(i - 0.5e0))")) + ".s"
+    return (f"(CASE WHEN ({x}) IS NULL OR ({k}) IS NULL OR ({k}) < 1 THEN NULL WHEN ({x}) <= 0 THEN 1.0e0 "
+            f"WHEN ({k}) % 2 = 0 THEN least(greatest({even}, 0.0e0), 1.0e0) "
+            f"ELSE least(greatest(({pv.erfc_sql(f'sqrt({half})', D)} + {odd}), 0.0e0), 1.0e0) END)")
 
 EVENTS_PAIR = ("SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-24 00:00:00' THEN 'rec' ELSE 'ref' END AS role "
                "FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'")
@@ -74,10 +94,10 @@ s AS (SELECT {kk}, max(k) AS k, max(na) AS na, max(nb) AS nb,
 g AS (SELECT *, (na < {min_n} OR nb < {min_n} OR k < 2) AS small, CAST(k - 1 AS BIGINT) AS dof FROM s)
 SELECT {kk}, CAST(k AS BIGINT) AS n_categories, CAST(na AS BIGINT) AS n_ref, CAST(nb AS BIGINT) AS n_rec,
        round(CASE WHEN k >= 2 AND na > 0 AND nb > 0 THEN stat END, 6) AS chi2, dof, na >= {min_n} AND nb >= {min_n} AS enough_rows,
-       round(CASE WHEN k >= 2 AND na > 0 AND nb > 0 THEN {pv.chi2_sf_sql('stat', 'dof', D)} END, 6) AS chi2_p,
+       round(CASE WHEN k >= 2 AND na > 0 AND nb > 0 THEN {chi2_finite_sql('stat', 'dof')} END, 6) AS chi2_p,
        round(sqrt(stat / (na + nb)), 6) AS cramers_v,
        round(sqrt(stat / ((na + nb) * (k - 1))), 6) AS cramers_v_text,
-       CASE WHEN small THEN 1.0e0 ELSE {pv.chi2_sf_sql('stat', 'dof', D)} END AS chi2_p_raw
+       CASE WHEN small THEN 1.0e0 ELSE {chi2_finite_sql('stat', 'dof')} END AS chi2_p_raw
 FROM g"""
 
 
@@ -207,7 +227,10 @@ SELECT metric, summary_scope, '', summary_n, CAST(0 AS BIGINT), NULL, NULL, 'sum
 FROM summ"""
 
 
-def _policy_sql(mode: str = "edge", streak: str = "cumulative", k: int = 3, n: int = 3) -> str:
+HOURLY = "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) + 1 AS i, avg(value) > 55.0e0 AS x FROM events GROUP BY 1"
+
+
+def _policy_sql(mode: str = "edge", streak: str = "cumulative", k: int = 3, n: int = 3, verdicts: str = HOURLY, step: int = 3600) -> str:
     can = f"(least(r.c + 1, {k}) >= {k})"
     c1 = f"least(r.c + 1, {k})"
     if mode == "level":
@@ -222,8 +245,7 @@ def _policy_sql(mode: str = "edge", streak: str = "cumulative", k: int = 3, n: i
         clr = (f"CASE WHEN {rising} THEN 0 WHEN g.x THEN {keep} WHEN r.alert AND r.clr + 1 >= {n} THEN 0 "
                f"WHEN r.alert THEN r.clr + 1 ELSE 0 END")
     return f"""
-WITH RECURSIVE v AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) + 1 AS i, avg(value) > 55.0e0 AS x
-                     FROM events GROUP BY 1),
+WITH RECURSIVE v AS ({verdicts}),
 grid AS (SELECT g.i, coalesce(v.x, false) AS x
          FROM (SELECT unnest(range(min(i), max(i) + 1)) AS i FROM v) g LEFT JOIN v USING (i)),
 r AS (SELECT min(i) - 1 AS i, false AS x, false AS att, false AS sup, false AS alert, 0 AS clr, {k} AS c,
@@ -232,7 +254,7 @@ r AS (SELECT min(i) - 1 AS i, false AS x, false AS att, false AS sup, false AS a
       SELECT g.i, g.x, {att}, {sup}, {alert}, {clr},
              CASE WHEN {att} THEN 0 ELSE {c1} END, r.total + CAST({att} AS BIGINT)
       FROM r JOIN grid g ON g.i = r.i + 1)
-SELECT 'fraud' AS model, make_timestamp(i * 3600 * 1000000) AS cycle_end, x AS should_trigger,
+SELECT 'fraud' AS model, make_timestamp(i * {step} * 1000000) AS cycle_end, x AS should_trigger,
        att AS attempted, sup AS suppressed, alert, CAST(clr AS INTEGER) AS clear_streak, total AS trigger_count
 FROM r WHERE i >= (SELECT min(i) FROM grid)"""
 
@@ -328,17 +350,195 @@ CYCLE_SUMMARY = f"""WITH {_cycle_with()},
     c AS (SELECT cycle_end, min(p) AS p_min, min(CASE WHEN test = 'ks' THEN p END) AS p_ks FROM p GROUP BY 1)
     SELECT c.*, ps.psi_raw AS psi FROM c LEFT JOIN ps USING (cycle_end)"""
 
-POISSON = "CASE WHEN u < 0.36787944117144233e0 THEN 0 WHEN u < 0.7357588823428847e0 THEN 1 WHEN u < 0.9196986029286058e0 THEN 2 WHEN u < 0.9810118431238463e0 THEN 3 WHEN u < 0.9963401531726563e0 THEN 4 WHEN u < 0.9994058151824183e0 THEN 5 WHEN u < 0.999916758850712e0 THEN 6 WHEN u < 0.9999897508033253e0 THEN 7 WHEN u < 0.999998874797402e0 THEN 8 WHEN u < 0.9999998885745216e0 THEN 9 WHEN u < 0.9999999899522336e0 THEN 10 WHEN u < 0.9999999991683892e0 THEN 11 ELSE 12 END"
+def _poisson_sql(u: str) -> str:
+    """Poisson(1) by the inverse of its distribution function, summed here term by term."""
+    cuts, cdf, term = [], 0.0, math.exp(-1)
+    for k in range(30):
+        if cdf + term == cdf:
+            break
+        cdf, term = cdf + term, term / (k + 1)
+        cuts.append(f"WHEN {u} < {cdf!r}e0 THEN {k}")
+    return f"CASE {' '.join(cuts)} ELSE {len(cuts)} END"
 
 
 def _boot_sql() -> str:
-    u = uniform_sql("(block * 1000 + rep)", 11)
-    return f"""SELECT o_orderpriority, rep, sum(w * sx) / sum(w * n) AS mean FROM (
-        SELECT o_orderpriority, sx, n, rep, (CASE {POISSON[5:-4]} END) AS w
-        FROM (SELECT o_orderpriority, sx, n, rep, {u} AS u
-              FROM (SELECT o_orderpriority, {hash_int_sql('o_orderkey', 12)} % 256 AS block, sum(o_totalprice) AS sx,
-                           CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL) k, generate_series(1, 1000) g(rep)) a) b
-        GROUP BY 1, 2"""
+    """Row bootstrap: each row's weight in each replicate from twelve digits of a digest."""
+    u = "CAST('0x' || substr(h, CAST(1 + 12 * ((rep - 1) % 2) AS INTEGER), 12) AS BIGINT) / 281474976710656.0e0"
+    return f"""SELECT o_orderpriority, rep, sum(w * x) / sum(w) AS mean FROM (
+        SELECT o_orderpriority, rep, x, {_poisson_sql('u')} AS w FROM (
+        SELECT o_orderpriority, rep, x, {u} AS u FROM (
+        SELECT o_orderpriority, rep, o_totalprice AS x, md5(CAST(o_orderkey AS VARCHAR) || ':' || ((rep - 1) // 2) || ':11') AS h
+        FROM orders, generate_series(1, 1000) g(rep) WHERE o_totalprice IS NOT NULL) a) b) c GROUP BY 1, 2"""
+
+
+def _phi_sql(z: str) -> str:
+    return (f"(CASE WHEN {z} < 0 THEN 0.5e0 * {pv.erfc_sql(f'(abs({z}) / sqrt(2.0e0))', D)} "
+            f"ELSE 1.0e0 - 0.5e0 * {pv.erfc_sql(f'(abs({z}) / sqrt(2.0e0))', D)} END)")
+
+
+def _quantile_at(values: str, p: str) -> str:
+    at = f"({p} * (len({values}) - 1))"
+    lo, hi = (f"{values}[CAST({f}({at}) AS INTEGER) + 1]" for f in ("floor", "ceil"))
+    return f"({lo} + ({hi} - {lo}) * ({at} - floor({at})))"
+
+
+def _bootstrap_sql() -> str:
+    """z0 by bisection of the normal distribution function; the jackknife value by value."""
+    return f"""
+WITH RECURSIVE r AS ({_boot_sql()}),
+s AS (SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS t, avg(o_totalprice) AS m FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1),
+j AS (SELECT o_orderpriority, (t - o_totalprice) / (n - 1) AS left_out FROM orders JOIN s USING (o_orderpriority) WHERE o_totalprice IS NOT NULL),
+c AS (SELECT o_orderpriority, avg(left_out) AS jm FROM j GROUP BY 1),
+a AS (SELECT o_orderpriority, sum(power(jm - left_out, 3)) / (6 * power(sum(power(jm - left_out, 2)), 1.5e0)) AS accel FROM j JOIN c USING (o_orderpriority) GROUP BY 1),
+g AS (SELECT o_orderpriority, count(*) AS n_reps, list_sort(list(mean)) AS v, quantile_cont(mean, 0.025e0) AS ci_lo, quantile_cont(mean, 0.975e0) AS ci_hi,
+      (count(*) FILTER (WHERE mean < m) + 0.5e0 * count(*) FILTER (WHERE mean = m)) / count(*) AS below FROM r JOIN s USING (o_orderpriority) GROUP BY 1),
+b(o_orderpriority, lo, hi, i) AS (SELECT o_orderpriority, -9.0e0, 9.0e0, 0 FROM g UNION ALL
+      SELECT b.o_orderpriority, CASE WHEN {_phi_sql('((lo + hi) / 2)')} < below THEN (lo + hi) / 2 ELSE lo END,
+             CASE WHEN {_phi_sql('((lo + hi) / 2)')} < below THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b JOIN g USING (o_orderpriority) WHERE i < 60),
+z AS (SELECT o_orderpriority, (lo + hi) / 2 AS z0 FROM b WHERE i = 60),
+p AS (SELECT *, z0 + (z0 - 1.959963984540054e0) / (1 - accel * (z0 - 1.959963984540054e0)) AS zl,
+             z0 + (z0 + 1.959963984540054e0) / (1 - accel * (z0 + 1.959963984540054e0)) AS zh FROM g JOIN a USING (o_orderpriority) JOIN z USING (o_orderpriority)),
+q AS (SELECT *, {_phi_sql('zl')} AS pl, {_phi_sql('zh')} AS ph FROM p)
+SELECT o_orderpriority, n_reps, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(accel, 6) AS accel, round(z0, 6) AS z0,
+       round({_quantile_at('v', 'pl')}, 6) AS bca_lo, round({_quantile_at('v', 'ph')}, 6) AS bca_hi FROM q"""
+
+
+def _clopper_sql() -> str:
+    """Bounds where a binomial tail is 2.5 %: bisection of sums of binomial terms."""
+    def tail(lo: str, hi: str) -> str:
+        term = "exp(lgamma(n + 1.0e0) - lgamma(i + 1.0e0) - lgamma(n - i + 1.0e0) + i * ln(m) + (n - i) * ln(1 - m))"
+        return f"list_sum(list_transform(range(CAST({lo} AS BIGINT), CAST({hi} AS BIGINT)), lambda i: {term}))"
+    return f"""
+WITH RECURSIVE g AS (SELECT event_type, count(*) FILTER (WHERE value >= 50.0e0) AS k, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
+l(event_type, lo, hi, s) AS (SELECT event_type, 0.0e0, 1.0e0, 0 FROM g UNION ALL
+  SELECT event_type, CASE WHEN t < 0.025e0 THEN m ELSE lo END, CASE WHEN t < 0.025e0 THEN hi ELSE m END, s + 1
+  FROM (SELECT *, {tail('k', 'n + 1')} AS t FROM (SELECT l.*, k, n, (lo + hi) / 2 AS m FROM l JOIN g USING (event_type) WHERE s < 50))),
+u(event_type, lo, hi, s) AS (SELECT event_type, 0.0e0, 1.0e0, 0 FROM g UNION ALL
+  SELECT event_type, CASE WHEN t > 0.025e0 THEN m ELSE lo END, CASE WHEN t > 0.025e0 THEN hi ELSE m END, s + 1
+  FROM (SELECT *, {tail('0', 'k + 1')} AS t FROM (SELECT u.*, k, n, (lo + hi) / 2 AS m FROM u JOIN g USING (event_type) WHERE s < 50)))
+SELECT event_type, k, n, round(CASE WHEN k = 0 THEN 0.0e0 ELSE (l.lo + l.hi) / 2 END, 9) AS rate_lo, round(CASE WHEN k = n THEN 1.0e0 ELSE (u.lo + u.hi) / 2 END, 9) AS rate_hi
+FROM g JOIN l USING (event_type) JOIN u USING (event_type) WHERE l.s = 50 AND u.s = 50"""
+
+
+PRICE_GAPS = """SELECT o_orderkey, o_orderpriority, round(o_totalprice - items, 2) AS d FROM orders JOIN
+    (SELECT l_orderkey, sum(l_extendedprice) AS items FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey"""
+
+
+def _pair_long() -> str:
+    return (long_sql(EVENTS_PAIR, ["value"], "DOUBLE") + " UNION ALL " + long_sql(LINEITEM_PAIR, ["l_quantity", "l_discount", "l_tax"], "DOUBLE"))
+
+
+def _energy_sql() -> str:
+    """All pairs of values, weighted by their counts."""
+    return f"""
+WITH c AS (SELECT column_name, value, CAST(count(*) FILTER (WHERE role = 'ref') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE role = 'rec') AS DOUBLE) AS b
+           FROM ({_pair_long()}) l GROUP BY ALL),
+n AS (SELECT column_name, sum(a) AS n, sum(b) AS m FROM c GROUP BY 1),
+e AS (SELECT x.column_name, sum(x.a * y.b * abs(x.value - y.value)) AS xy, sum(x.a * y.a * abs(x.value - y.value)) AS xx, sum(x.b * y.b * abs(x.value - y.value)) AS yy
+      FROM c x JOIN c y USING (column_name) GROUP BY 1)
+SELECT column_name, CAST(n AS BIGINT) AS n_ref, CAST(m AS BIGINT) AS n_rec, round(greatest(2 * xy / (n * m) - xx / (n * n) - yy / (m * m), 0.0e0), 6) AS energy
+FROM e JOIN n USING (column_name)"""
+
+
+def _mmd_sql() -> str:
+    """The same frequencies, the features of every row averaged per side."""
+    w = f"sqrt(-2.0e0 * ln(1.0e0 - {uniform_sql('j', 101)})) * cos(2 * pi() * {uniform_sql('j', 102)})"
+    return f"""
+WITH l AS ({_pair_long()}),
+s AS (SELECT column_name, count(*) FILTER (WHERE role = 'ref') AS n_ref, count(*) FILTER (WHERE role = 'rec') AS n_rec, avg(value) AS mu, stddev_pop(value) AS sigma FROM l GROUP BY 1),
+f AS (SELECT j, {w} AS w FROM generate_series(1, 128) g(j)),
+d AS (SELECT column_name, j, power(avg(cos(z * w)) FILTER (WHERE role = 'ref') - avg(cos(z * w)) FILTER (WHERE role = 'rec'), 2)
+             + power(avg(sin(z * w)) FILTER (WHERE role = 'ref') - avg(sin(z * w)) FILTER (WHERE role = 'rec'), 2) AS d
+      FROM (SELECT column_name, role, (value - mu) / sigma AS z FROM l JOIN s USING (column_name)) x, f GROUP BY 1, 2)
+SELECT column_name, n_ref, n_rec, round(sigma, 6) AS sigma, round(avg(d), 9) AS mmd2, round(stddev_samp(d) / sqrt(count(*)), 9) AS mmd2_se
+FROM d JOIN s USING (column_name) GROUP BY ALL"""
+
+
+def _eddm_sql() -> str:
+    order = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, e"
+    return f"""
+WITH x AS (SELECT l_linestatus, row_number() OVER (PARTITION BY l_linestatus ORDER BY {order}) AS p, e FROM
+      (SELECT *, (l_discount >= 0.05e0) <> (l_returnflag = 'R') AS e FROM lineitem)),
+d AS (SELECT l_linestatus, p, CAST(p - coalesce(lag(p) OVER w, 0) AS DOUBLE) AS d, row_number() OVER w AS k FROM x WHERE e WINDOW w AS (PARTITION BY l_linestatus ORDER BY p)),
+m AS (SELECT l_linestatus, p, k, avg(d) OVER w AS mean, avg(d * d) OVER w AS sq FROM d WINDOW w AS (PARTITION BY l_linestatus ORDER BY p ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, mean + 2 * sqrt(greatest(sq - mean * mean, 0.0e0)) AS level FROM m),
+t AS (SELECT *, level / max(CASE WHEN k >= 30 THEN level END) OVER (PARTITION BY l_linestatus ORDER BY p ROWS UNBOUNDED PRECEDING) AS ratio FROM v)
+SELECT l_linestatus, max(k) AS n_errors, max(p) AS last_error, round(arg_max(mean, p), 6) AS mean_distance, round(arg_max(ratio, p), 6) AS ratio, round(min(ratio), 6) AS least_ratio,
+       count(*) FILTER (WHERE ratio >= 0.9e0 AND ratio < 0.95e0) AS n_warning, count(*) FILTER (WHERE ratio < 0.9e0) AS n_drift, min(p) FILTER (WHERE ratio < 0.9e0) AS first_drift
+FROM t GROUP BY 1"""
+
+
+def _adwin_sql(delta: str = "0.3e0") -> str:
+    """One value per step: add a bucket, merge level by level, drop the oldest while a cut is found."""
+    level = """CASE WHEN len(list_filter(s, lambda b: b.lv = l)) <= 5 THEN s ELSE
+      list_concat(list_concat(list_filter(s, lambda b: b.lv > l),
+        [{'lv': l + 1, 'n': list_sum(list_transform(list_filter(s, lambda b: b.lv = l)[1:2], lambda b: b.n)), 'x': list_sum(list_transform(list_filter(s, lambda b: b.lv = l)[1:2], lambda b: b.x)),
+          'q': list_sum(list_transform(list_filter(s, lambda b: b.lv = l)[1:2], lambda b: b.q))}]),
+        list_concat(list_filter(s, lambda b: b.lv = l)[3:], list_filter(s, lambda b: b.lv < l))) END"""
+    total = lambda f, a="s": f"list_sum(list_transform({a}, lambda b: b.{f}))"
+    bound = (f"(sqrt(2 * (1 / {{n0}} + 1 / ({total('n')} - {{n0}})) * greatest({total('q')} / {total('n')} - power({total('x')} / {total('n')}, 2), 0.0e0) * ln(2 * ln({total('n')}) / {delta})) "
+             f"+ 2.0e0 / 3 * (1 / {{n0}} + 1 / ({total('n')} - {{n0}})) * ln(2 * ln({total('n')}) / {delta}))")
+    n0, x0 = total("n", "s[1:c]"), total("x", "s[1:c]")
+    found = (f"{total('n')} >= 10 AND len(list_filter(range(1, len(s)), lambda c: {n0} >= 5 AND {total('n')} - {n0} >= 5 AND "
+             f"abs({x0} / {n0} - ({total('x')} - {x0}) / ({total('n')} - {n0})) > {bound.replace('{n0}', n0)})) > 0")
+    return f"""
+WITH RECURSIVE panes AS (SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS pane, round(avg(value) / 100.0e0, 4) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY pane) AS i FROM panes),
+w(event_type, i, stage, s, n_cut) AS (
+  SELECT event_type, CAST(0 AS BIGINT), 0, CAST([] AS STRUCT(lv BIGINT, n DOUBLE, x DOUBLE, q DOUBLE)[]), 0.0e0 FROM (SELECT DISTINCT event_type FROM o)
+  UNION ALL
+  SELECT event_type, CASE WHEN stage = 0 THEN i + 1 ELSE i END, CASE WHEN stage = 0 THEN 1 WHEN cut THEN 1 ELSE 0 END,
+    CASE WHEN stage = 0 THEN s WHEN cut THEN s[2:] ELSE s END, CASE WHEN stage = 0 THEN 0.0e0 WHEN cut THEN n_cut + s[1].n ELSE n_cut END
+  FROM (SELECT event_type, i, stage, s, n_cut, stage = 1 AND {found} AS cut FROM (
+    SELECT w.event_type, w.i, w.stage, w.n_cut, CASE WHEN w.stage = 1 THEN w.s ELSE
+      list_reduce(range(0, 12), lambda s, l: {level}, list_append(w.s, {{'lv': CAST(0 AS BIGINT), 'n': 1.0e0, 'x': o.value, 'q': o.value * o.value}})) END AS s
+    FROM w LEFT JOIN o ON o.event_type = w.event_type AND o.i = w.i + 1 WHERE w.stage = 1 OR o.i IS NOT NULL)))
+SELECT o.event_type, o.pane, o.value, CAST({total('n', 'w.s')} AS BIGINT) AS width, round({total('x', 'w.s')}, 4) AS total, CAST(w.n_cut AS BIGINT) AS n_cut, w.n_cut > 0 AS drift
+FROM w JOIN o USING (event_type, i) WHERE w.stage = 0"""
+
+
+def _exact_sql() -> str:
+    """Counts of arrangements by recursion on the last row: f(n, m, u) = f(n-1, m, u-m) + f(n, m-1, u); lattice paths step by step."""
+    return f"""
+WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice AS v, o_orderpriority IN ('1-URGENT', '2-HIGH') AS a FROM orders WHERE o_totalprice IS NOT NULL),
+c AS (SELECT o_custkey, v, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE NOT a) AS b FROM o GROUP BY 1, 2),
+q AS (SELECT *, sum(a) OVER p AS ca, sum(b) OVER p AS cb, sum(a) OVER (PARTITION BY o_custkey) AS n, sum(b) OVER (PARTITION BY o_custkey) AS m FROM c WINDOW p AS (PARTITION BY o_custkey ORDER BY v ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT o_custkey, CAST(max(n) AS BIGINT) AS n_a, CAST(max(m) AS BIGINT) AS n_b, CAST(sum(a * (cb - b / 2.0e0)) AS DOUBLE) AS u, CAST(sum(power(a + b, 3) - (a + b)) AS DOUBLE) AS ties,
+             CAST(max(abs(ca * m - cb * n)) AS BIGINT) AS h FROM q GROUP BY 1 HAVING max(n) > 0 AND max(m) > 0),
+size AS (SELECT max(n_a + n_b) AS top, max(least(n_a, n_b)) AS low FROM g),
+f(n, m, u, c) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1.0e0 UNION ALL
+  SELECT n, m, u, sum(c) FROM (SELECT n + 1 AS n, m, u + m AS u, c FROM f WHERE n < 8 UNION ALL SELECT n, m + 1, u, c FROM f) x, size WHERE n + m <= top GROUP BY n, m, u),
+e AS (SELECT n, m, u, sum(c) OVER (PARTITION BY n, m ORDER BY u) / sum(c) OVER (PARTITION BY n, m) AS cdf FROM f),
+k AS (SELECT DISTINCT n_a AS n, n_b AS m, h FROM g),
+p(n, m, h, i, j, c) AS (SELECT n, m, h, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1.0e0 FROM k UNION ALL
+  SELECT n, m, h, i, j, sum(c) FROM (SELECT n, m, h, i + 1 AS i, j, c FROM p WHERE i < n UNION ALL SELECT n, m, h, i, j + 1, c FROM p WHERE j < m) x
+  WHERE abs(i * m - j * n) < h GROUP BY n, m, h, i, j),
+ways AS (SELECT k.n, k.m, k.h, 1 - coalesce(p.c, 0) / exp(lgamma(k.n + k.m + 1.0e0) - lgamma(k.n + 1.0e0) - lgamma(k.m + 1.0e0)) AS ks_exact
+         FROM k LEFT JOIN p ON p.n = k.n AND p.m = k.m AND p.h = k.h AND p.i = k.n AND p.j = k.m),
+z AS (SELECT *, (greatest(u, n_a * n_b - u) - n_a * n_b / 2.0e0 - 0.5e0) / sqrt(n_a * n_b / 12.0e0 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1.0e0)))) AS z,
+             h / CAST(n_a * n_b AS DOUBLE) AS d, sqrt(n_a * n_b / CAST(n_a + n_b AS DOUBLE)) AS ne FROM g)
+SELECT o_custkey, n_a, n_b, round(z.u, 6) AS u_stat, round(CASE WHEN z IS NULL OR isnan(z) OR z <= 0 THEN 1.0e0 ELSE {pv.normal_two_sided_sql('z.z', D)} END, 6) AS mw_asymptotic,
+       round(CASE WHEN ties = 0 AND least(n_a, n_b) <= 8 THEN least(1.0e0, 2 * e.cdf) END, 6) AS mw_exact, round(d, 6) AS ks_d,
+       round({pv.kolmogorov_sf_sql('((ne + 0.12e0 + 0.11e0 / ne) * d)', D)}, 6) AS ks_asymptotic, round(greatest(ways.ks_exact, 0.0e0), 6) AS ks_exact
+FROM z LEFT JOIN e ON e.n = least(n_a, n_b) AND e.m = greatest(n_a, n_b) AND e.u = least(z.u, n_a * n_b - z.u)
+JOIN ways ON ways.n = z.n_a AND ways.m = z.n_b AND ways.h = z.h"""
+
+
+def _loop_metrics_sql() -> str:
+    return f"""
+WITH {_cycle_with()},
+p AS (SELECT cycle_end, 'value' AS column_name, ks_p_raw AS p FROM ks UNION ALL SELECT cycle_end, 'event_type', chi2_p_raw FROM ch),
+r AS (SELECT cycle_end, avg(CASE WHEN value >= 50.0e0 THEN 1.0e0 ELSE 0.0e0 END) FILTER (WHERE role = 'rec') AS pos FROM ({CYCLE_FAN}) f WHERE value IS NOT NULL GROUP BY 1),
+m AS (SELECT cycle_end, 'pvalue' AS metric, column_name, p AS value FROM p UNION ALL SELECT cycle_end, 'drift_detected', column_name, CASE WHEN p < 0.01 THEN 1.0e0 ELSE 0.0e0 END FROM p
+      UNION ALL SELECT cycle_end, 'psi', 'value', psi_raw FROM ps UNION ALL SELECT cycle_end, 'pos_ratio', 'value', pos FROM r)
+SELECT cycle_end, 'fraud' AS model, metric, column_name AS "column", round(value, 6) AS value FROM m"""
+
+
+def _loop_alerts_sql() -> str:
+    verdicts = f"""WITH {_cycle_with()}, p AS (SELECT cycle_end, ks_p_raw AS p FROM ks UNION ALL SELECT cycle_end, chi2_p_raw FROM ch)
+        SELECT CAST(epoch(p.cycle_end) / 86400 AS BIGINT) AS i, bool_or(p < 0.2) OR max(coalesce(ps.psi_raw, 0.0e0)) > 0.2 AS x
+        FROM p LEFT JOIN ps USING (cycle_end) GROUP BY 1"""
+    return _policy_sql("edge", k=3, n=2, verdicts=verdicts, step=86400)
 
 
 ORACLES = {
@@ -448,7 +648,7 @@ ORACLES = {
     "stream_windows": """WITH p AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS pane, count(*) AS n,
         sum(value) AS v FROM events GROUP BY 1),
         c AS (SELECT pane + 1 AS e, 'rec' AS role, n, v FROM p UNION ALL SELECT pane + 2, 'ref', n, v FROM p)
-        SELECT make_timestamp(e * 86400 * 1000000) AS cycle_end, role, CAST(sum(n) AS BIGINT) AS n_rows,
+        SELECT make_timestamp(e * 86400 * 1000000) AS cycle_end, role, CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_late,
                round(sum(v), 6) AS sum_value,
                make_timestamp(e * 86400 * 1000000) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed
         FROM c GROUP BY ALL""",
@@ -540,8 +740,7 @@ ORACLES = {
                round(CASE WHEN sup > 0 THEN tp / sup ELSE 0 END, 6) AS recall,
                round(CASE WHEN tp > 0 THEN 2 * (tp / pred) * (tp / sup) / ((tp / pred) + (tp / sup)) ELSE 0 END, 6)
                AS f1, sup AS support FROM s""",
-    "bootstrap_ci": f"""SELECT o_orderpriority, count(*) AS n_reps, round(quantile_cont(mean, 0.025e0), 6) AS ci_lo,
-        round(quantile_cont(mean, 0.975e0), 6) AS ci_hi FROM ({_boot_sql()}) r GROUP BY 1""",
+    "bootstrap_ci": _bootstrap_sql(),
     "noninferiority": f"""WITH {SCEN}, r AS ({_boot_sql()}),
         d AS (SELECT p.A, p.B, (a.mean - b.mean) / b.mean AS rd FROM pairs p
               JOIN r a ON a.o_orderpriority = p.A JOIN r b ON b.o_orderpriority = p.B AND b.rep = a.rep)
@@ -557,6 +756,18 @@ ORACLES = {
               FROM g, t)
         SELECT CAST(n AS BIGINT) AS n, round(wp, 6) AS w_plus, round({pv.normal_two_sided_sql('z', D)}, 6) AS pvalue
         FROM z""",
+    "clopper_pearson": _clopper_sql(),
+    "hodges_lehmann": f"""WITH d AS (SELECT *, row_number() OVER () AS i FROM ({PRICE_GAPS}) g WHERE d IS NOT NULL)
+        SELECT a.o_orderpriority, (SELECT count(*) FROM d c WHERE c.o_orderpriority = a.o_orderpriority) AS n,
+               round(quantile_cont((a.d + b.d) / 2, 0.5e0), 6) AS estimate
+        FROM d a JOIN d b ON a.o_orderpriority = b.o_orderpriority AND a.i <= b.i GROUP BY 1""",
+    "energy_distance": _energy_sql(),
+    "mmd": _mmd_sql(),
+    "eddm": _eddm_sql(),
+    "adwin": _adwin_sql(),
+    "two_sample_exact": _exact_sql(),
+    "loop_metrics": _loop_metrics_sql(),
+    "loop_alerts": _loop_alerts_sql(),
     "stage_stats": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
         round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY 1""",
 }
