@@ -137,12 +137,14 @@ def bootstrap_means(long: DataFrame, keys: Sequence[str], key: str, value: str,
     sums per group, and only those are shuffled. Null values take no part.
     """
     rows = long.where(F.col(value).isNotNull()).select(*keys, F.col(key).alias("_k"), F.col(value).cast("double").alias("_x"))
+    # rows are dealt out before they fan out: a table of one file would be one task otherwise
+    rows = rows.repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k")
     # one digest serves two replicates
     rows = rows.select(*keys, "_k", "_x", F.explode(F.sequence(F.lit(0), F.lit((b + 1) // 2 - 1))).alias("_j"))
     digest = F.md5(F.concat(F.col("_k").cast("string"), F.lit(":"), F.col("_j").cast("string"), F.lit(f":{seed}")).cast("binary"))
     rows = rows.select(*keys, "_j", "_x", digest.alias("_h"))
-    weight = [poisson1(hash_digits(F.col("_h"), i) / F.lit(float(SPAN))) for i in (0, 1)]
-    rows = rows.select(*keys, "_j", "_x", *[w.alias(f"_w{i}") for i, w in enumerate(weight)])
+    rows = rows.select(*keys, "_j", "_x", *[(hash_digits(F.col("_h"), i) / F.lit(float(SPAN))).alias(f"_u{i}") for i in (0, 1)])
+    rows = rows.select(*keys, "_j", "_x", *[poisson1(F.col(f"_u{i}")).alias(f"_w{i}") for i in (0, 1)])
     sums = rows.groupBy(*keys, "_j").agg(*[x for i in (0, 1) for x in (F.sum(F.col(f"_w{i}") * F.col("_x")).alias(f"_s{i}"), F.sum(f"_w{i}").alias(f"_n{i}"))])
     both = F.explode(F.array(*[F.struct((2 * F.col("_j") + 1 + i).cast("int").alias("rep"), F.try_divide(f"_s{i}", f"_n{i}").alias("mean")) for i in (0, 1)])).alias("_r")
     return sums.select(*keys, both).select(*keys, "_r.rep", "_r.mean").where(F.col("rep") <= b)

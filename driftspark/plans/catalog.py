@@ -764,7 +764,9 @@ ADWIN_DELTA = 0.3
 def _adwin_panes(spark, sf):
     ev = table(spark, sf, "events").where(F.col("value").isNotNull())
     pane = windows.pane_index(F.col("ts"), ADWIN_STEP)
-    return ev.groupBy("event_type", pane.cast("long").alias("pane")).agg((F.round(F.avg("value") / 100.0, 4)).alias("value"))
+    # whole hundredths, so that the means do not depend on the order of a sum
+    mean = F.expr("sum(cast(round(value * 100) as bigint)) div count(1)") / F.lit(10000.0)
+    return ev.groupBy("event_type", pane.cast("long").alias("pane")).agg(mean.alias("value"))
 
 
 def q_adwin(spark, sf):

@@ -482,7 +482,7 @@ def _adwin_sql(delta: str = "0.3e0") -> str:
     found = (f"{total('n')} >= 10 AND len(list_filter(range(1, len(s)), lambda c: {n0} >= 5 AND {total('n')} - {n0} >= 5 AND "
              f"abs({x0} / {n0} - ({total('x')} - {x0}) / ({total('n')} - {n0})) > {bound.replace('{n0}', n0)})) > 0")
     return f"""
-WITH RECURSIVE panes AS (SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS pane, round(avg(value) / 100.0e0, 4) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+WITH RECURSIVE panes AS (SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS pane, (CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // count(*)) / 10000.0e0 AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY pane) AS i FROM panes),
 w(event_type, i, stage, s, n_cut) AS (
   SELECT event_type, CAST(0 AS BIGINT), 0, CAST([] AS STRUCT(lv BIGINT, n DOUBLE, x DOUBLE, q DOUBLE)[]), 0.0e0 FROM (SELECT DISTINCT event_type FROM o)
