@@ -42,7 +42,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, role: str,
 
 
 def cumulative(counts: DataFrame, keys: Sequence[str], value: str, count_cols: Sequence[str],
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, ties: bool = False) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running count) and ``tot_<c>`` (group total).
 
     ``counts`` must hold one row per (keys, value), as produced by ``value_counts``.
@@ -52,14 +52,16 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, count_cols: S
     partition) get running offsets; rows add their offset to the running sum inside
     the bucket. ``partitions`` fixes the number of range partitions; by default the
     session's shuffle partition count applies (and AQE may coalesce adjacent ones,
-    which keeps the order).
+    which keeps the order). With ``ties``, rows may share a value: each then has the running
+    count up to and including all of them.
     """
     keys = list(keys)
     n = partitions
     r = counts.repartitionByRange(n, *keys, value) if n else counts.repartitionByRange(*keys, value)
     b = r.withColumn("_bucket", F.spark_partition_id())
-    w_local = (Window.partitionBy("_bucket", *keys).orderBy(value)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    w_local = Window.partitionBy("_bucket", *keys).orderBy(value)
+    between = w_local.rangeBetween if ties else w_local.rowsBetween
+    w_local = between(Window.unboundedPreceding, Window.currentRow)
     w_part = Window.partitionBy("_bucket", *keys)
     local = b.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in count_cols],
                      *[F.sum(c).over(w_part).alias(f"_t_{c}") for c in count_cols])

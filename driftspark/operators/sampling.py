@@ -7,10 +7,10 @@ two-phase running counts of ``ranks``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.functions.hashing import hash_int, uniform
+from driftspark.functions.hashing import SPAN, hash_int, uniform
 from driftspark.operators import ranks
 from driftspark.operators.windows import REC, REF
 
@@ -26,6 +26,28 @@ def sample_hash(df: DataFrame, key: str, fraction: float = SAMPLE_FRACTION, seed
     return df.where(uniform(F.col(key), seed) < F.lit(float(fraction)))
 
 
+def sample_fixed(df: DataFrame, key: str, n: int, fraction: float = 1.0, seed: int = REF_SEED,
+                 partitions: int | None = None) -> DataFrame:
+    """The Bernoulli sample, cut to the ``n`` rows with the smallest (key hash, key) (M1, M2).
+
+    ``fraction`` 1 gives a sample of fixed size; fewer rows than ``n`` are all kept. No task holds
+    the sample: counts of the hash's leading 16 bits (65,536 rows at most) say in which cell
+    the n-th row lies, smaller cells are kept by a filter and only the rows of that one cell are
+    ranked, by running counts. Of rows that share the last key, any may be the last ones.
+    """
+    rows = df.withColumn("_h", hash_int(F.col(key), seed)).withColumn("_cell", F.shiftright("_h", 32))
+    rows = rows.where(F.col("_h") < F.lit(int(fraction * SPAN)))
+    run = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select("_cell", "_n", F.sum("_n").over(run).alias("_upto"))
+    over = upto.where(F.col("_upto") >= n)
+    last = F.coalesce(over.agg(F.min("_cell")).scalar(), F.lit(1 << 16))
+    room = n - over.agg(F.min(F.col("_upto") - F.col("_n"))).scalar()
+    whole = rows.where(F.col("_cell") < last)
+    ordered = rows.where(F.col("_cell") == last).withColumn("_ord", F.struct("_h", F.col(key).alias("k"))).withColumn("_n", F.lit(1).cast("long"))
+    part = ranks.cumulative(ordered, ["_cell"], "_ord", ["_n"], partitions).where(F.col("cum__n") <= room)
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+
+
 def split_half(df: DataFrame, key: str | None, seed: int = HALF_SPLIT_SEED,
                role: str = "role") -> DataFrame:
     """Disjoint ref/rec halves by key hash (M3); replaces sample + ``subtract``."""
@@ -41,13 +63,14 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     """Exact-quota stratified split (M4).
 
     In each class c, the ceil(f * n_c) rows with the smallest (key hash, key) form the
-    test set. ``key`` must be unique, so the order is total and the rows themselves are
-    the input of the two-phase running counts: a dominant class is spread over many
-    range partitions and no join back to the input is needed.
+    test set. The rows themselves are the input of the two-phase running counts: a dominant
+    class is spread over many range partitions and no join back to the input is needed.
+    Rows of one class that share a key stay on one side: a key whose rows do not all fit the
+    quota is left to training, so the test part may miss the quota by less than one key.
     """
     order = F.struct(hash_int(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     keyed = df.withColumn("_ord", order).withColumn("_n", F.lit(1).cast("long"))
-    cum = ranks.cumulative(keyed, [label], "_ord", ["_n"], partitions)
+    cum = ranks.cumulative(keyed, [label], "_ord", ["_n"], partitions, ties=True)
     quota = F.ceil(F.col("tot__n") * F.lit(float(test_fraction)))
     return cum.withColumn(out, F.col("cum__n") <= quota).drop("_ord", "_n", "tot__n", "cum__n")
 

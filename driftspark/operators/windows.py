@@ -88,3 +88,30 @@ def fan_out_cycles(panes: DataFrame, pane_col: str, width: dt.timedelta, step: d
     return (x.withColumn(role, F.when(F.col("_off") <= r, F.lit(REC)).otherwise(F.lit(REF)))
              .withColumn(cycle, F.timestamp_seconds(origin_s + end_idx * F.lit(s_s)))
              .drop("_off", pane_col))
+
+
+def changed(cycle_end: Column, width: dt.timedelta, periods) -> Column:
+    """Whether the two windows of a cycle hold different shares of a labelled drift period.
+
+    ``periods``: (from, to) in ISO form, not overlapping. A window pair wholly inside or wholly
+    outside a period compares like with like, so an alert there is a false one.
+    """
+    w = int(width.total_seconds())
+    end = F.unix_seconds(cycle_end.cast("timestamp"))
+    out = F.lit(False)
+    for start, stop in periods:
+        a, b = (F.unix_seconds(_ts_literal(t)) for t in (start, stop))
+
+        def inside(lo, hi, a=a, b=b):
+            return F.greatest(F.least(hi, b) - F.greatest(lo, a), F.lit(0))
+
+        out = out | (inside(end - w, end) != inside(end - 2 * w, end - w))
+    return out
+
+
+def in_period(ts: Column, periods) -> Column:
+    """Whether a time lies in one of the half-open periods."""
+    out = F.lit(False)
+    for start, stop in periods:
+        out = out | ((ts >= _ts_literal(start)) & (ts < _ts_literal(stop)))
+    return out

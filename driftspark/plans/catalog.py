@@ -34,6 +34,9 @@ LINEITEM_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LINEITEM_FLAGS = ("l_returnflag", "l_linestatus")
 EVENTS_THRESHOLD = 50.0
 LABEL_SPLIT_SEED = 13
+DRIFT_PERIODS = (("2024-01-08 00:00:00", "2024-01-11 00:00:00"), ("2024-01-18 00:00:00", "2024-01-20 00:00:00"),
+                 ("2024-01-25 00:00:00", "2024-01-26 12:00:00"))
+DRIFT_FACTOR = 1.25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -215,6 +218,13 @@ def q_scenario_report(spark, sf):
     return rep.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in rep.columns])
 
 
+def q_scenario_header(spark, sf):
+    """The same tests from a table whose scenario column has an upper-case header."""
+    runs = _orders_runs(spark, sf).withColumnRenamed(SCENARIO_COL, SCENARIO_COL.upper())
+    rep = report.scenario_report(runs, SCENARIO_COL, METRIC_COLS, ORDINAL_COL)
+    return rep.where("row_type = 'mannwhitney'").select("metric", "A", "B", "nA", "nB", r6("pvalue").alias("pvalue"), r6("pvalue_fdr").alias("pvalue_fdr"))
+
+
 # --- T4 policy over hourly cycles of events ----------------------------------------
 
 POLICY_STEP = dt.timedelta(hours=1)
@@ -303,21 +313,57 @@ def q_sample_hash(spark, sf):
     return sampling.sample_hash(o, "o_orderkey", 0.2, seed=42)
 
 
+def q_sample_fixed(spark, sf):
+    """M1 and M2: a fifth of the orders, cut to a thousand rows."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return sampling.sample_fixed(o, "o_orderkey", 1000, 0.2, seed=42)
+
+
+def q_split_roles(spark, sf):
+    """Events by their time column, labels (which have none) by the hash of their key."""
+    parts = [windows.split_roles(table(spark, sf, name), "ts", EVENTS_NOW, EVENTS_WIDTH, key).groupBy("role")
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(key).alias("sum_keys")).withColumn("source", F.lit(name))
+             for name, key in (("events", "event_id"), ("labels", "doc_id"))]
+    return io.stack_by_name(*parts)
+
+
 def q_split_half(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
     return sampling.split_half(o, "o_orderkey", seed=13)
 
 
-def q_logreg_f1(spark, sf):
+def _lineitem_keyed(spark, sf):
+    """Line items with a row key of four columns; rows that share it share a side of the split."""
     li = table(spark, sf, "lineitem")
-    # lineitem has no unique key; this hash of five columns is unique on the given tables
-    li = li.withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                             "l_extendedprice"))
-    log = retrain.train_run(li, "row_key", LINEITEM_FEATURES, risk="l_discount", amount="l_extendedprice",
-                            risk_cut=LINEITEM_RISK_CUT, p95_method="approx")
+    return li.withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
+def q_logreg_f1(spark, sf):
+    log = retrain.train_run(_lineitem_keyed(spark, sf), "row_key", LINEITEM_FEATURES, risk="l_discount",
+                            amount="l_extendedprice", risk_cut=LINEITEM_RISK_CUT, p95_method="exact")
     return log.select("label_strategy", "total_rows", "positives", "negatives", "model", r6("f1").alias("f1"))
 
 
+def q_logreg_coefficients(spark, sf):
+    """L3: the fitted model itself, per deviation of a feature, with its loss."""
+    lab = labels.ensure_label(_lineitem_keyed(spark, sf), LINEITEM_FEATURES, risk="l_discount", amount="l_extendedprice",
+                              risk_cut=LINEITEM_RISK_CUT, p95_method="exact", keep=["row_key"])
+    model, split = retrain.split_and_fit(lab, "row_key", LINEITEM_FEATURES)
+    n = split.agg(F.count_if(~F.col("is_test")).alias("n")).scalar()
+    return retrain.coefficients(model, spark).select(
+        "term", r6(F.coalesce("scaled", "coefficient")).alias("coefficient"), n.alias("n_train"),
+        r6(F.lit(model.loss) / n).alias("mean_loss"), F.lit(model.converged).alias("converged"))
+
+
+def q_retrain_skipped(spark, sf):
+    """A run on rows of one class and a run without rows are recorded, not trained."""
+    o = table(spark, sf, "orders")
+    runs = {"one_class": o, "no_rows": o.where(F.col("o_totalprice") < 0)}
+    logs = [retrain.train_run(df, "o_orderkey", ("o_totalprice",), risk="_none", amount="_none", scenario=name)
+            for name, df in runs.items()]
+    return io.stack_by_name(*logs).select("scenario", "label_strategy", "total_rows", "positives", "negatives", "model", "f1")
+
+
 # --- X1, X2, X4, X7, X9 expressions ---------------------------------------
 
 def q_enrich_fx(spark, sf):
@@ -552,8 +598,10 @@ SWEEP_ALPHAS = (0.05, 0.01, 0.001)
 SWEEP_TAUS = (0.1, 0.2, 0.3)
 
 
-def _daily(spark, sf):
+def _daily(spark, sf, value=None):
     ev = table(spark, sf, "events").select("ts", "value", "event_type")
+    if value is not None:
+        ev = ev.withColumn("value", value)
     return monitor.cycle_tests(ev, "ts", DAY, DAY, monitor.MonitorConfig(score_col="value"))
 
 
@@ -570,8 +618,8 @@ def q_cycle_verdict_daily(spark, sf):
                     F.col("n_tests").cast("long").alias("n_tests"), r6("psi").alias("psi"), "should_trigger")
 
 
-def _cycle_summary(spark, sf):
-    fr = _daily(spark, sf)
+def _cycle_summary(spark, sf, value=None):
+    fr = _daily(spark, sf, value)
     per = fr["tests"].groupBy("cycle_end").agg(
         F.min("p_value").alias("p_min"), F.min(F.when(F.col("test") == "ks", F.col("p_value"))).alias("p_ks"))
     return per.join(fr["psi"].select("cycle_end", "psi"), "cycle_end", "left")
@@ -589,12 +637,30 @@ def q_metrics_wide_daily(spark, sf):
                       r6("p_event_type").alias("p_event_type"), r6("p_value").alias("p_value"), r6("psi").alias("psi"))
 
 
-def q_threshold_sweep(spark, sf):
-    c = _cycle_summary(spark, sf)
+def _swept(cycles):
+    """Cycles x thresholds with the ``alert`` of each pair."""
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(t).alias("tau"))
                                for a in SWEEP_ALPHAS for t in SWEEP_TAUS])).alias("g")
-    x = c.select("*", grid).select("p_min", "psi", "g.alpha", "g.tau")
-    alert = (F.col("p_min") < F.col("alpha")) | (F.coalesce(F.col("psi"), F.lit(0.0)) > F.col("tau"))
+    x = cycles.select("*", grid).select(*cycles.columns, "g.alpha", "g.tau")
+    return x, (F.col("p_min") < F.col("alpha")) | (F.coalesce(F.col("psi"), F.lit(0.0)) > F.col("tau"))
+
+
+def q_threshold_rates(spark, sf):
+    """Y12 with truth: in the labelled periods the value is raised, so cycles whose windows
+    differ in their share of a period have drifted. False alerts and hits per threshold."""
+    raised = F.col("value") * F.when(windows.in_period(F.col("ts"), DRIFT_PERIODS), DRIFT_FACTOR).otherwise(F.lit(1.0))
+    x, alert = _swept(_cycle_summary(spark, sf, raised))
+    truth = windows.changed(F.col("cycle_end"), DAY, DRIFT_PERIODS)
+    x = x.select("alpha", "tau", alert.alias("alert"), truth.alias("truth"))
+    hit, false = F.count_if(F.col("alert") & F.col("truth")), F.count_if(F.col("alert") & ~F.col("truth"))
+    drifted = F.count_if("truth")
+    return x.groupBy("alpha", "tau").agg(
+        F.count(F.lit(1)).alias("n_cycles"), drifted.alias("n_drifted"), r6(F.try_divide(hit, drifted)).alias("tpr"),
+        r6(F.try_divide(false, F.count(F.lit(1)) - drifted)).alias("fpr"))
+
+
+def q_threshold_sweep(spark, sf):
+    x, alert = _swept(_cycle_summary(spark, sf))
     return x.groupBy("alpha", "tau").agg(F.count(F.lit(1)).alias("n_cycles"),
                                          r6(F.avg(alert.cast("double"))).alias("alert_rate"))
 
@@ -854,6 +920,7 @@ QUERIES = {
     "bh_adjust": q_bh_adjust,
     "summary_scopes": q_summary_scopes,
     "scenario_report": q_scenario_report,
+    "scenario_header": q_scenario_header,
     "policy_edge": q_policy_edge,
     "policy_level": q_policy_level,
     "policy_streak_consecutive": q_policy_streak_consecutive,
@@ -864,8 +931,12 @@ QUERIES = {
     "class_weights": q_class_weights,
     "split_stratified": q_split_stratified,
     "sample_hash": q_sample_hash,
+    "sample_fixed": q_sample_fixed,
     "split_half": q_split_half,
+    "split_roles": q_split_roles,
     "logreg_f1": q_logreg_f1,
+    "logreg_coefficients": q_logreg_coefficients,
+    "retrain_skipped": q_retrain_skipped,
     "enrich_fx": q_enrich_fx,
     "season_class": q_season_class,
     "partition_values": q_partition_values,
@@ -891,6 +962,7 @@ QUERIES = {
     "cycle_verdict_daily": q_cycle_verdict_daily,
     "metrics_wide_daily": q_metrics_wide_daily,
     "threshold_sweep": q_threshold_sweep,
+    "threshold_rates": q_threshold_rates,
     "ablation": q_ablation,
     "holm": q_holm,
     "cramers_v": q_cramers_v,

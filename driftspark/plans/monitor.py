@@ -16,6 +16,7 @@ import datetime as dt
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,13 +58,23 @@ def _adjusted(tests: DataFrame, keys: Sequence[str], cfg: "MonitorConfig") -> Da
     return x.withColumn("p_raw", F.col("p_value")).withColumn("p_value", F.col("_adj")).drop("_adj")
 
 
-def _resolve_score(num: Sequence[str], cfg: MonitorConfig) -> str | None:
-    """P7 with the G2 warning: falling back to the first numeric column is reported."""
-    score = C.find_score_column(num, cfg.score_col)
-    if score is not None and score != cfg.score_col and score not in C.SCORE_ALIASES:
-        warnings.warn(f"score column {cfg.score_col!r} not found; PSI and positive ratio use {score!r}",
+def _roles(df: DataFrame, cfg: MonitorConfig, skip, numeric, categorical) -> C.Roles:
+    """Column roles with the G2 warning: an assumed score column is reported."""
+    found = C.roles(df, skip, cfg.score_col, numeric, categorical)
+    if found.assumed:
+        warnings.warn(f"score column {cfg.score_col!r} not found; PSI and positive ratio use {found.score!r}",
                       stacklevel=3)
-    return score
+    return found
+
+
+TESTS = {"column_name": "string", "test": "string", "n_ref": "long", "n_rec": "long", "stat": "double", "p_value": "double"}
+
+
+def _stacked(parts: Sequence[DataFrame], like: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All test rows; none, with the same columns, for a table without a testable column."""
+    if not parts:
+        return like.select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in TESTS.items()]).limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _numeric_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], policy: str) -> DataFrame:
@@ -84,8 +95,8 @@ def snapshot_frames(roled: DataFrame, cfg: MonitorConfig, keys: Sequence[str] =
     """
     keys = list(keys)
     skip = set(cfg.exclude) | set(keys) | {"role"}
-    num = list(numeric) if numeric is not None else C.numeric_columns(roled, skip)
-    cat = list(categorical) if categorical is not None else C.string_columns(roled, skip)
+    found = _roles(roled, cfg, skip, numeric, categorical)
+    num, cat = found.numeric, found.categorical
     ids = [*keys, "role"]
     gk = [*keys, "column_name"]
     parts = []
@@ -98,13 +109,10 @@ def snapshot_frames(roled: DataFrame, cfg: MonitorConfig, keys: Sequence[str] =
                          yates=cfg.yates)
         parts.append(ch.select(*gk, F.lit("chi2").alias("test"), "n_ref", "n_rec",
                                F.col("chi2").alias("stat"), D.gated("chi2_p", 1.0).alias("p_value")))
-    tests = parts[0]
-    for p in parts[1:]:
-        tests = tests.unionByName(p)
-    tests = _adjusted(tests, keys, cfg).withColumn("drift", F.col("p_value") < cfg.alpha)
+    tests = _adjusted(_stacked(parts, roled, keys), keys, cfg).withColumn("drift", F.col("p_value") < cfg.alpha)
 
     if score == "auto":
-        score = _resolve_score(num, cfg)
+        score = found.score
     psi_df = None
     if score is not None:
         long = _numeric_long(roled, ids, [score], cfg.null_policy)
@@ -113,20 +121,21 @@ def snapshot_frames(roled: DataFrame, cfg: MonitorConfig, keys: Sequence[str] =
                   .withColumnRenamed("column_name", "score_col"))
         pos = D.positive_ratio(roled, keys, score, threshold=cfg.positive_threshold)
     else:
-        binary = [c for c in C.BINARY_PREDICTION_NAMES if c in num]
-        pos = D.positive_ratio(roled, keys, None, binary_cols=binary)
+        pos = D.positive_ratio(roled, keys, None, binary_cols=found.binary)
     pvals = tests.select(*keys, "column_name", F.col("p_value").alias("p"))
     psi_key = psi_df.select(*keys, "psi") if psi_df is not None else None
     verdict = D.verdict(pvals, psi_key, keys, cfg.alpha, cfg.psi_alert)
     return {"tests": tests, "psi": psi_df, "pos_ratio": pos, "verdict": verdict}
 
 
-def snapshot(df: DataFrame, ts: str, now: dt.datetime | str, width: dt.timedelta,
-             cfg: MonitorConfig | None = None, **kw) -> dict[str, DataFrame]:
-    """One poll at ``now`` over ref = [now-2W, now-W) and rec = [now-W, inf)."""
+def snapshot(df: DataFrame, ts: str | None, now: dt.datetime | str, width: dt.timedelta,
+             cfg: MonitorConfig | None = None, key: str | None = None, **kw) -> dict[str, DataFrame]:
+    """One poll at ``now`` over ref = [now-2W, now-W) and rec = [now-W, inf); halves by the hash
+    of ``key`` where the table has no column ``ts`` (P6). Without a testable column there are no
+    tests and the verdict is false."""
     cfg = cfg or MonitorConfig()
-    roled = windows.window_pair(df, ts, now, width)
-    cfg = replace(cfg, exclude=tuple(cfg.exclude) + (ts,))
+    roled = windows.split_roles(df, ts, now, width, key)
+    cfg = replace(cfg, exclude=(*cfg.exclude, *[c for c in (ts, key) if c]))
     return snapshot_frames(roled, cfg, **kw)
 
 
@@ -196,10 +205,10 @@ def cycle_tests(df: DataFrame, ts: str, width: dt.timedelta, step: dt.timedelta,
     """Replay of the loop over all cycles; keyed by ``cycle_end``."""
     cfg = cfg or MonitorConfig()
     skip = set(cfg.exclude) | {ts}
-    num = list(numeric) if numeric is not None else C.numeric_columns(df, skip)
-    cat = list(categorical) if categorical is not None else C.string_columns(df, skip)
+    found = _roles(df, cfg, skip, numeric, categorical)
+    num, cat = found.numeric, found.categorical
     if score == "auto":
-        score = _resolve_score(num, cfg)
+        score = found.score
     nc = cycle_counts(df, ts, num, "double", width, step, origin, cfg.null_policy) if num else None
     cc = cycle_counts(df, ts, cat, "string", width, step, origin, cfg.null_policy) if cat else None
     sc = (cycle_counts(df, ts, [score], "double", width, step, origin, cfg.null_policy)

@@ -14,6 +14,7 @@ from the same templates as the Spark side (``functions.pvalues``), which tests h
 from __future__ import annotations
 
 import math
+import re
 
 from driftspark.functions import pvalues as pv
 from driftspark.functions.hashing import hash_int_sql, uniform_sql
@@ -264,6 +265,74 @@ LINEITEM_RULE = """SELECT CASE WHEN l_discount >= 0.08e0 OR l_extendedprice >= (
     WHERE l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_quantity IS NOT NULL AND l_tax IS NOT NULL"""
 
 
+LOGREG_FEATURES = ("l_extendedprice", "l_discount", "l_quantity", "l_tax")
+LOGREG_PASSES = 20
+
+
+def _nested(inner: str, steps) -> str:
+    """One subselect a step, each adding a named column."""
+    for name, expr in steps:
+        inner = f"SELECT *, {expr} AS {name} FROM ({inner}) q_{name}"
+    return inner
+
+
+def _logreg_with() -> str:
+    """Label, split and plain Newton steps as a recursive statement (the Spark side halves steps and
+    stops by the decrement); the linear system of a step by an LDL' factorisation, column by column."""
+    f, d = LOGREG_FEATURES, len(LOGREG_FEATURES)
+    key = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+    size = range(d + 1)
+    x = ["1.0e0", *[f"t.x{j}" for j in range(1, d + 1)]]
+    z = " + ".join(f"n.b{j} * {x[j]}" for j in size)
+    sums = [f"sum(t.w * (p - t.y) * {x[i]}) + any_value({f't.r{i} * b{i}' if i else '0.0e0'}) AS g{i}" for i in size]
+    sums += [f"sum(t.w * p * (1.0e0 - p) * {x[i]} * {x[j]}){f' + any_value(t.r{i})' if i == j and i else ''} AS a{i}{j}"
+             for i in size for j in range(i + 1)]
+    inner = f"SELECT it, {', '.join(f'any_value(b{j}) AS b{j}' for j in size)}, {', '.join(sums)} FROM (SELECT n.*, t.*, 1.0e0 / (1.0e0 + exp(-({z}))) AS p FROM newton n, tr t WHERE n.it < {LOGREG_PASSES}) t GROUP BY it"
+    steps = []
+    for j in size:
+        steps.append((f"d{j}", f"a{j}{j}" + "".join(f" - l{j}{k} * l{j}{k} * d{k}" for k in range(j))))
+        steps += [(f"l{i}{j}", f"(a{i}{j}" + "".join(f" - l{i}{k} * l{j}{k} * d{k}" for k in range(j)) + f") / d{j}") for i in range(j + 1, d + 1)]
+    steps += [(f"z{i}", f"g{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i))) for i in size]
+    steps += [(f"s{i}", f"z{i} / d{i}" + "".join(f" - l{k}{i} * s{k}" for k in range(i + 1, d + 1))) for i in reversed(size)]
+    return f"""WITH RECURSIVE cut AS (SELECT quantile_cont(l_extendedprice, 0.95e0) AS q FROM lineitem WHERE l_extendedprice IS NOT NULL),
+    lab AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in f)}, {key} AS k, {hash_int_sql(key, 42)} AS h,
+            CASE WHEN l_discount >= 0.08e0 OR l_extendedprice >= q THEN 1 ELSE 0 END AS y FROM lineitem, cut
+            WHERE {' AND '.join(f'{c} IS NOT NULL' for c in f)}),
+    sp AS (SELECT *, count(*) OVER (PARTITION BY y ORDER BY h, k RANGE UNBOUNDED PRECEDING)
+                     <= ceil(count(*) OVER (PARTITION BY y) * 0.2e0) AS is_test FROM lab),
+    wt AS (SELECT *, count(*) OVER () / (2.0e0 * count(*) OVER (PARTITION BY y)) AS w FROM sp WHERE NOT is_test),
+    mean AS (SELECT {', '.join(f'sum(w * {c}) / sum(w) AS m{j}' for j, c in enumerate(f, 1))} FROM wt),
+    dev AS (SELECT {', '.join(f'sqrt(sum(w * ({c} - m{j}) * ({c} - m{j})) / sum(w)) AS v{j}' for j, c in enumerate(f, 1))} FROM wt, mean),
+    tr AS MATERIALIZED (SELECT y, w, {', '.join(f'({c} - m{j}) / v{j} AS x{j}, 1.0e0 / (v{j} * v{j}) AS r{j}' for j, c in enumerate(f, 1))} FROM wt, mean, dev),
+    newton AS (SELECT 0 AS it, {', '.join(f'0.0e0 AS b{j}' for j in size)} UNION ALL
+               SELECT it + 1, {', '.join(f'b{j} - s{j}' for j in size)} FROM ({_nested(inner, steps)}) q),
+    best AS (SELECT * FROM newton WHERE it = {LOGREG_PASSES})"""
+
+
+def _logreg_f1_sql() -> str:
+    z = "b0 + " + " + ".join(f"b{j} * ({c} - m{j}) / v{j}" for j, c in enumerate(LOGREG_FEATURES, 1))
+    return f"""{_logreg_with()},
+    pr AS (SELECT y, ({z}) > 0 AS p FROM sp, best, mean, dev WHERE is_test),
+    n AS (SELECT count(*) AS total_rows, count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives FROM lab)
+    SELECT 'synthetic_rule_risk_or_p95' AS label_strategy, total_rows, positives, negatives, 'logreg' AS model,
+           round(2.0e0 * count(*) FILTER (WHERE p AND y = 1)
+                 / (count(*) FILTER (WHERE p) + count(*) FILTER (WHERE y = 1)), 6) AS f1
+    FROM pr, n GROUP BY total_rows, positives, negatives"""
+
+
+def _logreg_coefficients_sql() -> str:
+    z = "b0 + " + " + ".join(f"b{j} * x{j}" for j in range(1, len(LOGREG_FEATURES) + 1))
+    ridge = " + ".join(f"any_value(r{j} * b{j} * b{j})" for j in range(1, len(LOGREG_FEATURES) + 1))
+    raw = "b0 - " + " - ".join(f"b{j} * m{j} / v{j}" for j in range(1, len(LOGREG_FEATURES) + 1))
+    terms = [f"SELECT 'intercept' AS term, {raw} AS c FROM best, mean, dev"]
+    terms += [f"SELECT '{c}', b{j} FROM best" for j, c in enumerate(LOGREG_FEATURES, 1)]
+    return f"""{_logreg_with()},
+    fin AS (SELECT count(*) AS n_train, (sum(w * ln(1.0e0 + exp(CASE WHEN y = 1 THEN -z ELSE z END))) + 0.5e0 * ({ridge})) / count(*) AS loss
+            FROM (SELECT *, {z} AS z FROM tr, best) q)
+    SELECT term, round(c, 6) AS coefficient, n_train, round(loss, 6) AS mean_loss, true AS converged
+    FROM ({' UNION ALL '.join(terms)}) t, fin"""
+
+
 def _obs_cycles_sql() -> str:
     return """SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) + 1 AS i, avg(value) AS avg_value,
                      avg(value) > 60.0e0 AS x FROM events GROUP BY 1"""
@@ -350,6 +419,26 @@ CYCLE_SUMMARY = f"""WITH {_cycle_with()},
     c AS (SELECT cycle_end, min(p) AS p_min, min(CASE WHEN test = 'ks' THEN p END) AS p_ks FROM p GROUP BY 1)
     SELECT c.*, ps.psi_raw AS psi FROM c LEFT JOIN ps USING (cycle_end)"""
 
+PERIODS = (("2024-01-08 00:00:00", "2024-01-11 00:00:00"), ("2024-01-18 00:00:00", "2024-01-20 00:00:00"),
+           ("2024-01-25 00:00:00", "2024-01-26 12:00:00"))
+
+
+def _threshold_rates_sql() -> str:
+    """The daily cycles over raised values; a cycle has drifted if its two days differ in the seconds of a period."""
+    inside = " OR ".join(f"(ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}')" for a, b in PERIODS)
+    lap = lambda off, a, b: (f"greatest(0, epoch(least(cycle_end - INTERVAL {off} DAY, TIMESTAMP '{b}')) "
+                             f"- epoch(greatest(cycle_end - INTERVAL {off + 1} DAY, TIMESTAMP '{a}')))")
+    truth = " OR ".join(f"{lap(0, a, b)} <> {lap(1, a, b)}" for a, b in PERIODS)
+    cycles = re.sub(r"\bevents\b", "raised", CYCLE_SUMMARY)
+    return f"""WITH raised AS (SELECT * REPLACE (value * CASE WHEN {inside} THEN 1.25e0 ELSE 1.0e0 END AS value) FROM events),
+        c AS (SELECT *, {truth} AS truth FROM ({cycles}) x),
+        g AS (SELECT a.alpha, t.tau FROM (VALUES (0.05e0), (0.01e0), (0.001e0)) a(alpha), (VALUES (0.1e0), (0.2e0), (0.3e0)) t(tau)),
+        h AS (SELECT *, p_min < alpha OR coalesce(psi, 0.0e0) > tau AS alert FROM c, g)
+        SELECT alpha, tau, count(*) AS n_cycles, count(*) FILTER (WHERE truth) AS n_drifted,
+               round(avg(CASE WHEN alert THEN 1.0e0 ELSE 0.0e0 END) FILTER (WHERE truth), 6) AS tpr,
+               round(avg(CASE WHEN alert THEN 1.0e0 ELSE 0.0e0 END) FILTER (WHERE NOT truth), 6) AS fpr FROM h GROUP BY 1, 2"""
+
+
 def _poisson_sql(u: str) -> str:
     """Poisson(1) by the inverse of its distribution function, summed here term by term."""
     cuts, cdf, term = [], 0.0, math.exp(-1)
@@ -591,6 +680,11 @@ ORACLES = {
         FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL""",
     "label_rule_p95": f"""SELECT 'synthetic_rule_risk_or_p95' AS label_strategy, label, count(*) AS n_rows
         FROM ({LINEITEM_RULE}) x GROUP BY label""",
+    "logreg_f1": _logreg_f1_sql(),
+    "logreg_coefficients": _logreg_coefficients_sql(),
+    "retrain_skipped": """SELECT 'one_class' AS scenario, 'synthetic_rule_risk_or_p95' AS label_strategy, count(*) AS total_rows,
+        CAST(0 AS BIGINT) AS positives, count(*) AS negatives, 'logreg' AS model, CAST(NULL AS DOUBLE) AS f1 FROM orders
+        WHERE o_totalprice IS NOT NULL UNION ALL SELECT 'no_rows', NULL, 0, 0, 0, 'logreg', NULL""",
     "p95_approx_bound": "SELECT true AS within_bound",
     "class_counts": """SELECT count(*) FILTER (WHERE toxic = 1) AS positives, count(*) FILTER (WHERE toxic = 0)
         AS negatives, count(*) AS total_rows FROM labels WHERE toxic IS NOT NULL""",
@@ -604,6 +698,12 @@ ORACLES = {
     "sample_hash": f"""SELECT o_orderkey, o_orderpriority FROM orders WHERE {uniform_sql('o_orderkey', 42)} < 0.2e0""",
     "split_half": f"""SELECT o_orderkey, CASE WHEN {uniform_sql('o_orderkey', 13)} < 0.5e0 THEN 'ref' ELSE 'rec' END
         AS role FROM orders""",
+    "sample_fixed": f"""SELECT o_orderkey, o_orderpriority FROM orders WHERE {uniform_sql('o_orderkey', 42)} < 0.2e0
+        ORDER BY {hash_int_sql('o_orderkey', 42)}, o_orderkey LIMIT 1000""",
+    "split_roles": f"""SELECT role, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS sum_keys, 'events' AS source FROM ({EVENTS_PAIR}) e GROUP BY 1
+        UNION ALL SELECT role, count(*), CAST(sum(doc_id) AS BIGINT), 'labels' FROM ({LABELS_HALF}) h GROUP BY 1""",
+    "scenario_header": f"""SELECT metric, A, B, nA, nB, pvalue, pvalue_fdr FROM ({_report_sql()}) r WHERE row_type = 'mannwhitney'""",
+    "threshold_rates": _threshold_rates_sql(),
     "season_class": """SELECT CASE WHEN day(o_orderdate) BETWEEN 5 AND 10 THEN 'days_5_10'
         WHEN day(o_orderdate) BETWEEN 20 AND 25 THEN 'days_20_25' ELSE 'other' END AS season,
         count(*) AS n_orders, round(sum(o_totalprice), 6) AS sum_price FROM orders GROUP BY 1""",

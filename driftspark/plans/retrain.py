@@ -1,9 +1,7 @@
 """Retraining run (section 3.2, L1-L6): label → split → weighted LR → F1 → log row.
 
-Training is ``pyspark.ml``'s distributed logistic regression. The reference's
-scikit-learn model (C=1, balanced class weights, L2 on the coefficients only, raw
-features) corresponds to weightCol = balanced weight, regParam = 1 / sum(weights)
-= 1 / n_train, elasticNetParam = 0 and standardization off.
+The model is a ridge logistic regression (C = 1, balanced class weights, penalty on the
+coefficients only, raw features), fitted by ``operators.logistic`` to its minimum.
 """
 
 from __future__ import annotations
@@ -11,17 +9,14 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.operators import labels as L
-from driftspark.operators import sampling
+from driftspark.operators import logistic, sampling
 from driftspark.session import work_dir
 from driftspark.sources import io
 
-MAX_ITER = 300
 TEST_FRACTION = 0.2
 SPLIT_SEED = 42
 
@@ -33,7 +28,7 @@ def train_run(df: DataFrame, key: str, features=L.FEATURE_CANDIDATES, existing_l
               risk: str = "risk_score", amount: str = "amount_usd", scenario: str = "",
               p95_method: str = "approx", risk_cut: float = L.RISK_CUT) -> DataFrame:
     """One ``training_log`` row (S8/L6), built from a Python row under a fixed schema.
-    ``key`` is a unique row id used for the split.
+    ``key`` is the row id that the split draws by; rows that share it share a side.
 
     Reads a few scalars (class counts, training size) to parameterise the model; no
     row data goes to the driver.
@@ -60,28 +55,33 @@ def train_run(df: DataFrame, key: str, features=L.FEATURE_CANDIDATES, existing_l
     if pos == 0 or neg == 0 or not feats:  # L5: record and skip
         return spark.createDataFrame([(stamp, scenario, run_id, strategy, total, pos, neg, "logreg", None)],
                                      LOG_SCHEMA)
-    f1 = fit_and_score(lab, key, feats)
+    model, split = split_and_fit(lab, key, feats)
+    f1 = score(model, split.where("is_test")).first().f1
     return spark.createDataFrame([(stamp, scenario, run_id, strategy, total, pos, neg, "logreg", float(f1))],
                                  LOG_SCHEMA)
 
 
-def fit_and_score(lab: DataFrame, key: str, feats, test_fraction: float = TEST_FRACTION,
-                  seed: int = SPLIT_SEED) -> float:
-    """Fit on the training part, F1 on the hold-out.
+def split_and_fit(lab: DataFrame, key: str, feats, test_fraction: float = TEST_FRACTION,
+                  seed: int = SPLIT_SEED) -> tuple[logistic.Model, DataFrame]:
+    """The model of the training part and the split rows (L3).
 
-    The split is written once to the shared checkpoint folder: the optimiser makes
-    one pass per iteration, and a lost executor then re-reads that copy instead of
-    recomputing the labelling and the split.
+    The split is written once to the shared checkpoint folder: the fit makes one pass an
+    iteration, and a lost executor then re-reads that copy instead of recomputing the
+    labelling and the split.
     """
     work_dir(lab.sparkSession)
-    vec = VectorAssembler(inputCols=list(feats), outputCol="features")
-    split = sampling.stratified_split(lab, key, "label", test_fraction, seed)
-    split = vec.transform(split.withColumn("label", F.col("label").cast("double"))) \
-        .select("features", "label", "is_test").checkpoint(eager=True)
-    train = L.with_weights(split.where(~F.col("is_test")))  # the optimiser persists its own input
-    n_train = train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=MAX_ITER,
-                            regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
-    model = lr.fit(train)
-    pred = model.transform(split.where(F.col("is_test")))
-    return L.confusion(pred).first().f1
+    split = sampling.stratified_split(lab, key, "label", test_fraction, seed).select("label", "is_test", *feats)
+    split = split.checkpoint(eager=True)
+    return logistic.fit(L.with_weights(split.where(~F.col("is_test"))), feats), split
+
+
+def score(model: logistic.Model, rows: DataFrame) -> DataFrame:
+    """Confusion counts, precision, recall and F1 of the rows' predictions."""
+    return L.confusion(rows.withColumn("prediction", (model.margin() > 0).cast("int")))
+
+
+def coefficients(model: logistic.Model, spark) -> DataFrame:
+    """(term, coefficient, scaled): raw coefficients, and those per deviation of the feature."""
+    rows = [("intercept", model.intercept, None)]
+    rows += [(f, b, b * s) for f, b, s in zip(model.features, model.coefficients, model.scales)]
+    return spark.createDataFrame(rows, "term string, coefficient double, scaled double")
