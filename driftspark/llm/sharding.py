@@ -1,9 +1,15 @@
 """Sharding along a Hilbert curve, in DataFrame functions only.
 
-Several metadata dimensions are quantised to BITS bits each: categories by hash, sizes by
-logarithm. Their point's place on the Hilbert curve (Skilling's transform) orders the rows,
-and the order is cut into runs, one per shard. Rows near in all dimensions so share a
-shard, and a reader prunes shards by the range of any of them.
+Several metadata dimensions (categories and the size) are quantised to BITS bits each: a value's
+code is the share of rows with smaller values, so codes keep the order of values and every
+step of a code holds about as many rows as any other. Their point's place on the Hilbert curve (Skilling's
+transform) orders the rows, and the order is cut into runs, one per shard. Rows near in all
+dimensions so share a shard, and a reader prunes shards by the smallest and largest value of
+any of them (16 shards and three dimensions: each is halved once or twice).
+
+Codes come from counts per distinct value and running sums on range partitions, so neither a
+hot value nor a dimension with millions of values is in one task; what rows look up is at
+most 2^BITS first values a dimension.
 
 Equal texts are one group: they take the point of the group's first row, so copies lie
 next to each other and a cut divides a group only where the law of equal counts makes it.
@@ -12,7 +18,7 @@ number inside its range is written with it, and range totals (a row per range) g
 global number. No group, source or curve cell is held by one task.
 
 Law ``rows``: counts of shards are at most one apart. Defined results: null text has size 1
-and the check sum of an empty text; null dimensions are a value of their own; repeated rows
+and the check sum of an empty text; null dimensions are a value of their own, before all others; repeated rows
 get slots each; with fewer rows than shards the first shards get one each; an empty table
 gives an empty one. Columns other than the named ones are not carried.
 """
@@ -23,18 +29,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.llm import shared
+from driftspark.operators import ranks
 
 BITS = 8
 
 
-def category(name: str) -> Column:
-    """A quantised dimension: a value's hash."""
-    return F.pmod(F.xxhash64(F.col(name)), F.lit(1 << BITS)).cast("int")
+def sortable(value: Column, number: bool = False) -> Column:
+    """A text that orders as the value does (numbers: not negative), null first."""
+    text = F.lpad(value.cast("string"), 19, "0") if number else value.cast("string")
+    return F.coalesce(F.concat(F.lit("1"), text), F.lit("0"))
+
+
+def first_values(rows: DataFrame, names: list[str], bits: int = BITS) -> list[list[tuple[str, int]]]:
+    """Per dimension the smallest value of each code in use, (value, code) in ascending order: at
+    most 2^bits entries whatever the number of rows. A code is floor(2^bits x share of rows before)."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("value")) for i, c in enumerate(names)])).alias("c")
+    counts = rows.select(cells).groupBy("c.dim", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    run = ranks.cumulative(counts, ["dim"], "value", ["n"])
+    code = F.floor((F.col("cum_n") - F.col("n")) / F.col("tot_n") * (1 << bits)).cast("int")
+    firsts = shared.staged(run.groupBy("dim", code.alias("code")).agg(F.min("value").alias("value")), "codes")
+    found = sorted((r.dim, r.value, r.code) for r in firsts.collect())
+    return [[(value, code) for dim, value, code in found if dim == i] for i in range(len(names))]
 
 
-def magnitude(value: Column) -> Column:
-    """A quantised dimension: eight steps for each doubling."""
-    return F.least(F.lit((1 << BITS) - 1), F.floor(8 * F.log2(value.cast("double")))).cast("int")
+def code_of(value: Column, firsts: list[tuple[str, int]], bits: int = BITS) -> Column:
+    """The code of a value: a binary search for the last first value that is not larger."""
+    if not firsts:
+        return F.lit(0)
+    values, codes = (F.array(*[F.lit(x) for x in xs]) for xs in zip(*firsts))
+    steps = F.array(*[F.lit(1 << b) for b in range(bits, -1, -1)])
+    at = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(values, i + s - 1) <= value, i + s).otherwise(i))
+    return F.get(codes, at - 1)
 
 
 def hilbert(dimensions: list[Column], bits: int = BITS) -> Column:
@@ -86,13 +111,14 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
                categories: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(id, size, text_crc32, curve, shard, slot) of every row, under the law ``rows``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
-                       F.xxhash64(text).alias("copy"), *[category(c).alias(f"c{i}") for i, c in enumerate(categories)])
+    size = (F.octet_length(text) + 1).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("copy"),
+                       *[sortable(F.col(c)).alias(f"c{i}") for i, c in enumerate(categories)], sortable(size, True).alias(f"c{len(categories)}"))
     rows = shared.staged(rows, "rows")
-    names = [f"c{i}" for i in range(len(categories))]
-    point = F.min(F.struct("id", *names, "size")).alias("p")
-    groups = rows.groupBy("copy").agg(point).select(
-        "copy", hilbert([*[F.col(f"p.{c}") for c in names], magnitude(F.col("p.size"))]).alias("curve"))
+    names = [f"c{i}" for i in range(len(categories) + 1)]
+    point = F.min(F.struct("id", *names)).alias("p")
+    codes = [code_of(F.col(f"p.{c}"), f) for c, f in zip(names, first_values(rows, names))]
+    groups = rows.groupBy("copy").agg(point).select("copy", hilbert(codes).alias("curve"))
     # written, so that both sides of the join are plain shuffles and a group of copies can be split
     groups = shared.staged(groups, "groups")
     placed = numbered(rows.join(groups, "copy").select("id", "size", "crc", "copy", "curve"), ["curve", "copy", "id", "size"], "curve")
