@@ -1,17 +1,21 @@
 """URL filters: host and path rules, then gradient-boosted trees on lexical features.
 
 A rule fits its host and all subdomains if the URL's path starts with the rule's path; the
-longest fitting rule decides. URLs that a rule decides are the labelled ones. From them a
+longest fitting rule decides. From labelled URLs (a table of them, else those that a rule decides) a
 model learns lexical features (lengths, depth, digit ratio, entropy, counts of parameters,
-labels and hyphens, and the smoothed share of blocked URLs of the host's last label and
-last two labels), and decides the rest. Suffix statistics cover all labelled URLs; the
+labels and hyphens, and the smoothed share of blocked URLs of the host's last label,
+last two labels and the path's first part), and decides the rest. These shares cover all labelled URLs, each once. What
+trains the trees has its shares from the other FOLDS - 1 folds of labelled URLs, so they don't give
+its label away (leaving out only the URL itself would: its share falls by its own label). The
 trees are fitted on at most SAMPLE distinct ones, those with the smallest hash.
 
 Everything is DataFrame functions and Spark's own ML library; no Python runs in tasks.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule
 and is judged by the model on its features; where labelled URLs have one class only, or
-there are none, the model's verdict is that class, or allow. Repeated rows are judged each.
+there are none, the model's verdict is that class, or allow. Repeated rows are judged each. A URL
+labelled both ways counts as blocked; labels without URL or verdict are left out. URLs of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from pyspark.sql import functions as F
 
 from driftspark.llm import shared
 
-SAMPLE, TREES, DEPTH = 4000, 12, 4
+SAMPLE, TREES, DEPTH, FOLDS = 4000, 12, 4, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-FEATURES = ("f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_fragment", "f_last", "f_last2")
+FEATURES = ("f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_fragment", "f_last", "f_last2", "f_first")
+SHARES = ("last", "last2", "first")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -60,39 +65,49 @@ def lexical(pages: DataFrame, url: str) -> DataFrame:
     host, path = F.col("host"), F.col("path")
     count = lambda c, mark: (F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))).cast("double")
     return pages.select(
-        "*", F.substring_index(host, ".", -1).alias("last"), F.substring_index(host, ".", -2).alias("last2"),
+        "*", F.substring_index(host, ".", -1).alias("last"), F.substring_index(host, ".", -2).alias("last2"), F.regexp_extract(path, "^/([^/]*)", 1).alias("first"),
         F.length(u).cast("double").alias("f_length"), F.length(host).cast("double").alias("f_host"), F.length(path).cast("double").alias("f_path"),
         count(path, "/").alias("f_depth"), (F.length(F.regexp_replace(u, "[^0-9]", "")) / F.greatest(F.length(u), F.lit(1))).alias("f_digits"),
         entropy(u).alias("f_entropy"), F.when(F.instr(u, "?") > 0, count(u, "&") + 1).otherwise(0.0).alias("f_params"),
         count(host, ".").alias("f_labels"), count(u, "-").alias("f_hyphens"), (F.instr(u, "#") > 0).cast("double").alias("f_fragment"))
 
 
-def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    """``pages`` plus ``host``, ``path``, ``rule``, ``verdict`` and ``block_score`` (the model's)."""
+def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
+    """``pages`` plus ``host``, ``path``, ``rule``, ``verdict`` and ``block_score`` (the model's).
+    ``labels``: (url, verdict) to learn from in place of the URLs that a rule decides."""
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
     host, path = split_url(F.col(url_col))
     rule, verdict = ruled(rules)
     page = F.struct(*keep).alias("_page")
     seen = pages.select(page, F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
     seen = lexical(seen.select("*", rule.alias("rule"), verdict.alias("by_rule")), "_url")
-    labelled = shared.staged(seen.where("by_rule is not null").groupBy("_url", "last", "last2", "by_rule", *[f for f in FEATURES if not f.startswith("f_last")])
-                             .agg(F.count(F.lit(1)).alias("n")), "labelled")
-    blocked = (F.col("by_rule") == "block").cast("double")
-    classes = {r["by_rule"] for r in labelled.select("by_rule").distinct().collect()}
-
-    def with_shares(df: DataFrame) -> DataFrame:
-        for name in ("last", "last2"):
-            share = labelled.groupBy(name).agg(((F.sum(blocked) + 1) / (F.count(F.lit(1)) + 2)).alias(f"f_{name}"))
-            df = df.join(share, name, "left").withColumn(f"f_{name}", F.coalesce(f"f_{name}", F.lit(0.5)))
+    if labels is None:
+        known = seen.withColumn("_label", F.col("by_rule"))
+    else:
+        host, path = split_url(F.col("url"))
+        known = lexical(labels.select(F.col("url").alias("_url"), F.col("verdict").alias("_label"), host.alias("host"), path.alias("path")), "_url")
+    labelled = shared.staged(known.where("_url is not null and _label is not null")
+                             .groupBy("_url", *SHARES, *[f for f in FEATURES if f[2:] not in SHARES])
+                             .agg(F.max((F.col("_label") == "block").cast("double")).alias("_own"))
+                             .withColumn("_fold", F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(FOLDS))), "labelled")
+    classes = {r["_own"] for r in labelled.select("_own").distinct().collect()}
+
+    def with_shares(df: DataFrame, training: bool = False) -> DataFrame:
+        for name in SHARES:
+            count = (F.sum("_own").alias("_s"), F.count(F.lit(1)).alias("_c"))
+            df = df.join(labelled.groupBy(name).agg(*count), name, "left")
+            if training:
+                own = labelled.groupBy(name, "_fold").agg(*count).withColumnsRenamed({"_s": "_fs", "_c": "_fc"})
+                df = df.join(own, [name, "_fold"]).withColumn("_s", F.col("_s") - F.col("_fs")).withColumn("_c", F.col("_c") - F.col("_fc")).drop("_fs", "_fc")
+            df = df.withColumn(f"f_{name}", F.coalesce((F.col("_s") + 1) / (F.col("_c") + 2), F.lit(0.5))).drop("_s", "_c")
         return df
 
     if len(classes) < 2:
-        only = next(iter(classes), "allow")
-        scored = seen.withColumn("block_score", F.lit(1.0 if only == "block" else 0.0))
+        scored = seen.withColumn("block_score", F.lit(next(iter(classes), 0.0)))
     else:
         rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         chosen = labelled.orderBy(F.xxhash64("_url"), "_url").limit(sample)
-        train = shared.staged(with_shares(chosen).select(*FEATURES, blocked.alias("label")), "training")
+        train = shared.staged(with_shares(chosen, training=True).select(*FEATURES, F.col("_own").alias("label")), "training")
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(rows.transform(train))
         from pyspark.ml.functions import vector_to_array
 

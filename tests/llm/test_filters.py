@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from driftspark.llm import licenses as L
 from driftspark.llm import url_filter as U
@@ -27,9 +30,63 @@ def test_model_learns_from_ruled_urls(table):
     assert U.judge_urls(table([], "page_id long, url string")).count() == 0
 
 
-def test_entropy(spark):
-    from pyspark.sql import functions as F
+def _made_up(n, seed):
+    """URLs whose label is lexical (digits and parameters, or a bad ending), with five in a hundred labels turned."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    out = []
+    for _ in range(n):
+        bad, end = rng.random() < 0.4, rng.choice(["com", "org", "info", "biz"])
+        url = f"http://{word()}.{end}/{word()}/{word()}"
+        if bad and rng.random() < 0.7:
+            url += f"/{rng.randrange(10**9, 10**11)}?a={rng.randrange(10**6)}&b={rng.randrange(10**6)}&c=1"
+        elif bad:
+            url = url.replace(f".{end}/", ".top/")
+        out.append((url, "block" if bad != (rng.random() < 0.05) else "allow", bad))
+    return out
+
+
+def test_independent_labels_held_out(table):
+    rows = _made_up(1500, 3)
+    train, test = rows[:1000], rows[1000:]
+    labels = [(u, v) for u, v, _ in train] + [(train[0][0], "allow"), (None, "block"), ("http://x.y/", None)]
+    got = {r.page_id: r for r in U.judge_urls(table([(i, u) for i, (u, *_) in enumerate(test)], "page_id long, url string"), rules=(),
+                                              labels=table(labels, "url string, verdict string")).collect()}
+    assert all(r.rule is None for r in got.values())
+    right = sum((got[i].verdict == "block") == bad for i, (_, _, bad) in enumerate(test)) / len(test)
+    assert right > 0.95, right
+
+
+def test_ruled_urls_held_out(spark):
+    """Trees that learn from two thirds of the ruled URLs judge the others without rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    truth = {r.page_id: r.verdict for r in U.judge_urls(pages).where("rule is not null").collect()}
+    ruled = pages.join(U.judge_urls(pages).where("rule is not null").select("page_id", "verdict"), "page_id")
+    third = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(3)) == 1
+    got = U.judge_urls(ruled.where(third).drop("verdict"), rules=(), labels=ruled.where(~third)).collect()
+    right = sum(r.verdict == truth[r.page_id] for r in got) / len(got)
+    print("held out", len(got), right, sum(truth[r.page_id] == "block" for r in got) / len(got))
+    assert right > 0.9
+
+
+def test_shares_of_training_urls_come_from_other_folds(table):
+    """Endings seen once say nothing about their own URL: the model must not read labels off them."""
+    rng = random.Random(8)
+    end = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = [(f"http://h.{end()}/x", rng.choice(["block", "allow"])) for _ in range(800)]
+    pages = table([(i, f"http://h.{end()}/x") for i in range(60)], "page_id long, url string")
+    got = U.judge_urls(pages, rules=(), labels=table(rows, "url string, verdict string")).collect()
+    mean = sum(r.block_score for r in got) / len(got)
+    assert len(got) == 60 and abs(mean - 0.5) < 0.15, mean
+
+
+def test_very_long_url(table):
+    url = "https://A.Net/" + "p" * 300_000 + "?" + "k=1&" * 50_000
+    got = U.judge_urls(table([(1, url), (1, url), (2, "http://b.org/fr/")], "page_id long, url string")).collect()
+    assert sorted((r.page_id, r.host, len(r.path), r.verdict) for r in got) == [(1, "a.net", 300_001, "block")] * 2 + [(2, "b.org", 4, "allow")]
 
+
+def test_entropy(spark):
     df = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",)], "s string").select(F.round(U.entropy(F.col("s")), 9).alias("e"))
     assert [r.e for r in df.collect()] == [0.0, 0.0, 1.0, 2.0]
 
