@@ -1,11 +1,14 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Templates are notices (a sentence) and full licence texts. A file whose whole text, of any
+Templates are notices (a sentence), tags (``SPDX-License-Identifier: MIT``, one term with its
+id; of an expression the first id counts) and full licence texts. A file whose whole text, of any
 length, has a cosine of TF-IDF vectors of at least THRESHOLD to a template is its directory's
 licence file and has the licence of the largest. Any other file has the licence of its line or
 window with the largest cosine from THRESHOLD on (a header notice); the windows are all runs
 of as many words as a notice has, so that notices may be wrapped over lines. Inverse document
-frequencies of all terms, the templates' and others, are counted over all files.
+frequencies of all terms, the templates' and others, are counted over all files. A window is
+scored against the notices of its length, a line against all notices, and tags as notices of
+one word; neither makes a licence file of a text that is a tag alone.
 
 Lines and windows are found without scoring all: for each notice, the fewest heavy terms are
 taken whose absence leaves less than THRESHOLD of its length, and words that have none of any
@@ -16,18 +19,21 @@ the length of its templates' terms alone, which is at least the cosine, reaches
 A file without own licence takes that of the nearest ancestor directory that has one:
 directories, one row each, are joined with their ancestors, and files with their directory.
 
-Notices and texts are parameters (id to text). A text of a licence that has no template can
-come out as a near relative (AGPL as GPL). The full texts of CC BY and CC BY-NC are not at
-hand, and CC BY-SA alone would take their files, so that the three have notices only.
+Notices, texts (id to text) and tags (ids) are parameters. A text of a licence that has no
+template can come out as a near relative (the full text of the AGPL as GPL, of ISC without its
+proviso as ISC). The full texts of CC BY and CC BY-NC are not at hand, and CC BY-SA alone would
+take their files, so that the three have notices and tags only.
 Defined results: null and empty texts have no own licence; a null path lies in no directory;
 ties go to the smaller licence id, then the earlier line (line is where a line or window
 begins, -1 for whole texts); two licence files in a directory give the smaller id; repeated
-rows are scanned each. Everything is DataFrame functions.
+rows are scanned each, rows without id like others; texts of any length are scanned whole;
+columns other than the three named are not read, whatever their names. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -51,13 +57,36 @@ TEMPLATES = {
     "BSD-3-Clause": "Released under the BSD 3-Clause License.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "ISC": "Released under the ISC License.",
+    "Unlicense": "Released into the public domain under the Unlicense.",
+    "Zlib": "Released under the zlib License.",
 }
+# Identifiers of the public list that tags may name.
+TAGS = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0",
+        "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+MARK = "spdx-license-identifier"
 # Full texts as published, read with the module by the driver.
 TEXTS = {f.name.removesuffix(".txt"): f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
+def tag_term(name: str) -> str:
+    return "spdx" + "".join(plain_terms(name))
+
+
+def tag_pattern(name: str) -> str:
+    """Of a tag in lower case, alike in Java and Python; ``-only`` and ``-or-later`` belong to the id."""
+    return MARK + r"[ \t]*:[ \t]*\(?" + re.escape(name.lower()) + r"(-only|-or-later|\+)?(?![a-z0-9+-]|\.[a-z0-9])"
+
+
+def terms(text: Column, tags: tuple[str, ...] = TAGS) -> Column:
+    """Runs of letters and digits in lower case, a tag with its id as one."""
+    plain = tagged = F.lower(text)
+    for name in tags:
+        tagged = F.regexp_replace(tagged, tag_pattern(name), f" {tag_term(name)} ")
+    return F.filter(F.split(F.when(F.contains(plain, F.lit(MARK)), tagged).otherwise(plain), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
 
 
 def plain_terms(text: str) -> list[str]:
@@ -101,13 +130,14 @@ def _bag(words: Column) -> Column:
     return _let(F.sort_array(words), runs)
 
 
-def _windows(lines: Column, templates: dict[str, str], vectors: dict[str, dict[str, float]], threshold: float) -> Column:
-    """Runs of words, as many as a notice has, whose terms of the notice have THRESHOLD of its
-    length: (line, words) like the lines. They begin up to a notice's length before a needed term."""
-    notices = F.array(*[F.struct(F.lit(len(plain_terms(templates[n]))).alias("n"), F.array(*map(F.lit, needed_terms({n: vec}, threshold))).alias("needed"),
+def _windows(lines: Column, notices: list[tuple[int, dict[str, float]]], threshold: float) -> Column:
+    """Runs of words, as many as a notice (count of words, vector) has, whose terms of the notice
+    have THRESHOLD of its length: (line, n, words) like the lines. They begin up to a notice's
+    length before a needed term."""
+    any_needed = F.array(*map(F.lit, sorted({w for _, vec in notices for w in needed_terms({"": vec}, threshold)}))).cast("array<string>")
+    notices = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, needed_terms({"": vec}, threshold))).alias("needed"),
                                  F.array(*[F.struct(F.lit(w).alias("w"), F.lit(v * v).alias("vv")) for w, v in vec.items()]).alias("terms"))
-                        for n, vec in vectors.items() if vec]) if any(vectors.values()) else F.array().cast("array<struct<n:int,needed:array<string>,terms:array<struct<w:string,vv:double>>>>")
-    any_needed = F.array(*map(F.lit, needed_terms(vectors, threshold))).cast("array<string>")
+                        for n, vec in notices]).cast("array<struct<n:int,needed:array<string>,terms:array<struct<w:string,vv:double>>>>")
     enough = threshold * threshold * (1 - 1e-9)
 
     def of_text(words: Column, at: Column) -> Column:
@@ -117,22 +147,23 @@ def _windows(lines: Column, templates: dict[str, str], vectors: dict[str, dict[s
             own = F.filter(hits, lambda i: F.array_contains(t.needed, F.get(words, i)))
             last = F.greatest(F.lit(0), F.size(words) - t.n)
             starts = F.array_distinct(F.flatten(F.transform(own, lambda i: F.sequence(F.least(last, F.greatest(F.lit(0), i - t.n + 1)), F.least(last, i)))))
-            made = F.transform(starts, lambda i: F.struct(F.get(at, i).alias("line"), F.slice(words, i + 1, t.n).alias("words")))
+            made = F.transform(starts, lambda i: F.struct(F.get(at, i).alias("line"), t.n.alias("n"), F.slice(words, i + 1, t.n).alias("words")))
             return F.filter(made, lambda x: F.aggregate(F.filter(t.terms, lambda y: F.array_contains(x.words, y.w)), F.lit(0.0), lambda a, y: a + y.vv) >= enough)
 
-        return _let(hits, lambda h: F.when(F.size(h) > 0, F.flatten(F.transform(notices, lambda t: of_notice(h, t)))).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>")))
+        return _let(hits, lambda h: F.when(F.size(h) > 0, F.flatten(F.transform(notices, lambda t: of_notice(h, t)))).otherwise(F.array().cast("array<struct<line:int,n:int,words:array<string>>>")))
 
     words, at = F.flatten(F.transform(lines, lambda x: x.words)), F.flatten(F.transform(lines, lambda x: F.transform(x.words, lambda _: x.line)))
     return _let(F.struct(words.alias("w"), at.alias("at")), lambda x: of_text(x.w, x.at))
 
 
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path",
-                  templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, texts: dict[str, str] = TEXTS) -> DataFrame:
+                  templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, texts: dict[str, str] = TEXTS,
+                  tags: tuple[str, ...] = TAGS) -> DataFrame:
     """(id, path, license, via, cosine, line) of every row; via is header, file, inherited or null."""
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = sorted({w for t in [*templates.values(), *texts.values()] for w in plain_terms(t)})
-    frequencies = shared.staged(rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("w")).groupBy("w").count(), "frequencies")
+    frequencies = shared.staged(rows.select(F.explode(F.array_distinct(terms(F.col("text"), tags))).alias("w")).groupBy("w").count(), "frequencies")
     counts = dict(frequencies.where(F.col("w").isin(words)).collect())  # one row per template term
     total = rows.count()
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in words}
@@ -142,32 +173,35 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # whole texts: bags of words meet the templates' terms only, one row of sums a text
     columns = [*vectors.values(), *full.values()]
     held = spark.createDataFrame([(w, idf[w], [v.get(w, 0.0) for v in columns]) for w in words], "w string, idf double, v array<double>")
-    bags = rows.select(key, F.explode(_bag(terms(F.col("text")))).alias("x")).select("key", "x.w", "x.tf").join(F.broadcast(held), "w")
+    bags = rows.select(key, F.explode(_bag(terms(F.col("text"), tags))).alias("x")).select("key", "x.w", "x.tf").join(F.broadcast(held), "w")
     x = F.col("tf") * F.col("idf")
     sums = bags.groupBy("key").agg(F.sum(x * x).alias("size"), *[F.sum(x * F.col("v")[i]).alias(f"d{i}") for i in range(len(columns))])
     bound = threshold * (1 - 1e-9)
     near = sums.where(F.greatest(*[f"d{i}" for i in range(len(columns))], F.lit(0.0)) >= bound * F.sqrt("size"))
     near = shared.staged(near.select("key"), "near")  # rows that repeat give a multiple of both sides
 
-    needed = F.array(*map(F.lit, needed_terms(vectors, threshold)))
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), terms(x).alias("words"))), lambda x: F.size(x.words) > 0)
-    held_lines = _let(lines, lambda all_lines: F.concat(F.filter(all_lines, lambda x: F.arrays_overlap(x.words, needed)), _windows(all_lines, templates, vectors, threshold)))
-    whole = F.array(F.struct(F.lit(-1).alias("line"), terms(F.col("text")).alias("words")))
-    parts = rows.select(key, F.explode(held_lines).alias("x")).select("key", "x.line", "x.words")
-    whole = shared.on_ids(rows.select(key, "text"), near, "key", "left_semi").select("key", F.explode(whole).alias("x")).select("key", "x.line", "x.words")
-    at = F.xxhash64("line", "words").alias("at")
-    parts = shared.staged(parts.unionByName(whole).select("key", "line", at, "words").dropDuplicates(["key", "line", "at"]), "lines")
-    weights = [(n, w, v) for vecs in (vectors, full) for n, vec in vecs.items() for w, v in vec.items()]
-    kinds = [k for k, vecs in enumerate((vectors, full)) for vec in vecs.values() for _ in vec]
-    weights = spark.createDataFrame([(k, *r) for k, r in zip(kinds, weights)], "kind int, license string, w string, v double")
+    marks = {n: {tag_term(n): 1.0} for n in tags}
+    notices = [(len(plain_terms(templates[n])), vec) for n, vec in vectors.items() if vec] + [(1, vec) for vec in marks.values()]
+    needed = F.array(*map(F.lit, sorted({w for _, vec in notices for w in needed_terms({"": vec}, threshold)}))).cast("array<string>")
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.lit(0).alias("n"), terms(x, tags).alias("words"))), lambda x: F.size(x.words) > 0)
+    held_lines = _let(lines, lambda all_lines: F.concat(F.filter(all_lines, lambda x: F.arrays_overlap(x.words, needed)), _windows(all_lines, notices, threshold)))
+    whole = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("n"), terms(F.col("text"), tags).alias("words")))
+    parts = rows.select(key, F.explode(held_lines).alias("x")).select("key", "x.*")
+    whole = shared.on_ids(rows.select(key, "text"), near, "key", "left_semi").select("key", F.explode(whole).alias("x")).select("key", "x.*")
+    at = F.xxhash64("line", "n", "words").alias("at")
+    parts = shared.staged(parts.unionByName(whole).select("key", "line", "n", at, "words").dropDuplicates(["key", "line", "at"]), "lines")
+    weights = [(kind, len(plain_terms(templates[n])) if kind == 0 else 1, n, w, v)
+               for kind, vecs in enumerate((vectors, full, marks)) for n, vec in vecs.items() for w, v in vec.items()]
+    weights = spark.createDataFrame(weights, "kind int, size_words int, license string, w string, v double")
     known = frequencies.join(parts.select(F.explode("words").alias("w")).distinct(), "w", "left_semi")
     known = shared.staged(known.select("w", (F.log((1 + F.lit(total)) / (1 + F.col("count"))) + 1).alias("idf")), "idf")
     known = F.broadcast(known) if shared.small(known, BROADCAST_WORDS) else known
-    tf = parts.select("key", "line", "at", F.explode("words").alias("w")).groupBy("key", "line", "at", "w").agg(F.count(F.lit(1)).alias("tf"))
+    tf = parts.select("key", "line", "n", "at", F.explode("words").alias("w")).groupBy("key", "line", "n", "at", "w").agg(F.count(F.lit(1)).alias("tf"))
     weighed = tf.join(known, "w").withColumn("x", F.col("tf") * F.col("idf"))
     size = weighed.groupBy("key", "line", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    # full texts are for whole texts only
-    dots = weighed.join(F.broadcast(weights), "w").where("kind = 0 or line = -1").groupBy("key", "line", "at", "kind", "license").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
+    # full texts are for whole texts only, tags for parts only; a window (n > 0) meets notices of its length
+    meets = "case kind when 1 then line = -1 when 2 then line <> -1 and n in (0, 1) else n in (0, size_words) end"
+    dots = weighed.join(F.broadcast(weights), "w").where(meets).groupBy("key", "line", "at", "kind", "license").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
     cosine = dots.join(size, ["key", "line", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("cosine") >= threshold)
     order = F.struct((F.col("line") != -1).alias("part"), (-F.col("cosine")).alias("c"), "license", "line")
     best = cosine.groupBy("key").agg(F.min(order).alias("b"), F.max((F.col("line") == -1)).alias("is_file"))

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,7 +123,7 @@ def test_wrapped_notices_long_files_and_full_texts(table):
     got = {r.doc_id: (r.license, r.via, r.line) for r in L.scan_licenses(table(rows, "doc_id long, path string, text string")).collect()}
     want = {1: ("Apache-2.0", "header", 1), 2: ("GPL-3.0", "file", -1), 3: ("GPL-3.0", "inherited", None), 4: ("GPL-3.0", "header", 0), 20: (None, None, None)}
     want |= {100 + i: (n, "file", -1) for i, n in enumerate(L.TEXTS)} | {200 + i: (n, "inherited", None) for i, n in enumerate(L.TEXTS)}
-    assert len(L.TEXTS) == 9 and got == want
+    assert len(L.TEXTS) == 15 and got == want
 
 
 def test_needed_terms_are_enough():
@@ -130,3 +133,99 @@ def test_needed_terms_are_enough():
     needed = set(L.needed_terms(vectors, L.THRESHOLD))
     for v in vectors.values():
         assert sum(x * x for w, x in v.items() if w not in needed) ** 0.5 < L.THRESHOLD
+
+
+def _plain_words(text):
+    text = text.lower()
+    for name in L.TAGS:
+        text = re.sub(L.tag_pattern(name), f" {L.tag_term(name)} ", text)
+    return re.findall("[a-z0-9]+", text)
+
+
+def _brute_force(rows):
+    """Every line, every run of a notice's length and every whole text against every template."""
+    bags = [set(_plain_words(t or "")) for _, _, t in rows]
+    df = Counter(w for b in bags for w in b)
+    idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1
+
+    def cosine(bag, size, template):
+        other = Counter(template)
+        dot = sum(n * idf(w) * bag[w] * idf(w) for w, n in other.items() if w in bag)
+        return round(dot / size / math.sqrt(sum((n * idf(w)) ** 2 for w, n in other.items())), 9) if dot else 0.0
+
+    notices = {n: L.plain_terms(t) for n, t in L.TEMPLATES.items()}
+    full = {n: L.plain_terms(t) for n, t in L.TEXTS.items()}
+    marks = {n: [L.tag_term(n)] for n in L.TAGS}
+    own = []
+    for _, _, text in rows:
+        lines = [(i, _plain_words(x)) for i, x in enumerate((text or "").split("\n"))]
+        flat = [(i, w) for i, words in lines for w in words]
+        parts = [(-1, [w for _, w in flat], [notices, full])] + [(i, words, [notices, marks]) for i, words in lines]
+        for n in {len(t) for t in [*notices.values(), *marks.values()]}:
+            mine = [{k: t for k, t in group.items() if len(t) == n} for group in (notices, marks)]
+            parts += [(flat[a][0], [w for _, w in flat[a:a + n]], mine) for a in range(max(0, len(flat) - n) + 1) if flat]
+        found = []
+        for line, words, groups in parts:
+            bag = Counter(words)
+            size = math.sqrt(sum((n * idf(w)) ** 2 for w, n in bag.items()))
+            found += [(line != -1, -c, k, line) for g in groups for k, t in g.items() if (c := cosine(bag, size, t)) >= L.THRESHOLD]
+        own.append((min(found), any(not f[0] for f in found)) if found else None)
+    files = {}
+    for (_, path, _), mine in zip(rows, own):
+        if mine and mine[1] and path and "/" in path:
+            at = path.rsplit("/", 1)[0]
+            files[at] = min(files.get(at, mine[0][2]), mine[0][2])
+    out = []
+    for (i, path, _), mine in zip(rows, own):
+        if mine:
+            out.append((i, mine[0][2], "file" if mine[1] else "header", -mine[0][1], mine[0][3]))
+            continue
+        at, got = path, None
+        while at and "/" in at and got is None:
+            at = at.rsplit("/", 1)[0]
+            got = files.get(at)
+        out.append((i, got, "inherited" if got else None, None, None))
+    return out
+
+
+def _odd_files(n, seed):
+    """Notices, tags and texts with words left out, changed, doubled or wrapped, between common and rare words."""
+    rng = random.Random(seed)
+    common = ["the", "license", "version", "released", "under", "and", "of", "code", "zebra", "stone"]
+    filler = lambda k: " ".join(rng.choice(common) if rng.random() < 0.6 else f"w{rng.randrange(300)}" for _ in range(k))
+    sources = [*L.TEMPLATES.values()] * 3 + [f"SPDX-License-Identifier: {t}{e}" for t in L.TAGS for e in ("", "-only", ".5", " OR MIT")] + [t for t in L.TEXTS.values() if len(t) < 3000]
+    rows = []
+    for i in range(n):
+        parts = []
+        for _ in range(rng.randrange(3)):
+            words = rng.choice(sources).split(" ")
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(words))
+                words[at] = rng.choice(["", words[at] + "\n", words[at] + " " + words[at], f"w{rng.randrange(300)}", words[at]])
+            parts.append(" ".join(words))
+        lead = rng.choice(["", "\n", filler(3) + "\n", filler(30) + " "])
+        text = lead + "\n".join(parts) + rng.choice(["", " " + filler(2), "\n" + filler(40)])
+        path = "/".join(["r", *[rng.choice("ab") for _ in range(rng.randrange(4))], f"f{i}"])
+        rows.append((rng.choice([i, i, i, None]), rng.choice([path] * 9 + [None]), rng.choice([text] * 12 + [None, ""])))
+    return rows + rows[:5]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(table, seed):
+    rows = _odd_files(150, seed)
+    got = [(r.doc_id, r.license, r.via, r.cosine, r.line) for r in L.scan_licenses(table(rows, "doc_id long, path string, text string")).collect()]
+    order = lambda x: tuple((v is None, str(v)) for v in x)
+    got, want = sorted(((*r[:3], r[4], r[3]) for r in got), key=order), sorted(((*r[:3], r[4], r[3]) for r in _brute_force(rows)), key=order)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=1e-8)
+    assert {r[2] for r in got} == {"file", "header", "inherited", None} and len({r[1] for r in got}) > 15
+
+
+def test_tags_clashing_columns_and_long_texts(table):
+    tag = "// SPDX-License-Identifier: "
+    rows = [(1, "a/x", tag + "MIT"), (2, "a/y", tag + "GPL-2.0-or-later\ncode"), (3, "b/z", tag + "MIT-0"), (4, "b/u", tag + "Apache-2.0.1"),
+            (5, "b/v", "x " * 400_000 + tag + "(ISC OR MIT)"), (None, "b/w", "Copyright\n" + tag + "mpl-2.0\nmore"), (None, "c/w", None)]
+    files = table([(*r, "mine", "there", -5, "k") for r in rows], "doc_id long, path string, text string, license string, via string, line int, key string")
+    got = {(r.doc_id, r.path): (r.license, r.via) for r in L.scan_licenses(files).collect()}
+    assert got == {(1, "a/x"): ("MIT", "header"), (2, "a/y"): ("GPL-2.0", "header"), (3, "b/z"): (None, None), (4, "b/u"): (None, None), (5, "b/v"): ("ISC", "header"),
+                   (None, "b/w"): ("MPL-2.0", "header"), (None, "c/w"): (None, None)}
