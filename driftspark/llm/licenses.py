@@ -81,12 +81,17 @@ def tag_pattern(name: str) -> str:
     return MARK + r"[ \t]*:[ \t]*\(?" + re.escape(name.lower()) + r"(-only|-or-later|\+)?(?![a-z0-9+-]|\.[a-z0-9])"
 
 
-def terms(text: Column, tags: tuple[str, ...] = TAGS) -> Column:
-    """Runs of letters and digits in lower case, a tag with its id as one."""
-    plain = tagged = F.lower(text)
+def lowered(rows: DataFrame, text_col: str, tags: tuple[str, ...] = TAGS) -> DataFrame:
+    """``rows`` with the text in lower case, a tag with its id as one word, in column ``low``."""
+    tagged = F.col("low")
     for name in tags:
         tagged = F.regexp_replace(tagged, tag_pattern(name), f" {tag_term(name)} ")
-    return F.filter(F.split(F.when(F.contains(plain, F.lit(MARK)), tagged).otherwise(plain), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
+    return rows.withColumn("low", F.lower(text_col)).withColumn("low", F.when(F.contains("low", F.lit(MARK)), tagged).otherwise(F.col("low")))
+
+
+def terms(low: Column) -> Column:
+    """Runs of letters and digits."""
+    return F.array_remove(F.split(low, "[^a-z0-9]+"), "")
 
 
 def plain_terms(text: str) -> list[str]:
@@ -161,9 +166,9 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                   tags: tuple[str, ...] = TAGS) -> DataFrame:
     """(id, path, license, via, cosine, line) of every row; via is header, file, inherited or null."""
     spark = files.sparkSession
-    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = lowered(files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", tags)
     words = sorted({w for t in [*templates.values(), *texts.values()] for w in plain_terms(t)})
-    frequencies = shared.staged(rows.select(F.explode(F.array_distinct(terms(F.col("text"), tags))).alias("w")).groupBy("w").count(), "frequencies")
+    frequencies = shared.staged(rows.select(F.explode(F.array_distinct(terms(F.col("low")))).alias("w")).groupBy("w").count(), "frequencies")
     counts = dict(frequencies.where(F.col("w").isin(words)).collect())  # one row per template term
     total = rows.count()
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in words}
@@ -173,7 +178,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # whole texts: bags of words meet the templates' terms only, one row of sums a text
     columns = [*vectors.values(), *full.values()]
     held = spark.createDataFrame([(w, idf[w], [v.get(w, 0.0) for v in columns]) for w in words], "w string, idf double, v array<double>")
-    bags = rows.select(key, F.explode(_bag(terms(F.col("text"), tags))).alias("x")).select("key", "x.w", "x.tf").join(F.broadcast(held), "w")
+    bags = rows.select(key, F.explode(_bag(terms(F.col("low")))).alias("x")).select("key", "x.w", "x.tf").join(F.broadcast(held), "w")
     x = F.col("tf") * F.col("idf")
     sums = bags.groupBy("key").agg(F.sum(x * x).alias("size"), *[F.sum(x * F.col("v")[i]).alias(f"d{i}") for i in range(len(columns))])
     bound = threshold * (1 - 1e-9)
@@ -183,11 +188,15 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = {n: {tag_term(n): 1.0} for n in tags}
     notices = [(len(plain_terms(templates[n])), vec) for n, vec in vectors.items() if vec] + [(1, vec) for vec in marks.values()]
     needed = F.array(*map(F.lit, sorted({w for _, vec in notices for w in needed_terms({"": vec}, threshold)}))).cast("array<string>")
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.lit(0).alias("n"), terms(x, tags).alias("words"))), lambda x: F.size(x.words) > 0)
-    held_lines = _let(lines, lambda all_lines: F.concat(F.filter(all_lines, lambda x: F.arrays_overlap(x.words, needed)), _windows(all_lines, notices, threshold)))
-    whole = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("n"), terms(F.col("text"), tags).alias("words")))
+    lines = F.filter(F.transform(F.split("low", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.lit(0).alias("n"), terms(x).alias("words"))), lambda x: F.size(x.words) > 0)
+    def held_of(all_lines: Column) -> Column:
+        held = F.filter(all_lines, lambda x: F.arrays_overlap(x.words, needed))
+        return _let(held, lambda h: F.when(F.size(h) > 0, F.concat(h, _windows(all_lines, notices, threshold))).otherwise(h))
+
+    held_lines = _let(lines, held_of)
+    whole = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("n"), terms(F.col("low")).alias("words")))
     parts = rows.select(key, F.explode(held_lines).alias("x")).select("key", "x.*")
-    whole = shared.on_ids(rows.select(key, "text"), near, "key", "left_semi").select("key", F.explode(whole).alias("x")).select("key", "x.*")
+    whole = shared.on_ids(rows.select(key, "low"), near, "key", "left_semi").select("key", F.explode(whole).alias("x")).select("key", "x.*")
     at = F.xxhash64("line", "n", "words").alias("at")
     parts = shared.staged(parts.unionByName(whole).select("key", "line", "n", at, "words").dropDuplicates(["key", "line", "at"]), "lines")
     weights = [(kind, len(plain_terms(templates[n])) if kind == 0 else 1, n, w, v)
