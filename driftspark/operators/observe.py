@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftspark.operators import ranks
 
@@ -26,12 +27,20 @@ def trailing(cycles: DataFrame, keys: Sequence[str], cycle: str, step: dt.timede
              horizon: dt.timedelta, value: str, how: str = "sum", q: float = 0.95,
              out: str | None = None) -> DataFrame:
     """Aggregate of ``value`` over the cycles in (t - horizon, t] for every grid cycle t
-    present in ``cycles`` (O1 with how="sum", O2 with how="percentile")."""
+    present in ``cycles`` (O1 with how="sum", O2 with how="percentile").
+
+    Sums of whole numbers and decimals are differences of running sums, two rows a cycle
+    however many cycles the horizon has. Other aggregates, and sums of doubles (differences
+    would lose digits), copy each cycle to the windows that hold it. One row per key and cycle;
+    null keys are a group of their own; a window without values gives null.
+    """
     step_s = int(step.total_seconds())
     lag_n = max(int(horizon.total_seconds()) // step_s, 1)
     out = out or f"{how}_{value}"
     base = cycles.select(*keys, _idx(F.col(cycle), step_s).alias("_i"), F.col(value).alias("_v"))
-    fan = base.select(*keys, "_v", F.explode(F.sequence(F.col("_i"), F.col("_i") + lag_n - 1)).alias("_e"))
+    if how == "sum" and isinstance(cycles.schema[value].dataType, (T.IntegralType, T.DecimalType)):
+        return _trailing_sum(base, keys, lag_n).select(*keys, F.timestamp_seconds(F.col("_i") * step_s).alias(cycle), F.col("_sum").alias(out))
+    fan = base.select(*keys, "_i", "_v", F.explode(F.sequence(F.col("_i"), F.col("_i") + lag_n - 1)).alias("_e"))
     if how == "sum":
         agg = F.sum("_v")
     elif how == "percentile":
@@ -40,10 +49,23 @@ def trailing(cycles: DataFrame, keys: Sequence[str], cycle: str, step: dt.timede
         agg = F.max("_v")
     else:
         raise ValueError(how)
-    g = fan.groupBy(*keys, "_e").agg(agg.alias(out))
-    present = base.select(*keys, F.col("_i").alias("_e"))
-    return (present.join(g, on=[*keys, "_e"], how="left")
-            .select(*keys, F.timestamp_seconds(F.col("_e") * step_s).alias(cycle), out))
+    here = F.max("_here").alias("_here")
+    fan = fan.withColumn("_here", F.col("_e") == F.col("_i"))
+    g = fan.groupBy(*keys, "_e").agg(agg.alias(out), here).where("_here")
+    return g.select(*keys, F.timestamp_seconds(F.col("_e") * step_s).alias(cycle), out)
+
+
+def _trailing_sum(base: DataFrame, keys: Sequence[str], lag_n: int) -> DataFrame:
+    """(keys, _i, _sum): the running sum at a cycle less the one ``lag_n`` cycles earlier."""
+    one = base.groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_n"))
+    ends = F.array(F.struct(F.col("_i").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("_i") - lag_n).alias("at"), F.lit(-1).alias("sign")))
+    rows = one.select("*", F.explode(ends).alias("_end")).select(*keys, "_i", "_end.*", "_v", "_n")
+    own = F.col("sign") == 1
+    # at one point the cycle itself comes first, so that the window that begins after it leaves it out
+    rows = rows.select(*keys, "_i", "at", "sign", (-F.col("sign")).alias("_last"), F.when(own, F.col("_v")).alias("_v"), F.when(own, F.col("_n")).otherwise(0).alias("_n"))
+    run = ranks.scan(rows, keys, ["at", "_last"], {"_cv": ("_v", "sum"), "_cn": ("_n", "sum")})
+    g = run.groupBy(*keys, "_i").agg(F.sum(F.col("sign") * F.coalesce("_cv", F.lit(0))).alias("_sum"), F.sum(F.col("sign") * F.col("_cn")).alias("_n"))
+    return g.select(*keys, "_i", F.when(F.col("_n") > 0, F.col("_sum")).alias("_sum"))
 
 
 def first_detection(cycles: DataFrame, keys: Sequence[str], cycle: str, flag: str, step: dt.timedelta,

@@ -290,8 +290,9 @@ def q_label_rule_p95(spark, sf):
 def q_p95_approx_bound(spark, sf):
     li = table(spark, sf, "lineitem").select("l_extendedprice").where(F.col("l_extendedprice").isNotNull())
     approx = labels.amount_p95(li, "l_extendedprice", "approx").scalar()
-    share = li.agg(F.avg((F.col("l_extendedprice") <= approx).cast("double")).alias("_f"))
-    return share.select((F.abs(F.col("_f") - 0.95) <= 0.01).alias("within_bound"))
+    exact = ranks.exact_quantiles(li, [], "l_extendedprice", [0.94, 0.96])
+    inside = approx.between(F.col("q94"), F.col("q96"))
+    return exact.select("n", F.col("q94").alias("p94"), F.col("q96").alias("p96"), inside.alias("within_bound"))
 
 
 def q_class_counts(spark, sf):

@@ -685,7 +685,8 @@ ORACLES = {
     "retrain_skipped": """SELECT 'one_class' AS scenario, 'synthetic_rule_risk_or_p95' AS label_strategy, count(*) AS total_rows,
         CAST(0 AS BIGINT) AS positives, count(*) AS negatives, 'logreg' AS model, CAST(NULL AS DOUBLE) AS f1 FROM orders
         WHERE o_totalprice IS NOT NULL UNION ALL SELECT 'no_rows', NULL, 0, 0, 0, 'logreg', NULL""",
-    "p95_approx_bound": "SELECT true AS within_bound",
+    "p95_approx_bound": """SELECT count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.94) AS p94,
+        quantile_cont(l_extendedprice, 0.96) AS p96, quantile_cont(l_extendedprice, 0.95) BETWEEN p94 AND p96 AS within_bound FROM lineitem""",
     "class_counts": """SELECT count(*) FILTER (WHERE toxic = 1) AS positives, count(*) FILTER (WHERE toxic = 0)
         AS negatives, count(*) AS total_rows FROM labels WHERE toxic IS NOT NULL""",
     "class_weights": """SELECT quality, count(*) AS n_class,

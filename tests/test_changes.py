@@ -1,5 +1,6 @@
 """Distances, change detectors, exact p-values and selections against plain definitions."""
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftspark.operators import adaptive, compare, distances, exact, extras, policy, ranks
+from driftspark.operators import adaptive, compare, distances, exact, extras, observe, policy, ranks
 
 
 def _counts(spark, a, b, key="g"):
@@ -210,3 +211,21 @@ def test_policy_tree_of_chunks(spark):
     out = policy.apply_policy(df, ["model"], "t", "x", dt.timedelta(seconds=60), cooldown=dt.timedelta(seconds=300), chunk=4).orderBy("t").collect()
     want = policy.policy_fold_reference(xs, cooldown_cycles=5)
     assert [(r.should_trigger, r.attempted, r.suppressed, r.alert, r.clear_streak, r.trigger_count) for r in out] == want
+
+
+@pytest.mark.parametrize("kind", ["long", "decimal(12,2)", "double"])
+def test_trailing_sums_against_plain_windows(spark, kind):
+    """Gaps, null keys, null values, negative values, repeated cycles and an hour of six cycles."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(300), rng.choice([None, *range(-4, 9)])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "m string, i long, v long").select(
+        "m", F.timestamp_seconds(F.col("i") * 600).alias("cycle_end"), F.col("v").cast(kind).alias("v"))
+    got = observe.trailing(df, ["m"], "cycle_end", dt.timedelta(minutes=10), dt.timedelta(hours=1), "v")
+    got = {(r.m, r.i): r.sum_v for r in got.select("m", (F.unix_seconds("cycle_end") / 600).cast("long").alias("i"), "sum_v").collect()}
+    want = {}
+    for m, i, _ in rows:
+        inside = [v for n, j, v in rows if n == m and i - 6 < j <= i and v is not None]
+        want[m, i] = sum(inside) if inside else None
+    assert {k: None if v is None else float(v) for k, v in got.items()} == {k: None if v is None else float(v) for k, v in want.items()}
+    none = observe.trailing(df.where("false"), ["m"], "cycle_end", dt.timedelta(minutes=10), dt.timedelta(hours=1), "v")
+    assert none.count() == 0
