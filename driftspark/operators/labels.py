@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftspark.operators import ranks
 from driftspark.operators.columns import existing
+from driftspark.session import work_dir
 
 # Feature candidates and the rule label parameters.
 FEATURE_CANDIDATES = ("amount", "fee", "amount_usd", "risk_score")
@@ -92,8 +93,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Rows with their class weight; the weight table has one row per class (two)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
+    """Rows with their class weight; the weight table has one row per class (two). It is worked
+    out once and kept, so that readers of the result scan the rows once a pass, not three times."""
+    work_dir(df.sparkSession)
+    w = class_weights(df, label).select(label, F.col("weight").alias(out)).checkpoint(eager=True)
     return df.join(F.broadcast(w), on=label, how="inner")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from driftspark.functions.hashing import SPAN, hash_int, uniform
 from driftspark.operators import ranks
 from driftspark.operators.windows import REC, REF
+from driftspark.session import work_dir
 
 # Seeds of the reference (ref) and recent (rec) samples (M5), and their share.
 REF_SEED = 42
@@ -63,16 +64,30 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     """Exact-quota stratified split (M4).
 
     In each class c, the ceil(f * n_c) rows with the smallest (key hash, key) form the
-    test set. The rows themselves are the input of the two-phase running counts: a dominant
-    class is spread over many range partitions and no join back to the input is needed.
+    test set. Nothing is sorted as a whole: counts of the hash's leading 16 bits (65,536 cells
+    a class at most) say in which cell the quota ends, only that cell's rows are ranked, by
+    running counts, and every row is then compared with its class's last (key hash, key).
     Rows of one class that share a key stay on one side: a key whose rows do not all fit the
     quota is left to training, so the test part may miss the quota by less than one key.
+    Rows without a label are left out; a null key comes first.
     """
-    order = F.struct(hash_int(F.col(key), seed).alias("h"), F.col(key).alias("k"))
-    keyed = df.withColumn("_ord", order).withColumn("_n", F.lit(1).cast("long"))
-    cum = ranks.cumulative(keyed, [label], "_ord", ["_n"], partitions, ties=True)
-    quota = F.ceil(F.col("tot__n") * F.lit(float(test_fraction)))
-    return cum.withColumn(out, F.col("cum__n") <= quota).drop("_ord", "_n", "tot__n", "cum__n")
+    rows = df.withColumn("_h", F.coalesce(hash_int(F.col(key), seed), F.lit(-1).cast("long")))
+    work_dir(df.sparkSession)
+    rows = rows.checkpoint(eager=True).withColumn("_cell", F.shiftright("_h", 32))  # read three times, hashed once
+    run = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = rows.where(F.col(label).isNotNull()).groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    quota = F.ceil(F.sum("_n").over(Window.partitionBy(label)) * F.lit(float(test_fraction)))
+    cells = cells.select(label, "_cell", (F.sum("_n").over(run) - F.col("_n")).alias("_before"), F.sum("_n").over(run).alias("_upto"), quota.alias("_quota"))
+    over = F.min(F.when(F.col("_upto") > F.col("_quota"), F.struct(F.col("_cell").alias("cell"), (F.col("_quota") - F.col("_before")).alias("room"))))
+    cut = cells.groupBy(label).agg(over.alias("_cut")).select(
+        label, F.coalesce(F.col("_cut.cell"), F.lit(1 << 16).cast("long")).alias("_last"), F.col("_cut.room").alias("_room")).checkpoint(eager=True)
+    order = F.struct(F.col("_h").alias("h"), F.col(key).alias("k"))
+    part = rows.join(F.broadcast(cut), label).where(F.col("_cell") == F.col("_last"))
+    part = part.select(F.col(label), "_room", order.alias("_ord")).withColumn("_n", F.lit(1).cast("long"))
+    part = ranks.cumulative(part, [label], "_ord", ["_n"], partitions, ties=True).where(F.col("cum__n") <= F.col("_room"))
+    ends = cut.join(part.groupBy(label).agg(F.max("_ord").alias("_end")), label, "left").select(label, "_last", "_end")
+    inside = (F.col("_cell") < F.col("_last")) | ((F.col("_cell") == F.col("_last")) & F.coalesce(order <= F.col("_end"), F.lit(False)))
+    return rows.join(F.broadcast(ends), label).select(*df.columns, inside.alias(out))
 
 
 def except_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import hash_int
-from driftspark.operators import columns, logistic, sampling, windows
+from driftspark.operators import columns, labels, logistic, sampling, windows
 from driftspark.plans import monitor, retrain
 
 
@@ -111,3 +111,28 @@ def test_cycles_differ_by_their_share_of_a_period(spark):
     days = spark.range(1, 9).select(F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, id)").alias("e"), "id")
     got = {r.id: r.c for r in days.select("id", windows.changed(F.col("e"), dt.timedelta(days=1), [("2024-01-03 00:00:00", "2024-01-05 00:00:00"), ("2024-01-07 06:00:00", "2024-01-07 12:00:00")]).alias("c")).collect()}
     assert got == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True, 8: True}
+
+
+def test_split_ranks_one_cell_and_equals_the_whole_order(spark, monkeypatch):
+    """The (key hash, key) order by brute force, with repeated and null keys and labels; no sort of all rows."""
+    ranked = []
+    real = sampling.ranks.cumulative
+    monkeypatch.setattr(sampling.ranks, "cumulative", lambda counts, *a, **k: (ranked.append(counts.count()), real(counts, *a, **k))[1])
+    data = [(f"k{i // 2}" if i % 50 else None, int(i % 5 > 1) if i % 97 else None, i) for i in range(3000)] + [("same", 2, i) for i in range(9)]
+    df = spark.createDataFrame(data, "k string, label int, i int").repartition(4)
+    for fraction in (0.0, 0.01, 0.2, 1.0):
+        got = {r.i + 10_000 * (r.k == "same"): r.is_test for r in sampling.stratified_split(df, "k", "label", fraction).collect()}
+        h = {r.k: r.h for r in df.select("k", hash_int(F.col("k"), 42).alias("h")).distinct().collect()}
+        want = {}
+        for y in (0, 1, 2):
+            order = [((h[k] if k is not None else -1, k or ""), i + 10_000 * (k == "same")) for k, label, i in data if label == y]
+            quota = math.ceil(len(order) * fraction)
+            want |= {i: sum(o <= at for o, _ in order) <= quota for at, i in order}
+        assert got == want, fraction
+    assert max(ranked) < 300
+
+
+def test_class_weights_are_not_worked_out_again_by_readers(spark):
+    rows = labels.with_weights(spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "i int, label int"))
+    assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.label, round(r.weight, 9)) for r in rows.collect()} == {(0, 0.75), (1, 1.5)}
