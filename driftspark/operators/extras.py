@@ -10,15 +10,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions import pvalues as pv
 from driftspark.functions import special
-from driftspark.functions.hashing import SPAN, hash_digits
+from driftspark.functions.hashing import SPAN, paired_hash_ints
 from driftspark.operators import ranks
 from driftspark.session import work_dir
 
+# Bound of the groups whose replicate sums a task holds: 32 MB at B = 1000.
+BOOT_GROUPS = 2000
 # Two-sided 95 % normal quantile; PSI band edges.
 Z95 = 1.959963984540054
 PSI_BANDS_A = ((0.1, "stable"), (0.25, "moderate"), (None, "significant"))
@@ -118,13 +122,71 @@ def poisson_cuts() -> list[tuple[int, float]]:
     return cuts
 
 
-def poisson1(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform, to the uniform's own resolution."""
-    cuts = poisson_cuts()
-    out = F.lit(cuts[-1][0] + 1)
-    for k, c in reversed(cuts):
-        out = F.when(u < F.lit(c), F.lit(k)).otherwise(out)
-    return out
+class PoissonWeights:
+    """Poisson(1) weights by inverse CDF of 48-bit draws, to the draws' own resolution."""
+
+    def __init__(self):
+        cuts = poisson_cuts()
+        # a draw d is below a share c where d < c * 2^48, and that product is exact
+        self.bounds = np.array([math.ceil(c * SPAN) for _, c in cuts], dtype=np.uint64)
+        self.largest = cuts[-1][0] + 1
+        # the leading 16 bits settle a draw unless a bound lies in their cell (-1)
+        cells = np.arange(1 << 16, dtype=np.uint64) << np.uint64(32)
+        first, last = (np.searchsorted(self.bounds, c, side="right") for c in (cells, cells + np.uint64((1 << 32) - 1)))
+        self.table = np.where(first == last, first, -1).astype(np.float64)
+
+    def __call__(self, draws: np.ndarray) -> np.ndarray:
+        out = self.table[draws >> np.uint64(32)]
+        unsettled = np.nonzero(out < 0)
+        out[unsettled] = np.searchsorted(self.bounds, draws[unsettled], side="right")
+        return out
+
+
+def _bootstrap_sums(n_keys: int, b: int, seed: int, held: int):
+    """(keys..., rep, sum of weight x value, sum of weights) of a task's rows, for each group."""
+
+    def run(batches):
+        weights, tails = PoissonWeights(), [f":{j}:{seed}".encode() for j in range((b + 1) // 2)]
+        sums, kinds = {}, None
+
+        def flush():
+            for keys, total in sums.values():
+                cols = [pa.array([k] * b, type=t) for k, t in zip(keys, kinds[:n_keys])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(1, b + 1, dtype=np.int32)), pa.array(total[0, :b]), pa.array(total[1, :b].astype(np.int64))],
+                                                 names=[*[f"_k{i}" for i in range(n_keys)], "rep", "s", "n"])
+            sums.clear()
+
+        for whole in batches:
+            kinds = [c.type for c in whole.columns]
+            for at in range(0, whole.num_rows, 2048):
+                some = whole.slice(at, 2048)
+                groups = list(zip(*(c.to_pylist() for c in some.columns[:n_keys]))) if n_keys else [()] * some.num_rows
+                names = [repr(g) for g in groups]
+                key, x = some.column(n_keys).to_pylist(), some.column(n_keys + 1).to_numpy(zero_copy_only=False)
+                for name, g in zip(names, groups):
+                    if name not in sums:
+                        sums[name] = (g, np.zeros((2, 2 * len(tails))))
+                # rows of a group, and of a length of key, lie together
+                order = sorted(range(len(key)), key=lambda i: (key[i] is None, len(key[i] or ""), names[i]))
+                known = [i for i in order if key[i] is not None]
+                for i in order[len(known):]:  # without a key there is no draw: the last weight
+                    sums[names[i]][1][:] += np.array([[weights.largest * x[i]], [weights.largest]])
+                rows = np.array(known, dtype=np.int64)
+                for part, cols, *draws in paired_hash_ints([key[i].encode() for i in known], tails):
+                    at_row = rows[part]
+                    starts = [k for k in range(len(part)) if k == 0 or names[at_row[k]] != names[at_row[k - 1]]]
+                    for i in (0, 1):
+                        w = weights(draws[i])
+                        both = np.add.reduceat(w * x[at_row, None], starts, axis=0), np.add.reduceat(w, starts, axis=0)
+                        for k, start in enumerate(starts):
+                            total = sums[names[at_row[start]]][1]
+                            total[0, 2 * cols + i] += both[0][k]
+                            total[1, 2 * cols + i] += both[1][k]
+                if len(sums) > held:
+                    yield from flush()
+        yield from flush()
+
+    return run
 
 
 def bootstrap_means(long: DataFrame, keys: Sequence[str], key: str, value: str, b: int = 1000,
@@ -133,21 +195,18 @@ def bootstrap_means(long: DataFrame, keys: Sequence[str], key: str, value: str,
 
     Every row has its own Poisson(1) weight in every replicate, drawn from a hash of its
     ``key`` (unique per row) and the replicate, so a lost task draws the same again. One
-    pass: rows fan out to the replicates inside the partial aggregation, which holds B
-    sums per group, and only those are shuffled. Null values take no part.
+    pass: a task draws the weights of its rows in blocks (one digest serves two replicates)
+    and holds B sums per group, at most BOOT_GROUPS groups at a time; only those sums are
+    shuffled. Null values take no part.
     """
-    rows = long.where(F.col(value).isNotNull()).select(*keys, F.col(key).alias("_k"), F.col(value).cast("double").alias("_x"))
-    # rows are dealt out before they fan out: a table of one file would be one task otherwise
+    keys = list(keys)
+    rows = long.where(F.col(value).isNotNull()).select(*keys, F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_x"))
+    # rows are dealt out first: a table of one file would be one task otherwise
     rows = rows.repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k")
-    # one digest serves two replicates
-    rows = rows.select(*keys, "_k", "_x", F.explode(F.sequence(F.lit(0), F.lit((b + 1) // 2 - 1))).alias("_j"))
-    digest = F.md5(F.concat(F.col("_k").cast("string"), F.lit(":"), F.col("_j").cast("string"), F.lit(f":{seed}")).cast("binary"))
-    rows = rows.select(*keys, "_j", "_x", digest.alias("_h"))
-    rows = rows.select(*keys, "_j", "_x", *[(hash_digits(F.col("_h"), i) / F.lit(float(SPAN))).alias(f"_u{i}") for i in (0, 1)])
-    rows = rows.select(*keys, "_j", "_x", *[poisson1(F.col(f"_u{i}")).alias(f"_w{i}") for i in (0, 1)])
-    sums = rows.groupBy(*keys, "_j").agg(*[x for i in (0, 1) for x in (F.sum(F.col(f"_w{i}") * F.col("_x")).alias(f"_s{i}"), F.sum(f"_w{i}").alias(f"_n{i}"))])
-    both = F.explode(F.array(*[F.struct((2 * F.col("_j") + 1 + i).cast("int").alias("rep"), F.try_divide(f"_s{i}", f"_n{i}").alias("mean")) for i in (0, 1)])).alias("_r")
-    return sums.select(*keys, both).select(*keys, "_r.rep", "_r.mean").where(F.col("rep") <= b)
+    schema = "".join(f"_k{i} {long.schema[k].dataType.simpleString()}, " for i, k in enumerate(keys)) + "rep int, s double, n long"
+    sums = rows.mapInArrow(_bootstrap_sums(len(keys), b, seed, BOOT_GROUPS), schema)
+    sums = sums.groupBy(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "rep").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
+    return sums.select(*keys, "rep", F.try_divide("_s", "_n").alias("mean"))
 
 
 def percentile_ci(reps: DataFrame, keys: Sequence[str], stat: str, level: float = 0.95) -> DataFrame:

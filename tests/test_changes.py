@@ -229,3 +229,37 @@ def test_trailing_sums_against_plain_windows(spark, kind):
     assert {k: None if v is None else float(v) for k, v in got.items()} == {k: None if v is None else float(v) for k, v in want.items()}
     none = observe.trailing(df.where("false"), ["m"], "cycle_end", dt.timedelta(minutes=10), dt.timedelta(hours=1), "v")
     assert none.count() == 0
+
+
+def test_bootstrap_of_odd_keys_and_many_groups(spark, monkeypatch):
+    """Keys of all lengths, repeated and null ones, null groups; rows do not fan out to the replicates."""
+    import hashlib
+    monkeypatch.setattr(extras, "BOOT_GROUPS", 2)
+    keys = ["", "a", "é" * 9, "x" * 51, "x" * 52, "y" * 64, "z" * 130, "a", None, *map(str, range(95, 120))]
+    rows = [(g, k, float(len(k or "12") + i)) for i, k in enumerate(keys) for g in ("a", None, "b", "c") if i % 4 or g == "a"] + [("b", "q", None)]
+    df = spark.createDataFrame(rows, "g string, k string, v double").repartition(3)
+    reps = extras.bootstrap_means(df, ["g"], "k", "v", b=25)
+    assert "Generate" not in reps._jdf.queryExecution().optimizedPlan().toString()
+    cuts = extras.poisson_cuts()
+    def weight(k, rep):
+        h = hashlib.md5(f"{k}:{(rep - 1) // 2}:11".encode()).hexdigest()
+        u = int(h[12 * ((rep - 1) % 2):][:12], 16) / 2 ** 48
+        return next((c for c, p in cuts if u < p), len(cuts)) if k is not None else len(cuts)
+    want = {}
+    for g in ("a", None, "b", "c"):
+        for rep in range(1, 26):
+            w = [(weight(k, rep), v) for h, k, v in rows if h == g and v is not None]
+            want[g, rep] = sum(a * v for a, v in w) / sum(a for a, _ in w)
+    got = {(r.g, r.rep): r.mean for r in reps.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_paired_draws_are_those_of_the_column(spark):
+    from driftspark.functions.hashing import hash_digits, paired_hash_ints
+    heads, tails = [f"{10 ** (i % 9) + i}" for i in range(200)], [f":{j}:7" for j in range(120)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(heads)], "i int, h string").crossJoin(spark.createDataFrame([(j, x) for j, x in enumerate(tails)], "j int, t string"))
+    digest = F.md5(F.concat("h", "t").cast("binary"))
+    want = {(r.i, r.j): (r.a, r.b) for r in df.select("i", "j", hash_digits(digest, 0).alias("a"), hash_digits(digest, 1).alias("b")).collect()}
+    got = {(int(i), int(j)): (int(a[y, x]), int(b[y, x])) for rows, cols, a, b in paired_hash_ints([x.encode() for x in heads], [x.encode() for x in tails])
+           for y, i in enumerate(rows) for x, j in enumerate(cols)}
+    assert got == want
