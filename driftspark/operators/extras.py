@@ -23,6 +23,8 @@ from driftspark.session import work_dir
 
 # Bound of the groups whose replicate sums a task holds: 32 MB at B = 1000.
 BOOT_GROUPS = 2000
+# Hodges-Lehmann: distinct values that one task takes at once, and running counts for first brackets.
+CELL_ROWS, MARKS = 100_000, 1024
 # Two-sided 95 % normal quantile; PSI band edges.
 Z95 = 1.959963984540054
 PSI_BANDS_A = ((0.1, "stable"), (0.25, "moderate"), (None, "significant"))
@@ -244,45 +246,189 @@ def bca_ci(long: DataFrame, reps: DataFrame, keys: Sequence[str], value: str, le
     return g.select(*keys, "z0", "accel", "bca_lo", "bca_hi")
 
 
-def hodges_lehmann(df: DataFrame, keys: Sequence[str], value: str, decimals: int = 2, pivots: int = 32,
-                   partitions: int | None = None) -> DataFrame:
+def _weighted(w: np.ndarray, f: np.ndarray) -> tuple[int, int]:
+    """The sum of products of two arrays of counts as (high, low) with high * 2^24 + low, each within 64 bits."""
+    return int((w * (f >> 24)).sum()), int((w * (f & 0xFFFFFF)).sum())
+
+
+def _middle(pairs: int) -> tuple[int, int]:
+    """Places of the two middle ones of ``pairs`` (the same place twice, if odd)."""
+    return (pairs + 1) // 2, (pairs + 2) // 2
+
+
+def _least(fits, lo: int, hi: int) -> int:
+    """The least s in (lo, hi] that fits; hi fits, and all after the least one."""
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+    return hi
+
+
+def _group_median(n_keys: int):
+    """keys..., n and the sum of the two middle pair sums of one group of (v, w), by bisection."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        v, w = (table.column(c).to_numpy() for c in ("v", "w"))
+        order = np.argsort(v)
+        v, w = v[order], w[order]
+        cum = np.concatenate([[0], np.cumsum(w)])
+        n = int(cum[-1])
+
+        def twice_upto(s):  # ordered pairs, and each row with itself
+            high, low = _weighted(w, cum[np.searchsorted(v, s - v, side="right")])
+            return (high << 24) + low + int(cum[np.searchsorted(v, s // 2, side="right")])
+
+        first, second = _middle(n * (n + 1) // 2)
+        low, top = 2 * int(v[0]) - 1, 2 * int(v[-1])
+        at = _least(lambda s: twice_upto(s) >= 2 * first, low, top)
+        both = at + (at if twice_upto(at) >= 2 * second else _least(lambda s: twice_upto(s) >= 2 * second, at, top))
+        return pa.table([*(pa.array([k.as_py()], type=k.type) for k in key[:n_keys]), pa.array([n], pa.int64()), pa.array([both], pa.int64())],
+                        names=[*[f"k{i}" for i in range(n_keys)], "n", "both"])
+
+    return run
+
+
+def _first_brackets(cell_rows: int):
+    """Of a large group's marks: n, (lo, hi] of either middle sum, and the edges of its cells.
+
+    The rows up to a mark are known exactly, so counts of pairs have a lower and an upper bound
+    for every sum. Cells end at marks and at what marks are to the bracket's middle: then a cell
+    and the rows that its rows meet there are few alike.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        v, w, before = (table.column(c).to_numpy() for c in ("v", "w", "before"))
+        order = np.argsort(v)
+        v, w, before = v[order], w[order], before[order]
+        upto = before + w
+        n, rows = int(upto[-1]), table.column("rows")[0].as_py()
+        floor, ceiling = np.concatenate([[0], upto]), np.concatenate([before, [n]])
+        inside = np.diff(floor)
+
+        def twice_upto(s, bound, ends):
+            high, low = _weighted(inside, bound[np.searchsorted(v, s - ends, side="right")])
+            return (high << 24) + low + int(bound[np.searchsorted(v, s // 2, side="right")])
+
+        after = np.concatenate([[v[0]], v[:-1] + 1])  # the least value an interval may hold
+        low, top = 2 * int(v[0]) - 1, 2 * int(v[-1])
+        brackets = []
+        for place in _middle(n * (n + 1) // 2):
+            hi = _least(lambda s: twice_upto(s, floor, v) >= 2 * place, low, top)
+            lo = _least(lambda s: twice_upto(s, ceiling, after) >= 2 * place, low, hi) - 1
+            brackets += [lo, hi]
+        marks = v[::max(1, len(v) * cell_rows // rows)]
+        edges = np.unique(np.concatenate([marks, (brackets[0] + brackets[3]) // 2 - marks]))
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "brackets": pa.array([brackets], pa.list_(pa.int64())),
+                         "edges": pa.array([edges], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _to_cells(jobs: list[tuple[int, int, int]], edges: dict[int, np.ndarray]):
+    """Rows to the cells that count with them: each to its own (``v``, ``w``), and to every cell
+    with a row that reaches it, or the gap before it, with a sum of a bracket (``v``, ``upto``, ``before``)."""
+
+    def run(batches):
+        for batch in batches:
+            g, v, w, before = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            start = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+            prev = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
+            for job, (group, lo, hi) in enumerate(jobs):
+                at = np.flatnonzero(g == group)
+                if not len(at):
+                    continue
+                e = edges[group]
+                first = np.searchsorted(e, lo - v[at])
+                count = np.where(start[at], len(e), np.searchsorted(e, hi - prev[at])) - first + 1
+                row = np.repeat(at, count)
+                cell = np.repeat(first, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                cells, mine = np.concatenate([np.searchsorted(e, v[at]), cell]), np.arange(len(at) + len(row)) < len(at)
+                rows = np.concatenate([at, row])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), job)), pa.array(cells), pa.array(mine), pa.array(v[rows]), pa.array(w[rows]), pa.array(before[rows])],
+                    names=["job", "cell", "mine", "v", "w", "before"])
+
+    return run
+
+
+def _cell_counts(probes: list[np.ndarray], totals: list[int]):
+    """Of one cell, for every probe s of its job: ordered pairs with a sum of at most s whose first row lies there (high, low), and rows with 2 v <= s."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        job = key[0].as_py()
+        mine = table.column("mine").to_numpy(zero_copy_only=False)
+        v, w, before = (table.column(c).to_numpy() for c in ("v", "w", "before"))
+        met = np.flatnonzero(~mine)
+        met = met[np.argsort(v[met])]
+        u, upto = v[met], (before + w)[met]
+        # nothing to meet: every row lies at or below all that is asked for
+        upto = np.concatenate([before[met[:1]], upto]) if len(met) else np.array([totals[job]])
+        x = np.flatnonzero(mine)
+        x = x[np.argsort(-v[x])]
+        v, w = v[x], w[x]
+        got = [(*_weighted(w, upto[np.searchsorted(u, s - v, side="right")]), int(w[2 * v <= s].sum())) for s in probes[job].tolist()]
+        return pa.table({"job": pa.array([job] * len(got), pa.int64()), "s": pa.array(probes[job], pa.int64()),
+                         **{c: pa.array(list(col), pa.int64()) for c, col in zip(("high", "low", "own"), zip(*got))}})
+
+    return run
+
+
+def hodges_lehmann(df: DataFrame, keys: Sequence[str], value: str, decimals: int = 2, pivots: int = 64,
+                   partitions: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Hodges-Lehmann estimate, the median of all pairwise means (x_i + x_j) / 2, i <= j.
 
     Selection without pairs. Values are integers in units of 10^-decimals (rounded to them);
-    sums of two are integers too, and the median's place among them is bracketed. A pass
-    counts, for ``pivots`` sums s per bracket, the pairs with a sum of at most s: for each
-    value v the rows up to s - v, all read off one scan of values and probes on range
-    partitions. Each pass cuts the bracket by pivots + 1, so a few passes end in a single
-    integer. An even number of pairs has two middle sums, each with its own bracket.
+    sums of two are integers too. A group of at most ``cell_rows`` distinct values is one task's
+    bisection. A larger one is cut into cells of about that many: its middle sums (two, if the
+    pairs are even) are bracketed by MARKS exact running counts first; then each pass counts, for
+    ``pivots`` sums s of a bracket, the pairs with a sum of at most s. For that a row goes to
+    its own cell and to those whose rows it meets at a sum of the bracket, which is one or two, so
+    a pass shuffles a small multiple of the rows, whatever ``pivots`` is. Each pass cuts
+    the bracket by pivots + 1. The driver holds brackets and edges of the large groups, at most
+    two numbers for ``cell_rows`` values.
     """
     keys = list(keys)
-    scale = 10 ** decimals
+    if not keys:
+        one = hodges_lehmann(df.withColumn("_all", F.lit(1)), ["_all"], value, decimals, pivots, partitions, cell_rows)
+        return one.agg(F.max("n").alias("n"), F.max("estimate").alias("estimate"))
+    spark, scale = df.sparkSession, 10 ** decimals
     v = F.round(F.col(value).cast("double") * scale).cast("long")
-    work_dir(df.sparkSession)
-    x = df.where(F.col(value).isNotNull()).select(*keys, v.alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
-    big = lambda c: c.cast("decimal(38,0)")  # noqa: E731  products of counts may pass 64 bits
-    n = big(F.sum("w"))
-    state = x.groupBy(*keys).agg(F.sum("w").alias("n"), (2 * F.min("v") - 1).alias("lo"), (2 * F.max("v")).alias("hi"),
-                                 big(n * (n + 1) / 2).alias("pairs"))
-    middle = [F.struct(F.lit(t).alias("which"), big(F.floor((F.col("pairs") + t) / 2)).alias("rank")) for t in (1, 2)]
-    state = state.select(*keys, "n", "lo", "hi", F.explode(F.array(*middle)).alias("_t")).select(*keys, "n", "lo", "hi", "_t.which", "_t.rank").checkpoint(eager=True)
-    while (state.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) > 1:
-        cut = lambda i: (F.col("lo") + F.floor((F.col("hi") - F.col("lo")).cast("decimal(20,0)") * i / (pivots + 1))).cast("long")
-        probes = state.where("hi - lo > 1").select(*keys, "which", F.explode(F.array_distinct(F.array(*[cut(i) for i in range(1, pivots + 1)]))).alias("s"), "lo")
-        probes = probes.where("s > lo").drop("lo")
-        asked = probes.select(*keys, "s").distinct()
-        rows = x.select(*keys, "v", "w", F.lit(None).cast("long").alias("s"), F.lit(0).alias("_probe"), F.col("w").alias("_add"))
-        rows = rows.unionByName(x.join(asked, keys).select(*keys, (F.col("s") - F.col("v")).alias("v"), "w", "s", F.lit(1).alias("_probe"), F.lit(0).cast("long").alias("_add"))
-                                if keys else x.select("*", F.explode(asked.agg(F.collect_set("s")).scalar()).alias("s")).select((F.col("s") - F.col("v")).alias("v"), "w", "s", F.lit(1).alias("_probe"), F.lit(0).cast("long").alias("_add")))
-        seen = ranks.scan(rows, keys, ["v", "_probe"], {"_upto": ("_add", "sum")}, partitions=partitions).where("_probe = 1")
-        # ordered pairs, and each row with itself
-        own = F.when(2 * (F.col("s") - F.col("v")) <= F.col("s"), F.col("w")).otherwise(0)
-        counted = seen.groupBy(*keys, "s").agg(big((F.sum(big(F.col("w")) * big(F.col("_upto"))) + F.sum(big(own))) / 2).alias("pairs_upto"))
-        met = probes.join(counted, [*keys, "s"]).join(state.select(*keys, "which", "rank"), [*keys, "which"])
-        moved = met.groupBy(*keys, "which").agg(F.max(F.when(F.col("pairs_upto") < F.col("rank"), F.col("s"))).alias("_lo"),
-                                                F.min(F.when(F.col("pairs_upto") >= F.col("rank"), F.col("s"))).alias("_hi"))
-        state = state.join(moved, [*keys, "which"], "left").select(*keys, "n", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi"), "which", "rank").checkpoint(eager=True)
-    return state.groupBy(*keys).agg(F.max("n").alias("n"), (F.sum("hi") / F.lit(4.0 * scale)).alias("estimate"))
+    work_dir(spark)
+    x = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], v.alias("v"))
+    names = [f"k{i}" for i in range(len(keys))]
+    x = x.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
+    sizes = x.groupBy(*names).agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("n")).where(F.col("rows") > cell_rows)
+    large = sizes.select(F.monotonically_increasing_id().alias("g"), "rows", "n", *[F.col(k).alias(f"_{k}") for k in names]).checkpoint(eager=True)
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    types = "".join(f"{k} {df.schema[c].dataType.simpleString()}, " for k, c in zip(names, keys))
+    found = x.join(F.broadcast(large), same, "left_anti").groupBy(*names).applyInArrow(_group_median(len(names)), types + "n long, both long")
+    if not large.isEmpty():
+        some = x.join(F.broadcast(large), same).select("g", "rows", "n", "v", "w")
+        some = ranks.scan(some, ["g"], ["v"], {"before": ("w", "sum"), "prev": ("v", "max")}, exclusive=True, partitions=partitions)
+        some = some.select("g", "v", "w", F.coalesce("before", F.lit(0).cast("long")).alias("before"), "prev", "rows", "n").checkpoint(eager=True)
+        mark = F.expr(f"(before + w) * {MARKS} div n > before * {MARKS} div n") | F.col("prev").isNull()
+        began = some.where(mark).groupBy("g").applyInArrow(_first_brackets(cell_rows), "g long, n long, brackets array<long>, edges array<long>").collect()
+        edges = {r.g: np.array(r.edges) for r in began}
+        brackets = {r.g: [tuple(r.brackets[:2]), tuple(r.brackets[2:])] for r in began}
+        totals = {r.g: r.n for r in began}
+        some = some.select("g", "v", "w", "before", "prev")
+        while jobs := sorted({(g, *b) for g, both in brackets.items() for b in both if b[1] - b[0] > 1}):
+            probes = [np.array(sorted({lo + (hi - lo) * i // (pivots + 1) for i in range(1, pivots + 1)} - {lo})) for _, lo, hi in jobs]
+            cells = some.mapInArrow(_to_cells(jobs, edges), "job long, cell long, mine boolean, v long, w long, before long")
+            counts = cells.groupBy("job", "cell").applyInArrow(_cell_counts(probes, [totals[g] for g, _, _ in jobs]), "job long, s long, high long, low long, own long")
+            total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+            twice = {(r.job, r.s): (int(r.high) << 24) + int(r.low) + int(r.own) for r in counts.groupBy("job", "s").agg(*[total(c) for c in ("high", "low", "own")]).collect()}
+            for job, (g, lo, hi) in enumerate(jobs):
+                for i, place in enumerate(_middle(totals[g] * (totals[g] + 1) // 2)):
+                    if brackets[g][i] == (lo, hi):
+                        below = [s for s in probes[job].tolist() if twice[job, s] < 2 * place]
+                        above = [s for s in probes[job].tolist() if twice[job, s] >= 2 * place]
+                        brackets[g][i] = max(below, default=lo), min(above, default=hi)
+        ends = spark.createDataFrame([(g, both[0][1] + both[1][1]) for g, both in brackets.items()], "g long, both long")
+        found = found.unionByName(large.join(F.broadcast(ends), "g").select(*[F.col(f"_{k}").alias(k) for k in names], "n", "both"))
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", (F.col("both") / F.lit(4.0 * scale)).alias("estimate"))
 
 
 def signed_rank(d: DataFrame, keys: Sequence[str], diff: str,

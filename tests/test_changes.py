@@ -144,6 +144,25 @@ def test_hodges_lehmann_is_the_median_of_all_pairs(spark):
     assert whole.estimate == pytest.approx(want["odd"], abs=1e-9)
 
 
+@pytest.mark.parametrize("cell_rows", [3, 17, 1000])
+def test_hodges_lehmann_by_cells(spark, cell_rows, monkeypatch):
+    """Large groups, cut into cells, against all pairs: heavy ties, outliers, gaps, null keys; rows are not dealt out once a probe."""
+    rng = np.random.default_rng(cell_rows)
+    monkeypatch.setattr(extras, "MARKS", 8)
+    data = {"tails": (rng.standard_cauchy(150) * 100).round(2), "ties": np.concatenate([np.full(90, 5.0), rng.normal(0, 1, 60).round(2)]),
+            "gap": np.concatenate([rng.normal(-1e6, 3, 50), rng.normal(1e6, 3, 50)]).round(2), None: rng.exponential(30, 121).round(2),
+            "step": np.arange(140) * 0.01, "halves": np.repeat([-1.0, 1.0], 20), "outlier": np.append(rng.normal(0, 1, 99).round(2), 1e9)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k string, x double").repartition(3)
+    scanned, real = [], extras.ranks.scan
+    monkeypatch.setattr(extras.ranks, "scan", lambda rows, *a, **k: (scanned.append(rows.count()), real(rows, *a, **k))[1])
+    got = {r.k: r for r in extras.hodges_lehmann(df, ["k"], "x", pivots=5, partitions=3, cell_rows=cell_rows).collect()}
+    for k, xs in data.items():
+        cents = np.rint(xs * 100).astype(int)
+        i, j = np.triu_indices(len(xs))
+        assert got[k].n == len(xs) and got[k].estimate == float(np.median(cents[i] + cents[j])) / 200, k
+    assert sum(scanned) <= sum(map(len, data.values()))
+
+
 def test_row_bootstrap_and_bca(spark):
     """Against a brute-force row bootstrap with the same weights, and its BCa in NumPy."""
     import hashlib
