@@ -34,7 +34,9 @@ from driftspark.llm import shared
 
 LENGTH, END_ID = 2048, 1
 # Bounds of the cache of parts: entries, and characters of a part that is kept.
-CACHE_PARTS, CACHE_CHARS = 400_000, 40
+CACHE_PARTS, CACHE_CHARS = 100_000, 40
+# Bound of a batch of texts that goes to a worker, in bytes.
+BATCH_BYTES = 4 << 20
 _CUT = re.compile(r" (?=\S)")
 # Fixed value: the pre-token pattern of byte-level files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,12 +63,10 @@ class PartEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        tokenizer = Tokenizer.from_file(path)
-        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids)
+        self.path, self.tokenizer = path, None
         ranks = merge_ranks(spec)
         if ranks:
             coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -80,6 +80,14 @@ class PartEncoder:
             self.bytes[list(ranks.values())] = [len(x) for x in ranks]
         self.cache: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> np.ndarray:
+        """Ids by the tokenizer itself, which is read when a text first needs it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def _learn(self, parts: list[str]) -> None:
         """Put the ids of parts into the cache. They are encoded many as one text, each after
         a space, and the ids are dealt back by the bytes that each stands for."""
@@ -172,7 +180,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     (little-endian unsigned 32-bit)."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tokens = shared.staged(source.mapInArrow(_tokenise(tokenizer_path, end_id), f"part int, id {kind}, tokens long, at long, ids binary"), "tokens")
+    with shared.arrow_batches(docs.sparkSession, BATCH_BYTES):
+        tokens = shared.staged(source.mapInArrow(_tokenise(tokenizer_path, end_id), f"part int, id {kind}, tokens long, at long, ids binary"), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = shared.staged(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "bases")

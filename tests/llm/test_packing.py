@@ -67,3 +67,30 @@ def test_every_id_in_one_piece(table, tokenizer, length):
 
 def test_empty_table(table):
     assert packing.pack(table([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    """Wide rows are dealt out by bytes, not 10,000 at a time, and the session's bound holds again after."""
+    from driftspark.llm import shared
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    seen, real = [], shared.staged
+
+    def staged(df, what):
+        seen.append((what, int(spark.conf.get(name).rstrip("bB"))))
+        return real(df, what)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing.shared, "staged", staged)
+        rows = packing.pack(spark.createDataFrame([(i, "word " * 50) for i in range(300)], "doc_id long, text string"), PATH)
+        assert rows.select("doc_id").distinct().count() == 300
+    assert dict(seen)["tokens"] <= 8 << 20 and spark.conf.get(name) == before
+
+
+def test_the_tokenizer_is_read_only_for_texts_that_need_it():
+    coder = packing.PartEncoder(PATH)
+    coder.encode(["plain words", ""])
+    assert coder.tokenizer is None
+    coder.encode(["a <|endoftext|> b"])
+    assert coder.tokenizer is not None
