@@ -33,10 +33,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, whose last step sends texts to Python, written with batches bounded by bytes."""
+    with shared.arrow_batches(df.sparkSession):
+        return shared.staged(df, name)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5 go."""
     model = quality.quality_model(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs.select(*COLUMNS), model, score_col="_score").where("_score >= 0.5").drop("_score")
+    return _written(quality.score(docs.select(*COLUMNS), model, score_col="_score").where("_score >= 0.5").drop("_score"), "scored")
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -67,7 +73,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = substring_dedup.substring_dedup(_tagged(docs), id_col="_row").where("n_removed = 0 or n_words > n_removed")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    return _written(cut.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars")), "cut")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,6 +98,9 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
+# Stages that write their result themselves.
+WRITTEN = (quality_classifier, repeated_passages)
+
 # Trained scores and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -99,5 +108,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = shared.staged(stage(spark, docs, sf_dir), f"stage{i}")
+        out = stage(spark, docs, sf_dir)
+        docs = out if stage in WRITTEN else shared.staged(out, f"stage{i}")
     return docs

@@ -86,25 +86,54 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of each run of equal values and the run of each value."""
     new = np.ones(len(sorted_values), dtype=bool)
     new[1:] = sorted_values[1:] != sorted_values[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
+    run = np.cumsum(new, dtype=np.int32 if len(new) < 1 << 31 else np.int64)
+    run -= 1
+    return np.flatnonzero(new), run
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], hashed) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, entry's row, entry's value) of about PIECE_WORDS entries at a time."""
     ids, rows, values, n, base = [], [], [], 0, 0
+
+    def piece():
+        for parts in (ids, rows, values):  # the parts go as soon as they are put together
+            whole = np.concatenate(parts)
+            parts.clear()
+            yield whole
+
     for batch in batches:
         key = batch.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
         for lo, hi, data, offsets in words.slices(batch.column(1)):
             v, r = hashed(batch, lo, hi, *words.text_hashes(data, offsets))
             ids.append(key[lo:hi])
-            rows.append(r + base)
+            rows.append((r + base).astype(np.int32))
             values.append(v)
             n, base = n + len(v), base + hi - lo
-            if n >= PIECE_WORDS:
-                yield np.concatenate(ids), np.concatenate(rows), np.concatenate(values)
-                ids, rows, values, n, base = [], [], [], 0, 0
+            if n >= PIECE_WORDS or base >= 1 << 30:
+                yield tuple(piece())
+                n, base = 0, 0
     if n:
-        yield np.concatenate(ids), np.concatenate(rows), np.concatenate(values)
+        yield tuple(piece())
+
+
+def _anchor_rows(entry: np.ndarray, docs: np.ndarray, at: int, blocks: int) -> list[pa.RecordBatch]:
+    """What a piece settles itself, and what of it travels on. ``entry`` is sorted in place."""
+    entry.sort()
+    # one entry for each hash and document, the one at a block's place if any
+    entry = entry[np.append(entry[1:] >> np.uint64(1) != entry[:-1] >> np.uint64(1), True)] if len(entry) else entry
+    start, of = _runs(entry >> np.uint64(24))
+    shared_here = (np.diff(np.append(start, len(entry))) > 1)[of]
+    aligned = np.bitwise_or.reduceat(entry & np.uint64(1), start) if len(start) else entry
+    mark = entry[shared_here]
+    doc = ((mark & np.uint64(0xFFFFFE)) >> np.uint64(1)).astype(np.int64) + at
+    settled = _settled(mark >> np.uint64(24), docs[doc], blocks, 40)
+    mark = doc = None
+    first = np.ones(len(entry), dtype=bool)
+    first[2:] = of[2:] != of[:-2]  # the first two of a run
+    sent = np.where(shared_here, entry | aligned[of], entry)[first]
+    out = [(k, words.pack(sent[lo:hi], np.diff(docs[at:at + (1 << 22)], prepend=0).astype(np.int64)))
+           for k, lo, hi in words.by_block(sent, blocks, 64)]
+    return [settled, _rows([k for k, _ in out], False, [p for _, p in out])]
 
 
 def _anchors(b: int, blocks: int):
@@ -117,23 +146,16 @@ def _anchors(b: int, blocks: int):
     def run(batches):
         for ids, row, value in _pieces(batches, hashed):
             docs, rank = np.unique(ids, return_inverse=True)
+            doc_of = rank.astype(np.uint64)[row]
+            row = None
             for at in range(0, len(docs), 1 << 22):  # 22 bits number a document in its piece
-                inside = (rank[row] >= at) & (rank[row] < at + (1 << 22)) if len(docs) > 1 << 22 else slice(None)
-                entry = np.sort((value[inside] & ~np.uint64(0xFFFFFF)) | ((rank[row[inside]] - at).astype(np.uint64) << np.uint64(1))
-                                | (value[inside] & np.uint64(1)))
-                # one entry for each hash and document, the one at a block's place if any
-                entry = entry[np.append(entry[1:] >> np.uint64(1) != entry[:-1] >> np.uint64(1), True)] if len(entry) else entry
-                start, of = _runs(entry >> np.uint64(24))
-                size = np.diff(np.append(start, len(entry)))
-                shared_here = size[of] > 1
-                aligned = np.bitwise_or.reduceat(entry & np.uint64(1), start) if len(start) else entry
-                within = np.arange(len(entry)) - start[of]
-                doc = ((entry & np.uint64(0xFFFFFE)) >> np.uint64(1)).astype(np.int64) + at
-                yield _settled(entry[shared_here] >> np.uint64(24), docs[doc[shared_here]], blocks, 40)
-                sent = np.where(shared_here, entry | aligned[of], entry)[within < 2]
-                out = [(k, words.pack(sent[lo:hi], np.diff(docs[at:at + (1 << 22)], prepend=0).astype(np.int64)))
-                       for k, lo, hi in words.by_block(sent, blocks, 64)]
-                yield _rows([k for k, _ in out], False, [p for _, p in out])
+                inside = (doc_of >= at) & (doc_of < at + (1 << 22)) if len(docs) > 1 << 22 else slice(None)
+                entry = value[inside] | ((doc_of[inside] - np.uint64(at)) << np.uint64(1))  # a value is its hash and the last bit
+                if at + (1 << 22) >= len(docs):
+                    value = doc_of = inside = None
+                out = _anchor_rows(entry, docs, at, blocks)
+                entry = None
+                yield from out
 
     return run
 
@@ -168,6 +190,21 @@ def _hashes(marks: bytes | None) -> np.ndarray:
     return np.frombuffer(marks or b"", dtype=np.uint64)
 
 
+def _window_rows(ids: np.ndarray, row: np.ndarray, value: np.ndarray, blocks: int) -> list[pa.RecordBatch]:
+    """What a piece settles itself, and the window's smallest document here, which travels on."""
+    docs, rank = np.unique(ids, return_inverse=True)
+    doc = rank[row]
+    order = np.lexsort((doc, value))
+    value, doc = value[order], doc[order]
+    order = None
+    start, of = _runs(value)
+    later = doc > doc[start][of]
+    settled = _settled(value[later], docs[doc[later]], blocks, 64)
+    sent, first = value[start], docs[doc[start]]
+    out = [(k, words.pack(sent[lo:hi], *_coded(first[lo:hi]))) for k, lo, hi in words.by_block(sent, blocks, 64)]
+    return [settled, _rows([k for k, _ in out], False, [p for _, p in out])]
+
+
 def _windows(b: int, n: int, blocks: int):
     """Map side of step 2: the n-word windows that hold a hit."""
 
@@ -187,18 +224,10 @@ def _windows(b: int, n: int, blocks: int):
         return w[held], wrow[held]
 
     def run(batches):
-        for ids, row, value in _pieces(batches, hashed):
-            docs, rank = np.unique(ids, return_inverse=True)
-            doc = rank[row]
-            order = np.lexsort((doc, value))
-            value, doc = value[order], doc[order]
-            start, of = _runs(value)
-            least = doc[start][of]
-            later = doc > least
-            yield _settled(value[later], docs[doc[later]], blocks, 64)
-            sent, first = value[start], docs[doc[start]]
-            out = [(k, words.pack(sent[lo:hi], *_coded(first[lo:hi]))) for k, lo, hi in words.by_block(sent, blocks, 64)]
-            yield _rows([k for k, _ in out], False, [p for _, p in out])
+        for piece in _pieces(batches, hashed):
+            out = _window_rows(*piece, blocks)
+            piece = None
+            yield from out
 
     return run
 
@@ -266,7 +295,10 @@ def _exchange(rows: DataFrame, meet, buckets: int, name: str) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13) -> DataFrame:
-    """``docs`` plus ``kept_text`` (kept words joined by one space), ``n_words``, ``n_removed``."""
+    """``docs`` plus ``kept_text`` (kept words joined by one space), ``n_words``, ``n_removed``.
+
+    The texts are cut when the caller reads the result; ``shared.arrow_batches`` around that
+    read bounds its batches too."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -277,9 +309,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))
     pairs = docs.select(key.alias(_KEY), F.col(text_col).alias("_sd_text"))
 
-    hits = _exchange(pairs.mapInArrow(_anchors(b, blocks), _SENT), _meet_anchors, blocks, "anchors")
-    near = shared.on_ids(pairs, hits, _KEY, "left_semi").join(hits, _KEY)
-    repeats = _exchange(near.mapInArrow(_windows(b, n, blocks), _SENT), _meet_windows, blocks, "repeats")
+    with shared.arrow_batches(spark):
+        hits = _exchange(pairs.mapInArrow(_anchors(b, blocks), _SENT), _meet_anchors, blocks, "anchors")
+        near = shared.on_ids(pairs, hits, _KEY, "left_semi").join(hits, _KEY)
+        repeats = _exchange(near.mapInArrow(_windows(b, n, blocks), _SENT), _meet_windows, blocks, "repeats")
 
     keyed = docs.withColumn(_KEY, key)
     out = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),
@@ -294,4 +327,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text")
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    out = substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    with shared.arrow_batches(spark):
+        return shared.staged(out, "digests")

@@ -90,3 +90,10 @@ def test_quality_and_packing_keep_rows(spark, table):
     assert sorted(((p.doc_id, p.doc_tokens) for p in pieces), key=str) == sorted([(1, 2), (1, 2), (None, 2), (2, 1)], key=str)
     kept = _run(spark, table, C.quality_classifier, rows)
     assert len({(i is None, t) for i, t in kept}) <= 3 and kept == sorted(kept, key=str)
+
+
+def test_stages_that_end_in_python_write_small_batches(spark, batch_sizes):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    C.quality_classifier(spark, docs, SF)
+    C.repeated_passages(spark, docs, SF)
+    assert max(batch_sizes["scored"], batch_sizes["cut"]) <= 8 << 20

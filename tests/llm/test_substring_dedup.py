@@ -44,3 +44,25 @@ def test_edges(table):
     got = sorted(((r.doc_id or 99, r.n_words, r.n_removed) for r in out.collect()))
     assert got == [(1, 5000, 0), (1, 5000, 0), (2, 0, 0), (3, 5000, 5000), (5, 0, 0), (9, 13, 0), (99, 5000, 5000)]
     assert S.substring_dedup(table([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark, batch_sizes, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in S.op8_query(spark, str(tmp_path)).collect()}
+    assert got == {i: (40, 40 * (i % 2)) for i in range(60)}
+    assert {batch_sizes[x] <= 8 << 20 for x in ("anchors", "repeats", "digests")} == {True}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_a_piece_goes_before_the_next_is_built(peak_bytes):
+    """Sending blocks and probes takes memory by the piece, and not of two pieces at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 500)) for _ in range(7000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 500), pa.int64()), pa.array(texts[a:a + 500])], names=["k", "t"]) for a in range(0, 7000, 500)]
+    list(S._anchors(7, 4)(batches[:1]))  # tables of powers are kept
+    assert peak_bytes(S._anchors(7, 4)(batches)) < 100 * S.PIECE_WORDS
