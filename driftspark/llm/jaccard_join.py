@@ -112,15 +112,23 @@ def _counted(blocks: int):
     """Map side of step 2: 32-bit shingle hashes with their counts."""
 
     def rows(parts):
-        bucket, count = np.unique(np.concatenate(parts), return_counts=True)
-        out = [(k, words.pack(bucket[a:b], np.minimum(count[a:b], 65535).astype(np.uint16))) for k, a, b in words.by_block(bucket, blocks, 32)]
+        value = np.concatenate(parts)
+        parts.clear()
+        value.sort()
+        start = np.flatnonzero(np.append(True, value[1:] != value[:-1])[:len(value)])
+        bucket = value[start]
+        count = np.diff(start, append=len(value))
+        value = start = None
+        count = np.minimum(count, 65535).astype(np.uint16)
+        bucket = bucket.astype(np.uint64)
+        out = [(k, words.pack(bucket[a:b], count[a:b])) for k, a, b in words.by_block(bucket, blocks, 32)]
         return _sent([k for k, _ in out], [p for _, p in out])
 
     def run(batches):
         parts, n = [], 0
         for batch in batches:
             for *_, g, _ in _sets(batch):
-                parts.append(g >> np.uint64(32))
+                parts.append((g >> np.uint64(32)).astype(np.uint32))
                 n += len(g)
                 if n >= 2 * PIECE_ENTRIES:
                     yield rows(parts)
@@ -133,12 +141,17 @@ def _counted(blocks: int):
 
 def _frequent(table: pa.Table) -> pa.Table:
     """Reduce side of step 2: (bucket, base-2 logarithm of its count) from four documents on."""
-    found = [words.unpack(x) for x in table.column("payload").to_pylist()]
-    bucket, count = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+    buckets, counts = [], []
+    for blob in table.column("payload"):
+        bucket, count = words.unpack(blob.as_py())
+        buckets.append(bucket.astype(np.uint32))
+        counts.append(count)
+    bucket, count = np.concatenate(buckets), np.concatenate(counts)
+    buckets, counts = None, None
     order = np.argsort(bucket, kind="stable")
-    bucket, count = bucket[order], count[order].astype(np.int64)
-    start = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] ^ np.uint64(1)))
-    total = np.add.reduceat(count, start)
+    bucket, count = bucket[order], count[order]
+    start = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] ^ np.uint32(1)))
+    total = np.add.reduceat(count, start, dtype=np.int64)
     keep = total >= 4
     return pa.table({"bucket": pa.array(bucket[start][keep].astype(np.int64)), "level": pa.array(np.log2(total[keep]).astype(np.int32))})
 
@@ -167,17 +180,17 @@ def _prefixes(blocks: int, frequent):
         key = np.concatenate([p[0] for p in parts])
         size = np.concatenate([p[1] for p in parts])
         base = np.cumsum([0, *(len(p[0]) for p in parts)])
-        entry = np.concatenate([p[2] for p in parts])
-        doc = np.concatenate([p[3] + x for p, x in zip(parts, base)])
-        salt = np.concatenate([p[4] for p in parts])
         order = np.argsort(key, kind="stable")
-        place = np.empty(len(key), dtype=np.int64)
-        place[order] = np.arange(len(key))
+        place = np.empty(len(key), dtype=np.uint64)
+        place[order] = np.arange(len(key), dtype=np.uint64)
         head = (np.diff(key[order], prepend=0), size[order].astype(np.uint32))
-        value = entry << np.uint64(16) | place[doc].astype(np.uint64)
-        out = []
-        for s in np.unique(salt):
-            v = np.sort(value[salt == s])
+        value = np.concatenate([p[2] << np.uint64(16) | place[p[3] + x] for p, x in zip(parts, base)])
+        salt = np.concatenate([p[4] for p in parts])
+        parts.clear()
+        out, salts = [], np.unique(salt)
+        for s in salts:
+            v = value[salt == s] if len(salts) > 1 else value
+            v.sort()
             out += [(k + int(s) * blocks, words.pack(v[a:b], *head)) for k, a, b in words.by_block(v, blocks, 64)]
         return _sent([k for k, _ in out], [p for _, p in out])
 
@@ -187,9 +200,9 @@ def _prefixes(blocks: int, frequent):
         for batch in batches:
             for _, _, key, g, size in _sets(batch):
                 entry, level = _ranked(g, size, buckets, levels)
-                doc = np.repeat(np.arange(len(size)), np.where(size > 0, size // 4 + 1, 0))
+                doc = np.repeat(np.arange(len(size), dtype=np.int32), np.where(size > 0, size // 4 + 1, 0))
                 groups = np.maximum(1, (np.int64(1) << np.minimum(level.astype(np.int64), 62)) // SALT_DF)
-                salt = np.where(groups > 1, 1 + (words.mix(key[doc].astype(np.uint64)) % groups.astype(np.uint64)).astype(np.int64), 0)
+                salt = np.where(groups > 1, 1 + (words.mix(key[doc].astype(np.uint64)) % groups.astype(np.uint64)).astype(np.int32), np.int32(0))
                 if parts and (n >= PIECE_ENTRIES or docs + len(size) > 65535):
                     yield rows(parts)
                     parts, n, docs = [], 0, 0
@@ -457,6 +470,12 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes_too: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; with ``nodes_too`` also the
     row's node, its tag and its component's smallest node, which may be a text without id."""
+    with shared.arrow_batches(docs.sparkSession):  # every step in Python is staged in it
+        out = _components_of(docs, id_col, text_col)
+    return out if nodes_too else out.select(id_col, "n_shingles", "component_id")
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(row_key(id_col, text_col).alias(_KEY), F.col(text_col).alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -512,8 +531,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = heads.join(found, heads["head"] == found["node"], "left").select("sig", F.coalesce("component", "head").alias("component"))
     least = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(_KEY)).alias("least")
     out = sums.join(labels, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least, F.col(_KEY).alias("node"), F.col(_TAG).alias("tag"))
-    out = out.withColumn("component_id", F.when(F.col("least") < NO_ID, F.col("least")))
-    return out if nodes_too else out.select(id_col, "n_shingles", "component_id")
+    return out.withColumn("component_id", F.when(F.col("least") < NO_ID, F.col("least")))
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

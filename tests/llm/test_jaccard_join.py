@@ -113,3 +113,22 @@ def test_components_of_a_chain(spark):
     links = spark.range(1, 60).selectExpr("id as a", "id - 1 as b").union(spark.createDataFrame([(100, 101), (5, 5)], "a long, b long"))
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(60)}, 100: 100, 101: 100}
+
+
+def test_texts_go_to_workers_in_small_batches(spark, table, batch_sizes):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40)) + f" end{i}") for i in range(60)]
+    out = J.jaccard_components(table(rows, "doc_id long, text string"))
+    assert sorted(r.component_id for r in out.collect()) == [i // 2 * 2 for i in range(60)]
+    assert {batch_sizes[x] <= 8 << 20 for x in ("sets", "counts", "lists", "linked", "across")} == {True}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_counting_shingles_takes_few_bytes_each(peak_bytes):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 500)) for _ in range(8500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 500), pa.int64()), pa.array(texts[a:a + 500])], names=["k", "t"]) for a in range(0, 8500, 500)]
+    list(J._counted(4)(batches[:1]))  # tables of powers are kept
+    assert peak_bytes(J._counted(4)(batches)) < 45 * 2 * J.PIECE_ENTRIES
