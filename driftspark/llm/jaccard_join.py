@@ -435,6 +435,8 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
     same members are one group. Groups that meet in a list are multiplied block by block.
     """
     members = shared.staged(members.distinct(), "open")
+    if members.isEmpty():  # else seven queries are planned over nothing
+        return shared.staged(members.select(F.col("id").alias("a"), F.col("component").alias("b")), "across")
     sized = members.groupBy("run").agg(F.count(F.lit(1)).alias("size"))
     grouped = shared.staged(members.join(sized, "run").groupBy("id").agg(F.max(F.struct("size", "run"))["run"].alias("grp"), F.max("n").alias("n"), F.first("component").alias("component")), "groups")
     parts = lambda n, size: (1 + F.floor(F.greatest(n / TILE, size / TILE_SHINGLES))).cast("int")
@@ -526,9 +528,11 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rest = shared.staged(rest, "labelled")
     open_runs = rest.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
     more = _across(rest.join(open_runs, "run", "left_semi"), nodes)
-    found = shared.staged(components(links.unionByName(more)), "components")
 
     labels = heads.join(found, heads["head"] == found["node"], "left").select("sig", F.coalesce("component", "head").alias("component"))
+    if not more.isEmpty():  # these links join components, so only components are linked again
+        wider = shared.staged(components(more), "wider").select("node", F.col("component").alias("wider"))
+        labels = labels.join(wider, labels["component"] == wider["node"], "left").select("sig", F.coalesce("wider", "component").alias("component"))
     least = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(_KEY)).alias("least")
     out = sums.join(labels, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least, F.col(_KEY).alias("node"), F.col(_TAG).alias("tag"))
     return out.withColumn("component_id", F.when(F.col("least") < NO_ID, F.col("least")))

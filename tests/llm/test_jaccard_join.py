@@ -115,6 +115,44 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(60)}, 100: 100, 101: 100}
 
 
+def test_components_follow_hooks_once(spark, monkeypatch):
+    from driftspark.llm import shared
+
+    names, real = [], shared.staged
+    monkeypatch.setattr(shared, "staged", lambda df, name: names.append(name) or real(df, name))
+    links = spark.range(1, 60).selectExpr("id as a", "id - 1 as b")
+    assert {r.component for r in components(links).collect()} == {0}
+    assert names.count("hooks") > 1 and names.count("labels") == 1
+    assert components(links.where("a < 0")).collect() == []
+
+
+@pytest.fixture
+def linked(monkeypatch):
+    """The number of links of each call of ``components``."""
+    seen = []
+    monkeypatch.setattr(J, "components", lambda links: seen.append(links.count()) or components(links))
+    return seen
+
+
+def test_lists_that_close_take_one_search_of_components(table, linked):
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(40)) + f" end{i}") for i in range(30)]
+    got = J.jaccard_components(table(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert len(linked) == 1
+
+
+def test_open_lists_link_components_alone(table, linked, monkeypatch):
+    """Shingles that 50 and 51 share are also in smaller ids, the hubs, which link with neither."""
+    monkeypatch.setattr(J, "FREQUENT", 0)
+    passage = [f"p{j}" for j in range(40)]
+    rows = [(k, " ".join(passage[k % 15:k % 15 + 26] + [f"f{k}x{j}" for j in range(14)])) for k in range(45)]
+    rows += [(k, " ".join([*passage, f"end{k}"])) for k in (50, 51)]
+    rows += [(i, " ".join(f"w{i // 2}x{j}" for j in range(40)) + f" end{i}") for i in range(60, 70)]
+    got = J.jaccard_components(table(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert linked == [5, 1]
+
+
 def test_texts_go_to_workers_in_small_batches(spark, table, batch_sizes):
     before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40)) + f" end{i}") for i in range(60)]
