@@ -16,8 +16,14 @@ least 0.75, decided by the integers ``100 * intersection >= 75 * union``.
    frequent than SALT_DF is dealt over several groups, each with a share of its column:
    equal shares of a group are stored once, but every shingle names its shares, and only
    columns whose shares are equal in all groups count as equal.
-4. Products. Each list is first tested against one hub (its smallest id). Lists that this
-   leaves in several components are multiplied in tiles of TILE by TILE sets: the product
+4. Counts. Two linked sets share not one of those entries but a number of them that their
+   sizes give. So the lists of up to PAIRED members are counted pair by pair, with the number
+   of entries that each stands for; a pair that has too few, also if all entries were shared
+   that either has in longer lists, cannot link and its texts are not read. Documents
+   that meet by chance, whose pairs grow with the square of the table, end here as numbers.
+5. Products. Each list is first tested against one hub (its smallest id). Lists that this
+   leaves in several components, of short ones the members that still may link with another
+   component, are multiplied in tiles of TILE by TILE sets: the product
    of the incidence matrices accumulates all overlaps of a tile, pairs below the bound are
    dropped there, and a tile gives no more links than connect what it found connected. So
    a group of copies costs rows by its members, not by its pairs, and no link between
@@ -47,11 +53,13 @@ from driftspark.llm.components import components
 SIZE = 5
 NO_ID = 1 << 62  # keys from here on are texts without id
 # Bounds: entries of the list of frequent shingles (12 bytes each in a broadcast), input
-# bytes a block, entries sent at a time, members of a piece, and postings of a group.
+# bytes a block, entries sent at a time, members of a piece, members of a list whose pairs
+# are counted, and postings of a group.
 FREQUENT = 1_000_000
 BLOCK_BYTES = 18_000_000
 PIECE_ENTRIES = 2_000_000
 PIECE = 4096
+PAIRED = 64
 SALT_DF = 1 << 18
 GROUP_SHINGLES, GROUP_MEMBERS = 100_000, 128
 TILE, TILE_SHINGLES = 256, 200_000
@@ -241,32 +249,33 @@ def _columns(blocks: int):
         cut[1:] = (e[1:] != e[:-1]) | (4 * n[:-1] < 3 * n[1:])
         start = np.flatnonzero(cut)
         length = np.diff(np.append(start, len(e)))
-        sign = np.add.reduceat(words.mix(k.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+        sign = np.add.reduceat(words.mix(k.astype(np.uint64) ^ words.mix(n.astype(np.uint64))), start) if len(start) else np.zeros(0, np.uint64)
         sign = sign ^ words.mix(length.astype(np.uint64))
-        _, once = np.unique(sign, return_index=True)
-        out = []
-        for i in once[(length[once] > 1) | salted].tolist():
+        _, once, times = np.unique(sign, return_index=True, return_counts=True)
+        out, keep = [], (length[once] > 1) | salted
+        for i, alike in zip(once[keep].tolist(), times[keep].tolist()):
             lo, hi = int(start[i]), int(start[i] + length[i])
             long = hi - lo > PIECE
             share = int(sign[i].view(np.int64)) if salted else None
             run_id = None if salted else int((e[lo] if long else sign[i]).view(np.int64))
-            out += [(run_id, salted or long, share, k[a:min(a + PIECE, hi)], n[a:min(a + PIECE, hi)]) for a in range(lo, hi, PIECE)]
+            out += [(run_id, salted or long, share, k[a:min(a + PIECE, hi)], n[a:min(a + PIECE, hi)], alike) for a in range(lo, hi, PIECE)]
         if salted:  # which shares a column has in this group
-            out += [(int(e[start[i]].view(np.int64)), True, int(sign[i].view(np.int64)), None, None) for i in range(len(start))]
+            out += [(int(e[start[i]].view(np.int64)), True, int(sign[i].view(np.int64)), None, None, None) for i in range(len(start))]
         block = table.column("block")[0].as_py() if len(table) else 0
         return pa.table({"block": pa.array([block] * len(out), pa.int32()), "run": pa.array([x[0] for x in out], pa.int64()), "many": pa.array([x[1] for x in out], pa.bool_()),
-                         "share": pa.array([x[2] for x in out], pa.int64()), "members": pa.array([x[3] for x in out], pa.list_(pa.int64())), "sizes": pa.array([x[4] for x in out], pa.list_(pa.int64()))})
+                         "share": pa.array([x[2] for x in out], pa.int64()), "members": pa.array([x[3] for x in out], pa.list_(pa.int64())), "sizes": pa.array([x[4] for x in out], pa.list_(pa.int64())),
+                         "times": pa.array([x[5] for x in out], pa.int64())})
 
     return run
 
 
-_LISTED = "block int, run long, many boolean, share long, members array<long>, sizes array<long>"
+_LISTED = "block int, run long, many boolean, share long, members array<long>, sizes array<long>, times long"
 
 
 def _whole_columns(listed: DataFrame) -> DataFrame:
-    """(run, many, members, sizes) of ``listed``, where salted columns have been put together
+    """(run, many, members, sizes, times) of ``listed``, where salted columns have been put together
     from their shares and of equal ones the smallest is left."""
-    plain = listed.where("share is null").select("run", "many", "members", "sizes")
+    plain = listed.where("share is null").select("run", "many", "members", "sizes", "times")
     names = listed.where("share is not null and members is null").select("run", "block", "share").distinct()
     if names.isEmpty():
         return plain
@@ -275,10 +284,46 @@ def _whole_columns(listed: DataFrame) -> DataFrame:
     alike = names.groupBy("run").agg(F.bit_xor(F.xxhash64(part)).alias("x"), F.bit_xor(F.xxhash64(part, F.lit(1))).alias("y"), F.count(F.lit(1)).alias("k"))
     first = alike.groupBy("x", "y", "k").agg(F.min("run").alias("run")).select("run")
     stored = listed.where("members is not null and share is not null").select("block", "share", "members", "sizes")
-    salted = names.join(first, "run", "left_semi").join(stored, ["block", "share"]).select("run", F.lit(True).alias("many"), "members", "sizes")
+    salted = names.join(first, "run", "left_semi").join(stored, ["block", "share"]).select("run", F.lit(True).alias("many"), "members", "sizes", F.lit(1).cast("long").alias("times"))
     return shared.staged(plain.unionByName(salted), "lists")
 
 
+def _short() -> F.Column:
+    return ~F.col("many") & (F.size("members") <= PAIRED)
+
+
+def _members() -> F.Column:
+    return F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n"))
+
+
+def least_shared(n: str, m: str) -> F.Column:
+    """How many of their first ``size // 4 + 1`` shingles two linked sets of these sizes share.
+
+    Of n and m shingles at least k = ceil(3 (n + m) / 7) are common, so n - k and m - k at most
+    are not. Where the first ones of the set that ends sooner in the common order are in the
+    other set at all, they are among its first ones.
+    """
+    return F.expr(f"least({n} div 4 + 1 - {n}, {m} div 4 + 1 - {m}) + (3 * ({n} + {m}) + 6) div 7")
+
+
+def _alike(lists: DataFrame) -> DataFrame:
+    """(a, b, n, hub): the pairs of the short lists that share enough entries to link, with the
+    size of b, and whether a is the smallest id of a list with b."""
+    some = lists.where(_short()).select("times", F.sort_array(_members()).alias("l"))
+    some = some.select("times", "l", F.posexplode("l").alias("at", "x"))
+    some = some.select("times", (F.col("x.id") == F.col("l")[0]["id"]).alias("hub"), "x", F.explode(F.expr("slice(l, at + 2, size(l))")).alias("y"))
+    some = some.select("times", "hub", F.col("x.id").alias("a"), F.col("x.n").alias("m"), F.col("y.id").alias("b"), F.col("y.n").alias("n"))
+    pairs = (some.where("a <> b and 4 * least(m, n) >= 3 * greatest(m, n)").groupBy("a", "m", "b", "n")
+             .agg(F.sum("times").alias("times"), F.max("hub").alias("hub")).withColumn("need", least_shared("m", "n")))
+    # entries in longer lists count as shared; lists in pieces stand for any number of them
+    entries = F.when(F.col("many"), F.lit(1 << 31)).otherwise(F.col("times"))
+    longer = lists.where(~_short()).select(entries.alias("k"), F.explode("members").alias("id")).groupBy("id").agg(F.sum("k").alias("k"))
+    for side in ("a", "b"):
+        pairs = pairs.join(longer.select(F.col("id").alias(side), F.col("k").alias(f"{side}_more")), side, "left")
+    pairs = pairs.where("times + least(coalesce(a_more, 0), coalesce(b_more, 0)) >= need")
+    return shared.staged(pairs.select("a", "b", "n", "hub"), "alike")
+
+
 def _requested(batches):
     """Each text's packed set, once for each group of pairs that wants it."""
     for batch in batches:
@@ -510,21 +555,25 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
               .applyInArrow(_columns(blocks), _LISTED))
     piece = F.when(F.col("many"), F.xxhash64("members")).otherwise(F.lit(0))
     place = F.when(F.col("share").isNotNull(), F.col("block"))  # lists of several blocks are one unless salted
-    listed = listed.groupBy("run", "many", "share", place.alias("block"), piece.alias("piece")).agg(F.first(F.struct("members", "sizes")).alias("x"))
-    lists = _whole_columns(shared.staged(listed.select("block", "run", "many", "share", "x.members", "x.sizes"), "lists"))
+    listed = listed.groupBy("run", "many", "share", place.alias("block"), piece.alias("piece")).agg(F.first(F.struct("members", "sizes")).alias("x"), F.sum("times").alias("times"))
+    lists = _whole_columns(shared.staged(listed.select("block", "run", "many", "share", "x.members", "x.sizes", "times"), "lists"))
 
-    member = F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n")))
-    hubbed = lists.select(F.array_min("members").alias("hub"), member.alias("m"))
-    stars = hubbed.select(F.col("hub").alias("a"), F.col("m.id").alias("b"), F.col("m.n").alias("n"))
+    alike = _alike(lists)
+    member = F.explode(_members())
+    hubbed = lists.where(~_short()).select(F.array_min("members").alias("hub"), member.alias("m"))
+    stars = hubbed.select(F.col("hub").alias("a"), F.col("m.id").alias("b"), F.col("m.n").alias("n")).unionByName(alike.where("hub").select("a", "b", "n"))
     hubs = lists.where("many").groupBy("run").agg(F.min(F.array_min("members")).alias("a"))
     stars = stars.unionByName(lists.where("many").select("run", F.array_min("members").alias("b"), F.lit(1).cast("long").alias("n"))
                               .join(hubs, "run").select("a", "b", "n")).where("a <> b")
     links = _verified(stars, nodes).unionByName(kept_by_copy)
     found = shared.staged(components(links), "components")
 
-    rest = (lists.where("many or size(members) > 2").select("run", member.alias("m"))
-            .join(found.withColumnRenamed("node", "_n"), F.col("m.id") == F.col("_n"), "left")
-            .select("run", "m.id", "m.n", F.coalesce("component", "m.id").alias("component")))
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    apart = (alike.where("not hub").join(of("a"), "a", "left").join(of("b"), "b", "left")
+             .where("coalesce(a_component, a) <> coalesce(b_component, b)").select(F.explode(F.array("a", "b")).alias("id")))
+    rest = (lists.where("many or size(members) > 2").select("run", _short().alias("short"), member.alias("m"))
+            .select("run", "short", "m.id", "m.n").join(of("id"), "id", "left").join(apart.distinct().withColumn("open", F.lit(True)), "id", "left")
+            .where("open or not short").select("run", "id", "n", F.coalesce("id_component", "id").alias("component")))
     rest = shared.staged(rest, "labelled")
     open_runs = rest.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
     more = _across(rest.join(open_runs, "run", "left_semi"), nodes)

@@ -170,3 +170,65 @@ def test_counting_shingles_takes_few_bytes_each(peak_bytes):
     batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 500), pa.int64()), pa.array(texts[a:a + 500])], names=["k", "t"]) for a in range(0, 8500, 500)]
     list(J._counted(4)(batches[:1]))  # tables of powers are kept
     assert peak_bytes(J._counted(4)(batches)) < 45 * 2 * J.PIECE_ENTRIES
+
+
+@pytest.fixture
+def staged_rows(monkeypatch):
+    """Rows of the staged tables by name."""
+    from driftspark.llm import shared
+
+    seen, real = defaultdict(int), shared.staged
+
+    def staged(df, name):
+        out = real(df, name)
+        seen[name] += out.count()
+        return out
+
+    monkeypatch.setattr(shared, "staged", staged)
+    return seen
+
+
+def test_texts_that_meet_by_chance_are_not_compared(table, monkeypatch, staged_rows):
+    """Each text shares a shingle with a few others and links with none but its near copy."""
+    monkeypatch.setattr(J, "FREQUENT", 0)
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(5)) for i in range(60)]
+    rows = [(i, " ".join(x for k in range(8) for x in (rng.choice(phrases), *(f"w{i}x{k}x{j}" for j in range(5))))) for i in range(200)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:20]]
+    got = J.jaccard_components(table(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert staged_rows["lists"] > 40
+    assert staged_rows["pairs"] == 20 and staged_rows["open"] == 0
+
+
+@pytest.mark.parametrize("paired", [2, 3, 8, 64])
+def test_short_and_long_lists_against_brute_force(table, monkeypatch, paired):
+    """Near copies around the threshold, of which some share an id, some meet in long lists too."""
+    monkeypatch.setattr(J, "PAIRED", paired)
+    monkeypatch.setattr(J, "FREQUENT", 0)
+    rng = random.Random(paired)
+    base = [[f"b{i}x{j}" for j in range(rng.randint(12, 70))] for i in range(12)]
+    rows = []
+    for i in range(240):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            t[rng.randrange(len(t))] = f"z{rng.randint(0, 500)}"
+        t = t[rng.choice([0, 0, 1, 4]):] + ([f"c{j}" for j in range(12)] if rng.random() < 0.3 else [])
+        rows.append((i, " ".join(t)))
+    got = J.jaccard_components(table(rows, "doc_id long, text string", 5)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_linked_sets_share_as_many_first_shingles(spark):
+    """With as few shingles in common as link sets of these sizes."""
+    rng, cases = random.Random(2), []
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        m = rng.randint(-(-3 * n // 4), 4 * n // 3)
+        k = -(-3 * (n + m) // 7)
+        union = rng.sample(range(1000), n + m - k)
+        x, y = (set(sorted(s)[:len(s) // 4 + 1]) for s in (union[:n], union[n - k:]))
+        cases.append((n, m, len(x & y)))
+    got = spark.createDataFrame(cases, "n int, m int, shared int").select(J.least_shared("n", "m").alias("need"), "shared").collect()
+    assert all(1 <= r.need <= r.shared for r in got)
+    assert any(r.need == r.shared for r in got) and max(r.need for r in got) > 5
