@@ -191,15 +191,23 @@ def _prefixes(blocks: int, frequent):
         order = np.argsort(key, kind="stable")
         place = np.empty(len(key), dtype=np.uint64)
         place[order] = np.arange(len(key), dtype=np.uint64)
-        head = (np.diff(key[order], prepend=0), size[order].astype(np.uint32))
+        key, size = key[order], size[order].astype(np.uint32)
         value = np.concatenate([p[2] << np.uint64(16) | place[p[3] + x] for p, x in zip(parts, base)])
         salt = np.concatenate([p[4] for p in parts])
         parts.clear()
+
+        def packed(v):  # with the documents that are in it: all of them in each block would grow with its square
+            which = (v & np.uint64(0xFFFF)).astype(np.int64)
+            used = np.zeros(len(key), dtype=bool)
+            used[which] = True
+            at = np.cumsum(used, dtype=np.uint64) - np.uint64(1)
+            return words.pack(v & ~np.uint64(0xFFFF) | at[which], np.diff(key[used], prepend=0), size[used])
+
         out, salts = [], np.unique(salt)
         for s in salts:
             v = value[salt == s] if len(salts) > 1 else value
             v.sort()
-            out += [(k + int(s) * blocks, words.pack(v[a:b], *head)) for k, a, b in words.by_block(v, blocks, 64)]
+            out += [(k + int(s) * blocks, packed(v[a:b])) for k, a, b in words.by_block(v, blocks, 64)]
         return _sent([k for k, _ in out], [p for _, p in out])
 
     def run(batches):

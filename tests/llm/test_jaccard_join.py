@@ -232,3 +232,25 @@ def test_linked_sets_share_as_many_first_shingles(spark):
     got = spark.createDataFrame(cases, "n int, m int, shared int").select(J.least_shared("n", "m").alias("need"), "shared").collect()
     assert all(1 <= r.need <= r.shared for r in got)
     assert any(r.need == r.shared for r in got) and max(r.need for r in got) > 5
+
+
+def test_entries_of_a_block_name_their_documents_alone():
+    """Bytes sent follow the entries, not the documents times the blocks; the lists stay the same."""
+    import types
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(20, 60))) + (" common words of many texts here" if i % 3 else "") for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.integers(0, 1 << 62, 3000), pa.int64()), pa.array(texts)], names=["k", "t"])
+    none = types.SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int32)))
+    size, lists = {}, {}
+    for blocks in (4, 400):
+        sent = pa.Table.from_batches(list(J._prefixes(blocks, none)([batch])))
+        size[blocks] = sum(len(x) for x in sent["payload"].to_pylist())
+        lists[blocks] = set()
+        for k in set(sent["block"].to_pylist()):
+            rows = J._columns(blocks)(sent.filter(pa.compute.equal(sent["block"], k))).to_pylist()
+            lists[blocks] |= {(tuple(r["members"]), tuple(r["sizes"])) for r in rows}
+    assert size[400] < 3 * size[4]
+    assert lists[400] == lists[4] and len(lists[4]) > 10
